@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from eventide.llm.common import md5_unit, small, stored, words_count
 
 HASH_BITS = 60
-#: Bits looked at in each pass; five passes use up the hash.
-STEP_BITS = 12
+#: Bits looked at in each pass; four passes use up the hash.
+STEP_BITS = 15
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is repeated more often.

@@ -8,15 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventide.llm import oracles
 from eventide.llm.common import table
+from eventide.llm.op01_toxicity import classify
+from eventide.llm.op02_media_sequences import media_columns
 from eventide.llm.op03_mixing import mix
+from eventide.llm.op06_importance_resampling import resample
 from eventide.llm.op07_circulant_minhash import near_duplicates
 from eventide.llm.op09_decontaminate import decontaminate
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,7 +41,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_media_sequences": op2_media_sequences,
     "op3_mixing": op3_mixing,
+    "op6_importance_resampling": op6_importance_resampling,
     "op7_circulant_minhash": op7_circulant_minhash,
     "op9_decontaminate": op9_decontaminate,
 }
