@@ -11,9 +11,12 @@ from eventide.llm.common import table
 from eventide.llm.op01_toxicity import classify
 from eventide.llm.op02_media_sequences import media_columns
 from eventide.llm.op03_mixing import mix
+from eventide.llm.op05_secret_links import secrets
 from eventide.llm.op06_importance_resampling import resample
 from eventide.llm.op07_circulant_minhash import near_duplicates
+from eventide.llm.op08_license_diagonals import scan
 from eventide.llm.op09_decontaminate import decontaminate
+from eventide.llm.op10_pii_votes import personal_data
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,17 +43,28 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media_sequences": op2_media_sequences,
     "op3_mixing": op3_mixing,
+    "op5_secret_links": op5_secret_links,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_circulant_minhash": op7_circulant_minhash,
+    "op8_license_diagonals": op8_license_diagonals,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii_votes": op10_pii_votes,
 }
 
 ORACLES: dict[str, str] = {
