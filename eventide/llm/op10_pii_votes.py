@@ -30,7 +30,7 @@ ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 MORE = ("localphone", "social", "handle", "account")
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Gazetteers and context words.
-GAZETTEER = r"(?i)@(?:[a-z0-9-]+\.)*(?:example|gmail|yahoo|hotmail|outlook|mail[0-9]*)\.|^\+(?:1|33|34|44|49)[^0-9]|^(?:10|127|172|192)\.|^[(]?555|^(?:DE|FR|ES|GB|IT|NL)[0-9]"
+GAZETTEER = r"(?i)@[a-z0-9.-]*?(?<=[@.])(?:example|gmail|yahoo|hotmail|outlook|mail[0-9]{0,3})\.|^\+(?:1|33|34|44|49)[^0-9]|^(?:10|127|172|192)\.|^[(]?555|^(?:DE|FR|ES|GB|IT|NL)[0-9]"
 CONTEXT = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|iban|account|ssn|social|ip|host|server|user|follow)[^\n]{0,20}$"
 AGAINST = r"(?i)(?:version|isbn|page|figure|section|order|invoice|total|price)[^\n]{0,12}$"
 BEFORE = 32
