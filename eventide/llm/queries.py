@@ -11,6 +11,7 @@ from eventide.llm.common import table
 from eventide.llm.op01_toxicity import classify
 from eventide.llm.op02_media_sequences import media_columns
 from eventide.llm.op03_mixing import mix
+from eventide.llm.op04_recurrent_lm import score
 from eventide.llm.op05_secret_links import secrets
 from eventide.llm.op06_importance_resampling import resample
 from eventide.llm.op07_circulant_minhash import near_duplicates
@@ -31,6 +32,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media_sequences": op2_media_sequences,
     "op3_mixing": op3_mixing,
+    "op4_recurrent_lm": op4_recurrent_lm,
     "op5_secret_links": op5_secret_links,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_circulant_minhash": op7_circulant_minhash,
