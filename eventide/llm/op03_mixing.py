@@ -39,16 +39,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS
         sizes.withColumn("_weight", weight)
         .withColumn("_cap", F.lit(float(repeats)) * F.col("source_size"))
         .withColumn("_ratio", F.col("_cap") / F.col("_weight"))
+        .withColumn("_no", F.row_number().over(ratio))
         .withColumn("_total", F.sum("source_size").over(everything).cast("double"))
         .withColumn("_left", F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn(
             "_open", F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
         )
     )
-    level = F.min(F.when(F.col("_ratio") * F.col("_open") >= F.col("_left"), F.col("_left") / F.col("_open"))).over(
-        everything
-    )
-    # the first open source fixes the level: later ones would give the same or a higher one
+    # the first source in the order that the level leaves below its cap fixes the level
+    open_here = F.when(F.col("_ratio") * F.col("_open") >= F.col("_left"), F.struct("_no", (F.col("_left") / F.col("_open")).alias("level")))
+    level = F.min(open_here).over(everything)["level"]
     return ranked.withColumn("target", F.least("_cap", F.coalesce(level, F.col("_ratio")) * F.col("_weight"))).select(
         "source", "source_size", "target"
     )

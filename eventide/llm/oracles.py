@@ -8,9 +8,9 @@ r as (select *, 3.0::double * source_size as cap,
     [5.0::double, 2.0, 1.0][((row_number() over (order by source asc nulls last) - 1) % 3 + 1)::int] as w,
     (sum(source_size) over ())::double as total from s),
 q as (select *, cap / w as ratio from r),
-k as (select *, total - coalesce(sum(cap) over (order by ratio, source asc nulls last rows between unbounded preceding and 1 preceding), 0) as rest,
+k as (select *, row_number() over (order by ratio, source asc nulls last) as no, total - coalesce(sum(cap) over (order by ratio, source asc nulls last rows between unbounded preceding and 1 preceding), 0) as rest,
     sum(w) over () - coalesce(sum(w) over (order by ratio, source asc nulls last rows between unbounded preceding and 1 preceding), 0) as open from q),
-t as (select source, source_size, least(cap, (select min(rest / open) from k where ratio * open >= rest) * w) as target from k),
+t as (select source, source_size, least(cap, (select arg_min(rest / open, no) from k where ratio * open >= rest) * w) as target from k),
 b as (select *, least(3, coalesce(floor(target / nullif(source_size, 0)), 0))::bigint as copies from t),
 c as (select d.*, b.source_size, b.target, b.copies,
     case when b.copies >= 3 then 0 else greatest(0, b.target - b.copies * b.source_size) end as budget
