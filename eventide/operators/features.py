@@ -1,0 +1,159 @@
+"""Point-in-time bar features: day facts, carried state, rolling windows and cross-sections."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from eventide.functions.core import average_rank, guarded, lag, ratio_less_one, rows, share_true
+from eventide.sources.bars import HOURLY, SessionSpec
+
+BY_NAME = Window.partitionBy("instrument_id").orderBy("ts_utc")
+BY_DAY = Window.partitionBy("instrument_id", "session_date").orderBy("ts_utc")
+CLOCK = ["session_date", "minute_of_day"]
+
+
+def daily_facts(bars: DataFrame) -> DataFrame:
+    """One row an instrument and day: regular-session prices and volumes, premarket and after-hours facts."""
+    rth, pre, after = F.col("is_rth"), F.col("is_premarket"), F.col("is_after_hours")
+    when = lambda c, x: F.when(c, F.col(x))
+    return bars.groupBy("instrument_id", "session_date").agg(
+        F.min_by(when(rth, "open"), F.when(rth, F.col("ts_utc"))).alias("rth_open"),
+        F.max(when(rth, "high")).alias("rth_high"),
+        F.min(when(rth, "low")).alias("rth_low"),
+        F.max_by(when(rth, "close"), F.when(rth, F.col("ts_utc"))).alias("rth_close"),
+        F.percentile(when(rth, "volume"), F.lit(0.5)).alias("rth_med_vol"),
+        F.sum(F.when(rth, F.col("close") * F.col("volume"))).alias("day_dollar_volume"),
+        F.max(when(pre, "high")).alias("premarket_high"),
+        F.min(when(pre, "low")).alias("premarket_low"),
+        F.sum(when(pre, "volume")).alias("premarket_volume"),
+        F.max_by(when(pre, "close"), F.when(pre, F.col("ts_utc"))).alias("premarket_close"),
+        F.max_by(when(after, "close"), F.when(after, F.col("ts_utc"))).alias("after_hours_close"),
+    )
+
+
+def carried(daily: DataFrame) -> DataFrame:
+    """What is known of an instrument when a day begins: state of earlier days only. ret_2d, ret_3d, ret_5d span from the
+    second, third and fifth last close to the last; pm_ret is this day's premarket close over the previous close."""
+    d = Window.partitionBy("instrument_id").orderBy("session_date")
+    past20 = d.rowsBetween(-20, -1)
+    last = lambda k: F.lag("rth_close", k).over(d)
+    span = F.lag("rth_high").over(d) - F.lag("rth_low").over(d)
+    return daily.select(
+        "*",
+        last(1).alias("prev_close"),
+        F.percentile("rth_med_vol", F.lit(0.5)).over(past20).alias("typ_1m_vol"),
+        F.percentile("day_dollar_volume", F.lit(0.5)).over(past20).alias("median_20d_dollar_volume"),
+        ratio_less_one(last(1), last(2)).alias("yday_ret"),
+        F.lag("rth_high").over(d).alias("yday_high"),
+        F.lag("rth_low").over(d).alias("yday_low"),
+        F.try_divide(span, last(1)).alias("yday_range"),
+        F.try_divide(last(1) - F.lag("rth_low").over(d), span).alias("yday_clv"),
+        *[ratio_less_one(last(1), last(k)).alias(f"ret_{k}d") for k in (2, 3, 5)],
+        ratio_less_one(F.lag("after_hours_close").over(d), last(1)).alias("ah_ret"),
+        ratio_less_one(F.col("premarket_close"), last(1)).alias("pm_ret"),
+    )
+
+
+def bar_features(bars: DataFrame, spec: SessionSpec = HOURLY) -> DataFrame:
+    """Session bars to the twenty features of a bar. Shifts cross sessions; day facts show only once they are known."""
+    state = carried(daily_facts(bars)).select(
+        "instrument_id", "session_date", "rth_open", "prev_close", "typ_1m_vol", "median_20d_dollar_volume", "premarket_high", "premarket_low", "premarket_volume"
+    )
+    x = bars.withColumn("dollar_volume", F.col("close") * F.col("volume"))
+    for k in (1, 5, 15):
+        x = x.withColumn(f"ret_{k}m", ratio_less_one(F.col("close"), lag("close", k, BY_NAME)))
+    x = x.withColumn("roll_vol_5m", F.sum("volume").over(rows(5, BY_NAME))).withColumn("roll_dvol_5m", F.sum("dollar_volume").over(rows(5, BY_NAME)))
+    so_far = BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
+    in_rth = lambda e: F.when(F.col("is_rth"), e)
+    x = (
+        x.withColumn("cum_intraday_volume", in_rth(F.sum(in_rth(F.col("volume"))).over(so_far)))
+        .withColumn("session_vwap", F.try_divide(in_rth(F.sum(in_rth(F.col("dollar_volume"))).over(so_far)), F.col("cum_intraday_volume")))
+        .withColumn("session_high", in_rth(F.max(in_rth(F.col("high"))).over(so_far)))
+        .withColumn("session_low", in_rth(F.min(in_rth(F.col("low"))).over(so_far)))
+    )
+    x = x.join(state, ["instrument_id", "session_date"], "left")
+    known = F.col("minute_of_day") >= spec.rth[0]
+    for c in ("rth_open", "premarket_high", "premarket_low", "premarket_volume"):
+        x = x.withColumn(c, F.when(known, F.col(c)))
+    return (
+        x.withColumn("gap_pct", ratio_less_one(F.col("rth_open"), F.col("prev_close")))
+        .withColumn("rvol_5m", F.try_divide("roll_vol_5m", F.col("typ_1m_vol") * 5))
+        .withColumn("acceleration", F.col("ret_5m") - F.col("ret_15m") / 3)
+        .withColumn("dist_from_vwap", ratio_less_one(F.col("close"), F.col("session_vwap")))
+        .withColumn("dist_from_session_high", ratio_less_one(F.col("close"), F.col("session_high")))
+        .withColumn("dist_from_session_low", ratio_less_one(F.col("close"), F.col("session_low")))
+        .withColumn("dist_from_premarket_high", ratio_less_one(F.col("close"), F.col("premarket_high")))
+        .withColumn("available_at", F.col("ts_utc") + F.make_dt_interval(mins=F.lit(spec.bar_minutes)))
+        .withColumn("decision_ts", F.col("available_at"))
+    )
+
+
+def causal_features(bars: DataFrame, spec: SessionSpec = HOURLY) -> DataFrame:
+    """Regular-session bars to day features: nothing crosses a day except the carried state."""
+    x = bars.filter("is_rth").join(
+        carried(daily_facts(bars)).select("instrument_id", "session_date", "prev_close", "typ_1m_vol", "yday_ret", "yday_high", "yday_low", "yday_range", "yday_clv", "ret_2d", "ret_3d", "ret_5d", "ah_ret", "median_20d_dollar_volume", "pm_ret"),
+        ["instrument_id", "session_date"],
+        "left",
+    ).withColumnRenamed("median_20d_dollar_volume", "med20")
+    for k in (1, 3, 5, 10, 15, 30, 60):
+        x = x.withColumn(f"ret_{k}m", ratio_less_one(F.col("close"), lag("close", k, BY_DAY)))
+    for k in (1, 5, 10, 15):
+        x = x.withColumn(f"volume_{k}m", F.sum("volume").over(rows(k, BY_DAY)))
+    for k, least in ((1, 1), (5, 1), (15, 1), (30, 15)):
+        f = rows(k, BY_DAY)
+        x = x.withColumn(f"range_{k}m", F.when(F.count("high").over(f) >= least, F.max("high").over(f) - F.min("low").over(f)))
+    for k in (3, 5, 10, 15):
+        x = x.withColumn(f"hi_{k}", F.max("high").over(rows(k, BY_DAY))).withColumn(f"lo_{k}", F.min("low").over(rows(k, BY_DAY)))
+    x = x.withColumn("_step", F.abs(F.col("close") - lag("close", 1, BY_DAY)))
+    for k in (5, 15):
+        x = x.withColumn(f"path_abs_{k}", guarded(F.sum("_step"), "_step", rows(k, BY_DAY), 2)).withColumn(f"_c{k}", lag("close", k, BY_DAY))
+    so_far = BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
+    x = (
+        x.withColumn("rth_open", F.first("open").over(so_far))
+        .withColumn("rth_high_so_far", F.max("high").over(so_far))
+        .withColumn("rth_low_so_far", F.min("low").over(so_far))
+        .withColumn("minutes_from_open", F.col("minute_of_day") - spec.rth[0])
+        .withColumn("weekday", F.weekday("session_date") + 1)
+        .withColumn("gap_pct", ratio_less_one(F.col("rth_open"), F.col("prev_close")))
+    )
+    for k in (1, 5, 10, 15):
+        x = x.withColumn(f"rvol_{k}m", F.try_divide(f"volume_{k}m", F.col("typ_1m_vol") * k + 1e-9))
+    for name, base in (("dist_open", "rth_open"), ("dist_prev_close", "prev_close"), ("dist_yday_high", "yday_high"), ("dist_yday_low", "yday_low")):
+        x = x.withColumn(name, ratio_less_one(F.col("close"), F.col(base)))
+    for k in (5, 15):
+        path = F.abs(F.col("close") - F.col(f"_c{k}")) / (F.col(f"path_abs_{k}") + 1e-9)
+        x = x.withColumn(f"path_efficiency_{k}m", F.when(path.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), path))))
+    x = (
+        x.withColumn("acceleration_5_vs_15", F.col("ret_5m") - F.col("ret_15m") / 3)
+        .withColumn("pullback_from_recent_high", ratio_less_one(F.col("close"), F.col("hi_15")))
+        .withColumn("rebound_from_recent_low", ratio_less_one(F.col("close"), F.col("lo_15")))
+        .withColumn("range_position_15m", (F.col("close") - F.col("lo_15")) / (F.col("hi_15") - F.col("lo_15") + 1e-9))
+        .withColumn("close_location_value", (F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9))
+        .withColumn("new_high_15", F.col("high") > lag("hi_15", 1, BY_DAY))
+        .withColumn("new_low_15", F.col("low") < lag("lo_15", 1, BY_DAY))
+        .withColumn("volume_acceleration", F.col("volume_5m") / (F.col("volume_15m") / 3 + 1e-9))
+        .withColumn("range_vs_hist", F.try_divide("range_15m", F.col("prev_close") * F.col("yday_range") + 1e-9))
+    )
+    for name, value in (("xs_ret_rank", "ret_5m"), ("xs_rvol_rank", "rvol_5m"), ("xs_accel_rank", "acceleration_5_vs_15"), ("xs_vol_rank", "volume_5m")):
+        x = x.withColumn(name, average_rank(value, CLOCK))
+    w = Window.partitionBy(*CLOCK)
+    x = (
+        x.withColumn("breadth_pos", share_true(F.col("ret_5m") > 0).over(w))
+        .withColumn("breadth_neg", share_true(F.col("ret_5m") < 0).over(w))
+        .withColumn("n_extreme_15m", F.count(F.when(F.abs("ret_15m") >= 0.5, 1)).over(w))
+        .withColumn("n_large_gap", F.count(F.when(F.abs("gap_pct") >= 0.5, 1)).over(w))
+        .withColumn("n_vol_shock", F.count(F.when(F.col("rvol_5m") >= 1.5, 1)).over(w))
+        .withColumn("mkt_ret_5m", F.avg("ret_5m").over(w))
+        .withColumn("mkt_ret_15m", F.avg("ret_15m").over(w))
+        .withColumn("mkt_rvol_5m", F.avg("rvol_5m").over(w))
+        .withColumn("resid_5m", F.col("ret_5m") - F.col("mkt_ret_5m"))
+        .withColumn("resid_15m", F.col("ret_15m") - F.col("mkt_ret_15m"))
+        .withColumn("decision_ts", F.col("ts_utc") + F.make_dt_interval(mins=F.lit(spec.bar_minutes)))
+    )
+    return x.drop("_step", "_c5", "_c15")
+
+
+def late_rows(features: DataFrame, available: str = "available_at", decision: str = "decision_ts") -> DataFrame:
+    """Rows that use what wasn't known at the decision."""
+    return features.filter(F.col(available) > F.col(decision))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from eventide.plans import bars_queries  # noqa: F401  (registers)
+from eventide.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
