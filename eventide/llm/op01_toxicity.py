@@ -25,7 +25,7 @@ CATEGORIES = (
     ("toxic_low_quality", "toxic = 1 and quality = 0"),
 )
 #: The classifiers are fitted on at most so many labelled rows, chosen by a hash of doc_id.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 FOLDS = 3
 BUCKETS = 1 << 20
 #: A model keeps the features with the largest chi-square among those in at least MIN_ROWS sample rows.
@@ -47,7 +47,12 @@ def features(text: bytes | None) -> np.ndarray:
     same = sum(map(bytes.__eq__, raw[1:], raw[:-1]))
     if same * 5 > len(raw):
         found.add(crc32(b"=repeats"))
-    return np.unique(np.fromiter(found, np.int64, len(found)) % BUCKETS)
+    return np.unique(np.fromiter(found, np.int64, len(found)) % BUCKETS).astype(np.int32)
+
+
+def _joined(rows: list[np.ndarray], at_once: int = 500) -> Iterator[np.ndarray]:
+    for i in range(0, len(rows), at_once):
+        yield np.concatenate(rows[i : i + at_once])
 
 
 class Logistic:
@@ -61,13 +66,12 @@ class Logistic:
         if not n or pos in (0.0, float(n)):
             self.b = 8.0 if n and pos else -8.0
             return self
-        flat, owner = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
-        keys, at = np.unique(flat, return_inverse=True)
-        all_n, pos_n = np.bincount(at).astype(float), np.bincount(at, weights=owner)
-        expected = all_n * pos / n
+        count = lambda some: sum((np.bincount(r, minlength=BUCKETS) for r in _joined(some)), np.zeros(BUCKETS))
+        all_n, pos_n = count(rows), count([r for r, v in zip(rows, y) if v])
+        expected = np.maximum(all_n * pos / n, 1e-9)
         chi = (pos_n - expected) ** 2 / (expected * (1 - pos / n) * np.maximum(1 - all_n / n, 1e-9))
         best = np.argsort(-np.where(all_n >= MIN_ROWS, chi, -1), kind="stable")[:FEATURES]
-        self.keys = np.sort(keys[best[all_n[best] >= MIN_ROWS]])
+        self.keys = np.sort(best[all_n[best] >= MIN_ROWS])
         self.w = np.zeros(len(self.keys))
         own = [self._at(r) for r in rows]
         self.b = float(np.log(pos / (n - pos)))
@@ -112,7 +116,7 @@ class Logistic:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t.as_py()) for t in batch.column(0)]
-        columns = [pa.array(rows, pa.list_(pa.int64())), *batch.columns[1:]]
+        columns = [pa.array(rows, pa.list_(pa.int32())), *batch.columns[1:]]
         yield pa.RecordBatch.from_arrays(columns, names=["x", *batch.schema.names[1:]])
 
 
@@ -143,7 +147,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> list
     picked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     fold = (F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS))).cast("int").alias("fold")
     sample = picked.select(as_bytes("text").alias("text"), "_id", fold, *named).dropDuplicates(["_id"])
-    schema = "x array<long>, _id long, fold int, " + ", ".join(f"{y} double" for y in named)
+    schema = "x array<int>, _id long, fold int, " + ", ".join(f"{y} double" for y in named)
     sample = stored(sample.mapInArrow(_featured, schema).withColumn("p", F.array().cast("array<double>")), "sample")
     models = []
     for i in range(len(categories)):
