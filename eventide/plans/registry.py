@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventide.plans import bars_queries  # noqa: F401  (registers)
+from eventide.plans import bars_queries, panel_queries  # noqa: F401  (they register)
 from eventide.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
