@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.core import first_per
-from eventide.operators.features import BY_DAY
+from eventide.operators.features import by_day
 
 _OPS = {
     ">=": lambda a, b: a >= b,
@@ -73,7 +73,7 @@ def cooldown(events: DataFrame, minutes: int) -> DataFrame:
 
 def numbered(bars: DataFrame) -> DataFrame:
     """Bar numbers of a day from 0; pattern windows count bars, not time."""
-    return bars.withColumn("bar_no", F.row_number().over(BY_DAY) - 1)
+    return bars.withColumn("bar_no", F.row_number().over(by_day()) - 1)
 
 
 def touch_and_follow(bars: DataFrame, first: Column, follow: Column, within: int) -> DataFrame:
@@ -98,7 +98,7 @@ def opening_break(bars: DataFrame, opening: int, near: float) -> DataFrame:
 def impulse_pullback(features: DataFrame, impulse: float, look: int, band: tuple[float, float], push: int) -> DataFrame:
     """Impulse, pullback within a band of its size in the next `look` bars, then a close beyond the highest high before it
     in the next `push` bars: the earliest impulse of the day for which all three happen."""
-    n = numbered(features.filter("is_rth")).select("instrument_id", "session_date", "ts_utc", "bar_no", "close", "high", "low", "ret_3m", F.lag("hi_3").over(BY_DAY).alias("hi_before"))
+    n = numbered(features.filter("is_rth")).select("instrument_id", "session_date", "ts_utc", "bar_no", "close", "high", "low", "ret_3m", F.lag("hi_3").over(by_day()).alias("hi_before"))
     keys = ["instrument_id", "session_date"]
     i = n.filter(F.col("ret_3m") >= impulse).select(*keys, F.col("bar_no").alias("i"), F.col("close").alias("peak"), (F.col("close") * F.col("ret_3m") / (1 + F.col("ret_3m"))).alias("size"))
     j = i.join(n.select(*keys, F.col("bar_no").alias("j"), F.col("close").alias("back")), keys).filter("j > i and j <= i + " + str(look))

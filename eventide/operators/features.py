@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from eventide.functions.core import average_rank, guarded, lag, ratio_less_one, rows, share_true
 from eventide.sources.bars import HOURLY, SessionSpec
 
-BY_NAME = Window.partitionBy("instrument_id").orderBy("ts_utc")
-BY_DAY = Window.partitionBy("instrument_id", "session_date").orderBy("ts_utc")
 CLOCK = ["session_date", "minute_of_day"]
 
 
+def by_name() -> WindowSpec:
+    return Window.partitionBy("instrument_id").orderBy("ts_utc")
+
+
+def by_day() -> WindowSpec:
+    return Window.partitionBy("instrument_id", "session_date").orderBy("ts_utc")
+
+
 def daily_facts(bars: DataFrame) -> DataFrame:
     """One row an instrument and day: regular-session prices and volumes, premarket and after-hours facts."""
     rth, pre, after = F.col("is_rth"), F.col("is_premarket"), F.col("is_after_hours")
@@ -62,9 +68,9 @@ def bar_features(bars: DataFrame, spec: SessionSpec = HOURLY) -> DataFrame:
     )
     x = bars.withColumn("dollar_volume", F.col("close") * F.col("volume"))
     for k in (1, 5, 15):
-        x = x.withColumn(f"ret_{k}m", ratio_less_one(F.col("close"), lag("close", k, BY_NAME)))
-    x = x.withColumn("roll_vol_5m", F.sum("volume").over(rows(5, BY_NAME))).withColumn("roll_dvol_5m", F.sum("dollar_volume").over(rows(5, BY_NAME)))
-    so_far = BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn(f"ret_{k}m", ratio_less_one(F.col("close"), lag("close", k, by_name())))
+    x = x.withColumn("roll_vol_5m", F.sum("volume").over(rows(5, by_name()))).withColumn("roll_dvol_5m", F.sum("dollar_volume").over(rows(5, by_name())))
+    so_far = by_day().rowsBetween(Window.unboundedPreceding, 0)
     in_rth = lambda e: F.when(F.col("is_rth"), e)
     x = (
         x.withColumn("cum_intraday_volume", in_rth(F.sum(in_rth(F.col("volume"))).over(so_far)))
@@ -97,18 +103,18 @@ def causal_features(bars: DataFrame, spec: SessionSpec = HOURLY) -> DataFrame:
         "left",
     ).withColumnRenamed("median_20d_dollar_volume", "med20")
     for k in (1, 3, 5, 10, 15, 30, 60):
-        x = x.withColumn(f"ret_{k}m", ratio_less_one(F.col("close"), lag("close", k, BY_DAY)))
+        x = x.withColumn(f"ret_{k}m", ratio_less_one(F.col("close"), lag("close", k, by_day())))
     for k in (1, 5, 10, 15):
-        x = x.withColumn(f"volume_{k}m", F.sum("volume").over(rows(k, BY_DAY)))
+        x = x.withColumn(f"volume_{k}m", F.sum("volume").over(rows(k, by_day())))
     for k, least in ((1, 1), (5, 1), (15, 1), (30, 15)):
-        f = rows(k, BY_DAY)
+        f = rows(k, by_day())
         x = x.withColumn(f"range_{k}m", F.when(F.count("high").over(f) >= least, F.max("high").over(f) - F.min("low").over(f)))
     for k in (3, 5, 10, 15):
-        x = x.withColumn(f"hi_{k}", F.max("high").over(rows(k, BY_DAY))).withColumn(f"lo_{k}", F.min("low").over(rows(k, BY_DAY)))
-    x = x.withColumn("_step", F.abs(F.col("close") - lag("close", 1, BY_DAY)))
+        x = x.withColumn(f"hi_{k}", F.max("high").over(rows(k, by_day()))).withColumn(f"lo_{k}", F.min("low").over(rows(k, by_day())))
+    x = x.withColumn("_step", F.abs(F.col("close") - lag("close", 1, by_day())))
     for k in (5, 15):
-        x = x.withColumn(f"path_abs_{k}", guarded(F.sum("_step"), "_step", rows(k, BY_DAY), 2)).withColumn(f"_c{k}", lag("close", k, BY_DAY))
-    so_far = BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn(f"path_abs_{k}", guarded(F.sum("_step"), "_step", rows(k, by_day()), 2)).withColumn(f"_c{k}", lag("close", k, by_day()))
+    so_far = by_day().rowsBetween(Window.unboundedPreceding, 0)
     x = (
         x.withColumn("rth_open", F.first("open").over(so_far))
         .withColumn("rth_high_so_far", F.max("high").over(so_far))
@@ -130,8 +136,8 @@ def causal_features(bars: DataFrame, spec: SessionSpec = HOURLY) -> DataFrame:
         .withColumn("rebound_from_recent_low", ratio_less_one(F.col("close"), F.col("lo_15")))
         .withColumn("range_position_15m", (F.col("close") - F.col("lo_15")) / (F.col("hi_15") - F.col("lo_15") + 1e-9))
         .withColumn("close_location_value", (F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9))
-        .withColumn("new_high_15", F.col("high") > lag("hi_15", 1, BY_DAY))
-        .withColumn("new_low_15", F.col("low") < lag("lo_15", 1, BY_DAY))
+        .withColumn("new_high_15", F.col("high") > lag("hi_15", 1, by_day()))
+        .withColumn("new_low_15", F.col("low") < lag("lo_15", 1, by_day()))
         .withColumn("volume_acceleration", F.col("volume_5m") / (F.col("volume_15m") / 3 + 1e-9))
         .withColumn("range_vs_hist", F.try_divide("range_15m", F.col("prev_close") * F.col("yday_range") + 1e-9))
     )

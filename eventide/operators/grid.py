@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from eventide.functions.core import average_rank, share_true
 
 CLOCK = ["trading_date", "minute_of_day"]
-X = Window.partitionBy(*CLOCK)
-DAY = Window.partitionBy("instrument_id", "trading_date").orderBy("minute_of_day")
+
+
+def clock() -> WindowSpec:
+    return Window.partitionBy(*CLOCK)
+
+
+def of_day() -> WindowSpec:
+    return Window.partitionBy("instrument_id", "trading_date").orderBy("minute_of_day")
 
 
 def grid_of(causal: DataFrame) -> DataFrame:
@@ -62,13 +68,13 @@ def residual_grid(grid: DataFrame, beta: DataFrame) -> DataFrame:
 
 def cross_section(grid: DataFrame, value: str = "resid") -> DataFrame:
     """Rank, dispersion, breadth and tail imbalance of a value at each clock, and the change of the rank."""
-    z = F.try_divide(F.col(value) - F.avg(value).over(X), F.stddev_samp(value).over(X))
+    z = F.try_divide(F.col(value) - F.avg(value).over(clock()), F.stddev_samp(value).over(clock()))
     g = grid.withColumn("resid_rank", average_rank(value, CLOCK)).withColumn("_z", z)
     g = (
-        g.withColumn("xs_dispersion", F.percentile(F.abs(value), F.lit(0.5)).over(X))
-        .withColumn("xs_breadth", share_true(F.col(value) > 0).over(X))
-        .withColumn("xs_tail_imbalance", share_true(F.col("_z") > 1).over(X) - share_true(F.col("_z") < -1).over(X))
-        .withColumn("resid_rank_change", F.col("resid_rank") - F.lag("resid_rank").over(DAY))
+        g.withColumn("xs_dispersion", F.percentile(F.abs(value), F.lit(0.5)).over(clock()))
+        .withColumn("xs_breadth", share_true(F.col(value) > 0).over(clock()))
+        .withColumn("xs_tail_imbalance", share_true(F.col("_z") > 1).over(clock()) - share_true(F.col("_z") < -1).over(clock()))
+        .withColumn("resid_rank_change", F.col("resid_rank") - F.lag("resid_rank").over(of_day()))
     )
     return g.drop("_z")
 
@@ -88,12 +94,12 @@ def labels(grid: DataFrame, legs: int = 3) -> DataFrame:
     def compounded(c: str):
         out = F.lit(1.0)
         for k in range(1, legs + 1):
-            out = out * (1 + F.lead(c, k).over(DAY))
+            out = out * (1 + F.lead(c, k).over(of_day()))
         return out - 1
 
     g = grid.withColumn("future_ret", compounded("r")).withColumn("future_mkt", compounded("mkt"))
     g = g.withColumn("future_residual", F.col("future_ret") - F.col("beta") * F.col("future_mkt"))
-    return g.withColumn("next_ret", F.lead("r").over(DAY)).withColumn("next_resid", F.lead("resid").over(DAY))
+    return g.withColumn("next_ret", F.lead("r").over(of_day())).withColumn("next_resid", F.lead("resid").over(of_day()))
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventide.operators import events as ev
-from eventide.operators.features import carried, daily_facts, late_rows
+from eventide.operators.features import by_day, carried, daily_facts, late_rows
 from eventide.operators.joins import asof_join, range_join
 from eventide.operators.outcomes import barriers, forward_returns
 from eventide.plans.base import BARS, CAUSAL, DAILY, FEATURES, causal, features, register, session_bars
@@ -182,7 +182,7 @@ def _(spark, d):
 select c.instrument_id, c.session_date, c.ts_utc, case when c.close >= c.open then 'LONG' else 'SHORT' end as side from cn c join h using (instrument_id, session_date)
 where c.bar_no > h.bar_no and c.bar_no <= h.bar_no + 4 and c.range_5m >= 1.5 * h.range_5m qualify row_number() over (partition by c.instrument_id, c.session_date order by c.bar_no) = 1""")
 def _(spark, d):
-    first = (F.col("range_5m") <= 0.5 * F.col("prev_close")) & (F.row_number().over(ev.BY_DAY) > 2)
+    first = (F.col("range_5m") <= 0.5 * F.col("prev_close")) & (F.row_number().over(by_day()) > 2)
     rows = causal(spark, d).withColumn("_ok", first)
     out = ev.touch_and_follow(rows, F.col("_ok"), F.col("range_5m") >= 1.5 * F.col("at.range_5m"), 4)
     return out.select("instrument_id", "session_date", "ts_utc", F.when(F.col("close") >= F.col("open"), "LONG").otherwise("SHORT").alias("side"))
