@@ -140,8 +140,8 @@ def _fitter(i: int):
 def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> list[Logistic]:
     """The chain's models. Every fold's model and the final one of a category are fitted in tasks of their own, each on
     the bounded sample; predictions for the rows that a fold left out go on to the next category."""
-    marks = [F.coalesce(F.expr(c), F.lit(False)).cast("double").alias(f"y{i}") for i, (_, c) in enumerate(categories)]
-    chosen = labels.dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), *marks)
+    marks = [F.expr(c).cast("double").alias(f"y{i}") for i, (_, c) in enumerate(categories)]
+    chosen = labels.dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), *marks).dropna()
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
     named = [f"y{i}" for i in range(len(categories))]
     picked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
@@ -165,7 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> DataF
     """documents(doc_id, text), labels(doc_id, quality, toxic) -> doc_id, p_<category> for each category, toxic.
 
     One row a document row; toxic: p_toxic of at least one half. Null and empty texts get the chain's answer for no
-    features. Labels that are null count as not in the category; without labels every probability is near 0. Copies of
+    features. Rows of labels with a null don't train; without labels every probability is near 0. Copies of
     a labelled doc_id train once. Other columns are ignored."""
     names = [f"p_{n}" for n, _ in categories]
     models = docs.sparkSession.sparkContext.broadcast(fit_chain(docs, labels, categories))

@@ -37,7 +37,7 @@ class Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
         self._text: list[str] = []
-        self._hidden, self._figure, self._caption = 0, None, None
+        self._hidden, self._figure, self._caption, self._given = 0, None, None, None
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split(" ")).strip()
@@ -51,14 +51,14 @@ class Sequence(HTMLParser):
         elif tag in _BLOCKS:
             self._flush()
             if tag == "figure":
-                self._figure = len(self.items)
+                self._figure, self._given = len(self.items), None
         elif tag == "figcaption":
             self._caption = []
         elif tag in _MEDIA:
             own = dict(attrs)
             if own.get("src"):
                 self._flush()
-                self.items.append(["media", None, own["src"], own.get("alt") or own.get("title")])
+                self.items.append(["media", None, own["src"], self._given or own.get("alt") or own.get("title")])
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _HIDDEN:
@@ -68,11 +68,13 @@ class Sequence(HTMLParser):
             for item in self.items[self._figure or 0 :] if self._figure is not None else []:
                 if item[0] == "media" and caption:
                     item[3] = caption
+            if self._figure is not None:
+                self._given = caption or None
             self._caption = None
         elif tag in _BLOCKS:
             self._flush()
             if tag == "figure":
-                self._figure = None
+                self._figure = self._given = None
 
     def handle_data(self, data: str) -> None:
         if self._caption is not None:
