@@ -28,10 +28,10 @@ CATEGORIES = (
 SAMPLE_ROWS = 10_000
 FOLDS = 3
 BUCKETS = 1 << 20
-#: A model keeps the features with the largest chi-square among those in at least MIN_ROWS sample rows.
-FEATURES, MIN_ROWS = 4096, 4
+#: A model keeps the features with the largest chi-square, of at least MIN_CHI, among those in at least MIN_ROWS sample rows.
+FEATURES, MIN_ROWS, MIN_CHI = 4096, 4, 6.0
 EPOCHS, RATE, L2 = 6, 0.3, 1e-5
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -71,7 +71,7 @@ class Logistic:
         expected = np.maximum(all_n * pos / n, 1e-9)
         chi = (pos_n - expected) ** 2 / (expected * (1 - pos / n) * np.maximum(1 - all_n / n, 1e-9))
         best = np.argsort(-np.where(all_n >= MIN_ROWS, chi, -1), kind="stable")[:FEATURES]
-        self.keys = np.sort(best[all_n[best] >= MIN_ROWS])
+        self.keys = np.sort(best[(all_n[best] >= MIN_ROWS) & (chi[best] >= MIN_CHI)])
         self.w = np.zeros(len(self.keys))
         own = [self._at(r) for r in rows]
         self.b = float(np.log(pos / (n - pos)))
@@ -164,7 +164,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> list
 def classify(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> DataFrame:
     """documents(doc_id, text), labels(doc_id, quality, toxic) -> doc_id, p_<category> for each category, toxic.
 
-    One row a document row; toxic: p_toxic of at least one half. Null and empty texts get the chain's answer for no
+    One row a document row; toxic: p_toxic of at least THRESHOLD. Null and empty texts get the chain's answer for no
     features. Rows of labels with a null don't train; without labels every probability is near 0. Copies of
     a labelled doc_id train once. Other columns are ignored."""
     names = [f"p_{n}" for n, _ in categories]
