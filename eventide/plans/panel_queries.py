@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import with_bh
+from eventide.functions.core import first_per, with_bh
 from eventide.functions.tdist import t_p
 from eventide.operators import graph, grid, models, quality
 from eventide.operators import statistics as st
 from eventide.operators.features import daily_facts
+from eventide.operators.joins import asof_join, effective_join
 from eventide.plans.bars_queries import _EVENTS, _FWD, forwards, gap_events
 from eventide.plans.base import BARS, CAUSAL, DAILY, causal, register, session_bars
 from eventide.sources.bars import news, table, upsert
@@ -387,3 +388,84 @@ def _(spark, d):
 def _(spark, d):
     new = table(spark, d, "orders").filter("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
     return upsert(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), new, ["k"])
+
+
+# --- news state and what follows from it
+_NEWS = """nw as (select 'i' || (user_id % 8) as instrument_id, ts + interval 60 minute as available_at, event_id as article_id,
+    case event_type when 'signup' then 1 when 'error' then -1 else 0 end as s from events where event_type in ('signup', 'error', 'view'))"""
+
+
+def _state_rows(spark, d):
+    rows = causal(spark, d).filter("rvol_5m >= 0.9 and ret_5m is not null").select("instrument_id", "session_date", "ts_utc", "decision_ts", "ret_5m", "resid_5m")
+    n = news(table(spark, d, "events")).select("instrument_id", "available_at", "article_id", "sentiment_score")
+    return asof_join(rows, n, ["instrument_id"], "decision_ts", "available_at", ["article_id", "sentiment_score"])
+
+
+@register("e45_news_state", f"""with {CAUSAL}, {_NEWS}, r as (select instrument_id, session_date, ts_utc, decision_ts, ret_5m from causal where rvol_5m >= 0.9 and ret_5m is not null)
+select r.instrument_id, r.ts_utc, n.article_id, n.s as sentiment_score, floor(epoch(r.decision_ts - n.available_at) / 60)::bigint as minutes_since from r asof left join nw n on r.instrument_id = n.instrument_id and r.decision_ts >= n.available_at""")
+def _(spark, d):
+    since = F.floor(F.timestamp_diff("SECOND", "available_at", "decision_ts") / 60)
+    return _state_rows(spark, d).select("instrument_id", "ts_utc", "article_id", "sentiment_score", since.alias("minutes_since"))
+
+
+_BUCKETED = f"""with {CAUSAL}, {_NEWS}, r as (select instrument_id, session_date, ts_utc, decision_ts, ret_5m, resid_5m from causal where rvol_5m >= 0.9 and ret_5m is not null),
+j as (select r.*, n.s, n.available_at from r asof left join nw n on r.instrument_id = n.instrument_id and r.decision_ts >= n.available_at),
+b as (select *, case when s is null or available_at < decision_ts - interval 240 minute then 'none' when s > 0 then 'pos' when s < 0 then 'neg' else 'neu' end as bucket from j)"""
+
+
+def _bucketed(spark, d):
+    fresh = F.col("available_at") >= F.col("decision_ts") - F.make_dt_interval(mins=F.lit(240))
+    s = F.col("sentiment_score")
+    return _state_rows(spark, d).withColumn("bucket", F.when(s.isNull() | ~fresh, "none").when(s > 0, "pos").when(s < 0, "neg").otherwise("neu"))
+
+
+@register("e38_state_by_news", _BUCKETED + " select bucket, count(*)::bigint as n, avg(ret_5m) as mean_ret, count(*) filter (sign(ret_5m) = s)::bigint as agreeing from b group by bucket", "mean_ret")
+def _(spark, d):
+    return _bucketed(spark, d).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("ret_5m").alias("mean_ret"), F.count_if(F.signum("ret_5m") == F.col("sentiment_score")).alias("agreeing"))
+
+
+@register("e39_news_then_price", _BUCKETED + """ select instrument_id, session_date, ts_utc, case when s > 0 then 'LONG' else 'SHORT' end as side from b where bucket in ('pos', 'neg') and sign(ret_5m) = s
+qualify row_number() over (partition by instrument_id, session_date order by ts_utc) = 1""")
+def _(spark, d):
+    e = _bucketed(spark, d).filter(F.col("bucket").isin("pos", "neg") & (F.signum("ret_5m") == F.col("sentiment_score")))
+    e = first_per(e, ["instrument_id", "session_date"], [F.col("ts_utc")])
+    return e.select("instrument_id", "session_date", "ts_utc", F.when(F.col("sentiment_score") > 0, "LONG").otherwise("SHORT").alias("side"))
+
+
+@register("e40_news_against_residual", _BUCKETED + " select instrument_id, ts_utc, case when s > 0 then 'LONG' else 'SHORT' end as side from b where bucket in ('pos', 'neg') and sign(resid_5m) = -s and abs(resid_5m) >= 0.2")
+def _(spark, d):
+    e = _bucketed(spark, d).filter(F.col("bucket").isin("pos", "neg") & (F.signum("resid_5m") == -F.col("sentiment_score")) & (F.abs("resid_5m") >= 0.2))
+    return e.select("instrument_id", "ts_utc", F.when(F.col("sentiment_score") > 0, "LONG").otherwise("SHORT").alias("side"))
+
+
+@register("q11_news_onset", """with m as (select date_trunc('week', ts)::date as week, avg((event_type in ('signup', 'error', 'view'))::int::double) as rate, count(*) as n from events group by 1)
+select week, rate from m where rate >= 0.4 and n >= 50 order by week limit 1""", "rate")
+def _(spark, d):
+    e = table(spark, d, "events").groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week"))
+    m = e.agg(F.avg(F.col("event_type").isin("signup", "error", "view").cast("double")).alias("rate"), F.count("*").alias("n"))
+    return m.filter("rate >= 0.4 and n >= 50").orderBy("week").limit(1).select("week", "rate")
+
+
+@register("a26_rate_by_calendar", """with m as (select date_trunc('month', o_orderdate)::date as month, avg((o_orderstatus = 'F')::int::double) as rate, count(*)::bigint as n from orders group by 1),
+c as (select unnest(generate_series((select min(month) from m), (select max(month) from m), interval 1 month))::date as month) select c.month, rate, coalesce(n, 0)::bigint as n from c left join m using (month)""", "rate")
+def _(spark, d):
+    m = table(spark, d, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("rate"), F.count("*").alias("n"))
+    c = m.agg(F.min("month").alias("a"), F.max("month").alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
+    return c.join(m, "month", "left").select("month", "rate", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("p15_binary_columns", "select 'l_linenumber' as column_name, min(l_linenumber) >= 0 and max(l_linenumber) <= 1 and count(distinct l_linenumber) <= 2 as is_binary from lineitem union all select 'l_discount_flag', min(f) >= 0 and max(f) <= 1 and count(distinct f) <= 2 from (select (l_discount > 0.05)::int as f from lineitem)")
+def _(spark, d):
+    t = table(spark, d, "lineitem").select("l_linenumber", (F.col("l_discount") > 0.05).cast("int").alias("l_discount_flag"))
+    ok = lambda c: (F.min(c) >= 0) & (F.max(c) <= 1) & (F.countDistinct(c) <= 2)
+    row = t.agg(*[ok(c).alias(c) for c in t.columns])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("is_binary")) for c in t.columns])).alias("x")).select("x.*")
+
+
+@register("j17_effective_dated", """with v as (select o_custkey, o_orderkey as version, o_orderdate as effective_from, lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as effective_to from orders where o_orderkey % 2 = 0)
+select o.o_orderkey, v.version from (select * from orders where o_orderkey % 2 = 1) o left join v on o.o_custkey = v.o_custkey and o.o_orderdate >= v.effective_from and (v.effective_to is null or o.o_orderdate < v.effective_to)""")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    v = o.filter("o_orderkey % 2 = 0").select("o_custkey", F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("effective_from"), F.lead("o_orderdate").over(w).alias("effective_to"))
+    return effective_join(o.filter("o_orderkey % 2 = 1").select("o_orderkey", "o_custkey", "o_orderdate"), v, ["o_custkey"], "o_orderdate").select("o_orderkey", "version")
