@@ -223,9 +223,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         opened = stored(opened.filter("_lo <> _hi").drop("_lo", "_hi"), "open")
         if opened.count() > 0.5 * before:
             break
-    x, y = opened.alias("x"), opened.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _possible("x", "y", percent))
-    rest = rest.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
+    # every pair of an open bucket that lies in different components, said by the least bucket that both are in
+    keyed = opened.join(classes.select("fp", "bands"), "fp")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _possible("x", "y", percent)
+                  & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")))
+    rest = rest.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
     done = tried.union(tried.select(F.col("b"), F.col("a"))).distinct()
     rest = stored(rest.join(done, ["a", "b"], "left_anti"), "rest")
     if rest.head(1):
