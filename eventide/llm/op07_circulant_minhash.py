@@ -25,8 +25,9 @@ PLACES_LOG2 = 20
 #: Bits of the sketch by which a proposed pair is ruled out before its sets are fetched, and the most that may differ. At
 #: 0.85 about 77 +- 8.4 bits differ, so that a true link has more with probability 1e-5.
 SKETCH, DIFFERENT = 1024, 113
-#: Rounds that compare with one hub a bucket before what is left is compared pair by pair.
-HUB_ROUNDS = 2
+#: Rounds that compare with one hub a bucket before what is left is compared pair by pair; more pay off where groups hold
+#: several originals.
+HUB_ROUNDS = 1
 #: Words whose hashes a task keeps.
 CACHED_WORDS = 300_000
 
@@ -152,20 +153,20 @@ def components(edges: DataFrame) -> DataFrame:
     stars; each round is a distributed grouping and is kept in the shared folder."""
     both = lambda e: e.union(e.select(F.col("b"), F.col("a")))
     stars = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    said = None
     while True:
         around = both(stars).toDF("u", "v")
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = stored(large.filter("a <> b").distinct(), "large")
+        large = around.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = stored(large, "large")
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(root, "a")
         down = joined.select(F.col("b").alias("x"), F.col("m")).union(root.select(F.col("a"), F.col("m")))
         stars = stored(down.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "stars")
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first())
-        if now == said:
+        # done when every node points at one root and no root points on
+        kinds = stars.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(stars.select(F.col("b"), F.lit(0), F.lit(1)))
+        mixed = kinds.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)")
+        if not mixed.head(1):
             break
-        said = now
     nodes = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(stars.select(F.col("b"), F.col("b")).distinct())
 
