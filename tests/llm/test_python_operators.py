@@ -192,3 +192,19 @@ def test_documents_in_lanes_score_as_alone():
     docs = [rng.integers(0, 40, n).astype(np.int32) for n in (1, 200, 3, 77, 150, 2)]
     together = lm.likelihoods(p, docs, v.classes)
     assert together == pytest.approx([lm.likelihoods(p, [d], v.classes)[0] for d in docs], rel=1e-4)
+
+
+def test_windows_hold_each_document_once_and_in_order():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 50, n).astype(np.int32) for n in (1, 3, 700, 48, 49, 96, 2, 5)]
+    seen, begun = [[] for _ in docs], np.zeros(len(docs), int)
+    for before, x, owner, first in lm.windows_of(docs, 3):
+        assert before.shape == x.shape == owner.shape == first.shape
+        for lane in range(x.shape[1]):
+            for t in np.flatnonzero(owner[:, lane] >= 0):
+                k = owner[t, lane]
+                assert first[t, lane] == (not seen[k]) and (first[t, lane] or before[t, lane] == seen[k][-1])
+                begun[k] += first[t, lane]
+                seen[k].append(x[t, lane])
+    assert [list(d) for d in docs] == seen and (begun == 1).all()
+    assert not list(lm.windows_of([]))
