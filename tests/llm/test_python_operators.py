@@ -208,3 +208,20 @@ def test_windows_hold_each_document_once_and_in_order():
                 seen[k].append(x[t, lane])
     assert [list(d) for d in docs] == seen and (begun == 1).all()
     assert not list(lm.windows_of([]))
+
+
+def test_sent_words_are_whole_levels_and_do_not_change_scores(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    counts = lm.word_counts(docs.filter(~lm.held_out()))
+    every = sorted(counts.select("word", "c").collect(), key=lambda r: (-r.c, bytes(r.word)))
+    few = lm.HEAD + 200
+    scores = []
+    for sent in (lm.SENT, few):
+        monkeypatch.setattr(lm, "SENT", sent)
+        words = list(lm.vocabulary(counts).count)
+        assert words == [bytes(r.word) for r in every[: len(words)]] and len(words) <= sent
+        scores.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(docs).collect()})
+    assert lm.HEAD <= len(words) < len(every)
+    for i, row in scores[0].items():
+        assert scores[1][i] == pytest.approx(row, rel=1e-3)
