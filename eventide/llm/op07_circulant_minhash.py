@@ -2,12 +2,13 @@
 
 One permutation scatters the shingles over 2**20 places; a second one, read from the place onwards, gives all signature
 coordinates at once: coordinate k is the least value at place + k. A shingle's coordinates thus lie side by side in one
-array. Bands of six coordinates propose candidates; links count only if the full shingle sets pass.
+array. Bands of five or six coordinates propose candidates; links count only if the full shingle sets pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -20,11 +21,12 @@ from eventide.llm.common import as_bytes, small, space_words, stored
 
 SHINGLE = 5
 PERCENT = 85
-ROWS, BANDS = 6, 28  # a pair at 0.85 shares no band with probability 2e-6
+#: A pair at the wanted similarity shares no band with this probability at most.
+MISSED = 2e-6
 PLACES_LOG2 = 20
-#: Bits of the sketch by which a proposed pair is ruled out before its sets are fetched, and the most that may differ. At
-#: 0.85 about 77 +- 8.4 bits differ, so that a true link has more with probability 1e-5.
-SKETCH, DIFFERENT = 1024, 113
+#: Bits of the sketch by which a proposed pair is ruled out before its sets are fetched. At 0.85 about 77 +- 8.4 bits
+#: differ; a pair goes at 4.3 such deviations more, a true link with probability 1e-5.
+SKETCH, DEVIATIONS = 1024, 4.3
 #: Rounds that compare with one hub a bucket before what is left is compared pair by pair; more pay off where groups hold
 #: several originals.
 HUB_ROUNDS = 1
@@ -34,6 +36,18 @@ CACHED_WORDS = 300_000
 FACTS = "doc_id long, n_shingles long, fp binary, bands array<long>"
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Rows a band and the number of bands: 6 and 28 at 85 percent, 5 and 34 at 80."""
+    rows = 6 if percent >= 85 else 5
+    return rows, 1 if percent >= 100 else math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** rows))
+
+
+def most_different(percent: int) -> int:
+    """Bits of two sketches that may differ in a link."""
+    each = (1 - percent / 100) / 2
+    return int(SKETCH * each + DEVIATIONS * math.sqrt(SKETCH * each * (1 - each)))
+
+
 class WordHash(dict):
     """64-bit hashes of words, kept while they fit."""
 
@@ -73,7 +87,7 @@ def permutations(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.lib.stride_tricks.sliding_window_view(circle, coordinates)
 
 
-def signature(shingles: np.ndarray, coordinates: int = ROWS * BANDS) -> np.ndarray:
+def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     first, rows = permutations(coordinates)
     at = first[(shingles >> np.uint64(64 - PLACES_LOG2)).astype(np.int64)]
     least = np.full(coordinates, np.iinfo(np.uint32).max, np.uint32)
@@ -82,33 +96,39 @@ def signature(shingles: np.ndarray, coordinates: int = ROWS * BANDS) -> np.ndarr
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    x = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    bands = len(least) // rows
+    x = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T.astype(np.uint64):
         x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + column)
     return x.view(np.int64)
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHash()
-    for batch in batches:
-        ns, fps, bands = [], [], []
-        for text in batch.column(1):
-            s = shingle_set(text.as_py(), hashes)
-            ns.append(len(s))
-            fps.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            bands.append(band_keys(signature(s)) if len(s) else None)
-        offsets = np.cumsum([0, *(0 if b is None else BANDS for b in bands)])
-        flat = np.concatenate([np.empty(0, np.int64), *(b for b in bands if b is not None)])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(ns, pa.int64()),
-                pa.array(fps, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
-            ],
-            names=["doc_id", "n_shingles", "fp", "bands"],
-        )
+def _facts(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    rows, count = banding(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            ns, fps, bands = [], [], []
+            for text in batch.column(1):
+                s = shingle_set(text.as_py(), hashes)
+                ns.append(len(s))
+                fps.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                bands.append(band_keys(signature(s, rows * count), rows) if len(s) else None)
+            offsets = np.cumsum([0, *(0 if b is None else count for b in bands)])
+            flat = np.concatenate([np.empty(0, np.int64), *(b for b in bands if b is not None)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(ns, pa.int64()),
+                    pa.array(fps, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
+                ],
+                names=["doc_id", "n_shingles", "fp", "bands"],
+            )
+
+    return run
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -175,7 +195,7 @@ def _possible(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches of two rows with n and bits allow a link."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     differ = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= DIFFERENT)
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= most_different(percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -185,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     link at once; only one of each such class is banded. Every proposed pair of a bucket is either verified on full sets
     or already in one component, so no link between different texts is lost. component_id: least doc_id reachable;
     rows with a null doc_id join components but never name them. Other columns are ignored."""
-    facts = stored(docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(_facts, FACTS), "facts")
+    facts = stored(docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(_facts(percent), FACTS), "facts")
     classes = stored(
         facts.filter("n_shingles > 0")
         .groupBy("fp")
@@ -246,6 +266,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, in all their columns, without those that have a near-duplicate with a lower doc_id in their
-    component. Rows without a doc_id stay unless linked to one that has."""
+    component. Rows without a doc_id stay unless linked to one that has; rows that share a doc_id stay or go together."""
     gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

@@ -93,7 +93,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
 
 
-def near(rows):
+def near(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     root = {k: k for k in range(len(sets))}
 
@@ -105,7 +105,7 @@ def near(rows):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 root[find(a)] = find(b)
     groups = {}
     for k, (i, _) in enumerate(sets):

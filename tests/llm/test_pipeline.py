@@ -17,7 +17,7 @@ def test_stages_in_order(spark, sf_dir):
     kept = [i in good for i, q in labels.items() if i in start and q == 1]
     gone = [i not in good for i, q in labels.items() if i in start and q == 0]
     assert sum(kept) >= 0.97 * len(kept) and sum(gone) >= 0.9 * len(gone)
-    assert set(single) == {i for i, _, _, k in brute.near([(i, r.text) for i, r in good.items()]) if k}
+    assert set(single) == {i for i, _, _, k in brute.near([(i, r.text) for i, r in good.items()], 80) if k}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert set(clean) == {i for i, r in single.items() if not brute.contaminated(r.text, items)[-1]}
     assert set(safe) == set(clean)

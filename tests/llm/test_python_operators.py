@@ -50,6 +50,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert mh.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_at_a_lower_similarity(spark):
+    rows = near_rows() + [(1000 + 10 * i + j, edited(text(70 + i, 300), *range(j, 300, 43 - 2 * j)) if j else text(70 + i, 300)) for i in range(8) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in mh.near_duplicates(docs, 70).collect()), key=repr)
+    assert got == sorted((x[:3] for x in brute.near(rows, 70)), key=repr)
+    assert mh.banding(85) == (6, 28) and mh.banding(80) == (5, 34)
+    assert mh.most_different(85) == 113 and mh.most_different(80) == 143
+
+
 def test_circulant_signature_estimates_jaccard():
     a = np.unique(np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
     x, y = a[:2600], a[400:]
