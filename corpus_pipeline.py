@@ -10,13 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm.common import shared_dir, table
+from eventide.llm.common import shared_dir, stored, table
 from eventide.llm.op03_mixing import plan_mix, take, with_size
 from eventide.llm.op05_secret_links import redacted
 from eventide.llm.op06_importance_resampling import keep_good
 from eventide.llm.op07_circulant_minhash import first_of_each
 from eventide.llm.op09_decontaminate import clean
 
+#: Documents are near-duplicates from this share of their united shingles on, in percent.
+NEAR_PERCENT = 80
+
 #: The pipeline's result depends on learnt models and on masks from position arrays, which SQL can't express.
 ORACLE_SQL = None
 
@@ -27,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays."""
-    return first_of_each(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the least doc_id stays."""
+    return first_of_each(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes at least once, or that have no words, with size, source_size, target, taken."""
     clash = [c for c in docs.columns if c in ("size", "hash", "source_size", "target", "taken")]
     sized = docs.drop(*clash).select("*", *with_size(docs))
-    plan = plan_mix(sized.select("source", "hash", "size"))
+    plan = plan_mix(stored(sized.select("source", "hash", "size"), "sizes"))
     return take(sized, plan).filter("taken > 0 or size = 0").drop("hash")
 
 
