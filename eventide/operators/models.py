@@ -46,3 +46,47 @@ def rank_tails(df: DataFrame, keys: list[str], s: str, coverage: float, ties: li
     d = d.withColumn("_top", F.row_number().over(w.orderBy(F.desc(s), *ties))).withColumn("_low", F.row_number().over(w.orderBy(F.asc(s), *ties))).withColumn("_n", n)
     side = F.when(F.col("_top") <= F.col("_n"), "LONG").when(F.col("_low") <= F.col("_n"), "SHORT")
     return d.withColumn("side", side).filter("side is not null").drop("_top", "_low", "_n")
+
+
+def _assembled(df: DataFrame, xs: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=xs, outputCol="_x").transform(df)
+
+
+def logistic(train: DataFrame, test: DataFrame, xs: list[str], label: Column, penalty: float = 0.01) -> DataFrame:
+    """test with `score`, the probability of the label; rows of train whose label is unknown don't count."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _assembled(train.withColumn("_l", label.cast("double")).filter("_l is not null"), xs)
+    model = LogisticRegression(featuresCol="_x", labelCol="_l", regParam=penalty, maxIter=80, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(rows)
+    return model.transform(_assembled(test, xs)).withColumn("score", vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_c")
+
+
+def stumps(train: DataFrame, test: DataFrame, xs: list[str], y: str, rounds: int = 40, step: float = 0.1) -> DataFrame:
+    """test with `score` of boosted stumps fitted on the rows of train with a known y."""
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = _assembled(train.filter(F.col(y).isNotNull()), xs)
+    model = GBTRegressor(featuresCol="_x", labelCol=y, maxDepth=1, maxIter=rounds, stepSize=step, seed=7, predictionCol="score").fit(rows)
+    return model.transform(_assembled(test, xs)).drop("_x")
+
+
+def by_coverage(scored: DataFrame, s: str, y: str, shares: tuple, ties: list[str]) -> DataFrame:
+    """Mean of y times the score's sign over the given shares of rows with the largest |score|."""
+    d = scored.withColumn("_k", F.percent_rank().over(Window.orderBy(F.abs(s).desc(), *ties)))
+    signed = F.signum(s) * F.col(y)
+    inside = d.select("_k", signed.alias("_v"), F.explode(F.array(*map(F.lit, shares))).alias("coverage")).filter("_k <= coverage")
+    return inside.groupBy("coverage").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.avg((F.col("_v") > 0).cast("double")).alias("win_rate"))
+
+
+def ridge_path(train: DataFrame, test: DataFrame, xs: list[str], y: str, penalties: tuple, ties: list[str]) -> DataFrame:
+    """Error and decile spread of each penalty on rows of test. The penalties are few; all are scored in one job."""
+    d = test.filter(F.col(y).isNotNull())
+    scores = F.array(*[F.struct(F.lit(a).alias("penalty"), score(xs, ridge(train, xs, y, a)).alias("s")) for a in penalties])
+    d = d.select(*ties, F.col(y).alias("_y"), F.explode(scores).alias("_s")).select(*ties, "_y", "_s.penalty", "_s.s")
+    cut = d.groupBy("penalty").agg(F.percentile("s", F.array(F.lit(0.1), F.lit(0.9))).alias("_q"))
+    j = d.join(F.broadcast(cut), "penalty")
+    top, low = F.avg(F.when(F.col("s") >= F.col("_q")[1], F.col("_y"))), F.avg(F.when(F.col("s") <= F.col("_q")[0], F.col("_y")))
+    return j.groupBy("penalty").agg(F.avg(F.pow(F.col("s") - F.col("_y"), 2)).alias("error"), (top - low).alias("spread"), F.count("*").alias("n"))

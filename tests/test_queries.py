@@ -14,6 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOSEN = [
     "s1_bars_from_ticks", "a1_daily_facts", "w1_bar_features", "c15_cross_section", "e1_evaluate_events", "e3_cooldown", "o2_forward_returns", "o3_barriers",
     "j8_news_window", "t2_bootstrap", "g2_loo_market", "q1_by_date", "x_union_except", "e45_news_state",
+    "e22_failed_opening_break", "e27_breakout_window", "e28_rank_states", "e30_shock_resolution", "e32_opening_dislocation", "t17_feature_stability", "t19_split_verdict", "t21_directional_gate",
 ]
 
 
