@@ -136,7 +136,10 @@ def _(spark, d):
     return rules.stability(rules.day_sums(p, bank, _PANEL_F, "y"), 40)
 
 
-_MINUTES = F.element_at(F.create_map(*[F.lit(x) for x in ("1b", 60.0, "3b", 180.0, "6b", 360.0)]), F.col("horizon"))
+def _minutes():
+    return F.element_at(F.create_map(*[F.lit(x) for x in ("1b", 60.0, "3b", 180.0, "6b", 360.0)]), F.col("horizon"))
+
+
 _FLOOR_SQL = "0.0012 * sqrt(case horizon when '1b' then 60 when '3b' then 180 else 360 end / 15.0)"
 
 
@@ -149,7 +152,7 @@ select *, case when not coalesce(n_d2 >= 10 and sign(mean_d2) = sign(mean_d1) an
 def _(spark, d):
     days = st.chronological_split(session_bars(spark, d).select("session_date").distinct(), "session_date", 5)
     r = forwards(spark, d).filter("forward_return is not null").join(days, "session_date")
-    return rules.split_verdict(r.groupBy("horizon", "split").agg(F.count("*").alias("n"), F.avg("forward_return").alias("mean")), ["horizon"], rules.floor_of(_MINUTES), 10)
+    return rules.split_verdict(r.groupBy("horizon", "split").agg(F.count("*").alias("n"), F.avg("forward_return").alias("mean")), ["horizon"], rules.floor_of(_minutes()), 10)
 
 
 @register("t21_directional_gate", f"""with {_SAMPLE}, k as (select *, row_number() over (partition by horizon order by m desc, session_date) as k from dm),
@@ -158,7 +161,7 @@ g as (select horizon, n, case when n < 30 then 'sample' when mean <= 0 then 'sig
 select *, case when reason is null then 'PASS' else 'KILL' end as decision from g""")
 def _(spark, d):
     r = forwards(spark, d)
-    out = rules.directional_gate(rules.rule_sample(r, ["horizon"]), st.day_agreement(r, ["horizon"]), ["horizon"], rules.floor_of(_MINUTES), 30, 0.5, 0.5)
+    out = rules.directional_gate(rules.rule_sample(r, ["horizon"]), st.day_agreement(r, ["horizon"]), ["horizon"], rules.floor_of(_minutes()), 30, 0.5, 0.5)
     return out.select("horizon", "n", "reason", "decision")
 
 
