@@ -29,8 +29,8 @@ HEAD, CLASS_SIZE, SENT = 1024, 32, 60_000
 TAIL_CLASSES = 32
 HIDDEN = 16
 WINDOW, LANES = 48, 256
-#: The network sees one training document in TRAIN_SHARE, in ROUNDS rounds of different documents; the counts see all.
-TRAIN_SHARE, ROUNDS = 6, 3
+#: The network sees every training document once, in ROUNDS rounds of different documents.
+ROUNDS = 3
 #: More shards than this don't train in a round of their own.
 MAX_SHARDS = 64
 RATE, CLIP = 0.02, 1.0
@@ -172,7 +172,7 @@ def outputs(p: dict, s: np.ndarray, y: np.ndarray, classes: int, grads: dict | N
     return out, ds
 
 
-def train(p: dict, docs: list[np.ndarray], classes: int, lanes: int = 32) -> dict:
+def train(p: dict, docs: list[np.ndarray], classes: int, lanes: int = 64) -> dict:
     """One pass of truncated backpropagation: gradients end at a window's start, the state goes on."""
     p = {k: v.copy() for k, v in p.items()}
     squares = {k: np.full_like(v, 1e-6) for k, v in p.items()}
@@ -186,20 +186,30 @@ def train(p: dict, docs: list[np.ndarray], classes: int, lanes: int = 32) -> dic
         back = np.zeros_like(states)
         back[live] = ds
         dg, dh = np.zeros((*xs.shape, 3 * n), np.float32), np.zeros((width, n), np.float32)
+        h0, z, r, rh, c = (np.stack(part) for part in zip(*trace))
+        # what doesn't depend on later steps, for all steps at once
+        by_c, by_z, by_r = z * (1 - c * c), (c - h0) * z * (1 - z), h0 * r * (1 - r)
+        keep, to_rh, to_zr = 1 - z, np.ascontiguousarray(p["h"][:, 2 * n :].T), np.ascontiguousarray(p["h"][:, : 2 * n].T)
         for t in range(len(xs) - 1, -1, -1):
-            h0, z, r, rh, c = trace[t]
-            dh = dh + back[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ p["h"][:, 2 * n :].T
-            dzr = np.concatenate([dh * (c - h0) * z * (1 - z), drh * h0 * r * (1 - r)], axis=1)
-            grads["h"][:, 2 * n :] += rh.T @ dc
-            grads["h"][:, : 2 * n] += h0.T @ dzr
-            dg[t] = np.concatenate([dzr, dc], axis=1)
-            dh = dh * (1 - z) + drh * r + dzr @ p["h"][:, : 2 * n].T
+            dh += back[t]
+            own = dg[t]
+            np.multiply(dh, by_c[t], out=own[:, 2 * n :])
+            drh = own[:, 2 * n :] @ to_rh
+            np.multiply(dh, by_z[t], out=own[:, :n])
+            np.multiply(drh, by_r[t], out=own[:, n : 2 * n])
+            dh = dh * keep[t] + drh * r[t] + own[:, : 2 * n] @ to_zr
             dh[fs[t]] = 0
-        grads["g"] = dg.sum(axis=(0, 1))
+        by_row = dg.reshape(-1, 3 * n)
+        grads["h"][:, 2 * n :] = rh.reshape(-1, n).T @ by_row[:, 2 * n :]
+        grads["h"][:, : 2 * n] = h0.reshape(-1, n).T @ by_row[:, : 2 * n]
+        grads["g"] = by_row.sum(axis=0)
         inner = live & ~fs
-        np.add.at(grads["x"], before[inner], dg[inner])
+        fed = before[inner]
+        if len(fed):
+            order = np.argsort(fed, kind="stable")
+            fed = fed[order]
+            at = np.flatnonzero(np.concatenate([[True], fed[1:] != fed[:-1]]))
+            grads["x"][fed[at]] = np.add.reduceat(dg[inner][order], at, axis=0)
         count = max(1, int(live.sum()))
         for k in p:
             g = grads[k] / np.float32(np.sqrt(count))
@@ -319,7 +329,7 @@ def fitted(train_docs: DataFrame, v: Vocabulary) -> dict:
                 values = flat(now).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int64()), pa.array(values * total), pa.array(np.full(len(values), float(total)))], names=["i", "v", "n"])
 
-        bucket = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(TRAIN_SHARE * ROUNDS))
+        bucket = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS))
         shard = train_docs.filter(bucket == r).select(as_bytes("text").alias("text")).coalesce(MAX_SHARDS)
         summed = shard.mapInArrow(learn, "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
         sent.unpersist()

@@ -172,6 +172,43 @@ def test_language_model_counts_and_beats_its_base(spark):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def test_every_training_document_is_trained_on_once(spark, monkeypatch, tmp_path):
+    folder = str(tmp_path)
+
+    def noted(p, docs, classes):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.writelines(f"{int(d[0])}\n" for d in docs)
+        return p
+
+    monkeypatch.setattr(lm, "train", noted)
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(200)], "doc_id long, text string").repartition(3)
+    train_docs = docs.filter(~lm.held_out())
+    v = lm.vocabulary(lm.word_counts(train_docs))
+    lm.fitted(train_docs, v)
+    seen = sorted(int(x) for f in tmp_path.iterdir() for x in f.read_text().split())
+    assert seen == sorted(v.head[f"w{r.doc_id}".encode()] for r in train_docs.collect())
+
+
+def test_backpropagation_through_a_window_is_right(monkeypatch):
+    counts = [(f"w{i}".encode(), 50 - i) for i in range(40)]
+    v, rng = lm.Vocabulary(counts, 2000, 60, {0: (30, 10)}), np.random.default_rng(6)
+    start = {k: x.astype(np.float64) for k, x in lm.start_weights(v).items()}
+    docs = [rng.integers(0, 40, n).astype(np.int32) for n in (9, 4, 7, 1)]
+    monkeypatch.setattr(lm, "RATE", 1e-6)
+    monkeypatch.setattr(lm, "CLIP", 1e9)
+    moved = lm.train(start, docs, v.classes, 2)
+    loss = lambda p: -lm.likelihoods(p, docs, v.classes).sum() * math.log(10)
+    for k, at in (("x", (int(docs[0][0]), 3)), ("h", (2, 5)), ("h", (1, 40)), ("g", (20,))):
+        up, down = ({**start, k: start[k].copy()} for _ in range(2))
+        up[k][at] += 1e-3
+        down[k][at] -= 1e-3
+        slope = (loss(up) - loss(down)) / 2e-3 / math.sqrt(sum(map(len, docs)))
+        # one step of RATE * g / sqrt(1e-6 + g * g)
+        assert (start[k][at] - moved[k][at]) / 1e-6 == pytest.approx(slope / math.sqrt(1e-6 + slope * slope), abs=0.05)
+
+
 def test_language_model_is_a_distribution_and_gradients_are_right():
     counts = [(f"w{i}".encode(), 50 - i) for i in range(40)]
     v = lm.Vocabulary(counts, 2000, 60, {0: (30, 10), 5: (9, 3)})
