@@ -33,7 +33,7 @@ HUB_ROUNDS = 1
 #: Words whose hashes a task keeps.
 CACHED_WORDS = 300_000
 
-FACTS = "doc_id long, n_shingles long, fp binary, bands array<long>"
+FACTS = "row long, doc_id long, n_shingles long, fp binary, bands array<long>"
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -111,7 +111,7 @@ def _facts(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         hashes = WordHash()
         for batch in batches:
             ns, fps, bands = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), hashes)
                 ns.append(len(s))
                 fps.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -121,11 +121,12 @@ def _facts(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(ns, pa.int64()),
                     pa.array(fps, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "fp", "bands"],
+                names=["row", "doc_id", "n_shingles", "fp", "bands"],
             )
 
     return run
@@ -198,14 +199,11 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= most_different(percent))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row a document row.
-
-    Words are split at white space, A-Z lower-cased. Null and empty texts have no shingles and stand alone. Equal sets
-    link at once; only one of each such class is banded. Every proposed pair of a bucket is either verified on full sets
-    or already in one component, so no link between different texts is lost. component_id: least doc_id reachable;
-    rows with a null doc_id join components but never name them. Other columns are ignored."""
-    facts = stored(docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(_facts(percent), FACTS), "facts")
+def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs(row, doc_id, text): the stored facts (row, doc_id, n_shingles, fp, bands), and groups(fp, component_id, root)
+    of the sets that several rows have or that are linked to others. root names a component; component_id is its least
+    doc_id, null if it has none."""
+    facts = stored(docs.select("row", F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(_facts(percent), FACTS), "facts")
     classes = stored(
         facts.filter("n_shingles > 0")
         .groupBy("fp")
@@ -258,14 +256,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     linked = classes.select("fp", "rep", "copies").join(labels, F.col("fp") == F.col("node"), "left")
     linked = linked.withColumn("root", F.coalesce("root", "fp"))
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("_classes"))
-    groups = linked.filter("copies > 1 or node is not null").join(least, "root").select("fp", "component_id")
-    out = facts.select("doc_id", "n_shingles", "fp").join(groups.hint("merge"), "fp", "left")
+    groups = linked.filter("copies > 1 or node is not null").join(least, "root").select("fp", "component_id", "root")
+    return facts, groups
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row a document row.
+
+    Words are split at white space, A-Z lower-cased. Null and empty texts have no shingles and stand alone. Equal sets
+    link at once; only one of each such class is banded. Every proposed pair of a bucket is either verified on full sets
+    or already in one component, so no link between different texts is lost. component_id: least doc_id reachable;
+    rows with a null doc_id join components but never name them. Other columns are ignored."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    facts, groups = grouped(rows, percent)
+    out = facts.select("doc_id", "n_shingles", "fp").join(groups.drop("root").hint("merge"), "fp", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, in all their columns, without those that have a near-duplicate with a lower doc_id in their
-    component. Rows without a doc_id stay unless linked to one that has; rows that share a doc_id stay or go together."""
-    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents, in all their columns, one row of each component: that with the least doc_id, nulls last, then the
+    least fingerprint. Rows are told apart by where they are stored, so null and repeated doc_ids do no harm; texts
+    without shingles all stay."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    facts, groups = grouped(rows.select(F.col("_row").alias("row"), "doc_id", "text"), percent)
+    members = stored(facts.select("row", "doc_id", "fp").join(groups.select("fp", "root").hint("merge"), "fp"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "row")
+    stays = members.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    gone = stored(members.select("row").join(stays, "row", "left_anti").select(F.col("row").alias("_gone")), "gone")
+    return rows.join(small(gone), F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -59,6 +59,22 @@ def test_near_duplicates_at_a_lower_similarity(spark):
     assert mh.most_different(85) == 113 and mh.most_different(80) == 143
 
 
+def test_one_row_of_each_component_stays(spark):
+    base, other, third = text(1, 200), text(2, 200), text(3, 200)
+    rows = [
+        (1, base, "a"), (None, edited(base, 5), "b"), (None, other, "c"),  # one of two null-id rows is linked
+        (None, third, "d"), (None, third, "e"), (None, edited(third, 9), "f"),  # a group of null ids
+        (4, text(4, 200), "g"), (4, text(4, 200), "h"), (4, text(5, 200), "i"),  # a repeated row; its id on a text of its own
+        (6, base, "j"), (6, text(6, 200), "k"), (7, "", "l"), (None, None, "m"), (None, "", "n"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(4)
+    left = mh.first_of_each(docs)
+    assert left.columns == docs.columns
+    marks = {r.mark for r in left.collect()}
+    assert marks - set("defgh") == set("aciklmn") and len(marks & set("def")) == 1 and len(marks & set("gh")) == 1
+    assert left.count() == len(marks) == 9 and mh.first_of_each(docs.limit(0)).count() == 0
+
+
 def test_circulant_signature_estimates_jaccard():
     a = np.unique(np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
     x, y = a[:2600], a[400:]
