@@ -3,7 +3,7 @@
 Every text is scanned once for parts: access identifiers, assigned secrets, hex strings, and weak candidates that alone
 mean little (upper-case key names, mixed-case blobs, endpoints). Parts are cut into stretches of `scope` characters; an
 interval join with what each neighbouring stretch holds tells whether complementary parts stand within `scope`
-characters. Weak candidates are reported only then. Built-in functions only.
+characters, from the end of one to the start of the other. Weak candidates are reported only then. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -50,18 +50,22 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """parts(row, base, weak) -> row, spans: the weak parts that have a complementary part within `scope` characters.
 
-    A part lies in stretch start / scope. Everything in its own stretch is near; of the neighbours, the last start of the
-    stretch before and the first of the one after decide. Rows are thus as many as parts and stretches, never pairs."""
-    one = parts.select("row", F.explode(F.concat("base", "weak")).alias("s"), F.lit(scope).alias("_w"))
+    Distance is the gap between the intervals, 0 where they overlap. A part is cut at multiples of `scope`, with a piece
+    for each stretch from that of its start to that of its end. Everything in a piece's own stretch is near; of the
+    neighbours, the last end in the stretch before and the first start in the one after decide. Rows are thus as many as
+    parts and stretches, never pairs."""
+    one = parts.select("row", F.explode(F.concat("base", "weak")).alias("s"), F.lit(scope).cast("long").alias("_w"))
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
-    one = one.select("row", "s", role[F.col("s.kind")].alias("role"), F.floor(F.col("s.start") / F.col("_w")).cast("long").alias("at"))
-    held = one.groupBy("row", "at", "role").agg(F.min("s.start").alias("lo"), F.max("s.start").alias("hi"))
+    stretch = lambda c: F.floor(F.col(c) / F.col("_w")).cast("long")
+    one = one.select("row", "s", "_w", role[F.col("s.kind")].alias("role"), F.explode(F.sequence(stretch("s.start"), stretch("s.end"))).alias("at"))
+    one = one.withColumn("lo", F.greatest("s.start", F.col("at") * F.col("_w"))).withColumn("hi", F.least("s.end", (F.col("at") + 1) * F.col("_w")))
+    held = one.groupBy("row", "at", "role").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     near = held.select("row", "role", "lo", "hi", F.col("at").alias("own"), F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at"))
     needs = F.create_map(*[x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    weak = one.filter(F.col("s.kind").isin(*NEEDS)).select("row", "at", "s", F.explode(needs[F.col("s.kind")]).alias("role"))
+    weak = one.filter(F.col("s.kind").isin(*NEEDS)).select("row", "at", "s", "lo", "hi", F.explode(needs[F.col("s.kind")]).alias("role"))
     both = weak.alias("w").join(near.alias("n"), ["row", "at", "role"])
-    far = F.least(F.abs(F.col("n.lo") - F.col("w.s.start")), F.abs(F.col("n.hi") - F.col("w.s.start")))
-    close = both.filter((F.col("n.own") == F.col("at")) | (far <= scope))
+    gap = F.when(F.col("n.own") > F.col("at"), F.col("n.lo") - F.col("w.hi")).otherwise(F.col("w.lo") - F.col("n.hi"))
+    close = both.filter((F.col("n.own") == F.col("at")) | (gap <= scope))
     return close.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.col("w.s.start").alias("start"), F.col("w.s.kind").alias("kind"), F.col("w.s.end").alias("end")))).alias("spans"))
 
 
