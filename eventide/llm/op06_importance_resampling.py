@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, one of target texts (labelled good) and one of all raw texts, give every
-document the logarithm of its likelihood ratio. Gumbel noise is added and the k largest are kept: sampling without
-replacement in proportion to the ratio. The k-th largest is found by histograms of the keys, not by sorting.
+document the logarithm of its likelihood ratio. Its mean over n-grams is taken to a length of LENGTH n-grams, Gumbel noise
+is added and the k largest are kept: sampling without replacement in proportion to the ratio at equal length, so that
+neither long nor short texts are favoured. The k-th largest is found by histograms of the keys, not by sorting.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BUCKETS = WORDS + PAIRS + ENDS
 TARGET_ROWS = 20_000
 #: Mean log ratio of an n-gram from which a document counts as target-like; k is the number of such documents.
 LIKE_TARGET = -0.2
+#: Keys are log ratios of so many n-grams at the document's mean: noise decides within a few hundredths of LIKE_TARGET.
+LENGTH = 50
 #: Kept keys are compared with this resolution.
 KEY_SCALE, KEY_MIDDLE = 1 << 20, 1 << 59
 
@@ -101,11 +104,11 @@ def with_decision(weighed: DataFrame) -> DataFrame:
     """Adds _key and _kept to stored rows with doc_id, _n, _w: the k largest keys of all rows, k being the number of
     target-like ones. Texts without n-grams have weight 0 and count as target-like. Equal keys stay or go together."""
     unit = (md5_unit("doc_id") + 0.5) / F.lit(float(1 << 60))
-    noisy = weighed.withColumn("_key", F.round(F.col("_w") - F.log(-F.log(unit)), 6))
+    mean = F.coalesce(F.try_divide("_w", F.col("_n")), F.lit(0.0))
+    noisy = weighed.withColumn("_key", F.round(LENGTH * mean - F.log(-F.log(unit)), 6))
     place = F.lit(KEY_MIDDLE) - (F.greatest(F.lit(-1e9), F.least(F.lit(1e9), "_key")) * KEY_SCALE).cast("long")
     noisy = noisy.withColumn("_place", place)
-    like = F.coalesce(F.try_divide("_w", F.col("_n")), F.lit(0.0)) >= LIKE_TARGET
-    k = weighed.agg(F.count(F.when(like, 1)).cast("double").alias("budget")).select(
+    k = weighed.agg(F.count(F.when(mean >= LIKE_TARGET, 1)).cast("double").alias("budget")).select(
         F.lit(0).alias("g"), F.lit(0).alias("budget_no"), "budget"
     )
     keys = noisy.select(F.lit(0).alias("g"), F.col("_place").alias("hash"), F.lit(1).alias("weight"))

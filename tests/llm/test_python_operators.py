@@ -154,6 +154,14 @@ def test_resampling_keeps_good_and_drops_bad(spark):
     assert all(r.kept and r.log_weight == 0 for r in dsir.resample(docs, labels.limit(0)).collect())
 
 
+def test_long_clean_texts_stay_beside_short_junk(spark):
+    rows = [(i, 20_000, -2_000.0) for i in range(50)]  # mean -0.1
+    rows += [(100 + i, 10, -30.0) for i in range(200)] + [(400 + i, 10, 1.0) for i in range(50)] + [(500, 0, 0.0), (501, 0, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, _n long, _w double")
+    kept = {r.doc_id for r in dsir.with_decision(docs).filter("_kept").collect()}
+    assert kept == {i for i, n, w in rows if w >= -0.2 * n}
+
+
 def test_toxicity_on_texts_outside_of_the_labels(spark):
     docs, labels = labelled(spark)
     rows = tox.classify(docs, labels).collect()
