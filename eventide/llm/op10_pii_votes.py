@@ -23,9 +23,11 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Candidates beyond the base: local phone numbers, social security numbers, handles, account numbers.
-LOCAL = r"(?<![0-9+(\x20.-])[(]?[0-9]{3}[)]?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
+#: A local number begins where no digit, plus sign, or digit and separator stand before; after another one and a space; or
+#: at a bracket.
+LOCAL = r"(?:(?<![0-9+])[(]|(?<![0-9+]|[0-9][\x20.-])|(?<=[0-9]{3}[\x20.-][0-9]{4}\x20))[0-9]{3}[)]?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-HANDLE = r"(?<![A-Za-z0-9._%+-])@[A-Za-z][A-Za-z0-9_]{2,30}"
+HANDLE = r"(?<![A-Za-z0-9._%+-])@[A-Za-z][A-Za-z0-9_]{2,}+"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 MORE = ("localphone", "social", "handle", "account")
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"

@@ -4,7 +4,7 @@ import pytest
 
 from eventide.llm.op05_secret_links import redacted, secrets
 from eventide.llm.op08_license_diagonals import scan
-from eventide.llm.op10_pii_votes import personal_data, reliabilities, span_classifier
+from eventide.llm.op10_pii_votes import personal_data, reliabilities, scanned, span_classifier
 from tests.llm import brute
 
 ODD = [
@@ -90,6 +90,23 @@ def test_personal_data(docs):
     same(docs, got, ("n_email", "n_ip", "n_card", "n_phone", "base_sha256"), brute.personal)
 
 
+def test_local_numbers_and_handles_in_mid_sentence(spark):
+    long = "@a" + "b_1" * 400
+    rows = {
+        "call 212-555-1234 now": ["212-555-1234"], "tel (212) 555-1234.": ["(212) 555-1234"], "212 555 1234": ["212 555 1234"],
+        "ask 212.555.1234, or 415-555-9999 415-555-9998 415-555-9997": ["212.555.1234", "415-555-9999", "415-555-9998", "415-555-9997"],
+        "in 3 (212) 555-1234": ["(212) 555-1234"], "x ((212) 555-1234)": ["(212) 555-1234"], "end. 212-555-1234": ["212-555-1234"],
+        "no 4-212-555-1234 and +212-555-1234 and 212-555-12345": [], "+1 (386) 555-3733": [],
+        f"to {long}, @ab": [long], "hi @some_one": ["@some_one"],
+    }
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.text: [r.text[s.start : s.end] for s in sorted(r["_more"], key=lambda s: s.start)] for r in scanned(docs).collect()}
+    assert got == rows
+    many = spark.createDataFrame([(i, f"please call 212-555-{1000 + i} today") for i in range(50)] + [(99, "@x" + "y" * 40)], "doc_id long, text string")
+    said = {r.doc_id: r.spans for r in personal_data(many).collect()}
+    assert said[0] == "localphone:12:24" and said[99] in ("", "handle:0:42")
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     patterns = {"1111": 80.0, "1110": 20.0, "2022": 70.0, "2020": 30.0, "2122": 5.0}
     prior, chances = reliabilities(patterns)
