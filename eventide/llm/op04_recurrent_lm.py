@@ -3,67 +3,96 @@
 Words are counted over all training texts. Frequent words form the head: each has a class by frequency, and the network
 predicts class, then word within the class (class-factored softmax). All other words share tail classes by their
 spelling; within a tail class a word has its add-one share of the class's training tokens, unknown words counting as one
-more type, so that the model is a proper distribution over texts. A GRU in numpy is trained by truncated backpropagation
-on shards, whose weights are averaged by Spark after each round. In scoring, texts run side by side in lanes and the
-state is carried from window to window, so the likelihood is that of the whole document.
+more type, so that the model is a proper distribution over texts. Texts are turned into symbol numbers once; a GRU in
+numpy is trained on those of all training documents by truncated backpropagation, in shards whose weights Spark averages
+after each round. In scoring, texts run side by side in lanes and the state is carried from window to window, so the
+likelihood is that of the whole document.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import as_bytes, space_words, stored
+from eventide.llm.common import md5_unit, stored
 
-END = b" end"  # no word has a space
+END = " end"  # no word has a space
 HELD_OUT, MODULUS = 2, 7
-#: Words that the network knows one by one, in classes of CLASS_SIZE; and all words whose counts are sent to tasks.
-HEAD, CLASS_SIZE, SENT = 1024, 32, 60_000
+#: Words that the network knows one by one, in classes of CLASS_SIZE; and words whose counts are sent to tasks, which
+#: saves a join but changes no result.
+HEAD, CLASS_SIZE, SENT = 1024, 32, 200_000
 TAIL_CLASSES = 32
 HIDDEN = 16
-WINDOW, LANES = 48, 256
+#: Steps of a window, and lanes side by side in training and in scoring.
+WINDOW, TRAIN_LANES, LANES = 48, 128, 512
 #: The network sees every training document once, in ROUNDS rounds of different documents.
 ROUNDS = 3
-#: More shards than this don't train in a round of their own.
-MAX_SHARDS = 64
-RATE, CLIP = 0.02, 1.0
-#: A task hands on its counts when so many different words have come together, and scores at most so many tokens at once.
-COUNTED, CHUNK = 400_000, 2_000_000
-
-
-def tail_class(word: bytes) -> int:
-    """Spelling class of a word outside the head: its last byte with what precedes it, as a hash."""
-    return crc32(bytes([any(b > 127 for b in word)]) + word[-2:]) % TAIL_CLASSES
+#: Tokens of a shard. Corpora of more than MAX_SHARDS such shards have MAX_SHARDS larger ones, which are streamed.
+SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4096
+RATE, CLIP = 0.03, 10.0
+#: A task counts or scores so many tokens at once.
+CHUNK = 2_000_000
+#: Weights are averaged in so many parts.
+PARTS = 64
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words `[^\\x20\\x09-\\x0D]+` of the texts in lower case (A-Z), and how many each text has; null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = pc.greater(pc.binary_length(words), 0)  # spaces at the ends give empty words
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), np.diff(before[bounds])
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """Spelling class of each word (none empty): its last two bytes and whether any byte is over 127, as a hash."""
+    n = len(words)
+    if not n:
+        return np.empty(0, np.int64)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[: ends[-1]]
+    high = np.concatenate([[0], np.cumsum(data > 127, dtype=np.int64)])
+    last, long = data[ends[1:] - 1].astype(np.int64), np.diff(ends) > 1
+    last2 = np.where(long, data[np.maximum(ends[1:] - 2, 0)], 0).astype(np.int64)
+    code = (high[ends[1:]] > high[ends[:-1]]) * 65536 + last2 * 256 + last
+    return (code * 2654435761 >> 15) % TAIL_CLASSES
 
 
 class Vocabulary:
-    """Counts of the SENT most frequent words, classes, and totals of the tail classes."""
+    """The sent words in order of frequency with their counts, classes of the first HEAD, and totals of the tail classes."""
 
-    def __init__(self, counts: list[tuple[bytes, int]], total: int, types: int, tails: dict[int, tuple[int, int]]):
+    def __init__(self, words: list[str], counts: list[int], total: int, types: int, tails: dict[int, tuple[int, int]]):
         self.total, self.types = total, types
-        self.count = dict(counts)
-        self.head = {w: i for i, (w, _) in enumerate(counts[:HEAD])}
-        self.classes = -(-len(self.head) // CLASS_SIZE)
+        self.words, self.count = pa.array(words, pa.string()), np.array(counts, np.float64)
+        self.head = min(HEAD, len(words))
+        self.classes = -(-self.head // CLASS_SIZE)
         self.outputs = self.classes + TAIL_CLASSES
         tail = np.array([tails.get(i, (0, 0)) for i in range(TAIL_CLASSES)], float)
         self.tail_log = np.log10(tail[:, 0] + tail[:, 1] + 1)
-        head_counts = np.array([c for _, c in counts[:HEAD]] or [1.0], float)
-        by_class = [head_counts[i : i + CLASS_SIZE].sum() for i in range(0, len(self.head), CLASS_SIZE)]
+        head_counts = self.count[: self.head] if self.head else np.ones(1)
+        by_class = [head_counts[i : i + CLASS_SIZE].sum() for i in range(0, self.head, CLASS_SIZE)]
         self.class_prior = np.log(np.array([*by_class, *tail[:, 0]]) + 1.0)
         self.word_prior = np.full((max(self.classes, 1), CLASS_SIZE), -30.0)
-        self.word_prior.ravel()[: len(self.head)] = np.log(head_counts[: len(self.head)])
+        self.word_prior.ravel()[: self.head] = np.log(head_counts[: self.head])
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places of the words among the sent ones, -1 for others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
+    def symbols(self, places: np.ndarray, words: pa.Array) -> np.ndarray:
         """Head words by number, all others HEAD + class."""
-        get = self.head.get
-        return np.array([i if (i := get(w)) is not None else HEAD + tail_class(w) for w in words], np.int32)
+        out = places.copy()
+        other = (places < 0) | (places >= self.head)
+        out[other] = HEAD + tail_classes(words.filter(pa.array(other)))
+        return out.astype(np.int16)
 
 
 def start_weights(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
@@ -74,16 +103,12 @@ def start_weights(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
         "h": normal(HIDDEN, 3 * HIDDEN, s=0.25),
         "g": np.zeros(3 * HIDDEN, np.float32),
         "c": normal(HIDDEN, v.outputs, s=0.05),
-        "d": v.class_prior.astype(np.float32),
+        "d": (v.class_prior - v.class_prior.max()).astype(np.float32),
         "w": normal(max(v.classes, 1), HIDDEN, CLASS_SIZE, s=0.05),
-        "b": v.word_prior.astype(np.float32),
+        "b": (v.word_prior - v.word_prior.max(axis=1, keepdims=True)).astype(np.float32),
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def windows_of(docs: list[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Deals whole documents to lanes, the longest first, each to the emptiest lane, and hands the lanes on window by
     window: (symbols one step earlier, symbols, document, first) as time x lane arrays; document -1 fills up. The longest
@@ -98,126 +123,164 @@ def windows_of(docs: list[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.
     own.sort(key=lambda ks: -sum(len(docs[k]) for k in ks))
     symbols = [np.concatenate([docs[k] for k in ks]) for ks in own]
     owners = [np.repeat(np.array(ks, np.int32), [len(docs[k]) for k in ks]) for ks in own]
-    last, open_lanes = np.zeros(len(own), np.int32), len(own)
+    last, open_lanes = np.zeros(len(own), np.int64), len(own)
+    before_owner = np.full(len(own), -1, np.int32)
     for a in range(0, len(symbols[0]), WINDOW):
         while len(symbols[open_lanes - 1]) <= a:
             open_lanes -= 1
         steps = min(WINDOW, len(symbols[0]) - a)
-        x, doc = np.zeros((steps, open_lanes), np.int32), np.full((steps + 1, open_lanes), -1, np.int32)
+        x, doc = np.zeros((open_lanes, steps), np.int64), np.full((open_lanes, steps), -1, np.int32)
         for i in range(open_lanes):
             part = symbols[i][a : a + steps]
-            x[: len(part), i] = part
-            doc[1 : len(part) + 1, i] = owners[i][a : a + steps]
-            if a:
-                doc[0, i] = owners[i][a - 1]
+            x[i, : len(part)] = part
+            doc[i, : len(part)] = owners[i][a : a + steps]
+        x, doc = np.ascontiguousarray(x.T), np.ascontiguousarray(doc.T)
+        first = np.vstack([doc[:1] != before_owner[:open_lanes], doc[1:] != doc[:-1]])
         before = np.vstack([last[:open_lanes], x[:-1]])
-        last = x[-1]
-        yield before, x, doc[1:], doc[1:] != doc[:-1]
+        last, before_owner = x[-1], doc[-1]
+        yield before, x, doc, first
 
 
 def run_window(p: dict, x: np.ndarray, first: np.ndarray, before: np.ndarray, h: np.ndarray, keep: bool):
     """States before each symbol of a window, and the state after it. before: the symbols one step earlier."""
-    gates = p["x"][before] + p["g"]
-    gates[first] = p["g"]  # a document begins from nothing
-    states, trace = np.empty((*x.shape, HIDDEN), np.float32), []
-    wh, n = p["h"], HIDDEN
+    n = HIDDEN
+    gates = p["x"].take(before, axis=0)
+    gates[first] = 0  # a document begins from nothing
+    gates += p["g"]
+    gates[:, :, : 2 * n] *= np.float32(0.5)  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
+    w_zr, w_c = p["h"][:, : 2 * n] * np.float32(0.5), np.ascontiguousarray(p["h"][:, 2 * n :])
+    states, trace = np.empty((*x.shape, n), np.float32), []
+    begins = first.any(axis=1)
     for t in range(len(x)):
-        h = np.where(first[t][:, None], np.float32(0), h)
-        a = h @ wh[:, : 2 * n] + gates[t, :, : 2 * n]
-        zr = _sigmoid(a)
+        if begins[t]:
+            h = np.where(first[t][:, None], np.float32(0), h)
+        zr = h @ w_zr
+        zr += gates[t, :, : 2 * n]
+        np.tanh(zr, out=zr)
+        zr += np.float32(1)
+        zr *= np.float32(0.5)
         z, r = zr[:, :n], zr[:, n:]
         rh = r * h
-        c = np.tanh(rh @ wh[:, 2 * n :] + gates[t, :, 2 * n :])
+        c = rh @ w_c
+        c += gates[t, :, 2 * n :]
+        np.tanh(c, out=c)
         if keep:
             trace.append((h, z, r, rh, c))
-        h = h + z * (c - h)
-        states[t] = h
+        step = c - h
+        step *= z
+        step += h
+        states[t] = h = step
     return states, h, trace
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+def _choices(s: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray, slopes: bool):
+    """Log softmax of s @ weights + bias at the chosen columns, and with slopes the gradient of its negative. Logits are
+    bounded, as states are, so no maximum has to be taken off them."""
+    a = s @ weights
+    a += bias
+    rows = np.arange(len(s))
+    picked = a[rows, chosen]
+    np.exp(a, out=a)
+    total = a @ np.ones(a.shape[1], np.float32)
+    out = picked - np.log(total)
+    if not slopes:
+        return out, None
+    a /= total[:, None]
+    a[rows, chosen] -= 1
+    return out, a
 
 
 def outputs(p: dict, s: np.ndarray, y: np.ndarray, classes: int, grads: dict | None = None):
-    """Natural log-likelihood of symbols y (without the share within tail classes) given states s; with grads, adds the
+    """Natural log-likelihood of symbols y (without the share within tail classes) given states s; with grads, sets the
     gradients of its negative and returns those of the states too."""
-    target = np.where(y < HEAD, y // CLASS_SIZE, classes + y - HEAD)
-    logs = _log_softmax(s @ p["c"] + p["d"])
-    rows = np.arange(len(y))
-    out = logs[rows, target].copy()
+    target = np.where(y < HEAD, y // CLASS_SIZE, classes + y - HEAD).astype(np.int16)
+    order = np.argsort(target, kind="stable")  # a radix sort; equal classes then lie side by side
+    s, y, target = s.take(order, axis=0), y.take(order), target.take(order)
+    out, g = _choices(s, p["c"], p["d"], target, grads is not None)
     ds = None
     if grads is not None:
-        g = np.exp(logs)
-        g[rows, target] -= 1
-        grads["c"] += s.T @ g
-        grads["d"] += g.sum(axis=0)
+        grads["c"][:], grads["d"][:] = s.T @ g, g.sum(axis=0)
         ds = g @ p["c"].T
-    order = np.argsort(target, kind="stable")
-    bounds = np.searchsorted(target[order], np.arange(classes + 1))
+    bounds = np.searchsorted(target, np.arange(classes + 1))
     for k in range(classes):
-        at = order[bounds[k] : bounds[k + 1]]
-        if not len(at):
+        a, b = bounds[k], bounds[k + 1]
+        if a == b:
             continue
-        inner = _log_softmax(s[at] @ p["w"][k] + p["b"][k])
-        word = y[at] - k * CLASS_SIZE
-        out[at] += inner[np.arange(len(at)), word]
+        inner, g = _choices(s[a:b], p["w"][k], p["b"][k], y[a:b] - k * CLASS_SIZE, grads is not None)
+        out[a:b] += inner
         if grads is not None:
-            g = np.exp(inner)
-            g[np.arange(len(at)), word] -= 1
-            grads["w"][k] += s[at].T @ g
-            grads["b"][k] += g.sum(axis=0)
-            ds[at] += g @ p["w"][k].T
-    return out, ds
-
-
-def train(p: dict, docs: list[np.ndarray], classes: int, lanes: int = 64) -> dict:
-    """One pass of truncated backpropagation: gradients end at a window's start, the state goes on."""
-    p = {k: v.copy() for k, v in p.items()}
-    squares = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-    n = HIDDEN
-    h = np.zeros((lanes, n), np.float32)
-    for before, xs, owner, fs in windows_of(docs, lanes):
-        live, width = owner >= 0, xs.shape[1]
-        states, h, trace = run_window(p, xs, fs, before, h[:width], True)
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        _, ds = outputs(p, states[live], xs[live], classes, grads)
-        back = np.zeros_like(states)
-        back[live] = ds
-        dg, dh = np.zeros((*xs.shape, 3 * n), np.float32), np.zeros((width, n), np.float32)
-        h0, z, r, rh, c = (np.stack(part) for part in zip(*trace))
-        # what doesn't depend on later steps, for all steps at once
-        by_c, by_z, by_r = z * (1 - c * c), (c - h0) * z * (1 - z), h0 * r * (1 - r)
-        keep, to_rh, to_zr = 1 - z, np.ascontiguousarray(p["h"][:, 2 * n :].T), np.ascontiguousarray(p["h"][:, : 2 * n].T)
-        for t in range(len(xs) - 1, -1, -1):
-            dh += back[t]
-            own = dg[t]
-            np.multiply(dh, by_c[t], out=own[:, 2 * n :])
-            drh = own[:, 2 * n :] @ to_rh
-            np.multiply(dh, by_z[t], out=own[:, :n])
-            np.multiply(drh, by_r[t], out=own[:, n : 2 * n])
-            dh = dh * keep[t] + drh * r[t] + own[:, : 2 * n] @ to_zr
+            grads["w"][k], grads["b"][k] = s[a:b].T @ g, g.sum(axis=0)
+            ds[a:b] += g @ p["w"][k].T
+    back = np.empty_like(out)
+    back[order] = out
+    if ds is not None:
+        unsorted = np.empty_like(ds)
+        unsorted[order] = ds
+        ds = unsorted
+    return back, ds
+
+
+def gradients(p: dict, before: np.ndarray, xs: np.ndarray, owner: np.ndarray, fs: np.ndarray, h: np.ndarray, classes: int):
+    """Gradients of a window's negative log-likelihood, which end at its start, and the state after it."""
+    n, live, width = HIDDEN, owner >= 0, xs.shape[1]
+    states, h, trace = run_window(p, xs, fs, before, h, True)
+    grads = {k: np.zeros_like(v) for k, v in p.items()}
+    back = np.zeros_like(states)
+    _, back[live] = outputs(p, states[live], xs[live], classes, grads)
+    dg, dh = np.empty((*xs.shape, 3 * n), np.float32), np.zeros((width, n), np.float32)
+    h0, z, r, rh, c = (np.stack(part) for part in zip(*trace))
+    # what doesn't depend on later steps, for all steps at once
+    by_c, by_z, by_r = z * (1 - c * c), (c - h0) * z * (1 - z), h0 * r * (1 - r)
+    keep, to_rh, to_zr = 1 - z, np.ascontiguousarray(p["h"][:, 2 * n :].T), np.ascontiguousarray(p["h"][:, : 2 * n].T)
+    begins = fs.any(axis=1)
+    for t in range(len(xs) - 1, -1, -1):
+        dh += back[t]
+        own = dg[t]
+        np.multiply(dh, by_c[t], out=own[:, 2 * n :])
+        drh = own[:, 2 * n :] @ to_rh
+        np.multiply(dh, by_z[t], out=own[:, :n])
+        np.multiply(drh, by_r[t], out=own[:, n : 2 * n])
+        dh *= keep[t]
+        drh *= r[t]
+        dh += drh
+        dh += own[:, : 2 * n] @ to_zr
+        if begins[t]:
             dh[fs[t]] = 0
-        by_row = dg.reshape(-1, 3 * n)
-        grads["h"][:, 2 * n :] = rh.reshape(-1, n).T @ by_row[:, 2 * n :]
-        grads["h"][:, : 2 * n] = h0.reshape(-1, n).T @ by_row[:, : 2 * n]
-        grads["g"] = by_row.sum(axis=0)
-        inner = live & ~fs
-        fed = before[inner]
-        if len(fed):
-            order = np.argsort(fed, kind="stable")
-            fed = fed[order]
-            at = np.flatnonzero(np.concatenate([[True], fed[1:] != fed[:-1]]))
-            grads["x"][fed[at]] = np.add.reduceat(dg[inner][order], at, axis=0)
-        count = max(1, int(live.sum()))
-        for k in p:
-            g = grads[k] / np.float32(np.sqrt(count))
-            norm = float(np.sqrt((g * g).sum()))
-            g = g * np.float32(min(1.0, CLIP * 10 / (norm + 1e-9)))
-            squares[k] += g * g
-            p[k] -= np.float32(RATE) * g / np.sqrt(squares[k])
-    return p
+    by_row = dg.reshape(-1, 3 * n)
+    grads["h"][:, 2 * n :] = rh.reshape(-1, n).T @ by_row[:, 2 * n :]
+    grads["h"][:, : 2 * n] = h0.reshape(-1, n).T @ by_row[:, : 2 * n]
+    grads["g"] = by_row.sum(axis=0)
+    fed = before[~fs].astype(np.int16)
+    if len(fed):  # places that fill up have no gradient and may be counted in
+        order = np.argsort(fed, kind="stable")
+        fed = fed[order]
+        at = np.flatnonzero(np.concatenate([[True], fed[1:] != fed[:-1]]))
+        grads["x"][fed[at]] = np.add.reduceat(dg[~fs].take(order, axis=0), at, axis=0)
+    return grads, int(live.sum()), h
+
+
+class Learner:
+    """Weights that learn by adaptive steps."""
+
+    def __init__(self, p: dict):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.squares = {k: np.full_like(v, 1e-6) for k, v in p.items()}
+
+    def learn(self, docs: list[np.ndarray], classes: int, lanes: int = TRAIN_LANES) -> None:
+        """One pass of truncated backpropagation: gradients end at a window's start, the state goes on."""
+        h = np.zeros((lanes, HIDDEN), np.float32)
+        for before, xs, owner, fs in windows_of(docs, lanes):
+            grads, count, h = gradients(self.p, before, xs, owner, fs, h[: xs.shape[1]], classes)
+            for k, g in grads.items():
+                g /= np.float32(np.sqrt(max(1, count)))
+                norm = float(np.sqrt(np.vdot(g, g)))
+                if norm > CLIP:
+                    g *= np.float32(CLIP / norm)
+                squares = self.squares[k]
+                squares += g * g
+                g *= np.float32(RATE)
+                g /= np.sqrt(squares)
+                self.p[k] -= g
 
 
 def likelihoods(p: dict, docs: list[np.ndarray], classes: int) -> np.ndarray:
@@ -240,51 +303,54 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % MODULUS == HELD_OUT
 
 
-def _tokens(text: bytes | None) -> list[bytes]:
-    words = space_words(text or b"")
-    words.append(END)
-    return words
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    kept: list[pa.Array] = []
+    size = texts = 0
 
     def out() -> pa.RecordBatch:
-        words = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[w] for w in words], pa.int64()), pa.array([tail_class(w) for w in words], pa.int32())], names=["word", "c", "tail"])
+        counted = pa.chunked_array(kept, pa.string()).combine_chunks().value_counts()
+        words, c = counted.field("values"), counted.field("counts")
+        words = pa.concat_arrays([words, pa.array([END])])
+        c = np.append(c.to_numpy(), texts)
+        return pa.RecordBatch.from_arrays([words, pa.array(c, pa.int64()), pa.array(tail_classes(words), pa.int32())], names=["word", "c", "tail"])
 
     for batch in batches:
-        for text in batch.column(0):
-            seen.update(_tokens(text.as_py()))
-            if len(seen) > COUNTED:
-                yield out()
-                seen.clear()
-    yield out()
+        words, _ = split_words(batch.column(0))
+        kept.append(words)
+        size, texts = size + len(words), texts + len(batch.column(0))
+        if size > CHUNK:
+            yield out()
+            kept, size, texts = [], 0, 0
+    if texts:
+        yield out()
 
 
 def word_counts(train_docs: DataFrame) -> DataFrame:
     """(word, c, tail) over all training texts, in the shared folder."""
-    partial = train_docs.select(as_bytes("text").alias("text")).mapInArrow(_count, "word binary, c long, tail int")
+    partial = train_docs.select("text").mapInArrow(_count, "word string, c long, tail int")
     return stored(partial.groupBy("word").agg(F.sum("c").alias("c"), F.first("tail").alias("tail")), "counts")
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The head and the sent counts, and totals of the tail classes. Sent are the most frequent words, in whole levels of
-    frequency, as many as make SENT words at most; sorting for the first SENT would draw so many from every partition."""
+    """The head and the sent counts, and totals of the tail classes. Sent are the most frequent words: whole levels of
+    frequency, and of the level that would be too many the share that fits, by a hash of the word. Sorting for the first
+    would draw so many from every partition."""
     level = F.floor(F.log2("c") * 16)
     sizes = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # 1,024 levels at most
-    least, n = None, 0
+    full, part, free = float("inf"), None, SENT
     for at in sorted(sizes, reverse=True):
-        n += sizes[at]
-        if n > SENT:
+        if sizes[at] > free:
+            part = at
             break
-        least = at
-    rows = counts.filter(level >= least).select("word", "c").collect() if least is not None else []
-    top = sorted(((bytes(r.word), r.c) for r in rows), key=lambda w: (-w[1], w[0]))
-    head = counts.sparkSession.createDataFrame([(w,) for w, _ in top[:HEAD]], "word binary")
+        full, free = at, free - sizes[at]
+    share = int(free / sizes[part] * (1 << 60)) if part is not None else 0
+    wanted = (level >= full) | ((level == F.lit(part)) & (md5_unit("word") < share)) if part is not None else F.lit(True)
+    rows = counts.filter(wanted).select("word", "c").toArrow()
+    top = sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist()), key=lambda w: (-w[1], w[0]))
+    head = counts.sparkSession.createDataFrame([(w,) for w, _ in top[:HEAD]], "word string")
     rest = counts.join(F.broadcast(head), "word", "left_anti").groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v"))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    return Vocabulary(top, int(total[0]), int(total[1]), {r.tail: (r.c, r.v) for r in rest.collect()})
+    return Vocabulary([w for w, _ in top], [c for _, c in top], int(total[0]), int(total[1]), {r.tail: (r.c, r.v) for r in rest.collect()})
 
 
 def flat(p: dict) -> np.ndarray:
@@ -299,112 +365,145 @@ def shaped(values: np.ndarray, like: dict) -> dict:
     return out
 
 
-def fitted(train_docs: DataFrame, v: Vocabulary) -> dict:
-    """Network weights after ROUNDS rounds: each shard trains on its documents of the round, Spark averages by tokens."""
-    spark = train_docs.sparkSession
+def _summed(parts: pa.Table) -> pa.Table:
+    values = sum((np.frombuffer(v.as_py(), np.float64) for v in parts["v"]), 0.0)
+    return pa.table({"part": parts["part"][:1], "v": pa.array([values.tobytes()], pa.binary()), "n": pa.array([sum(parts["n"].to_pylist())], pa.float64())})
+
+
+def fitted(texts: DataFrame, v: Vocabulary) -> dict:
+    """Network weights after ROUNDS rounds over texts(shard_key, symbols): each shard trains on its documents of the round,
+    Spark averages by tokens. Shards are dealt and ordered by the key, a hash of the document, so the weights don't
+    depend on how the table is partitioned."""
+    spark = texts.sparkSession
     p = start_weights(v)
     if not v.total:
         return p
+    shards = int(min(MAX_SHARDS, max(1, -(-v.total // SHARD_TOKENS))))
     for r in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((p, v))
+        sent = spark.sparkContext.broadcast((p, v.classes))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, own = sent.value
-            docs, size, total = [], 0, 0
-
-            def learnt() -> None:
-                nonlocal now, docs, size
-                now, docs, size = train(now, docs, own.classes), [], 0
-
+            start, classes = sent.value
+            learner, docs, size, total = Learner(start), [], 0, 0
             for batch in batches:
-                for text in batch.column(0):
-                    docs.append(own.ids(_tokens(text.as_py())))
-                    size += len(docs[-1])
-                    total += len(docs[-1])
+                for symbols in batch.column(0):
+                    docs.append(np.frombuffer(symbols.as_py(), np.int16))
+                    size, total = size + len(docs[-1]), total + len(docs[-1])
                     if size > CHUNK:
-                        learnt()
+                        learner.learn(docs, classes)
+                        docs, size = [], 0
             if docs:
-                learnt()
+                learner.learn(docs, classes)
             if total:
-                values = flat(now).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int64()), pa.array(values * total), pa.array(np.full(len(values), float(total)))], names=["i", "v", "n"])
-
-        bucket = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS))
-        shard = train_docs.filter(bucket == r).select(as_bytes("text").alias("text")).coalesce(MAX_SHARDS)
-        summed = shard.mapInArrow(learn, "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+                pieces = np.array_split(flat(learner.p).astype(np.float64) * total, PARTS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary()), pa.array([float(total)] * PARTS)], names=["part", "v", "n"]
+                )
+
+        own = texts.filter(F.pmod(F.xxhash64("shard_key"), F.lit(ROUNDS)) == r)
+        dealt = own.repartition(shards, "shard_key").sortWithinPartitions("shard_key").select("symbols")
+        sums = dealt.mapInArrow(learn, "part int, v binary, n double").groupBy("part").applyInArrow(_summed, "part int, v binary, n double")
+        rows = sorted(sums.collect(), key=lambda x: x.part)  # PARTS rows, together as long as the weights
         sent.unpersist()
-        if len(summed):
-            p = shaped(summed.sort_values("i")["v"].to_numpy(), p)
+        if rows:
+            p = shaped(np.concatenate([np.frombuffer(x.v, np.float64) / x.n for x in rows]), p)
     return p
 
 
+FACTS = "doc_id long, n_tokens long, n_sent long, base double, inside double, rare array<string>, times array<long>, symbols binary"
+
+
+def _numbered(v: Vocabulary, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """FACTS of some texts: symbols, what the sent counts say, and the words they say nothing of."""
+    words, sizes = split_words(texts)
+    places = v.places(words)
+    symbols, unknown = v.symbols(places, words), np.flatnonzero(places < 0)
+    log_count = np.append(np.log10(v.count + 1), 0.0)  # -1 reads the last: nothing is known yet
+    ends = np.cumsum(sizes)
+    # the end of each text is a word of its own
+    end_word = pa.array([END])
+    end = v.places(end_word)
+    places, symbols = np.insert(places, ends, end[0]), np.insert(symbols, ends, v.symbols(end, end_word)[0])
+    n, begin = sizes + 1, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    logs = log_count[places]
+    tail = symbols >= HEAD
+    outside = np.where(tail, logs - v.tail_log[np.maximum(symbols - HEAD, 0)], 0.0)
+    total = lambda x: np.add.reduceat(x, begin)
+    if v.types == len(v.words):
+        unknown = unknown[:0]  # all counts were sent
+    coded = words.take(pa.array(unknown)).dictionary_encode()
+    owner = np.searchsorted(ends, unknown, side="right")
+    key, times = np.unique(owner * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    owner, code = key // max(1, len(coded.dictionary)), key % max(1, len(coded.dictionary))
+    offsets = pa.array(np.searchsorted(owner, np.arange(len(n) + 1)), pa.int32())
+    data = symbols.tobytes()
+    cut = np.append(begin, begin[-1] + n[-1]) * symbols.itemsize
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids,
+            pa.array(n, pa.int64()),
+            pa.array(total((places >= 0).astype(np.int64)), pa.int64()),
+            pa.array(total(logs) - n * np.log10(v.total + v.types + 1)),
+            pa.array(total(outside)),
+            pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(code))),
+            pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+            pa.array([data[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+        ],
+        names=["doc_id", "n_tokens", "n_sent", "base", "inside", "rare", "times", "symbols"],
+    )
+
+
+def numbered(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """FACTS of rows(doc_id, text), with `shard_key` and a row number `_row`, in the shared folder."""
+    sent = rows.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _numbered(sent.value, batch.column(0), batch.column(1))
+
+    facts = rows.mapInArrow(run, FACTS).withColumn("shard_key", F.xxhash64("doc_id", "symbols"))
+    return stored(facts.withColumn("_row", F.monotonically_increasing_id()), "symbols")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """documents(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row a document row.
 
-    Null and empty texts are the end token alone. Without training texts N and V are 0 and both scores are those of
-    unknown words. Words beyond the sent counts are looked up by a join, in which equal words of a task travel once a
-    document. Other columns are ignored."""
+    Counts and network learn from all training texts. Null and empty texts are the end token alone. Without training
+    texts N and V are 0 and both scores are those of unknown words. Words beyond the sent counts are looked up by a join.
+    Rows are told apart by where they are stored; equal or null doc_ids do no harm. Other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    train_docs = rows.filter(~held_out())
-    counts = word_counts(train_docs)
+    counts = word_counts(rows.filter(~held_out()))
     v = vocabulary(counts)
-    sent = docs.sparkSession.sparkContext.broadcast((fitted(train_docs, v), v))
+    facts = numbered(rows, v)
+    network = docs.sparkSession.sparkContext.broadcast((fitted(facts.filter(~held_out()).select("shard_key", "symbols"), v), v.classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, own = sent.value
-        norm = float(np.log10(own.total + own.types + 1))
-        ids: list = []
-        facts: list = []
+        p, classes = network.value
+        kept: list[pa.RecordBatch] = []
         symbols: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            model = likelihoods(p, symbols, own.classes)
-            columns = list(zip(*facts))
-            batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(columns[0], pa.int64()),
-                    pa.array(columns[1], pa.int64()),
-                    pa.array(columns[2], pa.float64()),
-                    pa.array(model + np.array(columns[3]), pa.float64()),
-                    pa.array(columns[4], pa.list_(pa.binary())),
-                    pa.array(columns[5], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_tokens", "n_sent", "base", "model", "rare", "times"],
-            )
-            ids.clear(), facts.clear(), symbols.clear()
-            return batch
+            known = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*known.columns, pa.array(likelihoods(p, symbols, classes))], names=[*known.schema.names, "network"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                tokens = _tokens(text.as_py())
-                x = own.ids(tokens)
-                times = Counter(tokens)
-                count = np.array([own.count.get(w, 0) for w in times], float)
-                n = np.fromiter(times.values(), float, len(times))
-                known = count > 0
-                logs = n * np.log10(count + 1)
-                in_tail = np.array([w not in own.head for w in times], bool)
-                rare = [w for w, k in zip(times, known) if not k] if own.types > len(own.count) else []
-                tail = x[x >= HEAD] - HEAD
-                inside = float(logs[in_tail].sum() - own.tail_log[tail].sum())
-                ids.append(doc_id.as_py())
-                facts.append((len(tokens), int(n[known].sum()), float(logs.sum()) - len(tokens) * norm, inside, rare, [times[w] for w in rare]))
-                symbols.append(x)
-                size += len(x)
-                if size > CHUNK:
-                    yield out()
-                    size = 0
-        if ids:
+            kept.append(batch.select(batch.schema.names[:-1]))
+            symbols += [np.frombuffer(x.as_py(), np.int16) for x in batch.column(batch.num_columns - 1)]
+            size += sum(map(len, symbols[len(symbols) - batch.num_rows :]))
+            if size > CHUNK:
+                yield out()
+                kept, symbols, size = [], [], 0
+        if symbols:
             yield out()
 
-    schema = "doc_id long, n_tokens long, n_sent long, base double, model double, rare array<binary>, times array<long>"
-    first = rows.select("doc_id", as_bytes("text").alias("text")).mapInArrow(run, schema)
-    first = stored(first.withColumn("_row", F.monotonically_increasing_id()), "scores")
-    asked = first.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("_row", F.col("w.rare").alias("word"), F.col("w.times").alias("t"))
+    columns = ["_row", "doc_id", "n_tokens", "n_sent", "base", "inside"]
+    schema = "_row long, doc_id long, n_tokens long, n_sent long, base double, inside double, network double"
+    scored = facts.select(*columns, "symbols").mapInArrow(run, schema)
+    asked = facts.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("_row", F.col("w.rare").alias("word"), F.col("w.times").alias("t"))
     told = asked.join(counts.select("word", "c"), "word").groupBy("_row").agg(F.sum("t").alias("_t"), F.sum(F.col("t") * F.log10(F.col("c") + 1)).alias("_l"))
-    joined = first.select("_row", "doc_id", "n_tokens", "n_sent", "base", "model").join(told, "_row", "left")
+    joined = scored.join(told, "_row", "left")
     more = F.coalesce("_l", F.lit(0.0))
     return joined.select(
         "doc_id",
@@ -413,5 +512,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("n_sent") + F.coalesce("_t", F.lit(0))).alias("n_known"),
         F.lit(v.total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("network") + F.col("inside") + more).alias("score"),
     )
