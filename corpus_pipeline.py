@@ -9,8 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventide.llm.common import shared_dir, stored, table
+from eventide.llm.common import packed, shared_dir, stored, table
 from eventide.llm.op03_mixing import plan_mix, take, with_size
 from eventide.llm.op05_secret_links import redacted
 from eventide.llm.op06_importance_resampling import keep_good
@@ -25,31 +26,33 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
+    """Documents that importance resampling rejects go. Null and empty texts count as target-like and take part."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the least doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the least doc_id
+    stays, null last. Null and empty texts are like nothing and all stay."""
     return first_of_each(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go. Null and empty texts have none and stay."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked; every document stays, null and empty texts as they are."""
     return redacted(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes at least once, or that have no words, with size, source_size, target, taken."""
-    clash = [c for c in docs.columns if c in ("size", "hash", "source_size", "target", "taken")]
-    sized = docs.drop(*clash).select("*", *with_size(docs))
-    plan = plan_mix(stored(sized.select("source", "hash", "size"), "sizes"))
-    return take(sized, plan).filter("taken > 0 or size = 0").drop("hash")
+    """Documents that the mix takes at least once, or that have no words (null and empty texts), with size, source_size,
+    target, taken. Of columns with these four names the mix's stay; all others pass through."""
+    rows = packed(docs).select("doc", F.col("doc.source").alias("source"), *with_size(docs, "doc.text", "doc.doc_id"))
+    plan = plan_mix(stored(rows.select("source", "hash", "size"), "sizes"))
+    others = [F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
+    return take(rows, plan).filter("taken > 0 or size = 0").select(*others, "size", "source_size", "target", "taken")
 
 
 STAGES = [

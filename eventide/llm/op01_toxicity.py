@@ -141,12 +141,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> list
     """The chain's models. Every fold's model and the final one of a category are fitted in tasks of their own, each on
     the bounded sample; predictions for the rows that a fold left out go on to the next category."""
     marks = [F.expr(c).cast("double").alias(f"y{i}") for i, (_, c) in enumerate(categories)]
-    chosen = labels.dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), *marks).dropna()
+    # of several rows of a label or a document the least counts, whatever the order they come in
+    one = labels.dropna(subset=["doc_id"]).groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("l")).select("doc_id", "l.*")
+    chosen = one.select(F.col("doc_id").alias("_id"), *marks).dropna()
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
     named = [f"y{i}" for i in range(len(categories))]
-    picked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     fold = (F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS))).cast("int").alias("fold")
-    sample = picked.select(as_bytes("text").alias("text"), "_id", fold, *named).dropDuplicates(["_id"])
+    sample = picked.groupBy("_id", *named).agg(F.min("text").alias("text")).select(as_bytes("text").alias("text"), "_id", fold, *named)
     schema = "x array<int>, _id long, fold int, " + ", ".join(f"{y} double" for y in named)
     sample = stored(sample.mapInArrow(_featured, schema).withColumn("p", F.array().cast("array<double>")), "sample")
     models = []
@@ -165,8 +167,8 @@ def classify(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> DataF
     """documents(doc_id, text), labels(doc_id, quality, toxic) -> doc_id, p_<category> for each category, toxic.
 
     One row a document row; toxic: p_toxic of at least THRESHOLD. Null and empty texts get the chain's answer for no
-    features. Rows of labels with a null don't train; without labels every probability is near 0. Copies of
-    a labelled doc_id train once. Other columns are ignored."""
+    features. Rows of labels with a null don't train; without labels every probability is near 0. Of rows with one
+    labelled doc_id the least text trains. Other columns are ignored."""
     names = [f"p_{n}" for n, _ in categories]
     models = docs.sparkSession.sparkContext.broadcast(fit_chain(docs, labels, categories))
 

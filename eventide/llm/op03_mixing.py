@@ -150,7 +150,9 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS, shar
 
 
 def with_size(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[Column]:
-    return [words_count(text_col).alias("size"), md5_unit(id_col).alias("hash")]
+    """size and hash; rows without an id hash by their text, lest they all go together."""
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\x01"), F.coalesce(F.col(text_col), F.lit(""))))
+    return [words_count(text_col).alias("size"), md5_unit(named).alias("hash")]
 
 
 def take(sized: DataFrame, plan: DataFrame, budget_no: int = 0) -> DataFrame:
@@ -168,7 +170,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS, shares=(1.
 
     size: words of the text (null or empty: 0). Sources in code point order, null last as a source of its own, weigh
     `weights` in turn. taken: size times the copies that the mix has of the document, at most `repeats`. Rows with equal
-    or null doc_id have equal hashes and are taken together. An empty table gives no rows; other columns are ignored.
+    doc_id, or without one and equal text, have equal hashes and are taken together. An empty table gives no rows; other columns are ignored.
     The last share's budget is the one reported.
     """
     narrow = stored(docs.select("doc_id", "source", *with_size(docs)), "sizes")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import spans_of, stored
+from eventide.llm.common import apart, let, packed, piece, running, spans_of, stored, text_blocks
 
 #: Strong parts, reported wherever they stand: (kind, pattern, least length of what is measured).
 ASSIGN = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -30,21 +30,16 @@ SCOPE = 400
 MASK = "[SECRET]"
 
 
-def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `_base` and `_weak`, arrays of struct(kind, start, end, value), each in order of start."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def scanned(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with `_base` and `_weak`, arrays of struct(kind, start, end, value), a kind in order of start."""
+    text = F.coalesce(text, F.lit(""))
     # a value of fewer than six characters fails; the match that held it is not tried again
     assign = F.filter(spans_of(text, ASSIGN, "assign"), lambda s: F.char_length(F.regexp_replace(s["value"], ASSIGN_HEAD, "")) >= 6)
-    base = F.concat(assign, spans_of(text, ACCESS, "access"), spans_of(text, HEX, "hex"))
     weak = F.concat(spans_of(text, KEY_NAME, "keyname"), spans_of(text, BLOB, "blob"), spans_of(text, ENDPOINT, "endpoint"))
-    out = docs.withColumn("_base", base).withColumn("_weak", weak)
+    out = docs.select("*", assign.alias("_assign"), spans_of(text, ACCESS, "access").alias("_access"), spans_of(text, HEX, "hex").alias("_hex"), weak.alias("_weak"))
     # a weak part inside a base one tells nothing new
-    return out.withColumn(
-        "_weak",
-        F.when(F.size("_weak") == 0, F.col("_weak")).otherwise(
-            F.filter("_weak", lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        ),
-    )
+    kinds = [F.col(f"_{k}") for k in BASE]
+    return out.withColumn("_weak", apart(F.col("_weak"), *kinds)).withColumn("_base", F.concat(*kinds)).drop(*[f"_{k}" for k in BASE])
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -85,7 +80,8 @@ def _with_links(rows: DataFrame) -> DataFrame:
     plain = F.array().cast("array<struct<start:int,kind:string,end:int>>")
     some = rows.filter(F.size("_weak") > 0)
     found = linked(some.select(F.col("_row").alias("row"), F.col("_base").alias("base"), F.col("_weak").alias("weak")))
-    some = some.join(found, F.col("_row") == F.col("row"), "left").withColumn("_linked", F.coalesce("spans", plain)).drop("row", "spans")
+    found = found.select(F.col("row").alias("_of"), F.col("spans").alias("_spans"))
+    some = some.join(found, F.col("_row") == F.col("_of"), "left").withColumn("_linked", F.coalesce("_spans", plain)).drop("_of", "_spans")
     return rows.filter(F.size("_weak") == 0).withColumn("_linked", plain).unionByName(some)
 
 
@@ -94,7 +90,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans; the digest is then that of the empty string. Rows are told apart by where they
     are stored, so null and repeated doc_ids do no harm. Other columns are ignored."""
-    found = scanned(docs.select("doc_id", "text")).drop("text").withColumn("_row", F.monotonically_increasing_id())
+    found = scanned(docs.select("doc_id", "text"), F.col("text")).drop("text").withColumn("_row", F.monotonically_increasing_id())
     rows = _with_links(stored(found, "parts"))
     shape = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     everything = F.concat(shape("_base"), F.col("_linked"))
@@ -109,21 +105,24 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The documents in all their columns, every reported span replaced by the mask; n_chars, if there, is counted anew
-    for changed texts. Spans that overlap are replaced as one."""
-    rows = stored(scanned(docs).withColumn("_row", F.monotonically_increasing_id()), "parts")
-    rows = _with_links(rows)
+    for changed texts. Spans that overlap are replaced as one. Null and empty texts stay as they are; repeated rows are
+    masked alike, and columns of any name pass through."""
+    rows = _with_links(stored(scanned(packed(docs), F.col("doc.text")).withColumn("_row", F.monotonically_increasing_id()), "parts"))
     pair = lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))
     spans = F.array_sort(F.concat(F.transform("_base", pair), F.transform("_linked", pair)))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["a"] < acc["at"]
-        piece = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(F.col("text"), acc["at"] + 1, s["a"] - acc["at"]), F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def kept(blocks: Column, own: Column, ends: Column) -> Column:
+        # what stays lies between the furthest end so far and a span that begins there or later
+        between = F.transform(own, lambda s, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("a"), s["a"].alias("b")))
+        between = F.filter(between, lambda g: g["a"] <= g["b"])
+        rest = F.struct(F.element_at(ends, -1).alias("a"), F.char_length("doc.text").alias("b"))
+        return F.array_join(F.transform(F.concat(between, F.array(rest)), lambda g: piece(blocks, g["a"], g["b"])), mask)
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    ends = lambda own: running(F.transform(own, lambda s: s["b"]), lambda a, b: F.greatest(a, b))
+    done = let(text_blocks(F.col("doc.text")), lambda blocks: let(spans, lambda own: let(ends(own), lambda upto: kept(blocks, own, upto))))
     changed = F.size("_base") + F.size("_linked") > 0
-    out = rows.withColumn("_new", F.when(changed, done).otherwise(F.col("text")))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("_new").alias("text")}
+    out = rows.select("doc", F.when(changed, done).alias("_new"))
+    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.coalesce("_new", "doc.text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.char_length("_new").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select(*columns.values())
+        columns["n_chars"] = F.coalesce(F.char_length("_new").cast("long"), F.col("doc.n_chars"))
+    return out.select(*[v.alias(c) for c, v in columns.items()])

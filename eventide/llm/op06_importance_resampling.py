@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import as_bytes, md5_unit, stored
+from eventide.llm.common import as_bytes, md5_unit, packed, stored
 from eventide.llm.op03_mixing import hash_thresholds
 
 #: Buckets of words, of word pairs and of two-byte word endings, one after the other; the last is of repeated words.
@@ -83,9 +83,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return out if target.any() else np.zeros(BUCKETS)
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs in all their columns with _n (n-grams) and _w (log importance weight), made in one pass."""
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels))
+def scored(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id of docs with _n (n-grams) and _w (log importance weight), made in one pass; with keep, all columns as `doc`."""
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs.select("doc_id", "text"), labels))
 
     @F.arrow_udf("struct<n:long,w:double>")
     def weigh(texts: pa.Array) -> pa.Array:
@@ -96,8 +96,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             names=["n", "w"],
         )
 
-    out = docs.withColumn("_s", weigh(as_bytes("text")))
-    return out.withColumn("_n", F.col("_s.n")).withColumn("_w", F.round("_s.w", 6)).drop("_s")
+    rows = packed(docs).select("doc", F.col("doc.doc_id").alias("doc_id"), weigh(as_bytes("doc.text")).alias("_s"))
+    return rows.select(*(["doc"] if keep else []), "doc_id", F.col("_s.n").alias("_n"), F.round("_s.w", 6).alias("_w"))
 
 
 def with_decision(weighed: DataFrame) -> DataFrame:
@@ -121,12 +121,13 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     One row a document row. Null and empty texts have no n-grams and weight 0. Without good labels all weights are 0
     and all rows stay. A null doc_id gets one fixed noise value. Other columns are ignored."""
-    done = with_decision(stored(scored(docs.select("doc_id", "text"), labels).drop("text"), "weights"))
+    done = with_decision(stored(scored(docs.select("doc_id", "text"), labels), "weights"))
     return done.select(
         "doc_id", F.col("_n").alias("n_grams"), F.col("_w").alias("log_weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, in all their columns, that importance resampling keeps."""
-    return with_decision(stored(scored(docs, labels), "weights")).filter("_kept").select(*docs.columns)
+    """The documents, in all their columns, that importance resampling keeps. Null and empty texts have weight 0 and count
+    as target-like; columns of any name pass through."""
+    return with_decision(stored(scored(docs, labels, keep=True), "weights")).filter("_kept").select("doc.*")

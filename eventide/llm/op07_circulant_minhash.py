@@ -14,10 +14,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import as_bytes, small, space_words, stored
+from eventide.llm.common import as_bytes, packed, small, space_words, stored
 
 SHINGLE = 5
 PERCENT = 85
@@ -25,11 +25,11 @@ PERCENT = 85
 MISSED = 2e-6
 PLACES_LOG2 = 20
 #: Bits of the sketch by which a proposed pair is ruled out before its sets are fetched. At 0.85 about 77 +- 8.4 bits
-#: differ; a pair goes at 4.3 such deviations more, a true link with probability 1e-5.
-SKETCH, DEVIATIONS = 1024, 4.3
-#: Rounds that compare with one hub a bucket before what is left is compared pair by pair; more pay off where groups hold
-#: several originals.
-HUB_ROUNDS = 1
+#: differ; a pair goes at 7 such deviations more, a true link with probability 1e-12, far below MISSED. Without
+#: deviations (None) every proposed pair is verified.
+SKETCH, DEVIATIONS = 1024, 7.0
+#: Rows of one hot component or bucket are dealt to so many tasks.
+SALTS = 16
 #: Words whose hashes a task keeps.
 CACHED_WORDS = 300_000
 
@@ -44,6 +44,8 @@ def banding(percent: int) -> tuple[int, int]:
 
 def most_different(percent: int) -> int:
     """Bits of two sketches that may differ in a link."""
+    if DEVIATIONS is None:
+        return SKETCH
     each = (1 - percent / 100) / 2
     return int(SKETCH * each + DEVIATIONS * math.sqrt(SKETCH * each * (1 - each)))
 
@@ -160,11 +162,22 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.dropDuplicates(["fp"])
 
 
+def _possible(percent: int, n_a: Column, n_b: Column, bits_a: Column, bits_b: Column) -> Column:
+    """Whether sizes and sketches of two sets allow a link."""
+    differ = sum((F.bit_count(bits_a[i].bitwiseXOR(bits_b[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= most_different(percent))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs(a, b, n_a, n_b) those with percent / 100 of their united shingles in common."""
+    """Of pairs(a, b, n_a, n_b) those with percent / 100 of their united shingles in common. Sketches come first; the sets
+    themselves are fetched for what they leave."""
+    a = sets.select(F.col("fp").alias("a"), F.col("bits").alias("_ba"))
+    b = sets.select(F.col("fp").alias("b"), F.col("bits").alias("_bb"))
+    near = pairs.join(b, "b").join(a, "a").filter(_possible(percent, F.col("n_a"), F.col("n_b"), F.col("_ba"), F.col("_bb")))
+    near = stored(near.select("a", "b", "n_a", "n_b"), "near")
     a = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("_sa"))
     b = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("_sb"))
-    both = pairs.join(b, "b").join(a, "a")
+    both = near.join(b, "b").join(a, "a")
     common = F.size(F.array_intersect("_sa", "_sb"))
     return both.filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
@@ -192,17 +205,17 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(stars.select(F.col("b"), F.col("b")).distinct())
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches of two rows with n and bits allow a link."""
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= most_different(percent))
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
 
 
 def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of docs(row, doc_id, text): the stored facts (row, doc_id, n_shingles, fp, bands), and groups(fp, component_id, root)
-    of the sets that several rows have or that are linked to others. root names a component; component_id is its least
-    doc_id, null if it has none."""
+    """Of docs(row, doc_id, text): the stored facts (row, doc_id, n_shingles, fp, bands), and the stored groups(fp,
+    component_id, root) of the sets that several rows have or that are linked to others. root names a component;
+    component_id is its least doc_id, null if it has none.
+
+    Buckets are counted by partial sums and met by joins with their stored sizes, so a hot bucket is never sorted in one
+    task."""
     facts = stored(docs.select("row", F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(_facts(percent), FACTS), "facts")
     classes = stored(
         facts.filter("n_shingles > 0")
@@ -215,61 +228,57 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         ),
         "classes",
     )
-    bucket = Window.partitionBy("key")
-    members = classes.select("fp", "rep", "n", F.explode("bands").alias("key"))
-    members = stored(members.withColumn("_m", F.count("*").over(bucket)).filter("_m > 1").drop("_m"), "members")
-    wanted = members.select("rep").distinct()
-    sets = stored(sets_of(docs.select(F.col("doc_id").cast("long"), "text"), wanted), "sets")
-
-    known = sets.select(F.col("fp").alias("_fp"), "bits")
-    opened = stored(members.join(known, F.col("fp") == F.col("_fp")).drop("_fp").withColumn("root", F.col("fp")), "open")
-    labels, edges, tried = None, None, None
-    for _ in range(HUB_ROUNDS):
-        # the hub is the member that meets most others over all its open buckets: an original before its edited copies
-        other = F.count("*").over(bucket) - F.count("*").over(Window.partitionBy("key", "root"))
-        central = opened.withColumn("_m", other).withColumn("_met", F.sum("_m").over(Window.partitionBy("fp")))
-        central = central.withColumn("h", F.max(F.struct("_met", "fp", "n", "root", "bits")).over(bucket)).select("h", F.struct("fp", "n", "bits", "root").alias("m"))
-        pairs = central.filter((F.col("m.root") != F.col("h.root")) & _possible("h", "m", percent))
-        pairs = pairs.select(F.col("h.fp").alias("a"), F.col("m.fp").alias("b"), F.col("h.n").alias("n_a"), F.col("m.n").alias("n_b"))
-        pairs = stored(pairs.distinct(), "pairs")
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        links = verified(pairs, sets, percent)
-        edges = stored(links if edges is None else edges.union(links), "links")
-        labels = stored(components(edges), "labels")
-        before = opened.count()
-        opened = opened.drop("root").join(labels, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-        opened = opened.withColumn("_lo", F.min("root").over(bucket)).withColumn("_hi", F.max("root").over(bucket))
-        opened = stored(opened.filter("_lo <> _hi").drop("_lo", "_hi"), "open")
-        if opened.count() > 0.5 * before:
-            break
-    # every pair of an open bucket that lies in different components, said by the least bucket that both are in
-    keyed = opened.join(classes.select("fp", "bands"), "fp")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _possible("x", "y", percent)
+    keyed = classes.select("fp", "rep", "n", F.explode("bands").alias("key"))
+    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    members = stored(keyed.join(small(buckets), "key"), "members")
+    sets = stored(sets_of(docs.select(F.col("doc_id").cast("long"), "text"), members.select("rep").distinct()), "sets")
+
+    # the hub of a bucket is the member that meets most others over all its buckets: an original before its edited copies
+    met = stored(members.groupBy("fp").agg(F.sum(F.col("m") - 1).alias("met")), "met")
+    hubs = members.join(met, "fp").groupBy("key").agg(F.max(F.struct("met", "fp", "n")).alias("h"))
+    pairs = members.join(stored(hubs, "hubs"), "key").filter("fp <> h.fp")
+    pairs = pairs.select(F.col("h.fp").alias("a"), F.col("fp").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
+    pairs = stored(pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).distinct(), "pairs")
+    edges = stored(verified(pairs, sets, percent), "links")
+    labels = stored(components(edges), "labels")
+    # what still lies apart in a bucket: every pair in different components, said by the least bucket that both are in
+    now = members.drop("rep", "m").join(labels, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    now = stored(now, "rooted")
+    opened = stored(now.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key"), "open")
+    bits = sets.select(F.col("fp").alias("_fp"), "bits")
+    rest = now.join(small(opened), "key", "left_semi").join(classes.select("fp", "bands"), "fp").join(bits, F.col("fp") == F.col("_fp")).drop("_fp")
+    rest = stored(rest, "rest")
+    x = rest.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).alias("x")
+    y = rest.withColumn("salt", _every_salt()).alias("y")
+    possible = _possible(percent, F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"))
+    left = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") < F.col("y.root")) & possible
                   & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")))
-    rest = rest.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-    done = tried.union(tried.select(F.col("b"), F.col("a"))).distinct()
-    rest = stored(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    if rest.head(1):
-        edges = stored(edges.union(verified(rest, sets, percent)), "links")
+    left = left.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+    done = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct()
+    left = stored(left.join(done, ["a", "b"], "left_anti"), "left")
+    if left.head(1):
+        edges = stored(edges.union(verified(left, sets, percent)), "links")
         labels = stored(components(edges), "labels")
-    linked = classes.select("fp", "rep", "copies").join(labels, F.col("fp") == F.col("node"), "left")
-    linked = linked.withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("_classes"))
-    groups = linked.filter("copies > 1 or node is not null").join(least, "root").select("fp", "component_id", "root")
-    return facts, groups
+    linked = classes.select("fp", "rep", "copies").join(labels, F.col("fp") == F.col("node"), "left").filter("copies > 1 or node is not null")
+    linked = stored(linked.select("fp", "rep", F.coalesce("root", "fp").alias("root")), "linked")
+    # a component may be large: its name goes to every salt, its members to one each
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = least.withColumn("salt", _every_salt())
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    return facts, stored(salted.join(least, ["root", "salt"]).select("fp", "component_id", "root"), "groups")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row a document row.
 
     Words are split at white space, A-Z lower-cased. Null and empty texts have no shingles and stand alone. Equal sets
-    link at once; only one of each such class is banded. Every proposed pair of a bucket is either verified on full sets
-    or already in one component, so no link between different texts is lost. component_id: least doc_id reachable;
-    rows with a null doc_id join components but never name them. Other columns are ignored."""
+    link at once; only one of each such class is banded. A pair that shares a band (all but a share MISSED of those at
+    the wanted similarity do) is either verified on full sets, or already in one component, or ruled out by its sketch
+    (see DEVIATIONS). component_id: least doc_id reachable; rows with a null doc_id join components but never name them.
+    Other columns are ignored."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     facts, groups = grouped(rows, percent)
-    out = facts.select("doc_id", "n_shingles", "fp").join(groups.drop("root").hint("merge"), "fp", "left")
+    out = facts.select("doc_id", "n_shingles", "fp").join(small(groups.drop("root")), "fp", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -277,11 +286,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, in all their columns, one row of each component: that with the least doc_id, nulls last, then the
     least fingerprint. Rows are told apart by where they are stored, so null and repeated doc_ids do no harm; texts
-    without shingles all stay."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    facts, groups = grouped(rows.select(F.col("_row").alias("row"), "doc_id", "text"), percent)
-    members = stored(facts.select("row", "doc_id", "fp").join(groups.select("fp", "root").hint("merge"), "fp"), "members")
+    without shingles all stay. Columns of any name pass through."""
+    rows = stored(packed(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    facts, groups = grouped(rows.select(F.col("_row").alias("row"), "doc.doc_id", "doc.text"), percent)
+    members = stored(facts.select("row", "doc_id", "fp").join(small(groups.select("fp", "root")), "fp"), "members")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "row")
     stays = members.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
     gone = stored(members.select("row").join(stays, "row", "left_anti").select(F.col("row").alias("_gone")), "gone")
-    return rows.join(small(gone), F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
+    return rows.join(small(gone), F.col("_row") == F.col("_gone"), "left_anti").select("doc.*")

@@ -2,7 +2,7 @@
 
 OP3 = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    ('0x' || md5(coalesce(doc_id::varchar, ''))[1:15])::bigint as h from documents),
+    ('0x' || md5(coalesce(doc_id::varchar, chr(1) || coalesce(text, '')))[1:15])::bigint as h from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 r as (select *, 3.0::double * source_size as cap,
     [5.0::double, 2.0, 1.0][((row_number() over (order by source asc nulls last) - 1) % 3 + 1)::int] as w,
