@@ -209,6 +209,27 @@ def _every_salt() -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
 
 
+def _hub_pairs(now: DataFrame, best_only: bool, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of hubs and members of now(fp, n, key, root) in different components. The hub of a bucket is
+    the member that meets most others over all its buckets: an original before its edited copies. With best_only a member
+    is paired with one hub at most."""
+    sizes = stored(now.groupBy("key").agg(F.count("*").alias("m")), "sizes")
+    met = stored(now.join(small(sizes), "key").groupBy("fp").agg(F.sum(F.col("m") - 1).alias("met")), "met")
+    hubs = stored(now.join(met, "fp").groupBy("key").agg(F.max(F.struct("met", "fp", "n", "root")).alias("h")), "hubs")
+    near = now.join(hubs, "key").filter((F.col("root") != F.col("h.root")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")))
+    if best_only:
+        near = near.groupBy("fp", "n").agg(F.max("h").alias("h"))
+    return near.select(F.col("h.fp").alias("a"), F.col("fp").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b")).distinct()
+
+
+def _still_open(now: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their components as root."""
+    now = now.drop("root").join(labels, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    now = stored(now, "rooted")
+    opened = stored(now.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key"), "keys")
+    return now.join(small(opened), "key", "left_semi")
+
+
 def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of docs(row, doc_id, text): the stored facts (row, doc_id, n_shingles, fp, bands), and the stored groups(fp,
     component_id, root) of the sets that several rows have or that are linked to others. root names a component;
@@ -230,23 +251,23 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     )
     keyed = classes.select("fp", "rep", "n", F.explode("bands").alias("key"))
     buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
-    members = stored(keyed.join(small(buckets), "key"), "members")
+    members = stored(keyed.join(small(buckets), "key").drop("m").withColumn("root", F.col("fp")), "members")
     sets = stored(sets_of(docs.select(F.col("doc_id").cast("long"), "text"), members.select("rep").distinct()), "sets")
 
-    # the hub of a bucket is the member that meets most others over all its buckets: an original before its edited copies
-    met = stored(members.groupBy("fp").agg(F.sum(F.col("m") - 1).alias("met")), "met")
-    hubs = members.join(met, "fp").groupBy("key").agg(F.max(F.struct("met", "fp", "n")).alias("h"))
-    pairs = members.join(stored(hubs, "hubs"), "key").filter("fp <> h.fp")
-    pairs = pairs.select(F.col("h.fp").alias("a"), F.col("fp").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
-    pairs = stored(pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).distinct(), "pairs")
-    edges = stored(verified(pairs, sets, percent), "links")
-    labels = stored(components(edges), "labels")
-    # what still lies apart in a bucket: every pair in different components, said by the least bucket that both are in
-    now = members.drop("rep", "m").join(labels, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    now = stored(now, "rooted")
-    opened = stored(now.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key"), "open")
+    # first every member meets the best hub of all its buckets, which joins most groups; then, in buckets that still hold
+    # several components, the hub of each; what lies apart even then is met pair by pair
+    now, pairs, edges, labels = members, None, None, None
+    for best_only in (True, False):
+        found = stored(_hub_pairs(now, best_only, percent), "pairs")
+        pairs = found.select("a", "b") if pairs is None else pairs.union(found.select("a", "b"))
+        links = verified(found, sets, percent)
+        edges = stored(links if edges is None else edges.union(links), "links")
+        labels = stored(components(edges), "labels")
+        now = stored(_still_open(now, labels), "open")
+        if not now.head(1):
+            break
     bits = sets.select(F.col("fp").alias("_fp"), "bits")
-    rest = now.join(small(opened), "key", "left_semi").join(classes.select("fp", "bands"), "fp").join(bits, F.col("fp") == F.col("_fp")).drop("_fp")
+    rest = now.join(classes.select("fp", "bands"), "fp").join(bits, F.col("fp") == F.col("_fp")).drop("_fp")
     rest = stored(rest, "rest")
     x = rest.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).alias("x")
     y = rest.withColumn("salt", _every_salt()).alias("y")
@@ -254,7 +275,7 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     left = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") < F.col("y.root")) & possible
                   & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")))
     left = left.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-    done = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct()
+    done = pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct()
     left = stored(left.join(done, ["a", "b"], "left_anti"), "left")
     if left.head(1):
         edges = stored(edges.union(verified(left, sets, percent)), "links")
