@@ -1,8 +1,8 @@
 """Media columns: interleaved document sequences.
 
 HTML becomes an ordered sequence of text items and media references with captions. References name their payload by
-digest; payloads are kept once a digest in a media table, and a join on the digest resolves them without disturbing
-positions or captions. A payload is stored as a binary grey image (PGM, 8 bits a sample), whose samples are the bytes.
+digest; the media table holds the payload of every document, and equal payloads fall together by digest before the join
+that resolves references, without disturbing positions or captions. A payload is stored as a binary grey image (PGM, 8 bits a sample), whose samples are the bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import as_bytes, stored
+from eventide.llm.common import SPACE_WORD, as_bytes, stored
 
 #: Samples of a row of the image, and the byte that fills the last row.
 WIDTH, FILL = 576, b"\xff"
@@ -185,6 +185,29 @@ def resolved(items: DataFrame, media: DataFrame, columns: list[str]) -> DataFram
     return refs.join(media.select("digest", *columns), "digest", "left")
 
 
+def page_sequences(pages: DataFrame, media: DataFrame) -> DataFrame:
+    """pages(page_id, html), media(digest, n_bytes) with a row a digest -> page_id, n_items, n_words, n_media, n_captions,
+    n_resolved, media_positions; one row a page row.
+
+    Null and empty HTML has no items. Media whose reference isn't a digest, or isn't in the table, stay in the sequence
+    unresolved. Repeated page_ids stay apart. Other columns are ignored."""
+    rows = stored(sequences(pages, "page_id"), "sequences").withColumn("_row", F.monotonically_increasing_id())
+    kind = lambda k: F.filter("items", lambda x: x["kind"] == k)
+    counted = rows.select(
+        "_row",
+        F.col("id").alias("page_id"),
+        F.size("items").cast("long").alias("n_items"),
+        F.aggregate(kind("text"), F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x["text"], F.lit(SPACE_WORD))).alias("n_words"),
+        F.size(kind("media")).cast("long").alias("n_media"),
+        F.size(F.filter("items", lambda x: F.coalesce(x["caption"], F.lit("")) != "")).cast("long").alias("n_captions"),
+        F.array_join(F.transform(kind("media"), lambda x: x["pos"]), ",").alias("media_positions"),
+    )
+    refs = resolved(rows.select(F.col("_row").alias("id"), "items"), media, ["n_bytes"])
+    found = refs.groupBy("id").agg(F.count("n_bytes").alias("_found")).withColumnRenamed("id", "_of")
+    out = counted.join(found, F.col("_row") == F.col("_of"), "left")
+    return out.select("page_id", "n_items", "n_words", "n_media", "n_captions", F.coalesce("_found", F.lit(0).cast("long")).alias("n_resolved"), "media_positions")
+
+
 def page_of(lines: str, digest: str, caption: str) -> str:
     """A page with a paragraph a line of the text, and after the first one a figure that refers to the payload."""
     parts = [f"<p>{escape(x, quote=False)}</p>" for x in lines.split("\n")]

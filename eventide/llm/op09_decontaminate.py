@@ -15,17 +15,17 @@ from itertools import repeat
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import ALNUM_TABLE, alnum_words, as_bytes
+from eventide.llm.common import ALNUM_TABLE, alnum_words, as_bytes, packed, stored
 
 WINDOW = 10
-#: Windows in one automaton (about 100 bytes a word of a window). More items than fit are dealt to several automata,
-#: and the text is cut into words once for all of them.
-BLOCK_WINDOWS = 400_000
+#: Words of a benchmark whose automaton is sent to every task (about a kilobyte a word). A larger one is met by a join on
+#: windows instead, with the same result.
+MOST_WORDS = 300_000
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -40,7 +40,7 @@ def item_windows(text: bytes, window: int = WINDOW) -> set[tuple[bytes, ...]]:
 
 
 class Index:
-    """Vocabulary and automata over the windows of all items; small, as it holds the benchmark and nothing else."""
+    """Vocabulary and automaton over the windows of all items: of a benchmark of MOST_WORDS words at most."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
         owners: dict[tuple[bytes, ...], set[str]] = {}
@@ -48,72 +48,103 @@ class Index:
             for w in item_windows(text, window):
                 owners.setdefault(w, set()).update([] if item_id is None else [str(item_id)])
         self.ids: dict[bytes, int] = {}
-        self.owners, self.automata = [], []
-        keys = sorted(owners)
-        for begin in range(0, len(keys), BLOCK_WINDOWS):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for key in keys[begin : begin + BLOCK_WINDOWS]:
-                for word in key:
-                    self.ids.setdefault(word, len(self.ids) + 1)
-                automaton.add_word(tuple(self.ids[word] for word in key), (len(self.owners), len(key)))
-                self.owners.append(frozenset(owners[key]))
-            automaton.make_automaton()
-            self.automata.append(automaton)
+        self.owners: list[frozenset[str]] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key in sorted(owners):
+            for word in key:
+                self.ids.setdefault(word, len(self.ids) + 1)
+            self.automaton.add_word(tuple(self.ids[word] for word in key), (len(self.owners), len(key)))
+            self.owners.append(frozenset(owners[key]))
+        if self.owners:
+            self.automaton.make_automaton()
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Flags of the words inside an occurrence of a window, and the items that have one."""
         flags, found = np.zeros(len(words), dtype=bool), set()
-        letters = tuple(map(self.ids.get, words, repeat(0)))
-        for automaton in self.automata:
-            for end, (owner, length) in automaton.iter(letters):
+        if self.owners:
+            for end, (owner, length) in self.automaton.iter(tuple(map(self.ids.get, words, repeat(0)))):
                 flags[end - length + 1 : end + 1] = True
                 found |= self.owners[owner]
         return flags, found
 
 
+def fits(benchmark: DataFrame) -> bool:
+    """Whether the benchmark is small enough for an automaton, counted before anything is fetched."""
+    n = benchmark.agg(F.sum(F.size(_words("text"))).alias("n")).first().n
+    return (n or 0) <= MOST_WORDS
+
+
 def read_items(benchmark: DataFrame) -> list[tuple[object, bytes]]:
     """The stated query set: the benchmark's items, of which null and empty texts have no windows."""
     rows = benchmark.select("item_id", as_bytes("text").alias("text")).dropna(subset=["text"]).toLocalIterator()
     return [(r.item_id, bytes(r.text)) for r in rows]
 
 
+def _places(text: bytes, flags: np.ndarray) -> list[tuple[int, int]]:
+    """Flagged words as stretches of code points of the original text, end exclusive."""
+    places = [m.span() for m in _WORD.finditer(text.translate(ALNUM_TABLE))]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    spans, at, before = [], 0, 0
+    for i, j in zip(edges[::2], edges[1::2]):
+        begin, end = places[i][0], places[j - 1][1]
+        start = before + len(text[at:begin].decode("utf-8", "replace"))
+        at, before = end, start + len(text[begin:end].decode("utf-8", "replace"))
+        spans.append((start, before))
+    return spans
+
+
 def hit_spans(text: bytes, index: Index) -> list[tuple[int, int]]:
     """The hit stretches as code point offsets in the original text, end exclusive."""
-    lowered = bytes(b + 32 if 65 <= b <= 90 else b for b in text) if len(text) < 64 else text.lower()
-    places = [m.span() for m in _WORD.finditer(lowered)]
-    flags, _ = index.hits([lowered[a:b] for a, b in places])
-    spans, i = [], 0
-    while i < len(places):
-        if flags[i]:
-            j = i
-            while j + 1 < len(places) and flags[j + 1]:
-                j += 1
-            start = len(text[: places[i][0]].decode())
-            spans.append((start, start + len(text[places[i][0] : places[j][1]].decode())))
-            i = j
-        i += 1
-    return spans
+    return _places(text, index.hits(alnum_words(text))[0])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """documents(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def _words(column: str) -> Column:
+    """The words of a text with A-Z in lower case; none for null."""
+    lower = F.translate(F.coalesce(F.col(column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
-    One row a document row. Null and empty texts have no words and no hits. Items that share a window all count; a null
-    item_id makes hits but isn't listed. An empty benchmark finds nothing. Other columns are ignored.
-    """
+
+def _windows(rows: DataFrame, lengths: Column, *keep: str) -> DataFrame:
+    """rows(_words, ...) -> keep, at, length, window (a digest) for each of the given lengths at each place."""
+    at = rows.select(*keep, "_words", F.explode(lengths).alias("length")).filter("length > 0 and length <= size(_words)")
+    at = at.select(*keep, "_words", "length", F.explode(F.sequence(F.lit(0), F.size("_words") - F.col("length"))).alias("at"))
+    return at.select(*keep, "at", "length", F.md5(F.array_join(F.slice("_words", F.col("at") + 1, F.col("length")), " ")).alias("window"))
+
+
+def by_join(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """What decontaminate gives (without spans), by a join of all windows of documents and items, of whatever size."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("_item"), _words("text").alias("_words")).filter("size(_words) > 0")
+    keys = _windows(items, F.array(F.least(F.lit(window), F.size("_words"))), "_item").select("_item", "length", "window").distinct()
+    keys = stored(keys, "windows")
+    lengths = sorted(r.length for r in keys.select("length").distinct().collect())  # `window` of them at most
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("_words")).withColumn("_row", F.monotonically_increasing_id()), "words")
+    hits = _windows(rows, F.array(*map(F.lit, lengths)).cast("array<int>"), "_row").join(keys, ["length", "window"])
+    covered = hits.select("_row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("word")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
+    named = hits.select("_row", "_item").distinct().groupBy("_row").agg(F.count("_item").alias("n_items"), F.array_join(F.array_sort(F.collect_list("_item")), ",").alias("_items"))
+    out = rows.select("_row", "doc_id", F.size("_words").cast("long").alias("n_words")).join(covered, "_row", "left").join(named, "_row", "left")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return out.select("doc_id", "n_words", n("n_hit").alias("n_hit"), n("n_items").alias("n_items"), F.sha2(F.coalesce("_items", F.lit("")), 256).alias("items_sha256"), (n("n_hit") > 0).alias("contaminated"))
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """decontaminate with `spans`, the hit stretches as code points of the original text, in order; one pass with one
+    automaton over a benchmark that fits."""
     index = docs.sparkSession.sparkContext.broadcast(Index(read_items(benchmark), window))
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
-            n_words, n_hit, n_items, shas = [], [], [], []
+            n_words, n_hit, n_items, shas, spans = [], [], [], [], []
             for text in batch.column(1):
-                words = (text.as_py() or b"").translate(ALNUM_TABLE).split()
+                data = text.as_py() or b""
+                words = alnum_words(data)
                 flags, found = own.hits(words)
                 n_words.append(len(words))
                 n_hit.append(int(flags.sum()))
                 n_items.append(len(found))
                 shas.append(hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
+                spans.append([{"start": a, "end": b} for a, b in _places(data, flags)] if n_hit[-1] else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -122,15 +153,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                     pa.array(n_items, pa.int64()),
                     pa.array(shas, pa.string()),
                     pa.array([n > 0 for n in n_hit], pa.bool_()),
+                    pa.array(spans, span),
                 ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(run, RESULT)
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """documents(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    One row a document row. Null and empty texts have no words and no hits. Items that share a window all count; a null
+    item_id makes hits but isn't listed. An empty benchmark finds nothing. Other columns are ignored. One automaton finds
+    everything in one scan (`marked`, which also tells where); a benchmark too large to be sent to every task is joined."""
+    return marked(docs, benchmark, window).drop("spans") if fits(benchmark) else by_join(docs, benchmark, window)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, in all their columns, in which no benchmark window occurs."""
+    """The documents, in all their columns, in which no benchmark window occurs; null and empty texts stay."""
+    if not fits(benchmark):
+        rows = stored(packed(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+        found = by_join(rows.select(F.col("_row").alias("doc_id"), "doc.text"), benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_gone"))
+        return rows.join(found, F.col("_row") == F.col("_gone"), "left_anti").select("doc.*")
     index = docs.sparkSession.sparkContext.broadcast(Index(read_items(benchmark), window))
 
     @F.arrow_udf("boolean")

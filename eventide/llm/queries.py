@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from eventide.llm import oracles
 from eventide.llm.common import table
 from eventide.llm.op01_toxicity import classify
-from eventide.llm.op02_media_sequences import media_columns
+from eventide.llm.op02_media_sequences import described, media_columns, media_table, page_sequences
 from eventide.llm.op03_mixing import mix
 from eventide.llm.op04_recurrent_lm import score
 from eventide.llm.op05_secret_links import secrets
@@ -60,6 +60,11 @@ def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of all web pages; references are looked up among the payloads of all documents."""
+    return page_sequences(table(spark, sf_dir, "pages"), described(media_table(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media_sequences": op2_media_sequences,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_diagonals": op8_license_diagonals,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii_votes": op10_pii_votes,
+    "media_pages": media_pages,
 }
 
 ORACLES: dict[str, str] = {

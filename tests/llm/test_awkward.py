@@ -328,3 +328,72 @@ def test_very_long_texts(spark):
         assert f(docs, labels, bench).count() == 4, name
     got = {r.doc_id: r for r in lm.score(docs).collect()}
     assert got[1].n_tokens == 600_001 and all(math.isfinite(r.score) for r in got.values())
+
+
+def test_a_join_finds_what_the_automaton_finds(spark, sf_dir, monkeypatch):
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "one two"), (None, "x one, TWO y"), (-3, "one"), (-3, "one")], "doc_id long, text string")
+    few = spark.createDataFrame([("z", "one two"), ("a", "TWO y"), (None, "x"), ("n", None), ("e", ".")], "item_id string, text string")
+    for d, b in ((docs, bench), (odd, few), (odd, few.limit(0)), (odd.limit(0), few)):
+        one, other = (sorted(map(repr, f(d, b).collect())) for f in (dec.decontaminate, dec.by_join))
+        assert one == other and len(one) == d.count()
+    kept = sorted(map(repr, dec.clean(odd, few).collect()))
+    monkeypatch.setattr(dec, "MOST_WORDS", 0)
+    assert sorted(map(repr, dec.clean(odd, few).collect())) == kept and len(kept) == 4
+
+
+def test_hit_words_have_their_place_in_the_original(spark):
+    texts = ["é\U0001f600 Alpha,  BETA; gamma alpha beta", "alpha", None, "beta alpha beta é", "x" * 5000 + " Alpha beta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in dec.marked(docs, bench).collect()}
+    assert got == {0: ["Alpha,  BETA", "alpha beta"], 1: [], 2: [], 3: ["alpha beta"], 4: ["Alpha beta"]}
+
+
+def test_pages_resolve_their_references(spark):
+    payload = hashlib.sha256(media.payload_of(b"hello")).hexdigest()
+    pages = [
+        ("p", f"<p>one two</p><figure><img src='digest:{payload}'><figcaption>cap</figcaption></figure><p>three</p><img src='http://x/y.png' alt=''>"),
+        ("p", f"<img src='digest:{payload}'><img src='digest:{payload}'>"), ("q", None), ("r", ""), (None, "<p>only text<script>no</script></p>"),
+    ]
+    frame = spark.createDataFrame([(i, h, 1) for i, h in pages], "page_id string, html string, n_items int")
+    stored = media.described(media.media_table(spark.createDataFrame([("hello",), ("hello",), (None,)], "text string")))
+    got = sorted(map(tuple, media.page_sequences(frame, stored).collect()), key=repr)
+    want = [("p", 4, 3, 2, 1, 1, "1,3"), ("p", 2, 0, 2, 0, 2, "0,1"), ("q", 0, 0, 0, 0, 0, ""), ("r", 0, 0, 0, 0, 0, ""), (None, 1, 2, 0, 0, 0, "")]
+    assert got == sorted(want, key=repr)
+    assert media.page_sequences(frame.limit(0), stored).count() == 0
+
+
+def license_share(words, template):
+    """Largest share of a template's words in grams of three that the text has, over stretches of near diagonals."""
+    diagonals = {}
+    for i in range(len(words) - 2):
+        for j in range(len(template) - 2):
+            if words[i : i + 3] == template[j : j + 3]:
+                diagonals.setdefault(i - j, []).append((i, j))
+    best, before, covered = 0.0, None, set()
+    for d in sorted(diagonals):
+        own = {j + k for _, j in diagonals[d] for k in range(3)}
+        covered = covered | own if before is not None and d - before <= lic.DRIFT else own
+        best, before = max(best, len(covered) / len(template)), d
+    return best
+
+
+def test_whole_licenses_are_found_with_words_put_in_and_left_out(spark):
+    rng, rows = np.random.default_rng(12), []
+    for i, (text, label) in enumerate(lic.LICENSES):
+        words = text.split()
+        for k, share in enumerate((0.0, 0.04, 0.5)):
+            kept = [w for w in words if rng.random() >= share]
+            kept = [x for w in kept for x in ([w] if rng.random() >= share / 2 else ["zu", w])]
+            rows.append((10 * i + k, "ya " * int(rng.integers(0, 30)) + " ".join(kept).title(), label, k))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in lic.scan(docs).collect()}
+    for i, text, label, k in rows:
+        words = text.lower().split()
+        best = max([license_share(words, t.split()) for t, _ in (*lic.TEMPLATES, *lic.LICENSES)])
+        assert got[i].score == pytest.approx(max(best, 1.0 if got[i].n_base else 0.0)), (i, label)
+        if k < 2:
+            assert label in got[i].labels.split(",")
+        if k == 2 and best < lic.COVER:
+            assert got[i].labels == got[i].base_labels
