@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A dimension side is broadcast only up to so many rows.
@@ -36,6 +40,14 @@ def average_rank(x: str, spec_cols: list[str]) -> Column:
     return F.when(F.col(x).isNotNull(), (F.rank().over(ordered) + (ties - 1) / 2.0) / size)
 
 
+def correlation(a, b) -> Column:
+    """Pearson's correlation as an aggregate; null where one side doesn't vary, or a pair is missing on all rows."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def share_true(condition: Column) -> Column:
     """Mean of a condition as an aggregate, nulls left out."""
     return F.avg(F.when(condition.isNotNull(), condition.cast("double")))
@@ -66,3 +78,67 @@ def with_bh(df: DataFrame, p: str, keys: list[str], q: float, ties: list) -> Dat
     df = df.withColumn("q_value", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_k")).over(onward))))
     bound = F.max(F.when(F.col(p) <= F.lit(q) * F.col("_k") / F.col("_n"), F.col(p))).over(Window.partitionBy(*keys))
     return df.withColumn("rejected", F.coalesce(F.col(p) <= bound, F.lit(False))).drop("_k", "_n")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new one where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: what is read several times is not computed several times."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Groups of so few rows are ranked whole; of larger ones only what lies this near to the rank asked for.
+RANKED_WHOLE, NEAR = 20_000, 3e-4
+
+
+def with_top(df: DataFrame, keys: list[str], value: Column, k: Callable[[Column], Column], share: float, ties: list[str]) -> DataFrame:
+    """Adds `_top`: whether a row is among the k(n) largest values of its group, k(n) being share * n to within 1; equal
+    values go by `ties`. A sketch of the values brackets the boundary; rows above are counted, and only rows within the
+    bracket are ranked, so no task sorts a group. df is read three times; rows without a value must be gone."""
+    group, whole = keys or ["_all"], F.col("_n") <= RANKED_WHOLE
+    v = df.withColumn("_v", value.cast("double"))
+    v = v if keys else v.withColumn("_all", F.lit(0))
+    around = F.percentile_approx("_v", F.array(F.lit(max(0.0, 1 - share - NEAR)), F.lit(min(1.0, 1 - share + NEAR))), F.lit(10_000))
+    stats = v.groupBy(*group).agg(F.count("*").alias("_n"), around.alias("_q"))
+    lo, hi = F.when(whole, float("-inf")).otherwise(F.col("_q")[0]), F.when(whole, float("inf")).otherwise(F.col("_q")[1])
+    stats = small(stats.select(*group, k(F.col("_n")).alias("_k"), lo.alias("_lo"), hi.alias("_hi")))
+    v = v.join(stats, group)
+    above = small(v.groupBy(*group).agg(F.count_if(F.col("_v") > F.col("_hi")).alias("_above")))
+    near = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    salted = v.join(above, group).withColumn("_near", near).withColumn("_salt", F.when(near, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*ties), F.lit(1 << 20)).cast("int")))
+    rank = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(F.desc("_v"), *ties))
+    top = (F.col("_v") > F.col("_hi")) | (F.col("_near") & (rank <= F.col("_k") - F.col("_above")))
+    return salted.withColumn("_top", top).drop("_v", "_all", "_k", "_lo", "_hi", "_above", "_near", "_salt")
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], x: str, ps: tuple[float, ...]) -> DataFrame:
+    """keys, `q`: the interpolated percentiles of each group, by brackets as in with_top: no task holds a group's values."""
+    group = keys or ["_all"]
+    v = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_v"), *([] if keys else [F.lit(0).alias("_all")]))
+    bounds = [b for p in ps for b in (max(0.0, p - NEAR), min(1.0, p + NEAR))]
+    stats = v.groupBy(*group).agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, bounds)), F.lit(10_000)).alias("_q"))
+    whole = F.col("_n") <= RANKED_WHOLE
+    each = [F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.when(whole, float("-inf")).otherwise(F.col("_q")[2 * i]).alias("lo"), F.when(whole, float("inf")).otherwise(F.col("_q")[2 * i + 1]).alias("hi")) for i, p in enumerate(ps)]
+    v = v.join(small(stats.select(*group, "_n", F.array(*each).alias("_b"))), group)
+    below = v.groupBy(*group).agg(F.first("_n").alias("_n"), *[F.count_if(F.col("_v") < F.col("_b")[i]["lo"]).alias(f"_below{i}") for i in range(len(ps))])
+    below = small(below.select(*group, "_n", F.array(*[F.col(f"_below{i}") for i in range(len(ps))]).alias("_below")))
+    near = v.select(*group, "_v", F.explode(F.filter("_b", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))).alias("b")).select(*group, "_v", "b.i", "b.p")
+    rank = F.row_number().over(Window.partitionBy(*group, "i").orderBy("_v")) - 1
+    near = near.withColumn("_r", rank).join(below, group)
+    place = F.col("p") * (F.col("_n") - 1)
+    at = F.col("_r") + F.get("_below", F.col("i"))
+    weight = F.when(at == F.floor(place), 1 - (place - F.floor(place))).when(at == F.floor(place) + 1, place - F.floor(place))
+    found = near.withColumn("_w", weight).filter("_w > 0").groupBy(*group, "i").agg(F.sum(F.col("_w") * F.col("_v")).alias("_x"))
+    out = found.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_x"))), lambda s: s["_x"]).alias("q"))
+    return out if keys else out.drop("_all")

@@ -86,13 +86,30 @@ def touch_and_follow(bars: DataFrame, first: Column, follow: Column, within: int
     return first_per(later, ["instrument_id", "session_date"], [F.col("bar_no")])
 
 
-def opening_break(bars: DataFrame, opening: int, near: float) -> DataFrame:
-    """Hold near the high: the opening bars' range, a last opening close near its high, then the first later close above it."""
-    n = numbered(bars.filter("is_rth"))
-    level = n.filter(F.col("bar_no") < opening).groupBy("instrument_id", "session_date").agg(F.max("high").alias("open_high"), F.min("low").alias("open_low"), F.max_by("close", "bar_no").alias("open_close"))
-    level = level.filter(F.col("open_close") >= F.col("open_low") + near * (F.col("open_high") - F.col("open_low")))
-    later = n.join(level, ["instrument_id", "session_date"]).filter((F.col("bar_no") >= opening) & (F.col("close") > F.col("open_high")))
-    return first_per(later, ["instrument_id", "session_date"], [F.col("bar_no")])
+def hold_near_high(bars: DataFrame, state: DataFrame, window: tuple[int, int], later: tuple[int, int], gap: float, spread: float, near: float) -> DataFrame:
+    """Hold near the high: a day that opens at least `gap` over the previous close, whose opening window (minutes of the day,
+    end exclusive) has a high above the open, a range of at least `spread` of it, and no close further than `near` below its
+    high. The event is the first bar of the later window (end inclusive) that reaches that high."""
+    keys, minute, rth = ["instrument_id", "session_date"], F.col("minute_of_day"), bars.filter("is_rth")
+    w = rth.filter((minute >= window[0]) & (minute < window[1])).groupBy(*keys).agg(
+        F.min_by("open", "ts_utc").alias("open_w"), F.max("high").alias("high_w"), F.min("low").alias("low_w"), F.min("close").alias("min_c")
+    )
+    jump = F.try_divide("open_w", "prev_close") - 1
+    held = w.join(state, keys).filter(
+        (jump >= gap) & (F.col("high_w") > F.col("open_w")) & (F.try_divide(F.col("high_w") - F.col("low_w"), F.col("open_w")) >= spread) & (F.col("min_c") >= F.col("high_w") * (1 - near))
+    )
+    hits = rth.filter(minute.between(*later)).join(held.select(*keys, "high_w"), keys).filter(F.col("high") >= F.col("high_w"))
+    return first_per(hits, keys, [F.col("ts_utc")])
+
+
+def parabolic(features: DataFrame, bars: DataFrame, window: tuple[int, int], ret_15: float, ret_5: float, share: float, rvol: float, growth: float) -> DataFrame:
+    """Regular bars of a window (minutes from the open) that rise by ret_15 in fifteen bars, by ret_5 and at least `share` of
+    that in the last five, on volume of rvol times the typical and `growth` times that of ten bars ago."""
+    before = bars.select("instrument_id", "session_date", "ts_utc", F.sum("volume").over(by_day().rowsBetween(-4, 0)).alias("_v"))
+    before = before.select("instrument_id", "ts_utc", F.lag("_v", 10).over(by_day()).alias("volume_before"))
+    x = features.join(before, ["instrument_id", "ts_utc"]).filter(F.col("minutes_from_open").between(*window))
+    steep = (F.col("ret_15m") >= ret_15) & (F.col("ret_5m") >= ret_5) & (F.col("ret_5m") >= share * F.col("ret_15m"))
+    return x.filter(steep & (F.col("rvol_5m") >= rvol) & (F.col("volume_5m") >= growth * F.col("volume_before")))
 
 
 def impulse_pullback(features: DataFrame, impulse: float, look: int, band: tuple[float, float], push: int) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import with_bh
+from eventide.functions.core import average_rank, correlation, with_bh
 from eventide.functions.tdist import t_p
+from eventide.operators.grid import CLOCK
 
 
 def history(panel: DataFrame, days: int = 20) -> DataFrame:
@@ -32,7 +33,7 @@ def pair_statistics(hist: DataFrame, value: str = "resid", least: int = 40) -> D
     j = a.join(b, ["as_of", "trading_date", "minute_of_day"]).filter("leader_id <> follower_id")
     both = F.col("fn").isNotNull()
     return j.groupBy("as_of", "leader_id", "follower_id").agg(
-        F.corr("lx", "fx").alias("corr"), F.count("*").alias("n"), F.corr(F.when(both, F.col("lx")), F.col("fn")).alias("lag_corr"), F.count("fn").alias("lag_n")
+        correlation("lx", "fx").alias("corr"), F.count("*").alias("n"), correlation(F.when(both, F.col("lx")), F.col("fn")).alias("lag_corr"), F.count("fn").alias("lag_n")
     )
 
 
@@ -56,23 +57,45 @@ def leaders_by_lag(stats: DataFrame, leaders: int = 5, least: int = 40) -> DataF
 
 
 def peer_features(grid: DataFrame, graph: DataFrame, value: str = "resid") -> DataFrame:
-    """For each grid row the weighted shock of its leaders at the same clock, from the graph of the row's own week. Names
-    without leaders stay null, with count 0."""
-    e = graph.select("as_of", "leader_id", "follower_id", F.col("lag_corr").alias("w"))
+    """For each grid row what its leaders do at the same clock, from the graph of the row's own week: weighted shock and
+    agreement (weights: share of a follower's edges), plain mean, breadth and median size, and the row's gaps to them.
+    Names without leaders stay null, with count 0."""
+    each = Window.partitionBy("as_of", "follower_id")
+    w = F.try_divide(F.abs("lag_corr"), F.sum(F.abs("lag_corr")).over(each))
+    e = graph.select("as_of", "leader_id", "follower_id", w.alias("w"))
     own = grid.withColumn("as_of", F.to_date(F.date_trunc("week", "trading_date")))
     lead = own.select("as_of", "trading_date", "minute_of_day", F.col("instrument_id").alias("leader_id"), F.col(value).alias("lx"))
     j = lead.join(e, ["as_of", "leader_id"]).filter("lx is not null")
+    rises = (F.col("lx") > 0).cast("double")
     g = j.groupBy("trading_date", "minute_of_day", F.col("follower_id").alias("instrument_id")).agg(
-        F.try_divide(F.sum(F.col("w") * F.col("lx")), F.sum(F.abs("w"))).alias("leader_shock"),
-        F.avg((F.col("lx") > 0).cast("double")).alias("leader_agreement"),
-        F.stddev_pop("lx").alias("peer_dispersion"),
-        F.count("*").alias("leader_count"),
+        F.sum(F.col("w") * F.col("lx")).alias("leader_shock"),
+        F.sum(F.col("w") * rises).alias("leader_agreement"),
+        F.avg("lx").alias("peer_return"),
+        F.avg(rises).alias("peer_breadth"),
+        F.percentile(F.abs("lx"), F.lit(0.5)).alias("peer_dispersion"),
+    )
+    counts = graph.groupBy("as_of", F.col("follower_id").alias("instrument_id")).agg(F.countDistinct("leader_id").alias("leader_count"))
+    out = own.join(g, ["trading_date", "minute_of_day", "instrument_id"], "left").join(counts, ["as_of", "instrument_id"], "left")
+    out = out.withColumn("leader_count", F.coalesce("leader_count", F.lit(0).cast("long"))).withColumn("peer_count", F.col("leader_count"))
+    return out.select(
+        "*",
+        (F.col("leader_shock") - F.col(value)).alias("response_gap"),
+        (F.col("peer_return") - F.col(value)).alias("peer_response_gap"),
+        (average_rank("peer_return", CLOCK) - average_rank(value, CLOCK)).alias("peer_rank_gap"),
+        (F.col("leader_count") > 0).alias("graph_available"),
     )
-    out = own.join(g, ["trading_date", "minute_of_day", "instrument_id"], "left").withColumn("leader_count", F.coalesce("leader_count", F.lit(0)))
-    return out.withColumn("response_gap", F.col("leader_shock") - F.col(value)).withColumn("graph_available", F.col("leader_count") > 0)
 
 
 def lineage(stats: DataFrame, graph: DataFrame) -> DataFrame:
     a = stats.groupBy("as_of").agg(F.count("*").alias("tests"), F.percentile(F.abs("lag_corr"), F.lit(0.5)).alias("median_abs_r"))
     b = graph.groupBy("as_of").agg(F.count("*").alias("edges"), F.countDistinct("follower_id").alias("followers"))
     return a.join(b, "as_of", "left").withColumn("edges", F.coalesce("edges", F.lit(0))).withColumn("followers", F.coalesce("followers", F.lit(0)))
+
+
+def overlay_checks(edges: DataFrame, hist: DataFrame) -> DataFrame:
+    """Whether a graph is fit to be joined: edges, edges whose history reaches their own week, repeated edges, self-edges."""
+    ends = hist.groupBy("as_of").agg(F.max("trading_date").alias("history_end"))
+    e = edges.join(ends, "as_of").withColumn("_k", F.struct("as_of", "leader_id", "follower_id"))
+    return e.agg(
+        F.count("*").alias("edges"), F.count_if(F.col("history_end") >= F.col("as_of")).alias("late"), (F.count("*") - F.countDistinct("_k")).alias("repeated"), F.count_if(F.col("leader_id") == F.col("follower_id")).alias("own")
+    )

@@ -66,14 +66,15 @@ def residual_grid(grid: DataFrame, beta: DataFrame) -> DataFrame:
     return g.withColumn("resid", F.col("r") - F.col("beta") * F.col("mkt"))
 
 
-def cross_section(grid: DataFrame, value: str = "resid") -> DataFrame:
-    """Rank, dispersion, breadth and tail imbalance of a value at each clock, and the change of the rank."""
-    z = F.try_divide(F.col(value) - F.avg(value).over(clock()), F.stddev_samp(value).over(clock()))
+def cross_section(grid: DataFrame, value: str = "resid", tail: float = 2.0) -> DataFrame:
+    """Rank, dispersion, breadth and tail imbalance of a value at each clock, and the change of the rank. Tails are values
+    more than `tail` deviations from the mean."""
+    z = (F.col(value) - F.avg(value).over(clock())) / (F.stddev_samp(value).over(clock()) + 1e-12)
     g = grid.withColumn("resid_rank", average_rank(value, CLOCK)).withColumn("_z", z)
     g = (
         g.withColumn("xs_dispersion", F.percentile(F.abs(value), F.lit(0.5)).over(clock()))
         .withColumn("xs_breadth", share_true(F.col(value) > 0).over(clock()))
-        .withColumn("xs_tail_imbalance", share_true(F.col("_z") > 1).over(clock()) - share_true(F.col("_z") < -1).over(clock()))
+        .withColumn("xs_tail_imbalance", share_true(F.col("_z") > tail).over(clock()) - share_true(F.col("_z") < -tail).over(clock()))
         .withColumn("resid_rank_change", F.col("resid_rank") - F.lag("resid_rank").over(of_day()))
     )
     return g.drop("_z")

@@ -6,10 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.core import exact_percentiles, stored, with_top
 
-def standardised(df: DataFrame, features: list[str]) -> DataFrame:
-    """Each feature less its mean over its population deviation; unknown or constant: 0."""
-    row = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
+
+def standardised(df: DataFrame, features: list[str], fitted_on: DataFrame | None = None) -> DataFrame:
+    """Each feature less its mean over its population deviation, both taken from `fitted_on` (rows of the training days) or
+    from df itself; unknown or constant: 0."""
+    row = (df if fitted_on is None else fitted_on).agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
     z = lambda f: F.coalesce(F.try_divide(F.col(f) - F.lit(row[f"m_{f}"]), F.lit(row[f"s_{f}"])), F.lit(0.0))
     return df.withColumns({f"z_{f}": z(f) for f in features})
 
@@ -33,9 +36,9 @@ def score(xs: list[str], weights) -> Column:
 
 
 def most_certain(df: DataFrame, s: str, coverage: float, ties: list[str]) -> DataFrame:
-    """The given share of rows with the largest |score|."""
-    w = Window.partitionBy(F.lit(1))
-    return df.withColumn("_k", F.row_number().over(Window.orderBy(F.abs(s).desc(), *ties))).withColumn("_n", F.count("*").over(w)).filter(F.col("_k") <= F.round(F.col("_n") * coverage)).drop("_k", "_n")
+    """The given share of rows with the largest |score|; rows without a score go."""
+    scored = stored(df.filter(F.col(s).isNotNull()), "scored")
+    return with_top(scored, [], F.abs(s), lambda n: F.round(n * coverage), coverage, ties).filter("_top").drop("_top")
 
 
 def rank_tails(df: DataFrame, keys: list[str], s: str, coverage: float, ties: list[str]) -> DataFrame:
@@ -75,10 +78,15 @@ def stumps(train: DataFrame, test: DataFrame, xs: list[str], y: str, rounds: int
 
 def by_coverage(scored: DataFrame, s: str, y: str, shares: tuple, ties: list[str]) -> DataFrame:
     """Mean of y times the score's sign over the given shares of rows with the largest |score|."""
-    d = scored.withColumn("_k", F.percent_rank().over(Window.orderBy(F.abs(s).desc(), *ties)))
-    signed = F.signum(s) * F.col(y)
-    inside = d.select("_k", signed.alias("_v"), F.explode(F.array(*map(F.lit, shares))).alias("coverage")).filter("_k <= coverage")
-    return inside.groupBy("coverage").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.avg((F.col("_v") > 0).cast("double")).alias("win_rate"))
+    d = stored(scored.filter(F.col(s).isNotNull()), "scored")
+    signed, parts = F.signum(s) * F.col(y), []
+    for share in shares:
+        top = with_top(d, [], F.abs(s), lambda n, share=share: F.floor((n - 1) * share) + 1, share, ties).filter("_top")
+        parts.append(top.agg(F.lit(share).alias("coverage"), F.count("*").alias("n"), F.avg(signed).alias("mean"), F.avg((signed > 0).cast("double")).alias("win_rate")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def ridge_path(train: DataFrame, test: DataFrame, xs: list[str], y: str, penalties: tuple, ties: list[str]) -> DataFrame:
@@ -86,7 +94,8 @@ def ridge_path(train: DataFrame, test: DataFrame, xs: list[str], y: str, penalti
     d = test.filter(F.col(y).isNotNull())
     scores = F.array(*[F.struct(F.lit(a).alias("penalty"), score(xs, ridge(train, xs, y, a)).alias("s")) for a in penalties])
     d = d.select(*ties, F.col(y).alias("_y"), F.explode(scores).alias("_s")).select(*ties, "_y", "_s.penalty", "_s.s")
-    cut = d.groupBy("penalty").agg(F.percentile("s", F.array(F.lit(0.1), F.lit(0.9))).alias("_q"))
+    d = stored(d, "scored")
+    cut = exact_percentiles(d, ["penalty"], "s", (0.1, 0.9)).withColumnRenamed("q", "_q")
     j = d.join(F.broadcast(cut), "penalty")
     top, low = F.avg(F.when(F.col("s") >= F.col("_q")[1], F.col("_y"))), F.avg(F.when(F.col("s") <= F.col("_q")[0], F.col("_y")))
     return j.groupBy("penalty").agg(F.avg(F.pow(F.col("s") - F.col("_y"), 2)).alias("error"), (top - low).alias("spread"), F.count("*").alias("n"))

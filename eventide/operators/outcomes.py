@@ -39,7 +39,8 @@ def forward_returns(events: DataFrame, bars: DataFrame, horizons: dict[str, int]
 
 
 def barriers(events: DataFrame, bars: DataFrame, minutes: int, take: float, stop: float) -> DataFrame:
-    """First touch of the profit or loss barrier within the horizon. Both in one bar is ambiguous and leaves the flags null.
+    """First touch of the profit or loss barrier within the horizon. Both in one bar is ambiguous and
+    leaves the flags null, and so does a window without a touch.
     Excursions include the touching bar and are at least 0 (favourable) or at most 0 (adverse)."""
     e = with_entry(events.select("event_id", "instrument_id", "entry_ts", "side"), bars)
     b = bars.select("instrument_id", "ts_utc", "high", "low")
@@ -60,5 +61,12 @@ def barriers(events: DataFrame, bars: DataFrame, minutes: int, take: float, stop
     g = g.withColumn("ambiguous", F.col("_t") & F.col("_s"))
     return e.join(g, "event_id", "left").select(
         "event_id", "instrument_id", "side", "entry_price", "mfe", "mae", "ambiguous",
-        F.when(~F.col("ambiguous"), F.col("_t")).alias("target_first"), F.when(~F.col("ambiguous"), F.col("_s")).alias("stop_first"),
+        F.when(~F.col("ambiguous") & (F.col("_t") | F.col("_s")), F.col("_t")).alias("target_first"), F.when(~F.col("ambiguous") & (F.col("_t") | F.col("_s")), F.col("_s")).alias("stop_first"),
     )
+
+
+def full_outcomes(events: DataFrame, bars: DataFrame, horizons: dict[str, int], bar_minutes: int, window: int, take: float, stop: float) -> DataFrame:
+    """One row an event and horizon: forward return, and the excursions and first touches of the window (minutes)."""
+    returns = forward_returns(events, bars, horizons, bar_minutes)
+    touches = barriers(events, bars, window, take, stop).select("event_id", "mfe", "mae", "ambiguous", "target_first", "stop_first")
+    return returns.join(touches, "event_id", "left")

@@ -36,11 +36,12 @@ def coverage_jumps(days: DataFrame, share: float = 0.25) -> DataFrame:
     return d.filter(F.coalesce("jump", F.lit(False)) | F.col("outside")).select("session_date", "rows", "before", "outside")
 
 
-def missing_weekdays(days: DataFrame) -> DataFrame:
-    """Weekdays between the first and the last day that have no rows."""
-    span = days.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b")).filter("a is not null")
-    every = span.select(F.explode(F.sequence("a", "b")).alias("session_date")).filter(F.weekday("session_date") < 5)
-    return every.join(days.select("session_date").distinct(), "session_date", "left_anti")
+def missing_weekdays(days: DataFrame, keys: list[str]) -> DataFrame:
+    """Weekdays between the first and the last day of each key that have no rows."""
+    days = days.select(*keys, "session_date").distinct()
+    span = days.groupBy(*keys).agg(F.min("session_date").alias("a"), F.max("session_date").alias("b")).filter("a is not null")
+    every = span.select(*keys, F.explode(F.sequence("a", "b")).alias("session_date")).filter(F.weekday("session_date") < 5)
+    return every.join(days, [*keys, "session_date"], "left_anti")
 
 
 def worst_rows(bars: DataFrame, value: str, k: int = 5) -> DataFrame:
@@ -55,3 +56,55 @@ def verdict(days: DataFrame) -> DataFrame:
     grade = lambda c, fail: F.when(F.col(c) > fail * F.col("rows"), "FAIL").when(F.col(c) > 0, "WARNING").otherwise("PASS")
     cats = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("found"), grade(c, f).alias("grade")) for c, f in (("bad_ohlc", 0.001), ("non_positive", 0.0), ("negative_volume", 0.0), ("off_minute", 0.01))])
     return t.select(F.explode(cats).alias("c")).select("c.*")
+
+
+def extremes(bars: DataFrame, price: float, volume: float, move: float, k: int) -> DataFrame:
+    """The k largest prices, volumes and one-bar moves (within a day) of at least so much: (kind, instrument, time, value)."""
+    step = Window.partitionBy("instrument_id", "session_date").orderBy("ts_utc")
+    moved = F.abs(F.try_divide("close", F.lag("close").over(step)) - 1)
+    kinds = F.array(
+        F.struct(F.lit("price").alias("kind"), F.col("high").alias("value"), F.lit(price).alias("least")),
+        F.struct(F.lit("volume").alias("kind"), F.col("volume").alias("value"), F.lit(volume).alias("least")),
+        F.struct(F.lit("move").alias("kind"), F.col("_move").alias("value"), F.lit(move).alias("least")),
+    )
+    hits = bars.withColumn("_move", moved).select("instrument_id", "ts_utc", F.explode(F.filter(kinds, lambda x: x["value"] >= x["least"])).alias("x")).select("instrument_id", "ts_utc", "x.kind", "x.value")
+    w = Window.partitionBy("kind").orderBy(F.desc("value"), "instrument_id", "ts_utc")
+    return hits.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
+
+
+def reference_coverage(instruments: DataFrame, bars: DataFrame) -> DataFrame:
+    """By exchange: listed instruments, those that trade, those that never do; and traded ones that aren't listed."""
+    traded = bars.select(F.col("instrument_id").alias("_traded")).distinct()
+    both = instruments.select(F.col("instrument_id").alias("_listed"), "exchange").join(traded, F.col("_listed") == F.col("_traded"), "full")
+    return both.groupBy(F.coalesce("exchange", F.lit("none")).alias("exchange")).agg(
+        F.count("_listed").alias("listed"), F.count("_traded").alias("traded"), F.count_if(F.col("_traded").isNull()).alias("never_traded"), F.count_if(F.col("_listed").isNull()).alias("unlisted")
+    )
+
+
+def news_checks(news: DataFrame) -> DataFrame:
+    """Rows, repeated (instrument, article) pairs, nulls, scores outside -1 to 1, and insights available before they are
+    published."""
+    c = news.select("*", F.struct("instrument_id", "article_id").alias("_k"))
+    return c.agg(
+        F.count("*").alias("rows"),
+        (F.count("*") - F.countDistinct("_k")).alias("repeated"),
+        F.count_if(F.col("published_ts").isNull() | F.col("article_id").isNull()).alias("nulls"),
+        F.count_if(~F.col("sentiment_score").between(-1, 1)).alias("out_of_range"),
+        F.count_if(F.col("available_at") < F.col("published_ts")).alias("early"),
+    )
+
+
+def partition_health(df: DataFrame, day: str, null_rates: dict[str, str], ranks: str) -> DataFrame:
+    """Of each day: rows, names, share of nulls of some columns, and the range of a rank."""
+    rates = [F.avg(F.col(c).isNull().cast("double")).alias(n) for n, c in null_rates.items()]
+    return df.groupBy(day).agg(F.count("*").alias("rows"), F.countDistinct("instrument_id").alias("names"), *rates, F.min(ranks).alias("rank_min"), F.max(ranks).alias("rank_max"))
+
+
+def watchdog(health: DataFrame, days: DataFrame, nulls: str = "nulls") -> DataFrame:
+    """Every calendar day with its rows (0 if it has none), how many empty days it ends in a row, and whether the watched
+    column is null throughout. One row a day takes part."""
+    c = days.join(health, "session_date", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+    run = F.sum((F.col("rows") > 0).cast("int")).over(Window.orderBy("session_date"))
+    c = c.withColumn("_run", run)
+    streak = F.count_if(F.col("rows") == 0).over(Window.partitionBy("_run").orderBy("session_date"))
+    return c.select("session_date", "rows", streak.alias("empty_streak"), F.coalesce(F.col(nulls) == 1, F.lit(False)).alias("all_null"))

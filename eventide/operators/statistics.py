@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.core import correlation, exact_percentiles, small, stored, with_top
+
 
 def summary(returns: DataFrame, keys: list[str], x: str = "forward_return", day: str = "session_date") -> DataFrame:
-    """Sample size, moments, quantiles, share above 0, t statistic and share of the sum made by the top 1 % by size."""
-    r = returns.filter(F.col(x).isNotNull())
-    big = Window.partitionBy(*keys).orderBy(F.abs(x).desc(), "event_id")
-    r = r.withColumn("_k", F.row_number().over(big)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    top = F.sum(F.when(F.col("_k") <= F.ceil(F.col("_n") * 0.01), F.abs(x)))
-    q = F.percentile(x, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
+    """Sample size, moments, quantiles, share above 0, t statistic, effect size and share of the sum made by the top 1 % by
+    size."""
+    r = stored(returns.filter(F.col(x).isNotNull()).select(*keys, "event_id", "instrument_id", day, x), "returns")
+    r = with_top(r, keys, F.abs(x), lambda n: F.ceil(n * 0.01), 0.01, ["event_id"])
     s = r.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q.alias("_q"), F.avg((F.col(x) > 0).cast("double")).alias("positive_rate"),
-        F.try_divide(top, F.sum(F.abs(x))).alias("top_share"), F.countDistinct(day).alias("days"), F.countDistinct("instrument_id").alias("names"), F.countDistinct(F.struct("instrument_id", day)).alias("name_days"),
+        F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg((F.col(x) > 0).cast("double")).alias("positive_rate"),
+        F.try_divide(F.sum(F.when(F.col("_top"), F.abs(x))), F.sum(F.abs(x))).alias("top_share"), F.countDistinct(day).alias("days"), F.countDistinct("instrument_id").alias("names"), F.countDistinct(F.struct("instrument_id", day)).alias("name_days"),
     )
-    s = s.withColumn("se", F.col("std") / F.sqrt("n")).withColumn("t_stat", F.try_divide("mean", "se"))
-    return s.select(*keys, "n", "mean", "std", "se", "t_stat", *[F.col("_q")[i].alias(f"q{p}") for i, p in enumerate((10, 25, 50, 75, 90))], "positive_rate", "top_share", "days", "names", "name_days")
+    s = s.withColumn("se", F.col("std") / F.sqrt("n")).withColumn("t_stat", F.try_divide("mean", "se")).withColumn("effect", F.try_divide("mean", "std"))
+    q = exact_percentiles(r, keys, x, (0.1, 0.25, 0.5, 0.75, 0.9))
+    return s.join(small(q), keys).select(*keys, "n", "mean", "std", "se", "t_stat", "effect", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((10, 25, 50, 75, 90))], "positive_rate", "top_share", "days", "names", "name_days")
 
 
 def without_top(returns: DataFrame, keys: list[str], share: float, x: str = "forward_return") -> DataFrame:
     """Mean without the best ceil(share n) rows, and below the 99th percentile."""
-    r = returns.filter(F.col(x).isNotNull())
-    w = Window.partitionBy(*keys)
-    r = r.withColumn("_k", F.row_number().over(w.orderBy(F.desc(x), "event_id"))).withColumn("_n", F.count("*").over(w)).withColumn("_q", F.percentile(x, F.lit(0.99)).over(w))
-    return r.groupBy(*keys).agg(F.avg(F.when(F.col("_k") > F.ceil(F.col("_n") * share), F.col(x))).alias("mean_without_top"), F.avg(F.when(F.col(x) <= F.col("_q"), F.col(x))).alias("mean_below_q99"))
+    r = stored(returns.filter(F.col(x).isNotNull()).select(*keys, "event_id", x), "returns")
+    q = small(exact_percentiles(r, keys, x, (0.99,)).select(*keys, F.col("q")[0].alias("_q99")))
+    r = with_top(r, keys, F.col(x), lambda n: F.ceil(n * share), share, ["event_id"]).join(q, keys)
+    return r.groupBy(*keys).agg(F.avg(F.when(~F.col("_top"), F.col(x))).alias("mean_without_top"), F.avg(F.when(F.col(x) <= F.col("_q99"), F.col(x))).alias("mean_below_q99"))
 
 
 def day_agreement(returns: DataFrame, keys: list[str], x: str = "forward_return", day: str = "session_date") -> DataFrame:
@@ -60,20 +61,24 @@ def bootstrap(returns: DataFrame, keys: list[str], replicates: int, x: str = "fo
     return out.select(*keys, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), F.least(F.lit(1.0), 2 * F.least("_a", "_b")).alias("p_boot"))
 
 
-def reality_check(day_means: DataFrame, replicates: int, rule: str = "rule", day: str = "session_date", x: str = "m") -> DataFrame:
-    """p of the best of several rules: studentised largest mean against bootstrapped, recentred largest means over days."""
-    w = Window.partitionBy(rule)
-    d = day_means.withColumn("_n", F.count("*").over(w)).withColumn("_mean", F.avg(x).over(w)).withColumn("_sd", F.stddev_pop(x).over(w)).filter("_sd > 0")
-    d = d.withColumn("_z", (F.col(x) - F.col("_mean")) / F.col("_sd"))
-    seen = d.groupBy(rule).agg((F.first("_mean") / F.first("_sd") * F.sqrt(F.first("_n"))).alias("t")).agg(F.max("t").alias("best"), F.count("*").alias("rules"))
-    days = d.select(day).distinct().withColumn("i", F.row_number().over(Window.orderBy(day)) - 1)
-    n = Window.partitionBy(F.lit(1))
-    slots = days.withColumn("n", F.count("*").over(n)).select(F.col("i").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+def reality_check(day_means: DataFrame, replicates: int, rule: str = "rule", day: str = "session_date", x: str = "m", least_days: int = 10) -> DataFrame:
+    """p of the best of several rules against no edge: the largest studentised mean (over the root of all days), and in
+    each replicate of drawn days the largest studentised mean of what is recentred by max(mean, 0), studentised anew. Days
+    on which a rule has no mean are left out of its moments. Fewer than `least_days` days give no p."""
+    d = day_means.select(F.col(rule).alias("rule"), F.col(day).alias("day"), F.col(x).alias("m")).filter("m is not null")
+    days = d.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
+    days = days.withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1))))
+    se = lambda n: F.greatest(F.stddev_samp("m") / F.sqrt(n), F.lit(1e-12))
+    total = days.agg(F.max("n").alias("n"))
+    by_rule = d.crossJoin(F.broadcast(total)).groupBy("rule").agg((F.avg("m") / se(F.first("n"))).alias("t"), F.greatest(F.avg("m"), F.lit(0.0)).alias("c"), F.first("n").alias("n"))
+    seen = by_rule.agg(F.max("t").alias("best"), F.count("*").alias("rules"), F.max("n").alias("n"))
+    slots = days.select(F.col("i").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     drawn = slots.select("rep", ((F.col("rep").cast("long") * 7919 + F.col("slot") * 104729 + F.col("rep").cast("long") * F.col("slot") * 31 + 17) % 1000003 % F.col("n")).cast("int").alias("i"))
-    z = d.select(rule, day, "_z", "_n").join(days, day).select(rule, "i", "_z", "_n")
-    per = drawn.join(z, "i").groupBy("rep", rule).agg((F.sum("_z") / F.sqrt(F.first("_n"))).alias("t"))
+    per = drawn.join(days.select("i", "day", "n"), "i").join(d, "day").join(by_rule.select("rule", "c"), "rule").groupBy("rep", "rule").agg(((F.avg("m") - F.first("c")) / se(F.first("n"))).alias("t"))
     top = per.groupBy("rep").agg(F.max("t").alias("t"))
-    return top.join(seen, F.lit(True)).agg(F.first("best").alias("best_t"), F.first("rules").alias("rules"), ((F.count_if(F.col("t") >= F.col("best")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    p = (F.count_if(F.col("t") >= F.col("best") - 1e-9) + 1) / (F.count("*") + 1)
+    out = top.crossJoin(F.broadcast(seen)).agg(F.first("best").alias("best_t"), F.first("rules").alias("rules"), F.first("n").alias("days"), p.alias("p"))
+    return out.select("best_t", "rules", "days", F.when(F.col("days") >= least_days, F.col("p")).alias("p_value"))
 
 
 def day_association(panel: DataFrame, features: list[str], target: str, day: str = "session_date", least_rows: int = 10) -> DataFrame:
@@ -83,16 +88,17 @@ def day_association(panel: DataFrame, features: list[str], target: str, day: str
     long = long.select(day, "y", "_f.feature", "_f.x").filter("x is not null")
     rank = lambda c: F.rank().over(Window.partitionBy(day, "feature").orderBy(c)) + (F.count("*").over(Window.partitionBy(day, "feature", c)) - 1) / 2.0
     r = long.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
-    per_day = r.groupBy(day, "feature").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).filter(F.col("rho").isNotNull() & ~F.isnan("rho") & (F.col("n") >= least_rows))
+    per_day = r.groupBy(day, "feature").agg(F.count("*").alias("n"), correlation("rx", "ry").alias("rho")).filter(F.col("rho").isNotNull() & ~F.isnan("rho") & (F.col("n") >= least_rows))
     s = per_day.groupBy("feature").agg(F.count("*").alias("days"), F.avg("rho").alias("mean_rho"), F.stddev_samp("rho").alias("sd"))
     return s.withColumn("t_stat", F.try_divide(F.col("mean_rho") * F.sqrt("days"), F.col("sd"))).drop("sd")
 
 
 def quantile_bank(panel: DataFrame, features: list[str], parts: int = 10) -> DataFrame:
-    """Inner quantile cuts of all features in one pass: (feature, no, cut)."""
-    ps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    row = panel.agg(*[F.percentile(f, ps).alias(f) for f in features])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("cuts")) for f in features])).alias("b")).select("b.feature", F.posexplode("b.cuts").alias("no", "cut"))
+    """Inner quantile cuts of all features: (feature, no, cut)."""
+    fs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
+    long = stored(panel.select(F.explode(fs).alias("f")).select("f.feature", "f.x").filter("x is not null"), "long")
+    cuts = exact_percentiles(long, ["feature"], "x", tuple(i / parts for i in range(1, parts)))
+    return stored(cuts.select("feature", F.posexplode("q").alias("no", "cut")), "bank")
 
 
 def split_scores(panel: DataFrame, bank: DataFrame, features: list[str], target: str, node: str | None = None, least: int = 5) -> DataFrame:
@@ -106,36 +112,6 @@ def split_scores(panel: DataFrame, bank: DataFrame, features: list[str], target:
     return g.filter((F.col("n_left") >= least) & (F.col("n_right") >= least)).withColumn("score", F.abs(F.col("left_mean") - F.col("right_mean")))
 
 
-def grow_tree(panel: DataFrame, features: list[str], target: str, depth: int = 3, least: int = 50, parts: int = 10) -> list[dict]:
-    """Breadth-first tree of best cuts: each level is one aggregate over the panel with a node column; the driver sees a row a
-    node. Leaves are rules, their direction the sign of the mean."""
-    bank = quantile_bank(panel, features, parts)
-    nodes, rows = {"": []}, panel.withColumn("_node", F.lit(""))
-    leaves: list[dict] = []
-    for level in range(depth + 1):
-        means = {r["_node"]: (r["n"], r["m"]) for r in rows.filter("_node is not null").groupBy("_node").agg(F.count(target).alias("n"), F.avg(target).alias("m")).collect()}
-        best: dict = {}
-        if level < depth:
-            s = split_scores(rows.filter("_node is not null"), bank, features, target, "_node", least)
-            w = Window.partitionBy("_node").orderBy(F.desc("score"), "feature", "cut")
-            best = {r["_node"]: (r["feature"], r["cut"]) for r in s.withColumn("_k", F.row_number().over(w)).filter("_k = 1").collect()}
-        step = F.lit(None).cast("string")
-        grown = {}
-        for node, path in nodes.items():
-            if node in best and means.get(node, (0, 0))[0] >= 2 * least:
-                f, c = best[node]
-                grown[node + "L"], grown[node + "R"] = [*path, (f, "<=", c)], [*path, (f, ">", c)]
-                here = F.col("_node") == node
-                step = F.when(here & (F.col(f) <= c), node + "L").when(here & (F.col(f) > c), node + "R").otherwise(step)
-            elif node in means and path:
-                n, m = means[node]
-                leaves.append({"path": path, "n": n, "mean": m, "direction": "LONG" if m > 0 else "SHORT"})
-        if not grown:
-            break
-        nodes, rows = grown, rows.withColumn("_node", step)
-    return leaves
-
-
 def gate(stats: DataFrame, floor: Column, least: int, top_share: float) -> DataFrame:
     """KILL, WATCH or PASS of each job by sample, concentration, sign and size, with the first reason that applies."""
     reason = (
@@ -161,6 +137,24 @@ def chronological_split(days: DataFrame, day: str, warmup: int, shares=(0.4, 0.2
 
 
 def frame_hash(df: DataFrame) -> DataFrame:
-    """Order-insensitive fingerprint of a table: rows and the sum of row hashes."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("rows"), F.sum((h % 1000000007).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    """Order-insensitive fingerprint of a table: rows and the sum of row hashes over the columns by name, nulls as \\N."""
+    said = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("fingerprint"))
+
+
+def falsify_panel(days: DataFrame, day: str, salt: str, n: int, used: list[DataFrame]) -> DataFrame:
+    """n days by a salted hash of those that no other panel uses."""
+    for other in used:
+        days = days.join(other, day, "left_anti")
+    return hash_panel(days, day, salt, n)
+
+
+def calendar_buckets(returns: DataFrame, events: DataFrame, volume: str, x: str = "forward_return", day: str = "session_date") -> DataFrame:
+    """Count and mean by year, by year and month, and by quartile of the events' dollar volume, in one job."""
+    e = stored(events.select("event_id", F.col(volume).alias("_v")), "volumes")
+    q = small(exact_percentiles(e, [], "_v", (0.25, 0.5, 0.75)))
+    quartile = F.when(F.col("_v").isNull(), None).when(F.col("_v") <= F.col("q")[0], 1).when(F.col("_v") <= F.col("q")[1], 2).when(F.col("_v") <= F.col("q")[2], 3).otherwise(4)
+    r = returns.select("event_id", day, x).join(e.crossJoin(F.broadcast(q)).select("event_id", quartile.alias("quartile")), "event_id")
+    r = r.select(F.year(day).alias("year"), F.month(day).alias("month"), "quartile", x)
+    return r.groupingSets([("year",), ("year", "month"), ("quartile",)], "year", "month", "quartile").agg(F.count("*").alias("n"), F.avg(x).alias("mean"))

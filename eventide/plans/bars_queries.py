@@ -8,11 +8,11 @@ from eventide.operators import events as ev
 from eventide.operators.features import by_day, carried, daily_facts, late_rows
 from eventide.operators.joins import asof_join, range_join
 from eventide.operators.outcomes import barriers, forward_returns
-from eventide.plans.base import BARS, CAUSAL, DAILY, FEATURES, causal, features, register, session_bars
-from eventide.sources.bars import HOURLY, instruments, latest, news, table
+from eventide.plans.base import BARS, CAUSAL, DAILY, DESK, FEATURES, causal, features, register, session_bars
+from eventide.sources.bars import QUARTERS, instruments, latest, news, table
 
-M = HOURLY.bar_minutes
-HORIZONS = {"1b": 60, "3b": 180, "6b": 360}
+M = QUARTERS.bar_minutes
+HORIZONS = {"1h": 60, "3h": 180, "6h": 360}
 
 
 @register("s1_bars_from_ticks", f"with {BARS} select instrument_id, ts_utc, open, high, low, close, volume, transactions from bars", "open high low close volume")
@@ -33,7 +33,7 @@ def _(spark, d):
     return daily_facts(session_bars(spark, d))
 
 
-_CARRIED = "prev_close typ_1m_vol median_20d_dollar_volume yday_ret yday_high yday_low yday_range yday_clv ret_2d ret_3d ret_5d ah_ret pm_ret"
+_CARRIED = "prev_close typ_1m_vol median_20d_dollar_volume yday_ret yday_high yday_low yday_range yday_clv ret_2d ret_3d ret_5d ah_ret pm_ret med20"
 
 
 @register("c6_carried_state", f"with {DAILY} select instrument_id, session_date, {_CARRIED.replace(' ', ', ')} from carried", _CARRIED)
@@ -49,8 +49,8 @@ def _(spark, d):
     return features(spark, d).select("instrument_id", "ts_utc", "available_at", "decision_ts", *_BAR.split())
 
 
-_CAUSAL_A = "ret_1m ret_3m ret_5m ret_10m ret_15m volume_1m volume_5m volume_10m volume_15m range_1m range_5m range_15m range_30m hi_3 lo_3 hi_15 lo_15 path_abs_5 path_abs_15 rth_open rth_high_so_far rth_low_so_far gap_pct rvol_1m rvol_5m rvol_15m"
-_CAUSAL_B = "dist_open dist_prev_close dist_yday_high dist_yday_low path_efficiency_5m path_efficiency_15m acceleration_5_vs_15 pullback_from_recent_high rebound_from_recent_low range_position_15m close_location_value volume_acceleration range_vs_hist"
+_CAUSAL_A = "ret_1m ret_3m ret_5m ret_10m ret_15m ret_30m volume_1m volume_5m volume_10m volume_15m range_1m range_5m range_15m range_30m hi_3 lo_3 hi_5 lo_5 hi_10 lo_10 hi_15 lo_15 path_abs_5 path_abs_15 rth_open rth_high_so_far rth_low_so_far gap_pct rvol_1m rvol_5m rvol_10m rvol_15m"
+_CAUSAL_B = "dist_open dist_prev_close dist_yday_high dist_yday_low path_efficiency_5m path_efficiency_15m acceleration_5_vs_15 pullback_from_recent_high rebound_from_recent_low range_position_15m close_location_value volume_acceleration volume_persistence vol_vs_prev5_avg px_disp_per_rvol vol_accel_range range_vs_hist"
 _CAUSAL_X = "xs_ret_rank xs_rvol_rank xs_accel_rank xs_vol_rank breadth_pos breadth_neg mkt_ret_5m mkt_ret_15m mkt_rvol_5m resid_5m resid_15m"
 
 
@@ -75,7 +75,7 @@ def _(spark, d):
 
 
 _UNIVERSE = """u as (select 'i' || s_suppkey as instrument_id, s_name as ticker, 'X' || (length(c_mktsegment) % 3) as exchange,
-    case when s_nationkey % 5 = 0 then 'ETF' else 'CS' end as security_type from supplier left join customer on s_suppkey = c_custkey where s_suppkey between 0 and 7)"""
+    case when s_nationkey % 5 = 0 then 'ETF' else 'CS' end as security_type from supplier left join customer on s_suppkey = c_custkey)"""
 
 
 @register("p3_universe_filter", f"with {FEATURES}, {_UNIVERSE} select instrument_id, ts_utc, ticker, prev_close from feat join u using (instrument_id) where security_type = 'CS' and exchange in ('X0', 'X1', 'X2') and prev_close between 5 and 300", "prev_close")
@@ -136,7 +136,6 @@ def _job(name: str, where: str, side: str, sql_side: str | None = None):
 # One row a job: name, condition, side. Thresholds fit the tick table's wide prices.
 JOBS = [
     ("e5_weekday_gap", "weekday = 1 and abs(gap_pct) >= 0.1", "case when gap_pct > 0 then 'SHORT' else 'LONG' end"),
-    ("e7_parabolic", "ret_15m is null and ret_5m >= 0.5 and rvol_5m >= 0.9", "'SHORT'"),
     ("e8_quiet_volume_shock", "rvol_5m >= 1.1 and abs(ret_5m) <= 0.25", "'LONG'"),
     ("e12_after_hours_follow", "minutes_from_open = 0 and abs(ah_ret) >= 0.2", "case when ah_ret > 0 then 'LONG' else 'SHORT' end"),
     ("e13_first_yday_tag", "high >= yday_high or low <= yday_low", "case when high >= yday_high then 'LONG' else 'SHORT' end"),
@@ -160,11 +159,20 @@ for _name, _where, _side in JOBS:
 _NUM = "num as (select *, row_number() over (partition by instrument_id, session_date order by ts_utc) - 1 as bar_no from ses where is_rth)"
 
 
-@register("e6_hold_near_high", f"""with {BARS}, {_NUM}, lv as (select instrument_id, session_date, max(high) as oh, min(low) as ol, arg_max(close, bar_no) as oc from num where bar_no < 3 group by all)
-select n.instrument_id, n.session_date, n.ts_utc, oh as open_high from num n join lv using (instrument_id, session_date) where oc >= ol + 0.5 * (oh - ol) and bar_no >= 3 and close > oh
-qualify row_number() over (partition by n.instrument_id, n.session_date order by bar_no) = 1""", "open_high")
+@register("e6_hold_near_high", f"""with {DAILY}, w as (select instrument_id, session_date, arg_min(open, ts_utc) as rth_open, max(high) as high_w, min(low) as low_w, min(close) as min_c from ses where is_rth and minute_of_day < 480 group by all),
+s as (select w.* from w join carried using (instrument_id, session_date) where w.rth_open / nullif(prev_close, 0) - 1 >= 0.15 and high_w > w.rth_open and (high_w - low_w) / nullif(w.rth_open, 0) >= 0.002 and min_c >= high_w * (1 - 0.8))
+select b.instrument_id, b.session_date, b.ts_utc, high_w from ses b join s using (instrument_id, session_date) where minute_of_day >= 480 and minute_of_day <= 900 and high >= high_w qualify row_number() over (partition by b.instrument_id, b.session_date order by ts_utc) = 1""", "high_w")
 def _(spark, d):
-    return ev.opening_break(session_bars(spark, d), 3, 0.5).select("instrument_id", "session_date", "ts_utc", "open_high")
+    state = carried(daily_facts(session_bars(spark, d))).select("instrument_id", "session_date", "prev_close")
+    return ev.hold_near_high(session_bars(spark, d), state, (360, 480), (480, 900), 0.15, 0.002, 0.8).select("instrument_id", "session_date", "ts_utc", "high_w")
+
+
+@register("e7_parabolic", f"""with {CAUSAL}, v as (select instrument_id, ts_utc, lag(volume_5m, 10) over (partition by instrument_id, session_date order by ts_utc) as before from (select instrument_id, session_date, ts_utc, sum(volume) over (partition by instrument_id, session_date order by ts_utc rows between 4 preceding and current row) as volume_5m from ses))
+select 'e7_parabolic-' || instrument_id || '-' || strftime(decision_ts, '%Y%m%d%H%M') as event_id, 'SHORT' as side from causal join v using (instrument_id, ts_utc)
+where minutes_from_open between 20 and 840 and ret_15m >= 0.15 and ret_5m >= 0.08 and ret_5m >= 0.5 * ret_15m and rvol_5m >= 0.9 and volume_5m >= 1.0 * before qualify row_number() over (partition by instrument_id, session_date order by ts_utc) = 1""")
+def _(spark, d):
+    rows = ev.parabolic(causal(spark, d), session_bars(spark, d), (20, 840), 0.15, 0.08, 0.5, 0.9, 1.0)
+    return ev.stamp(rows, "e7_parabolic", "SHORT", M).select("event_id", "side")
 
 
 _CNUM = "cn as (select *, row_number() over (partition by instrument_id, session_date order by ts_utc) - 1 as bar_no from causal)"
@@ -211,9 +219,9 @@ def _(spark, d):
 
 # --- outcomes
 _FWD = f"""{_EVENTS}, en as (select e.*, b.open as entry_price from evt e asof left join bars b on e.instrument_id = b.instrument_id and e.entry_ts <= b.ts_utc),
-hz as (select * from (values ('1b', 60), ('3b', 180), ('6b', 360)) t(horizon, minutes)),
+hz as (select * from (values ('1h', 60), ('3h', 180), ('6h', 360)) t(horizon, minutes)),
 fwd as (select en.event_id, en.instrument_id, session_date, horizon, entry_price, b.close as exit_price, b.close / nullif(entry_price, 0) - 1 as forward_return
-    from en cross join hz left join bars b on b.instrument_id = en.instrument_id and b.ts_utc = en.entry_ts + to_minutes(minutes - 60))"""
+    from en cross join hz left join bars b on b.instrument_id = en.instrument_id and b.ts_utc = en.entry_ts + to_minutes(minutes - 15))"""
 
 
 def forwards(spark, d):
@@ -230,18 +238,32 @@ def _(spark, d):
     return forwards(spark, d).groupBy("horizon").agg(F.count("forward_return").alias("n"), F.avg("forward_return").alias("mean_return"), F.countDistinct("session_date").alias("days"))
 
 
-@register("o3_barriers", f"""with {_EVENTS}, en as (select e.*, b.open as entry_price from evt e asof left join bars b on e.instrument_id = b.instrument_id and e.entry_ts <= b.ts_utc),
-j as (select en.event_id, b.ts_utc, high / nullif(entry_price, 0) - 1 as best, low / nullif(entry_price, 0) - 1 as worst from en join bars b on b.instrument_id = en.instrument_id and b.ts_utc >= entry_ts and b.ts_utc < entry_ts + interval 360 minute),
-hit as (select event_id, min(ts_utc) filter (best >= 0.2 or worst <= -0.2) as hit from j group by 1),
-g as (select event_id, greatest(0.0, max(best)) as mfe, least(0.0, min(worst)) as mae, coalesce(bool_or(ts_utc = hit and best >= 0.2), false) as t, coalesce(bool_or(ts_utc = hit and worst <= -0.2), false) as s
+def _barriers_sql(side: str, best: str, worst: str) -> str:
+    return f"""with {_EVENTS}, en as (select e.*, b.open as entry_price from evt e asof left join bars b on e.instrument_id = b.instrument_id and e.entry_ts <= b.ts_utc),
+j as (select en.event_id, b.ts_utc, {best} as best, {worst} as worst from en join bars b on b.instrument_id = en.instrument_id and b.ts_utc >= entry_ts and b.ts_utc < entry_ts + interval 360 minute),
+hit as (select event_id, min(ts_utc) filter (best >= 0.5 or worst <= -0.5) as hit from j group by 1),
+g as (select event_id, greatest(0.0, max(best)) as mfe, least(0.0, min(worst)) as mae, coalesce(bool_or(ts_utc = hit and best >= 0.5), false) as t, coalesce(bool_or(ts_utc = hit and worst <= -0.5), false) as s
     from j join hit using (event_id) where hit is null or ts_utc <= hit group by 1)
-select en.event_id, en.instrument_id, side, entry_price, mfe, mae, t and s as ambiguous, case when not (t and s) then t end as target_first, case when not (t and s) then s end as stop_first from en left join g using (event_id)""", "entry_price mfe mae")
+select en.event_id, en.instrument_id, '{side}' as side, entry_price, mfe, mae, t and s as ambiguous, case when t <> s then t end as target_first, case when t <> s then s end as stop_first from en left join g using (event_id)"""
+
+
+@register("o3_barriers", _barriers_sql("LONG", "high / nullif(entry_price, 0) - 1", "low / nullif(entry_price, 0) - 1"), "entry_price mfe mae")
+def _(spark, d):
+    return barriers(gap_events(spark, d), session_bars(spark, d), 360, 0.5, 0.5)
+
+
+@register("o3_barriers_short", _barriers_sql("SHORT", "1 - low / nullif(entry_price, 0)", "1 - high / nullif(entry_price, 0)"), "entry_price mfe mae")
+def _(spark, d):
+    return barriers(ev.inverted(gap_events(spark, d)), session_bars(spark, d), 360, 0.5, 0.5)
+
+
+@register("p9_short_returns", f"with {_FWD} select event_id, horizon, 1 - exit_price / nullif(entry_price, 0) as forward_return from fwd", "forward_return")
 def _(spark, d):
-    return barriers(gap_events(spark, d), session_bars(spark, d), 360, 0.2, 0.2)
+    return forward_returns(ev.inverted(gap_events(spark, d)), session_bars(spark, d), HORIZONS, M).select("event_id", "horizon", "forward_return")
 
 
 # --- joins
-@register("j4_asof_news", f"""with {_EVENTS}, nw as (select 'i' || (user_id % 8) as instrument_id, ts + interval 60 minute as available_at, event_id as article_id,
+@register("j4_asof_news", f"""with {_EVENTS}, nw as (select {DESK} as instrument_id, ts + interval 60 minute as available_at, event_id as article_id,
     case event_type when 'signup' then 1 when 'error' then -1 else 0 end as sentiment_score from events where event_type in ('signup', 'error', 'view'))
 select e.event_id, n.article_id, n.sentiment_score, n.available_at from evt e asof left join nw n on e.instrument_id = n.instrument_id and e.decision_ts >= n.available_at""")
 def _(spark, d):
@@ -250,7 +272,7 @@ def _(spark, d):
     return asof_join(e, n, ["instrument_id"], "decision_ts", "available_at", ["article_id", "sentiment_score"]).select("event_id", "article_id", "sentiment_score", "available_at")
 
 
-@register("j8_news_window", f"""with {_EVENTS}, nw as (select 'i' || (user_id % 8) as instrument_id, ts + interval 60 minute as available_at, event_id as article_id,
+@register("j8_news_window", f"""with {_EVENTS}, nw as (select {DESK} as instrument_id, ts + interval 60 minute as available_at, event_id as article_id,
     case event_type when 'signup' then 1 when 'error' then -1 else 0 end as s, props, event_id % 3 + 1 as k from events where event_type in ('signup', 'error', 'view'))
 select e.event_id, count(*) filter (s > 0)::bigint as positive, count(*) filter (s < 0)::bigint as negative, count(*) filter (s = 0)::bigint as neutral,
     count(distinct article_id)::bigint as articles, count(distinct props)::bigint as publishers, count(*) filter (k = 1)::bigint as single_ticker, sum(s)::bigint as net
@@ -271,9 +293,9 @@ def _(spark, d):
     return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@register("j12_anti_customers", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@register("j12_anti_customers", "select c_custkey from customer where not exists (select 1 from events where user_id = c_custkey)")
 def _(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "events"), F.col("user_id") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @register("s13_latest_order", "select o_custkey, o_orderkey, o_orderdate from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1")

@@ -11,8 +11,8 @@ from eventide.operators import graph, grid, models, rules
 from eventide.operators import statistics as st
 from eventide.operators.joins import range_join
 from eventide.plans.bars_queries import _CNUM, _EVENTS, _FWD, _NUM, M, forwards, gap_events
-from eventide.plans.base import BARS, CAUSAL, causal, register, session_bars
-from eventide.plans.panel_queries import _BANK, _DAYM, _PAIRS, _PANEL_F, pair_stats, panel
+from eventide.plans.base import BARS, CAUSAL, DESK, causal, register, session_bars
+from eventide.plans.panel_queries import _BANK, _DAYM, _FIT, _M_F, _PANEL_F, _PEERS, _RIDGE, pair_stats, panel, train_test
 from eventide.sources.bars import news, table
 
 _OF_DAY = "partition by instrument_id, session_date order by"
@@ -83,7 +83,7 @@ def _(spark, d):
     return fam.opening_dislocation(causal(spark, d), 1, 4, 0.8, 0.2).select("instrument_id", "session_date", "ts_utc", "open_rank", "move", "outcome")
 
 
-@register("e41_news_intensity", f"""with {_EVENTS}, nw as (select 'i' || (user_id % 8) as instrument_id, ts + interval 60 minute as available_at, case event_type when 'signup' then 1 when 'error' then -1 else 0 end as s from events where event_type in ('signup', 'error', 'view')),
+@register("e41_news_intensity", f"""with {_EVENTS}, nw as (select {DESK} as instrument_id, ts + interval 60 minute as available_at, case event_type when 'signup' then 1 when 'error' then -1 else 0 end as s from events where event_type in ('signup', 'error', 'view')),
 c as (select e.event_id, count(*)::bigint as articles, sum(s)::bigint as net from evt e join nw n on e.instrument_id = n.instrument_id and n.available_at > e.decision_ts - interval 12 hour and n.available_at <= e.decision_ts group by 1)
 select event_id, articles, net, case when net > 0 then 'LONG' else 'SHORT' end as side from c where articles >= 3 and net <> 0""")
 def _(spark, d):
@@ -137,10 +137,10 @@ def _(spark, d):
 
 
 def _minutes():
-    return F.element_at(F.create_map(*[F.lit(x) for x in ("1b", 60.0, "3b", 180.0, "6b", 360.0)]), F.col("horizon"))
+    return F.element_at(F.create_map(*[F.lit(x) for x in ("1h", 60.0, "3h", 180.0, "6h", 360.0)]), F.col("horizon"))
 
 
-_FLOOR_SQL = "0.0012 * sqrt(case horizon when '1b' then 60 when '3b' then 180 else 360 end / 15.0)"
+_FLOOR_SQL = "0.0012 * sqrt(case horizon when '1h' then 60 when '3h' then 180 else 360 end / 15.0)"
 
 
 @register("t19_split_verdict", f"""with {_FWD}, dd as (select distinct session_date from ses), i as (select *, row_number() over (order by session_date) - 5 as i, count(*) over () - 5 as n from dd),
@@ -165,10 +165,8 @@ def _(spark, d):
     return out.select("horizon", "n", "reason", "decision")
 
 
-@register("k13_mechanism", f"""with {_PAIRS}, pf as (select g.trading_date, g.minute_of_day, e.follower_id as instrument_id, round(sum(lag_corr * g.r) / nullif(sum(abs(lag_corr)), 0), 9) as leader_shock
-    from g0 g join ed e on e.leader_id = g.instrument_id and e.as_of = date_trunc('week', g.trading_date)::date where g.r is not null group by all),
-m0 as (select g.trading_date, g.r, leader_shock, lead(g.r) over (partition by g.instrument_id, g.trading_date order by g.minute_of_day) as y from g0 g left join pf using (trading_date, minute_of_day, instrument_id)),
-lg as (select trading_date, 'leader_shock' as feature, leader_shock as x, y from m0 where y is not null and leader_shock is not null union all select trading_date, 'response_gap', round(leader_shock - r, 9), y from m0 where y is not null and leader_shock - r is not null),
+@register("k13_mechanism", f"""with {_PEERS}, m0 as (select trading_date, r, round(leader_shock, 9) as leader_shock, round(leader_shock - r, 9) as response_gap, round(peer_rank - own_rank, 9) as peer_rank_gap, lead(r) over (partition by instrument_id, trading_date order by minute_of_day) as y from pr),
+lg as (select trading_date, y, f.feature as feature, f.x as x from (select trading_date, y, unnest([{{'feature': 'leader_shock', 'x': leader_shock}}, {{'feature': 'response_gap', 'x': response_gap}}, {{'feature': 'peer_rank_gap', 'x': peer_rank_gap}}]) as f from m0 where y is not null) where f.x is not null),
 rk as (select trading_date, feature, rank() over (partition by trading_date, feature order by x) + (count(*) over (partition by trading_date, feature, x) - 1) / 2.0 as rx, rank() over (partition by trading_date, feature order by y) + (count(*) over (partition by trading_date, feature, y) - 1) / 2.0 as ry from lg),
 pd as (select trading_date, feature, corr(rx, ry) as rho from rk group by all having count(*) >= 10 and corr(rx, ry) is not null and not isnan(corr(rx, ry)))
 select feature, count(*)::bigint as days, avg(rho) as mean_rho, avg(rho) * sqrt(count(*)) / nullif(stddev_samp(rho), 0) as t_stat from pd group by 1""", "mean_rho t_stat")
@@ -176,47 +174,45 @@ def _(spark, d):
     e = graph.leaders_by_lag(pair_stats(spark, d), 3)
     p = graph.peer_features(grid.grid_of(causal(spark, d)), e, "r")
     # names with one leader have equal shocks but for the last bits, which would break ties by chance
-    p = p.withColumn("leader_shock", F.round("leader_shock", 9)).withColumn("response_gap", F.round(F.col("leader_shock") - F.col("r"), 9))
+    p = p.select("instrument_id", "trading_date", "minute_of_day", "r", *[F.round(c, 9).alias(c) for c in ("leader_shock", "response_gap", "peer_rank_gap")])
     p = p.withColumn("y", F.lead("r").over(Window.partitionBy("instrument_id", "trading_date").orderBy("minute_of_day")))
-    return st.day_association(p, ["leader_shock", "response_gap"], "y", "trading_date")
+    return st.day_association(p, ["leader_shock", "response_gap", "peer_rank_gap"], "y", "trading_date")
 
 
 # --- model jobs: fitted on the first 60 % of days, scored on the rest
-def _train_test(spark, d):
-    p = models.standardised(panel(spark, d), _PANEL_F)
-    days = st.chronological_split(p.select("session_date").distinct(), "session_date", 0, (0.6, 0.0, 0.4))
-    p = p.join(days, "session_date")
-    return p.filter("split = 'D1'"), p.filter("split <> 'D1'")
-
-
 _Z = [f"z_{f}" for f in _PANEL_F]
+_MZ = [f"z_{f}" for f in _M_F]
 _KEYS = ["instrument_id", "ts_utc"]
 
 
 @register("m3_logistic")
 def _(spark, d):
     """Probability of a rise in the next bar."""
-    train, test = _train_test(spark, d)
+    train, test = train_test(spark, d, _PANEL_F)
     return models.logistic(train, test, _Z, F.col("y") > 0).select(*_KEYS, "score")
 
 
 @register("m4_stump_boosting")
 def _(spark, d):
     """Boosted trees of one split on the next bar's return."""
-    train, test = _train_test(spark, d)
+    train, test = train_test(spark, d, _PANEL_F)
     return models.stumps(train, test, _Z, "y").select(*_KEYS, "score")
 
 
-@register("m7_coverage_check")
+@register("m7_coverage_check", f"""with {_FIT}, sc as (select instrument_id, ts_utc, y, {_RIDGE(10)} as s from mz, mg where not train and y is not null),
+rk as (select *, row_number() over (order by abs(s) desc, instrument_id, ts_utc) as k, count(*) over () as n from sc), cv as (select * from (values (0.05), (0.25), (1.0)) t(coverage))
+select coverage::double as coverage, count(*)::bigint as n, avg(sign(s) * y) as mean, avg((sign(s) * y > 0)::int::double) as win_rate from rk, cv where k <= floor((n - 1) * coverage::double) + 1 group by 1""", "mean win_rate")
 def _(spark, d):
     """Signed mean return of ridge scores at growing coverage; certain rows should do no worse."""
-    train, test = _train_test(spark, d)
-    scored = test.select(*_KEYS, "y", models.score(_Z, models.ridge(train, _Z, "y", 10.0)).alias("score")).filter("y is not null")
+    train, test = train_test(spark, d, _M_F)
+    scored = test.select(*_KEYS, "y", models.score(_MZ, models.ridge(train, _MZ, "y", 10.0)).alias("score")).filter("y is not null")
     return models.by_coverage(scored, "score", "y", (0.05, 0.25, 1.0), _KEYS)
 
 
-@register("m8_ridge_path")
+@register("m8_ridge_path", f"""with {_FIT}, sc as (select y, p.penalty, case p.penalty when 0.1 then {_RIDGE(0.1)} when 10 then {_RIDGE(10)} else {_RIDGE(1000)} end as s from mz, mg, (select unnest([0.1, 10.0, 1000.0]::double[]) as penalty) p where not train and y is not null),
+ct as (select *, quantile_cont(s, 0.1) over (partition by penalty) as lo, quantile_cont(s, 0.9) over (partition by penalty) as hi from sc)
+select penalty, avg((s - y) * (s - y)) as error, avg(case when s >= hi then y end) - avg(case when s <= lo then y end) as spread, count(*)::bigint as n from ct group by 1""", "error spread")
 def _(spark, d):
     """Each penalty's squared error on later days and the spread of returns between its top and bottom tenth of scores."""
-    train, test = _train_test(spark, d)
-    return models.ridge_path(train, test, _Z, "y", (0.1, 10.0, 1000.0), _KEYS)
+    train, test = train_test(spark, d, _M_F)
+    return models.ridge_path(train, test, _MZ, "y", (0.1, 10.0, 1000.0), _KEYS)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import first_per, with_bh
+from eventide.functions.core import first_per, stored, with_bh
 from eventide.functions.tdist import t_p
-from eventide.operators import graph, grid, models, quality
+from eventide.operators import graph, grid, models, quality, tree
 from eventide.operators import statistics as st
 from eventide.operators.features import daily_facts
 from eventide.operators.joins import asof_join, effective_join
 from eventide.plans.bars_queries import _EVENTS, _FWD, forwards, gap_events
-from eventide.plans.base import BARS, CAUSAL, DAILY, causal, register, session_bars
-from eventide.sources.bars import news, table, upsert
+from eventide.plans.base import BARS, CAUSAL, DAILY, DESK, causal, register, session_bars
+from eventide.sources.bars import instrument_of, news, table, upsert
 
 
 def _loo(rel: str, keys: str, r: str, out: str) -> str:
@@ -34,6 +34,10 @@ g1 as (select * exclude (sw, sr, oc) from {_loo('g0', 'trading_date, minute_of_d
 gr as (select g1.*, beta, r - beta * mkt as resid from g1 left join beta using (instrument_id, trading_date))"""
 
 
+#: Few names share a clock in the tick table; the operator's own tails begin at 2 deviations.
+TAIL = 1.0
+
+
 def base_grid(spark, d):
     g = grid.grid_of(causal(spark, d))
     return grid.residual_grid(g, grid.rolling_beta(grid.daily_returns(g)))
@@ -59,14 +63,14 @@ def _(spark, d):
     return base_grid(spark, d).select("instrument_id", "decision_ts", "beta", "resid").filter("resid is not null")
 
 
-@register("g7_cross_section", f"""with {GRID}, z as (select *, (r - avg(r) over x) / nullif(stddev_samp(r) over x, 0) as z,
-    case when r is not null then (rank() over (partition by trading_date, minute_of_day order by r asc nulls last) + (count(*) over (partition by trading_date, minute_of_day, r) - 1) / 2.0) / count(*) over x end as resid_rank,
-    quantile_cont(abs(r), 0.5) over x as xs_dispersion, avg(case when r is not null then (r > 0)::int::double end) over x as xs_breadth from gr window x as (partition by trading_date, minute_of_day))
-select instrument_id, decision_ts, resid_rank, xs_dispersion, xs_breadth, avg(case when z is not null then (z > 1)::int::double end) over x - avg(case when z is not null then (z < -1)::int::double end) over x as xs_tail_imbalance,
+@register("g7_cross_section", f"""with {GRID}, z as (select *, (resid - avg(resid) over x) / (stddev_samp(resid) over x + 1e-12) as z,
+    case when resid is not null then (rank() over (partition by trading_date, minute_of_day order by resid asc nulls last) + (count(*) over (partition by trading_date, minute_of_day, resid) - 1) / 2.0) / count(*) over x end as resid_rank,
+    quantile_cont(abs(resid), 0.5) over x as xs_dispersion, avg(case when resid is not null then (resid > 0)::int::double end) over x as xs_breadth from gr window x as (partition by trading_date, minute_of_day))
+select instrument_id, decision_ts, resid_rank, xs_dispersion, xs_breadth, avg(case when z is not null then (z > {TAIL})::int::double end) over x - avg(case when z is not null then (z < -{TAIL})::int::double end) over x as xs_tail_imbalance,
     resid_rank - lag(resid_rank) over (partition by instrument_id, trading_date order by minute_of_day) as resid_rank_change from z window x as (partition by trading_date, minute_of_day)""",
     "resid_rank xs_dispersion xs_breadth xs_tail_imbalance resid_rank_change")
 def _(spark, d):
-    return grid.cross_section(base_grid(spark, d), "r").select("instrument_id", "decision_ts", "resid_rank", "xs_dispersion", "xs_breadth", "xs_tail_imbalance", "resid_rank_change")
+    return grid.cross_section(base_grid(spark, d), "resid", TAIL).select("instrument_id", "decision_ts", "resid_rank", "xs_dispersion", "xs_breadth", "xs_tail_imbalance", "resid_rank_change")
 
 
 @register("g8_same_clock", f"""with {GRID}, dm as (select instrument_id, trading_date, minute_of_day, avg(r) as m from gr group by all),
@@ -85,9 +89,10 @@ def _(spark, d):
     return grid.labels(base_grid(spark, d)).select("instrument_id", "decision_ts", "future_ret", "future_mkt", "future_residual", "next_ret")
 
 
-@register("g18_repeated_keys", f"with {GRID} select instrument_id, trading_date, minute_of_day, count(*)::bigint as count from gr group by all having count(*) > 1")
+@register("g18_repeated_keys", f"select {DESK} as instrument_id, ts::date as trading_date, (hour(ts) * 60 + minute(ts))::int as minute_of_day, count(*)::bigint as count from events group by all having count(*) > 1")
 def _(spark, d):
-    return grid.repeated_keys(base_grid(spark, d), ["instrument_id", "trading_date", "minute_of_day"])
+    ticks = table(spark, d, "events").select(instrument_of().alias("instrument_id"), F.to_date("ts").alias("trading_date"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute_of_day"))
+    return grid.repeated_keys(ticks, ["instrument_id", "trading_date", "minute_of_day"])
 
 
 # --- graph, over raw grid returns: the tick table has too few days for residual histories
@@ -119,14 +124,21 @@ def _(spark, d):
     return graph.edges(pair_stats(spark, d), q=0.5).select("as_of", "leader_id", "follower_id", "lag_corr", "lag_n", "p", "q_value")
 
 
-@register("k9_peer_features", f"""with {_PAIRS}, pf as (select g.trading_date, g.minute_of_day, e.follower_id as instrument_id, sum(lag_corr * g.r) / nullif(sum(abs(lag_corr)), 0) as leader_shock,
-    avg((g.r > 0)::int::double) as leader_agreement, stddev_pop(g.r) as peer_dispersion, count(*)::bigint as lc from g0 g join ed e on e.leader_id = g.instrument_id and e.as_of = date_trunc('week', g.trading_date)::date where g.r is not null group by all)
-select g.instrument_id, g.decision_ts, leader_shock, leader_agreement, peer_dispersion, coalesce(lc, 0)::bigint as leader_count, leader_shock - g.r as response_gap, coalesce(lc, 0) > 0 as graph_available
-from g0 g left join pf using (trading_date, minute_of_day, instrument_id)""", "leader_shock leader_agreement peer_dispersion response_gap")
+_PEERS = f"""{_PAIRS}, wt as (select as_of, leader_id, follower_id as instrument_id, abs(lag_corr) / nullif(sum(abs(lag_corr)) over (partition by as_of, follower_id), 0) as w from ed),
+pf as (select g.trading_date, g.minute_of_day, wt.instrument_id, sum(w * g.r) as leader_shock, sum(w * (g.r > 0)::int) as leader_agreement, avg(g.r) as peer_return, avg((g.r > 0)::int::double) as peer_breadth,
+    quantile_cont(abs(g.r), 0.5) as peer_dispersion from g0 g join wt on wt.leader_id = g.instrument_id and wt.as_of = date_trunc('week', g.trading_date)::date where g.r is not null group by all),
+lc as (select as_of, follower_id as instrument_id, count(distinct leader_id)::bigint as leader_count from ed group by all),
+pr as (select g.*, as_of, leader_shock, leader_agreement, peer_return, peer_breadth, peer_dispersion, coalesce(leader_count, 0)::bigint as leader_count, case when r is not null then (rank() over (partition by trading_date, minute_of_day order by r asc nulls last) + (count(*) over (partition by trading_date, minute_of_day, r) - 1) / 2.0) / count(*) over x end as own_rank,
+    case when peer_return is not null then (rank() over (partition by trading_date, minute_of_day order by peer_return asc nulls last) + (count(*) over (partition by trading_date, minute_of_day, peer_return) - 1) / 2.0) / count(*) over x end as peer_rank
+    from g0 g left join pf using (trading_date, minute_of_day, instrument_id) left join lc on lc.instrument_id = g.instrument_id and lc.as_of = date_trunc('week', g.trading_date)::date window x as (partition by trading_date, minute_of_day))"""
+
+
+@register("k9_peer_features", f"""with {_PEERS} select instrument_id, decision_ts, leader_shock, leader_agreement, peer_return, peer_breadth, peer_dispersion, leader_count, leader_count as peer_count, leader_shock - r as response_gap, peer_return - r as peer_response_gap,
+    peer_rank - own_rank as peer_rank_gap, leader_count > 0 as graph_available from pr""", "leader_shock leader_agreement peer_return peer_breadth peer_dispersion response_gap peer_response_gap peer_rank_gap")
 def _(spark, d):
     g = grid.grid_of(causal(spark, d))
     e = graph.leaders_by_lag(pair_stats(spark, d), 3)
-    return graph.peer_features(g, e, "r").select("instrument_id", "decision_ts", "leader_shock", "leader_agreement", "peer_dispersion", "leader_count", "response_gap", "graph_available")
+    return graph.peer_features(g, e, "r").select("instrument_id", "decision_ts", "leader_shock", "leader_agreement", "peer_return", "peer_breadth", "peer_dispersion", "leader_count", "peer_count", "response_gap", "peer_response_gap", "peer_rank_gap", "graph_available")
 
 
 @register("k8_lineage", f"""with {_PAIRS} select t.as_of, tests, median_abs_r, coalesce(edges, 0)::bigint as edges, coalesce(followers, 0)::bigint as followers from
@@ -138,11 +150,11 @@ def _(spark, d):
 
 # --- statistics
 @register("a7_horizon_summary", f"""with {_FWD}, r as (select *, row_number() over (partition by horizon order by abs(forward_return) desc, event_id) as k, count(*) over (partition by horizon) as nn from fwd where forward_return is not null)
-select horizon, count(*)::bigint as n, avg(forward_return) as mean, stddev_samp(forward_return) as std, stddev_samp(forward_return) / sqrt(count(*)) as se, avg(forward_return) / nullif(stddev_samp(forward_return) / sqrt(count(*)), 0) as t_stat,
+select horizon, count(*)::bigint as n, avg(forward_return) as mean, stddev_samp(forward_return) as std, stddev_samp(forward_return) / sqrt(count(*)) as se, avg(forward_return) / nullif(stddev_samp(forward_return) / sqrt(count(*)), 0) as t_stat, avg(forward_return) / nullif(stddev_samp(forward_return), 0) as effect,
 quantile_cont(forward_return, 0.1) as q10, quantile_cont(forward_return, 0.25) as q25, quantile_cont(forward_return, 0.5) as q50, quantile_cont(forward_return, 0.75) as q75, quantile_cont(forward_return, 0.9) as q90,
 avg((forward_return > 0)::int::double) as positive_rate, sum(case when k <= ceil(nn * 0.01) then abs(forward_return) end) / nullif(sum(abs(forward_return)), 0) as top_share,
 count(distinct session_date)::bigint as days, count(distinct instrument_id)::bigint as names, count(distinct (instrument_id, session_date))::bigint as name_days from r group by horizon""",
-    "mean std se t_stat q10 q25 q50 q75 q90 positive_rate top_share")
+    "mean std se t_stat effect q10 q25 q50 q75 q90 positive_rate top_share")
 def _(spark, d):
     return st.summary(forwards(spark, d), ["horizon"])
 
@@ -191,12 +203,11 @@ def _(spark, d):
     return st.bootstrap(forwards(spark, d), ["horizon"], 200)
 
 
-@register("t4_reality_check", f"""with {_DAYM}, w as (select horizon, session_date, m, count(*) over h as n, avg(m) over h as mu, stddev_pop(m) over h as sd from dm window h as (partition by horizon)),
-z as (select *, (m - mu) / sd as z from w where sd > 0), seen as (select max(t) as best, count(*) as rules from (select horizon, any_value(mu / sd * sqrt(n)) as t from z group by 1)),
-dy as (select session_date, row_number() over (order by session_date) - 1 as i, count(*) over () as n from (select distinct session_date from z)),
-dr as (select rep, {_DRAW} as i from (select i as slot, n, unnest(generate_series(0, 199)) as rep from dy)),
-per as (select rep, horizon, sum(z) / sqrt(any_value(z.n)) as t from dr join dy using (i) join z using (session_date) group by all), top as (select rep, max(t) as t from per group by 1)
-select any_value(best) as best_t, any_value(rules)::bigint as rules, (count(*) filter (t >= best) + 1) / (count(*) + 1) as p_value from top, seen""", "best_t p_value")
+@register("t4_reality_check", f"""with {_DAYM}, dy as (select session_date, row_number() over (order by session_date) - 1 as i, count(*) over () as n from (select distinct session_date from dm)),
+seen as (select max(mu / greatest(se, 1e-12)) as best, count(*) as rules, max(n) as n from (select horizon, avg(m) as mu, stddev_samp(m) / sqrt((select max(n) from dy)) as se, (select max(n) from dy) as n from dm group by 1)),
+cen as (select horizon, greatest(avg(m), 0.0) as c from dm group by 1), dr as (select rep, {_DRAW} as i from (select i as slot, n, unnest(generate_series(0, 199)) as rep from dy)),
+per as (select rep, horizon, (avg(m) - any_value(cen.c)) / greatest(stddev_samp(m) / sqrt(any_value(dy.n)), 1e-12) as t from dr join dy using (i) join dm using (session_date) join cen using (horizon) group by all), top as (select rep, max(t) as t from per group by 1)
+select any_value(best) as best_t, any_value(rules)::bigint as rules, any_value(n)::bigint as days, case when any_value(n) >= 10 then (count(*) filter (t >= best - 1e-9) + 1) / (count(*) + 1) end as p_value from top, seen""", "best_t p_value")
 def _(spark, d):
     m = forwards(spark, d).filter("forward_return is not null").groupBy(F.col("horizon").alias("rule"), "session_date").agg(F.avg("forward_return").alias("m"))
     return st.reality_check(m, 200)
@@ -254,9 +265,30 @@ def _(spark, d):
 
 @register("t12_tree_rules")
 def _(spark, d):
-    leaves = st.grow_tree(panel(spark, d).filter("y is not null"), _PANEL_F, "y", depth=2)
-    rows = [(" and ".join(f"{f} {op} {c:.6f}" for f, op, c in x["path"]), int(x["n"]), float(x["mean"]), x["direction"]) for x in leaves]
-    return spark.createDataFrame(rows, "rule string, n long, mean double, direction string")
+    """Rules of the conditional-inference tree on the first 40 % of days, with their parsimonious forms on the next 20 %."""
+    p, days = stored(panel(spark, d).filter("y is not null"), "panel"), st.chronological_split(session_bars(spark, d).select("session_date").distinct(), "session_date", 5)
+    p = stored(p.join(days, "session_date").select("instrument_id", "session_date", "split", "y", *_PANEL_F, "new_high_15"), "panel")
+    first, second = p.filter("split = 'D1'"), p.filter("split = 'D2'")
+    rules = tree.grow(first, [*_PANEL_F, "new_high_15"], "y", depth=3, alpha=0.5, least=40)
+    short = tree.simplified(second, rules, "y", 10, 2)
+    rows = [(str(r), r.n, r.mean, r.direction, str(s)) for r, s in zip(rules, short)]
+    return spark.createDataFrame(rows, "rule string, n long, mean double, direction string, simplified string")
+
+
+@register("t9_node_association")
+def _(spark, d):
+    """Association of every feature with the target at the root and at its two halves by gap, with q values a node."""
+    p = panel(spark, d).filter("y is not null").withColumn("_node", F.when(F.col("gap_pct") > 0, "up").otherwise("down"))
+    return tree.associations(p, [*_PANEL_F, "new_high_15"], ["new_high_15"], "y").withColumnRenamed("_node", "node")
+
+
+@register("t18_path_stability")
+def _(spark, d):
+    """How often trees on half of the days find the same rules."""
+    p = stored(panel(spark, d).filter("y is not null").select("instrument_id", "session_date", "y", *_PANEL_F), "panel")
+    rules = tree.grow(p, _PANEL_F, "y", depth=2, alpha=0.5, least=40)
+    rows = [tuple(x.values()) for x in tree.path_stability(p, rules, _PANEL_F, "y", 4, depth=2, alpha=0.5, least=40)]
+    return spark.createDataFrame(rows, "rule string, found double, agreed double, draws int, stable boolean")
 
 
 @register("t20_stage_gate", f"""with {_FWD}, r as (select *, row_number() over (partition by horizon order by abs(forward_return) desc, event_id) as k, count(*) over (partition by horizon) as nn from fwd where forward_return is not null),
@@ -277,17 +309,40 @@ def _(spark, d):
     return st.hash_panel(session_bars(spark, d).select("session_date").distinct(), "session_date", "v1:fast", 10)
 
 
-@register("t27_frame_hash")
+@register("t27_frame_hash", "select count(*)::bigint as rows, coalesce(sum(('0x' || md5(concat_ws('|', coalesce(l_linenumber::varchar, '\\N'), coalesce(l_orderkey::varchar, '\\N'), coalesce(l_partkey::varchar, '\\N'), coalesce(l_returnflag, '\\N'), coalesce(l_suppkey::varchar, '\\N')))[1:12])::bigint), 0)::varchar as fingerprint from lineitem")
+def _(spark, d):
+    return st.frame_hash(table(spark, d, "lineitem").select("l_linenumber", "l_orderkey", "l_partkey", "l_returnflag", "l_suppkey"))
+
+
+# --- models: the scaler and the weights know the first 60 % of days only
+_M_F = ["rvol_5m", "close_location_value"]
+_FIT = f"""{CAUSAL}, md as (select session_date, row_number() over (order by session_date) / count(*) over ()::double <= 0.6 as train from (select distinct session_date from causal)),
+mp as (select instrument_id, ts_utc, train, {', '.join(_M_F)}, lead(ret_1m) over (partition by instrument_id, session_date order by ts_utc) as y from causal join md using (session_date)),
+ms as (select {', '.join(f'avg({f}) filter (train) as m{i}, stddev_pop({f}) filter (train) as s{i}' for i, f in enumerate(_M_F))} from mp),
+mz as (select instrument_id, ts_utc, train, y, {', '.join(f'coalesce(({f} - m{i}) / nullif(s{i}, 0), 0) as z{i}' for i, f in enumerate(_M_F))} from mp, ms),
+mg as (select sum(z0 * z0) as a, sum(z0 * z1) as b, sum(z1 * z1) as c, sum(z0 * y) as u, sum(z1 * y) as v from mz where train and y is not null)"""
+_RIDGE = lambda al: f"(((c + {al}) * u - b * v) / ((a + {al}) * (c + {al}) - b * b) * z0 + ((a + {al}) * v - b * u) / ((a + {al}) * (c + {al}) - b * b) * z1)"
+
+
+def train_test(spark, d, features):
+    """Rows of the first 60 % of days and of the rest, both standardised by the first."""
+    p = stored(panel(spark, d).select("instrument_id", "session_date", "ts_utc", "y", *features), "panel")
+    days = st.chronological_split(p.select("session_date").distinct(), "session_date", 0, (0.6, 0.0, 0.4))
+    p = p.join(days, "session_date")
+    return [models.standardised(p.filter(part), features, p.filter("split = 'D1'")) for part in ("split = 'D1'", "split <> 'D1'")]
+
+
+@register("m2_ridge_scores", f"with {_FIT} select instrument_id, ts_utc, {_RIDGE(10)} as score from mz, mg where not train", "score")
 def _(spark, d):
-    return st.frame_hash(table(spark, d, "lineitem"))
+    train, test = train_test(spark, d, _M_F)
+    xs = [f"z_{f}" for f in _M_F]
+    return test.select("instrument_id", "ts_utc", models.score(xs, models.ridge(train, xs, "y", 10.0)).alias("score"))
 
 
-# --- models
-@register("m2_ridge_scores")
+@register("m10_train_scaler", f"with {_FIT} select instrument_id, ts_utc, train, z0, z1 from mz", "z0 z1")
 def _(spark, d):
-    p = models.standardised(panel(spark, d), _PANEL_F)
-    xs = [f"z_{f}" for f in _PANEL_F]
-    return p.select("instrument_id", "ts_utc", models.score(xs, models.ridge(p, xs, "y", 10.0)).alias("score"))
+    train, test = train_test(spark, d, _M_F)
+    return train.unionByName(test).select("instrument_id", "ts_utc", (F.col("split") == "D1").alias("train"), F.col(f"z_{_M_F[0]}").alias("z0"), F.col(f"z_{_M_F[1]}").alias("z1"))
 
 
 @register("m1_standardise", f"with {CAUSAL} select instrument_id, ts_utc, coalesce((gap_pct - avg(gap_pct) over ()) / nullif(stddev_pop(gap_pct) over (), 0), 0) as z_gap_pct from causal", "z_gap_pct")
@@ -318,9 +373,9 @@ def _(spark, d):
     return quality.by_date(session_bars(spark, d))
 
 
-@register("q2_repeated_keys", "select user_id, ts, count(*)::bigint as times from events group by all having count(*) > 1")
+@register("q2_repeated_keys", "select user_id, event_type, ts::date as day, count(*)::bigint as times from events group by all having count(*) > 1")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "ts").agg(F.count("*").alias("times")).filter("times > 1")
+    return table(spark, d, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("times")).filter("times > 1")
 
 
 @register("q3_worst_rows", f"with {BARS} select session_date, instrument_id, ts_utc, row_number() over w as rank, high from ses window w as (partition by session_date order by high desc, instrument_id, ts_utc) qualify row_number() over w <= 5", "high")
@@ -329,9 +384,9 @@ def _(spark, d):
 
 
 @register("q4_overnight_jumps", f"""with {DAILY}, j as (select instrument_id, session_date, lag(rth_close) over w as prev_close, rth_open, rth_open / nullif(lag(rth_close) over w, 0) - 1 as jump from daily window w as (partition by instrument_id order by session_date)),
-sp as (select distinct 'i' || (user_id % 8) as instrument_id, ts::date as session_date from events where event_type = 'error') select j.*, sp.instrument_id is not null as explained from j left join sp using (instrument_id, session_date) where abs(jump) >= 0.4""", "prev_close rth_open jump")
+sp as (select distinct {DESK} as instrument_id, ts::date as session_date from events where event_type = 'error') select j.*, sp.instrument_id is not null as explained from j left join sp using (instrument_id, session_date) where abs(jump) >= 0.4""", "prev_close rth_open jump")
 def _(spark, d):
-    actions = table(spark, d, "events").filter("event_type = 'error'").select(F.concat(F.lit("i"), F.pmod("user_id", F.lit(8))).alias("instrument_id"), F.to_date("ts").alias("effective_date"))
+    actions = table(spark, d, "events").filter("event_type = 'error'").select(instrument_of().alias("instrument_id"), F.to_date("ts").alias("effective_date"))
     return quality.overnight_jumps(daily_facts(session_bars(spark, d)), actions)
 
 
@@ -341,9 +396,10 @@ def _(spark, d):
     return quality.coverage_jumps(quality.by_date(session_bars(spark, d)))
 
 
-@register("q7_missing_weekdays", "with d as (select distinct o_orderdate::date as session_date from orders where o_orderkey % 9 = 0) select s::date as session_date from (select unnest(generate_series(min(session_date), max(session_date), interval 1 day)) as s from d) where isodow(s) < 6 and s::date not in (select session_date from d)")
+@register("q7_missing_weekdays", """with d as (select distinct o_orderpriority as feed, o_orderdate::date as session_date from orders), r as (select feed, unnest(generate_series(min(session_date), max(session_date), interval 1 day))::date as session_date from d group by feed)
+select r.feed, r.session_date from r anti join d on r.feed = d.feed and r.session_date = d.session_date where isodow(r.session_date) < 6""")
 def _(spark, d):
-    return quality.missing_weekdays(table(spark, d, "orders").filter("o_orderkey % 9 = 0").select(F.to_date("o_orderdate").alias("session_date")))
+    return quality.missing_weekdays(table(spark, d, "orders").select(F.col("o_orderpriority").alias("feed"), F.to_date("o_orderdate").alias("session_date")), ["feed"])
 
 
 @register("q9_verdict", f"""with {_DAYS}, t as (select sum(rows) as r, sum(bad_ohlc) as a, sum(non_positive) as b, sum(negative_volume) as c, sum(off_minute) as e from days)
@@ -353,7 +409,7 @@ def _(spark, d):
 
 
 @register("a22_news_coverage", """select date_trunc('week', ts)::date as week, count(*)::bigint as rows, count(*) filter (event_type = 'signup')::bigint as positive, count(*) filter (event_type = 'view')::bigint as neutral, count(*) filter (event_type = 'error')::bigint as negative,
-count(distinct user_id % 8)::bigint as names, count(distinct props)::bigint as publishers from events where event_type in ('signup', 'error', 'view') group by 1""")
+count(distinct user_id // 20)::bigint as names, count(distinct props)::bigint as publishers from events where event_type in ('signup', 'error', 'view') group by 1""")
 def _(spark, d):
     s = F.col("sentiment_score")
     return news(table(spark, d, "events")).groupBy(F.to_date(F.date_trunc("week", "published_ts")).alias("week")).agg(
@@ -384,14 +440,14 @@ def _(spark, d):
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
 
 
-@register("s11_upsert", "with n as (select o_custkey as k, max(o_totalprice) as v from orders where o_orderkey % 2 = 0 group by 1), o as (select c_custkey as k, c_acctbal as v from customer) select k, v from n union all select k, v from o where k not in (select k from n)", "v")
+@register("s11_upsert", "with n as (select user_id as k, max(value) as v from events group by 1), o as (select c_custkey as k, c_acctbal as v from customer) select k, v from n union all select k, v from o where k not in (select k from n)", "v")
 def _(spark, d):
-    new = table(spark, d, "orders").filter("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    new = table(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.max("value").alias("v"))
     return upsert(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), new, ["k"])
 
 
 # --- news state and what follows from it
-_NEWS = """nw as (select 'i' || (user_id % 8) as instrument_id, ts + interval 60 minute as available_at, event_id as article_id,
+_NEWS = f"""nw as (select {DESK} as instrument_id, ts + interval 60 minute as available_at, event_id as article_id,
     case event_type when 'signup' then 1 when 'error' then -1 else 0 end as s from events where event_type in ('signup', 'error', 'view'))"""
 
 
@@ -462,10 +518,12 @@ def _(spark, d):
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("is_binary")) for c in t.columns])).alias("x")).select("x.*")
 
 
-@register("j17_effective_dated", """with v as (select o_custkey, o_orderkey as version, o_orderdate as effective_from, lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as effective_to from orders where o_orderkey % 2 = 0)
-select o.o_orderkey, v.version from (select * from orders where o_orderkey % 2 = 1) o left join v on o.o_custkey = v.o_custkey and o.o_orderdate >= v.effective_from and (v.effective_to is null or o.o_orderdate < v.effective_to)""")
+@register("j17_effective_dated", """with v as (select o_custkey, o_orderkey as version, o_orderdate as effective_from, lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as effective_to from orders),
+q as (select l_orderkey, l_linenumber, o_custkey, l_shipdate from lineitem join orders on l_orderkey = o_orderkey)
+select q.l_orderkey, q.l_linenumber, v.version from q left join v on q.o_custkey = v.o_custkey and q.l_shipdate >= v.effective_from and (v.effective_to is null or q.l_shipdate < v.effective_to)""")
 def _(spark, d):
     o = table(spark, d, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    v = o.filter("o_orderkey % 2 = 0").select("o_custkey", F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("effective_from"), F.lead("o_orderdate").over(w).alias("effective_to"))
-    return effective_join(o.filter("o_orderkey % 2 = 1").select("o_orderkey", "o_custkey", "o_orderdate"), v, ["o_custkey"], "o_orderdate").select("o_orderkey", "version")
+    v = o.select("o_custkey", F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("effective_from"), F.lead("o_orderdate").over(w).alias("effective_to"))
+    q = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return effective_join(q.drop("o_orderkey"), v, ["o_custkey"], "l_shipdate").select("l_orderkey", "l_linenumber", "version")

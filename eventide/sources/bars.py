@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,21 +19,28 @@ class SessionSpec:
     bar_minutes: int = 1
 
 
-#: The tick table's clock: hourly bars, 06:00 to 20:00 regular.
-HOURLY = SessionSpec(premarket=(0, 360), rth=(360, 1200), after_hours=(1200, 1440), bar_minutes=60)
+#: The tick table's clock: bars of a quarter of an hour, 06:00 to 20:00 regular.
+QUARTERS = SessionSpec(premarket=(0, 360), rth=(360, 1200), after_hours=(1200, 1440), bar_minutes=15)
 
-BUCKETS = 8
+#: An instrument is traded by so many neighbouring users, so that instruments grow with the users.
+DESK = 20
+
+
+def instrument_of(user: str = "user_id") -> Column:
+    return F.concat(F.lit("i"), F.floor(F.col(user) / DESK).cast("long"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars_from_ticks(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Ticks to hourly bars of an instrument: open and close by time (event_id breaks ties), high, low, counts."""
+def bars_from_ticks(events: DataFrame, minutes: int = QUARTERS.bar_minutes) -> DataFrame:
+    """Ticks to bars of an instrument, of so many minutes (a divisor of 60): open and close by time (event_id breaks ties),
+    high, low, counts."""
+    start = F.date_trunc("hour", "ts") + F.make_dt_interval(mins=(F.floor(F.minute("ts") / minutes) * minutes).cast("int"))
     ticks = events.select(
-        F.concat(F.lit("i"), F.pmod("user_id", F.lit(buckets))).alias("instrument_id"),
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts_utc"),
+        instrument_of().alias("instrument_id"),
+        start.cast("timestamp_ntz").alias("ts_utc"),
         F.struct("ts", "event_id").alias("at"),
         F.col("value").alias("price"),
     )
@@ -47,7 +54,7 @@ def bars_from_ticks(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
 
 
-def add_session(bars: DataFrame, spec: SessionSpec = HOURLY) -> DataFrame:
+def add_session(bars: DataFrame, spec: SessionSpec = QUARTERS) -> DataFrame:
     """Adds ts_et, session_date, minute_of_day, is_rth, is_premarket, is_after_hours. ts_utc is a naive UTC bar start."""
     et = F.convert_timezone(F.lit("UTC"), F.lit(spec.zone), F.col("ts_utc"))
     m = F.col("minute_of_day")
@@ -62,12 +69,11 @@ def add_session(bars: DataFrame, spec: SessionSpec = HOURLY) -> DataFrame:
     )
 
 
-def instruments(supplier: DataFrame, customer: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One instrument for each of the first supplier keys, with an exchange taken from the customer of the same key."""
+def instruments(supplier: DataFrame, customer: DataFrame) -> DataFrame:
+    """One instrument a supplier key, with an exchange taken from the customer of the same key."""
     exchange = F.concat(F.lit("X"), F.pmod(F.length("c_mktsegment"), F.lit(3)))
     c = customer.select(F.col("c_custkey").alias("_k"), exchange.alias("exchange"))
-    s = supplier.filter(F.col("s_suppkey").between(0, buckets - 1))
-    return s.join(c, s.s_suppkey == c["_k"], "left").select(
+    return supplier.join(c, supplier.s_suppkey == c["_k"], "left").select(
         F.concat(F.lit("i"), F.col("s_suppkey")).alias("instrument_id"),
         F.col("s_name").alias("ticker"),
         "exchange",
@@ -75,11 +81,11 @@ def instruments(supplier: DataFrame, customer: DataFrame, buckets: int = BUCKETS
     )
 
 
-def news(events: DataFrame, lag_minutes: int = 60, buckets: int = BUCKETS) -> DataFrame:
+def news(events: DataFrame, lag_minutes: int = 60) -> DataFrame:
     """Scored insights: sign-ups are good news, errors bad, views neutral; available a while after publication."""
     score = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).when(F.col("event_type") == "view", 0)
     return events.select(
-        F.concat(F.lit("i"), F.pmod("user_id", F.lit(buckets))).alias("instrument_id"),
+        instrument_of().alias("instrument_id"),
         F.col("ts").alias("published_ts"),
         (F.col("ts") + F.make_dt_interval(mins=F.lit(lag_minutes))).alias("available_at"),
         score.alias("sentiment_score"),
@@ -148,17 +154,30 @@ def collapse_snapshots(snapshots: DataFrame, key: str = "ticker", asof: str = "a
     return snapshots.groupBy(key).agg(F.max_by(F.struct(*rest), asof).alias("_s")).select(key, "_s.*")
 
 
-# Instrument types that are not common stock, and exchange codes.
-EXCLUDED_TYPES = ("ETF", "ETN", "ETV", "FUND", "WARRANT", "RIGHT", "UNIT", "PFD", "SP", "BOND")
-EXCHANGES = {"XNAS": "NASDAQ", "XNYS": "NYSE", "XASE": "AMEX"}
+# Instrument types that are left out, and exchange codes with the names they stand for.
+EXCLUDED_TYPES = ("ETF", "ETN", "ETV", "ETS", "WT", "Warrant", "RIGHT", "RIGHTS", "UNIT", "PFD", "PREFERRED", "FUND", "OPEN", "CLOSED", "CSVM")
+EXCHANGES = {
+    "XNAS": "NASDAQ",
+    "NASDAQ": "NASDAQ",
+    "XNYS": "NYSE",
+    "NYSE": "NYSE",
+    "XASE": "NYSE_AMERICAN",
+    "AMEX": "NYSE_AMERICAN",
+    "NYE": "NYSE_AMERICAN",
+    "ASE": "NYSE_AMERICAN",
+}
 
 
 def instruments_from_json(raw: DataFrame) -> DataFrame:
-    """API tickers to instruments: common stock on known exchanges; identity by FIGI, then CIK, then ticker."""
-    exchange = F.create_map(*[F.lit(x) for kv in EXCHANGES.items() for x in kv])[F.col("primary_exchange")]
-    identity = F.coalesce(F.concat(F.lit("figi:"), F.col("composite_figi")), F.concat(F.lit("cik:"), F.col("cik")), F.concat(F.lit("ticker:"), F.col("ticker")))
-    return raw.filter(~F.coalesce(F.col("type"), F.lit("")).isin(*EXCLUDED_TYPES)).select(
-        identity.alias("instrument_id"), "ticker", exchange.alias("exchange"), F.col("type").alias("security_type"), "cik", "active", "list_date", "delisted_utc"
+    """API tickers to instruments on known exchanges; identity by FIGI, then CIK, then ticker. No type or CS is common stock,
+    other types keep their name, excluded ones (by their upper-case form) go. Unknown activity counts as active."""
+    exchange = F.create_map(*[F.lit(x) for kv in EXCHANGES.items() for x in kv])[F.upper("primary_exchange")]
+    given = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
+    identity = F.coalesce(F.concat(F.lit("figi:"), given("composite_figi")), F.concat(F.lit("cik:"), given("cik")), F.concat(F.lit("ticker:"), F.col("ticker")))
+    kind = F.coalesce(F.col("type"), F.lit(""))
+    return raw.filter(~F.upper(kind).isin(*EXCLUDED_TYPES)).select(
+        identity.alias("instrument_id"), "ticker", exchange.alias("exchange"), F.when(kind.isin("", "CS"), "COMMON_STOCK").otherwise(kind).alias("security_type"),
+        given("cik").alias("cik"), F.coalesce("active", F.lit(True)).alias("active"), "list_date", "delisted_utc",
     ).filter("exchange is not null")
 
 

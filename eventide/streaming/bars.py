@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from eventide.sources.bars import QUARTERS, instrument_of
+
 
 def tick_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Ticks that land as Parquet files in a folder."""
@@ -16,9 +18,9 @@ def tick_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def streaming_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour", buckets: int = 8) -> DataFrame:
+def streaming_bars(ticks: DataFrame, late: str = "2 hours", width: str = f"{QUARTERS.bar_minutes} minutes") -> DataFrame:
     """Bars of each window; ticks that come twice within the lateness bound count once, later ones are dropped."""
-    t = ticks.select(F.concat(F.lit("i"), F.pmod("user_id", F.lit(buckets))).alias("instrument_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    t = ticks.select(instrument_of().alias("instrument_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
     t = t.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     at = F.struct("ts", "event_id")
     return t.groupBy("instrument_id", F.window("ts", width).alias("w")).agg(

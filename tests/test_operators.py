@@ -95,14 +95,6 @@ def test_t_tail_against_known_values():
     assert p[:3] == pytest.approx([0.05, 0.05, 1.0], abs=1e-5) and np.isnan(p[3]) and p[4] == pytest.approx(0.05, abs=1e-5)
 
 
-def test_tree_finds_a_planted_rule(spark):
-    rng = np.random.default_rng(5)
-    x = rng.random((1500, 2))
-    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": 0.01 * rng.standard_normal(1500) + 0.5 * (x[:, 0] > 0.7)})
-    leaves = st.grow_tree(spark.createDataFrame(pdf), ["a", "b"], "y", depth=1)
-    assert {c[0] for leaf in leaves for c in leaf["path"]} == {"a"} and abs(leaves[0]["path"][0][2] - 0.7) < 0.05
-
-
 def test_ridge_equals_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((200, 3))
