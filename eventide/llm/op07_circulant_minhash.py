@@ -25,9 +25,9 @@ PERCENT = 85
 MISSED = 2e-6
 PLACES_LOG2 = 20
 #: Bits of the sketch by which a proposed pair is ruled out before its sets are fetched. At 0.85 about 77 +- 8.4 bits
-#: differ; a pair goes at 7 such deviations more, a true link with probability 1e-12, far below MISSED. Without
-#: deviations (None) every proposed pair is verified.
-SKETCH, DEVIATIONS = 1024, 7.0
+#: differ; a pair goes at 5 such deviations more, a true link with probability 3e-7, below MISSED. Without deviations
+#: (None) every proposed pair is verified.
+SKETCH, DEVIATIONS = 1024, 5.0
 #: Rows of one hot component or bucket are dealt to so many tasks.
 SALTS = 16
 #: Words whose hashes a task keeps.
@@ -211,14 +211,13 @@ def _every_salt() -> Column:
 
 def _hub_pairs(now: DataFrame, best_only: bool, percent: int) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of hubs and members of now(fp, n, key, root) in different components. The hub of a bucket is
-    the member that meets most others over all its buckets: an original before its edited copies. With best_only a member
-    is paired with one hub at most."""
+    the member that meets most others over all its buckets: an original before its edited copies. A member is paired with
+    the best hub of each other component in its buckets; with best_only with the best of all."""
     sizes = stored(now.groupBy("key").agg(F.count("*").alias("m")), "sizes")
     met = stored(now.join(small(sizes), "key").groupBy("fp").agg(F.sum(F.col("m") - 1).alias("met")), "met")
     hubs = stored(now.join(met, "fp").groupBy("key").agg(F.max(F.struct("met", "fp", "n", "root")).alias("h")), "hubs")
     near = now.join(hubs, "key").filter((F.col("root") != F.col("h.root")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")))
-    if best_only:
-        near = near.groupBy("fp", "n").agg(F.max("h").alias("h"))
+    near = near.groupBy("fp", "n", *([] if best_only else ["h.root"])).agg(F.max("h").alias("h"))
     return near.select(F.col("h.fp").alias("a"), F.col("fp").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b")).distinct()
 
 
@@ -255,7 +254,7 @@ def grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     sets = stored(sets_of(docs.select(F.col("doc_id").cast("long"), "text"), members.select("rep").distinct()), "sets")
 
     # first every member meets the best hub of all its buckets, which joins most groups; then, in buckets that still hold
-    # several components, the hub of each; what lies apart even then is met pair by pair
+    # several components, the best hub of each other one; what lies apart even then is met pair by pair
     now, pairs, edges, labels = members, None, None, None
     for best_only in (True, False):
         found = stored(_hub_pairs(now, best_only, percent), "pairs")

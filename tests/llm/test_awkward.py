@@ -22,6 +22,7 @@ from eventide.llm import op07_circulant_minhash as mh
 from eventide.llm import op08_license_diagonals as lic
 from eventide.llm import op09_decontaminate as dec
 from eventide.llm import op10_pii_votes as pii
+from tests.llm import brute
 
 #: Every working name of the operators and the pipeline, as columns of documents.
 CLASHES = (
@@ -397,3 +398,21 @@ def test_whole_licenses_are_found_with_words_put_in_and_left_out(spark):
             assert label in got[i].labels.split(",")
         if k == 2 and best < lic.COVER:
             assert got[i].labels == got[i].base_labels
+
+
+def test_every_link_near_the_threshold_is_found(spark):
+    rng, rows = np.random.default_rng(21), []
+    for i in range(160):
+        words = [f"q{k}" for k in rng.integers(0, 10**6, 220)]
+        copy = list(words)
+        for at in rng.choice(220, size=int(rng.integers(2, 5)), replace=False):
+            copy[at] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    shares = []
+    for (_, a), (_, b) in zip(rows[::2], rows[1::2]):
+        x, y = brute.shingles(a), brute.shingles(b)
+        shares.append(len(x & y) / len(x | y))
+    near = [i for i, s in enumerate(shares) if 0.85 <= s < 0.90]
+    assert len(near) > 40 and any(0.8 < s < 0.85 for s in shares)
+    got = {r.doc_id: r.component_id for r in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(160)] == [s >= 0.85 for s in shares]
