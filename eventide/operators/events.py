@@ -112,18 +112,26 @@ def parabolic(features: DataFrame, bars: DataFrame, window: tuple[int, int], ret
     return x.filter(steep & (F.col("rvol_5m") >= rvol) & (F.col("volume_5m") >= growth * F.col("volume_before")))
 
 
-def impulse_pullback(features: DataFrame, impulse: float, look: int, band: tuple[float, float], push: int) -> DataFrame:
-    """Impulse, pullback within a band of its size in the next `look` bars, then a close beyond the highest high before it
-    in the next `push` bars: the earliest impulse of the day for which all three happen."""
-    n = numbered(features.filter("is_rth")).select("instrument_id", "session_date", "ts_utc", "bar_no", "close", "high", "low", "ret_3m", F.lag("hi_3").over(by_day()).alias("hi_before"))
+def impulse_pullback(features: DataFrame, impulse: float, rvol: float, look: int, band: tuple[float, float], push: int, ret: str = "ret_3m", volume: str = "rvol_5m") -> DataFrame:
+    """Impulse, pullback, push: a move of at least `impulse` on relative volume of `rvol`; in the next `look` bars a close that
+    gives back a band of the move, on less volume a bar than the ten bars up to the impulse; then in the next `push` bars a
+    close beyond the three bars before it, in the impulse's direction. The earliest impulse of the day for which all three
+    happen. Mean volumes come from running sums; bars meet only within the stated windows."""
     keys = ["instrument_id", "session_date"]
-    i = n.filter(F.col("ret_3m") >= impulse).select(*keys, F.col("bar_no").alias("i"), F.col("close").alias("peak"), (F.col("close") * F.col("ret_3m") / (1 + F.col("ret_3m"))).alias("size"))
-    j = i.join(n.select(*keys, F.col("bar_no").alias("j"), F.col("close").alias("back")), keys).filter("j > i and j <= i + " + str(look))
-    part = F.try_divide(F.col("peak") - F.col("back"), F.col("size"))
-    j = first_per(j.filter(part.between(*band)), [*keys, "i"], [F.col("j")])
-    k = j.join(n.select(*keys, F.col("bar_no").alias("k"), F.col("close").alias("again"), "hi_before", "ts_utc"), keys)
-    k = first_per(k.filter(f"k > j and k <= j + {push} and again > hi_before"), [*keys, "i"], [F.col("k")])
-    return first_per(k, keys, [F.col("i")]).select(*keys, "i", "j", "k", "ts_utc", F.lit("LONG").alias("side"))
+    so_far = by_day().rowsBetween(Window.unboundedPreceding, 0)
+    n = numbered(features.filter("is_rth")).select(
+        *keys, "ts_utc", "bar_no", "close", F.col(ret).alias("r"), F.col(volume).alias("v"), F.sum("volume_1m").over(so_far).alias("sum_v"), F.avg("volume_1m").over(by_day().rowsBetween(-9, 0)).alias("mean_v"),
+        F.lag("hi_3").over(by_day()).alias("hi_before"), F.lag("lo_3").over(by_day()).alias("lo_before"),
+    )
+    i = n.filter((F.abs("r") >= impulse) & (F.col("v") >= rvol)).select(*keys, F.col("bar_no").alias("i"), F.signum("r").alias("d"), F.col("close").alias("peak"), (F.abs("r") * F.col("close")).alias("size"), F.col("sum_v").alias("sum_i"), "mean_v")
+    j = i.join(n.select(*keys, F.col("bar_no").alias("j"), F.col("close").alias("back"), F.col("sum_v").alias("sum_j")), keys).filter(f"j > i and j <= i + {look}")
+    part = F.try_divide(F.abs(F.col("back") - F.col("peak")), F.col("size"))
+    quiet = (F.col("sum_j") - F.col("sum_i")) / (F.col("j") - F.col("i")) < F.col("mean_v")
+    j = first_per(j.filter(((F.col("back") - F.col("peak")) * F.col("d") < 0) & part.between(*band) & quiet), [*keys, "i"], [F.col("j")])
+    k = j.select(*keys, "i", "j", "d").join(n.select(*keys, F.col("bar_no").alias("k"), F.col("close").alias("again"), "hi_before", "lo_before", "ts_utc"), keys)
+    beyond = ((F.col("d") > 0) & (F.col("again") > F.col("hi_before"))) | ((F.col("d") < 0) & (F.col("again") < F.col("lo_before")))
+    k = first_per(k.filter(f"k > j and k <= j + {push}").filter(beyond), [*keys, "i"], [F.col("k")])
+    return first_per(k, keys, [F.col("i")]).select(*keys, "i", "j", "k", "ts_utc", F.when(F.col("d") > 0, "LONG").otherwise("SHORT").alias("side"))
 
 
 def two_attempts(bars: DataFrame, level: str, gap: int) -> DataFrame:

@@ -40,17 +40,20 @@ def failed_opening_break(bars: DataFrame, opening: int, within: int) -> DataFram
     return first_per(back, DAY, [F.col("bar_no")]).withColumn("side", F.when(F.col("_up"), "SHORT").otherwise("LONG"))
 
 
-def breakout_window(features: DataFrame, level: str, within: int, reject: float, closes: int, volume: float) -> DataFrame:
-    """First close above a level and what the next `within` bars make of it: REJECT if one closes `reject` below the level,
-    ACCEPT if `closes` of them close above it at a mean relative volume of `volume`, else OPEN."""
+def breakout_window(features: DataFrame, level: str, within: int, reject: float, closes: int, volume: float, up: bool = True) -> DataFrame:
+    """First close beyond a level (above it, or with up=False below) and what the next `within` bars make of it: REJECT if one
+    closes `reject` on the other side, ACCEPT if `closes` of them close beyond at a mean relative volume of `volume`, else
+    OPEN."""
+    beyond = lambda at: F.col("close") > at if up else F.col("close") < at
+    back = F.col("close") < F.col("_level") * (1 - reject) if up else F.col("close") > F.col("_level") * (1 + reject)
     n = numbered(features.filter("is_rth"))
-    first = first_per(n.filter(F.col("close") > F.col(level)), DAY, [F.col("bar_no")]).select(*DAY, F.col("bar_no").alias("_first"), F.col("ts_utc").alias("break_ts"), F.col(level).alias("_level"))
+    first = first_per(n.filter(beyond(F.col(level))), DAY, [F.col("bar_no")]).select(*DAY, F.col("bar_no").alias("_first"), F.col("ts_utc").alias("break_ts"), F.col(level).alias("_level"))
     later = n.join(first, DAY).filter("bar_no > _first").filter(F.col("bar_no") <= F.col("_first") + within)
     g = later.groupBy(*DAY, "break_ts").agg(
-        F.max("ts_utc").alias("last_ts"), F.count_if(F.col("close") > F.col("_level")).alias("n_above"), F.avg("rvol_1m").alias("mean_rvol"),
-        F.max(F.col("close") < F.col("_level") * (1 - reject)).alias("_rejected"),
+        F.max("ts_utc").alias("last_ts"), F.count_if(beyond(F.col("_level"))).alias("n_above" if up else "n_below"), F.avg("rvol_1m").alias("mean_rvol"),
+        F.max(back).alias("_rejected"),
     )
-    accepted = (F.col("n_above") >= closes) & (F.col("mean_rvol") >= volume)
+    accepted = (F.col("n_above" if up else "n_below") >= closes) & (F.col("mean_rvol") >= volume)
     return g.withColumn("outcome", F.when(F.col("_rejected"), "REJECT").when(accepted, "ACCEPT").otherwise("OPEN")).drop("_rejected")
 
 

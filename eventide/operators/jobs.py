@@ -83,6 +83,14 @@ def judged(stage: DataFrame, floor: float, least: int, name_share: float, top_sh
     return s.withColumn("decision", F.when(F.col("reason").isNull(), "PASS").when(F.col("reason") == "size", "WATCH").otherwise("KILL"))
 
 
+def inverted(events: DataFrame, stage: DataFrame, floor: float) -> DataFrame:
+    """Events of the opposites of losing jobs: of each job whose primary mean is at most -2 * floor, on the other side, as
+    <job>.opp."""
+    losing = stage.filter(F.col("is_primary") & (F.col("mean") <= -2 * floor)).select("job_id")
+    other = F.when(F.col("side") == "LONG", "SHORT").otherwise("LONG")
+    return events.join(losing, "job_id", "left_semi").withColumn("side", other).withColumn("job_id", F.concat("job_id", F.lit(".opp")))
+
+
 def redirected(decisions: DataFrame, directions: DataFrame) -> DataFrame:
     """Direction correction: decisions(job_id, mean, decision) with directions(job_id, direction), the frozen direction of a
     variant (1 or -1). The stored mean is scored anew in that direction; the earlier decision is kept beside it. Jobs without

@@ -96,3 +96,22 @@ def directional_gate(stats: DataFrame, days: DataFrame, keys: list[str], floor:
         .when(F.col("median") <= 0, "median").when(F.col("positive_days") < agree, "days").when(F.coalesce("mean_without_best_day", F.lit(0.0)) <= 0, "best_day")
     )
     return d.withColumn("reason", reason).withColumn("decision", F.when(reason.isNull(), "PASS").otherwise("KILL"))
+
+
+def robust_gate(gated: DataFrame, intervals: DataFrame, trimmed: DataFrame, days: DataFrame, keys: list[str], floor: Column) -> DataFrame:
+    """What directional_gate lets pass must also have a bootstrap interval (ci_low, ci_high) above 0, and means without the
+    top values and without the best day of at least the floor: reason ci or outliers otherwise."""
+    d = gated.join(intervals, keys).join(trimmed, keys).join(days.select(*keys, F.col("mean_without_best_day").alias("_rest")), keys)
+    inside = F.coalesce((F.col("ci_low") > 0) & (F.col("ci_high") > 0), F.lit(False))
+    robust = F.coalesce((F.col("mean_below_q99") >= floor) & (F.col("_rest") >= floor), F.lit(False))
+    d = d.withColumn("reason", F.coalesce("reason", F.when(~inside, "ci").when(~robust, "outliers")))
+    return d.withColumn("decision", F.when(F.col("reason").isNull(), "PASS").otherwise("KILL"))
+
+
+def estimated(panel: DataFrame, rules: dict[str, Column], target: str, least: int, least_days: int, name_share: float, name: str = "instrument_id", day: str = "session_date") -> DataFrame:
+    """Sample, mean and error of many rules in one pass, and why a rule is out: sample or concentration."""
+    each = F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items()]), lambda r: r.isNotNull()))
+    rows = panel.filter(F.col(target).isNotNull()).select(each.alias("rule"), F.col(target).alias("_y"), name, day)
+    top = rows.groupBy("rule", name).count().groupBy("rule").agg((F.max("count") / F.sum("count")).alias("top_name_share"))
+    g = rows.groupBy("rule").agg(F.count("*").alias("n"), F.avg("_y").alias("mean"), (F.stddev_samp("_y") / F.sqrt(F.count("*"))).alias("se"), F.countDistinct(day).alias("days"), F.countDistinct(name).alias("names")).join(top, "rule")
+    return g.withColumn("kill", F.when((F.col("n") < least) | (F.col("days") < least_days), "sample").when(F.col("top_name_share") > name_share, "concentration"))

@@ -158,3 +158,11 @@ def calendar_buckets(returns: DataFrame, events: DataFrame, volume: str, x: str
     r = returns.select("event_id", day, x).join(e.crossJoin(F.broadcast(q)).select("event_id", quartile.alias("quartile")), "event_id")
     r = r.select(F.year(day).alias("year"), F.month(day).alias("month"), "quartile", x)
     return r.groupingSets([("year",), ("year", "month"), ("quartile",)], "year", "month", "quartile").agg(F.count("*").alias("n"), F.avg(x).alias("mean"))
+
+
+def chart_means(returns: DataFrame, keys: list[str], most_days: int = 60, x: str = "forward_return", day: str = "session_date") -> DataFrame:
+    """Count and mean by day, or by month where there are more than `most_days` days."""
+    r = returns.filter(F.col(x).isNotNull()).groupBy(*keys, day).agg(F.count("*").alias("n"), F.sum(x).alias("_s"))
+    many = r.agg((F.countDistinct(day) > most_days).alias("_many"))
+    period = F.when(F.col("_many"), F.to_date(F.date_trunc("month", day))).otherwise(F.col(day))
+    return r.crossJoin(F.broadcast(many)).groupBy(*keys, period.alias("period")).agg(F.sum("n").alias("n"), (F.sum("_s") / F.sum("n")).alias("mean"))

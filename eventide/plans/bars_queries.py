@@ -133,6 +133,8 @@ def _job(name: str, where: str, side: str, sql_side: str | None = None):
         return ev.stamp(rows, name, F.expr(side), M).select("event_id", "side")
 
 
+# Weights of the linear side score.
+SCORE = "(2.0 * coalesce(gap_pct, 0) + 1.5 * coalesce(ret_5m, 0) + 0.5 * coalesce(ret_15m, 0) + 0.02 * least(coalesce(rvol_5m, 0), 10.0) / 10 - 0.0004 * coalesce(minutes_from_open, 0))"
 # One row a job: name, condition, side. Thresholds fit the tick table's wide prices.
 JOBS = [
     ("e5_weekday_gap", "weekday = 1 and abs(gap_pct) >= 0.1", "case when gap_pct > 0 then 'SHORT' else 'LONG' end"),
@@ -143,6 +145,10 @@ JOBS = [
     ("e15_fade_side", "rvol_5m >= 1.0", "case when ret_5m > 0 then 'SHORT' when ret_5m < 0 then 'LONG' end"),
     ("e15_gap_side", "rvol_5m >= 1.0", "case when gap_pct > 0 then 'LONG' when gap_pct < 0 then 'SHORT' end"),
     ("e15_range_side", "rvol_5m >= 1.0", "case when range_position_15m >= 0.7 then 'LONG' when range_position_15m <= 0.3 then 'SHORT' end"),
+    ("e15_gap_fade_side", "rvol_5m >= 1.0", "case when gap_pct > 0 then 'SHORT' when gap_pct < 0 then 'LONG' end"),
+    ("e15_select_side", "rvol_5m >= 1.2 and abs(ret_5m) >= 0.2", "case when ret_5m > 0 then 'LONG' else 'SHORT' end"),
+    ("e15_score_side", f"rvol_5m >= 1.0 and abs({SCORE}) >= 0.5", f"case when {SCORE} > 0 then 'LONG' else 'SHORT' end"),
+    ("e26_impulse_only", "abs(ret_3m) >= 0.3 and rvol_5m >= 0.9", "case when ret_3m > 0 then 'LONG' else 'SHORT' end"),
     ("e16_gap_absorb", "gap_pct >= 0.1 and dist_open >= 0 and rvol_5m >= 0.8", "'LONG'"),
     ("e19_gap_down_reclaim", "gap_pct <= -0.1 and dist_prev_close >= 0", "'LONG'"),
     ("e20_contrarian_market", "minutes_from_open >= 300 and abs(mkt_ret_5m) >= 0.1", "case when mkt_ret_5m > 0 then 'SHORT' else 'LONG' end"),
@@ -196,13 +202,22 @@ def _(spark, d):
     return out.select("instrument_id", "session_date", "ts_utc", F.when(F.col("close") >= F.col("open"), "LONG").otherwise("SHORT").alias("side"))
 
 
-@register("e26_impulse_pullback", f"""with {CAUSAL}, n as (select instrument_id, session_date, ts_utc, close, ret_3m, row_number() over w - 1 as b, lag(hi_3) over w as hb from causal window w as (partition by instrument_id, session_date order by ts_utc)),
-i as (select instrument_id, session_date, b as i, close as peak, close * ret_3m / (1 + ret_3m) as size from n where ret_3m >= 0.3),
-j as (select i.*, n.b as j from i join n using (instrument_id, session_date) where n.b > i and n.b <= i + 5 and (peak - n.close) / nullif(size, 0) between 0.1 and 0.9 qualify row_number() over (partition by i.instrument_id, i.session_date, i order by n.b) = 1),
-k as (select j.*, n.b as k, n.ts_utc from j join n using (instrument_id, session_date) where n.b > j and n.b <= j + 4 and n.close > hb qualify row_number() over (partition by j.instrument_id, j.session_date, i order by n.b) = 1)
-select instrument_id, session_date, i, j, k, ts_utc, 'LONG' as side from k qualify row_number() over (partition by instrument_id, session_date order by i) = 1""")
+def _impulse_sql(impulse: float) -> str:
+    return f"""with {CAUSAL}, n as (select instrument_id, session_date, ts_utc, close, ret_3m as r, rvol_5m as v, row_number() over w - 1 as b, sum(volume_1m) over (w rows between unbounded preceding and current row) as sum_v, avg(volume_1m) over (w rows between 9 preceding and current row) as mean_v, lag(hi_3) over w as hb, lag(lo_3) over w as lb from causal window w as (partition by instrument_id, session_date order by ts_utc)),
+i as (select instrument_id, session_date, b as i, sign(r) as d, close as peak, abs(r) * close as size, sum_v as sum_i, mean_v from n where abs(r) >= {impulse} and v >= 0.9),
+j as (select i.*, n.b as j from i join n using (instrument_id, session_date) where n.b > i and n.b <= i + 5 and (n.close - peak) * d < 0 and abs(n.close - peak) / nullif(size, 0) between 0.1 and 0.9 and (n.sum_v - sum_i) / (n.b - i) < i.mean_v qualify row_number() over (partition by i.instrument_id, i.session_date, i order by n.b) = 1),
+k as (select j.*, n.b as k, n.ts_utc from j join n using (instrument_id, session_date) where n.b > j and n.b <= j + 4 and ((d > 0 and n.close > hb) or (d < 0 and n.close < lb)) qualify row_number() over (partition by j.instrument_id, j.session_date, i order by n.b) = 1)
+select instrument_id, session_date, i, j, k, ts_utc, case when d > 0 then 'LONG' else 'SHORT' end as side from k qualify row_number() over (partition by instrument_id, session_date order by i) = 1"""
+
+
+@register("e26_impulse_pullback", _impulse_sql(0.3))
+def _(spark, d):
+    return ev.impulse_pullback(causal(spark, d), 0.3, 0.9, 5, (0.1, 0.9), 4)
+
+
+@register("e26_impulse_strict", _impulse_sql(1.5))
 def _(spark, d):
-    return ev.impulse_pullback(causal(spark, d), 0.3, 5, (0.1, 0.9), 4)
+    return ev.impulse_pullback(causal(spark, d), 1.5, 0.9, 5, (0.1, 0.9), 4)
 
 
 @register("e34_two_attempts", f"""with {CAUSAL}, {_CNUM}, a as (select instrument_id, session_date, min(bar_no) as first_no from cn where high >= yday_high and close < yday_high group by all)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from eventide.functions.core import stored
 from eventide.operators import events as ev
 from eventide.operators import families as fam
 from eventide.operators import graph, grid, models, rules
@@ -171,8 +172,9 @@ rk as (select trading_date, feature, rank() over (partition by trading_date, fea
 pd as (select trading_date, feature, corr(rx, ry) as rho from rk group by all having count(*) >= 10 and corr(rx, ry) is not null and not isnan(corr(rx, ry)))
 select feature, count(*)::bigint as days, avg(rho) as mean_rho, avg(rho) * sqrt(count(*)) / nullif(stddev_samp(rho), 0) as t_stat from pd group by 1""", "mean_rho t_stat")
 def _(spark, d):
-    e = graph.leaders_by_lag(pair_stats(spark, d), 3)
-    p = graph.peer_features(grid.grid_of(causal(spark, d)), e, "r")
+    g = stored(grid.grid_of(causal(spark, d)), "grid")
+    e = graph.leaders_by_lag(pair_stats(spark, d, g), 3)
+    p = graph.peer_features(g, e, "r")
     # names with one leader have equal shocks but for the last bits, which would break ties by chance
     p = p.select("instrument_id", "trading_date", "minute_of_day", "r", *[F.round(c, 9).alias(c) for c in ("leader_shock", "response_gap", "peer_rank_gap")])
     p = p.withColumn("y", F.lead("r").over(Window.partitionBy("instrument_id", "trading_date").orderBy("minute_of_day")))

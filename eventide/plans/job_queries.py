@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from eventide.functions.core import shared_dir, stored
-from eventide.operators import daybuild, graph, jobs, quality
-from eventide.operators import events as ev
+from eventide.operators import daybuild, graph, jobs, quality, rules, tree
+from eventide.operators import families as fam
 from eventide.operators import statistics as st
 from eventide.operators.features import by_day
-from eventide.operators.outcomes import barriers, forward_returns, full_outcomes
-from eventide.plans.bars_queries import _EVENTS, _FWD, HORIZONS, JOBS, M, _barriers_sql, forwards, gap_events
-from eventide.plans.base import BARS, CAUSAL, DESK, causal, register, session_bars
-from eventide.plans.panel_queries import _BUCKETED, GRID, _bucketed, _NEWS, _PAIRS, base_grid, pair_stats
+from eventide.operators.joins import asof_join
+from eventide.operators.outcomes import forward_returns, full_outcomes
+from eventide.plans import family_queries  # noqa: F401  (registers queries whose SQL is used here)
+from eventide.plans.bars_queries import _CNUM, _EVENTS, _FWD, HORIZONS, JOBS, M, _barriers_sql, forwards, gap_events
+from eventide.plans.base import BARS, CAUSAL, DESK, ORACLES, causal, register, session_bars
+from eventide.plans.panel_queries import _BUCKETED, GRID, _bucketed, _PAIRS, base_grid, pair_stats, panel
 from eventide.sources import stores
 from eventide.sources.bars import instrument_of, instruments, news, table
 
@@ -361,3 +363,80 @@ def _(spark, d):
     stores.write_news_cache(n, path)
     c = stores.read_news_cache(spark, path)
     return c.groupBy("month").agg(F.count("*").alias("rows"), F.countDistinct("article_id").alias("articles"), F.max("published_ts").alias("last_ts"))
+
+
+# --- further sides, samples and gates
+@register("e25_opposite_of_losers", f"with {_returns_sql(BATCH)} select je.job_id || '.opp' as job_id, event_id, case side when 'LONG' then 'SHORT' else 'LONG' end as side from je where job_id in (select job_id from stg where is_primary and mean <= -0.1)")
+def _(spark, d):
+    e = stored(jobs.job_events(causal(spark, d), BATCH, M), "events")
+    r = forward_returns(e, session_bars(spark, d), HORIZONS, M).select("job_id", "event_id", "instrument_id", "session_date", "horizon", "forward_return")
+    return jobs.inverted(e, jobs.stage_summary(r, "3h"), 0.05).select("job_id", "event_id", "side")
+
+
+_OF_DAY = "partition by instrument_id, session_date order by"
+
+
+@register("e27_breakdown_window", f"""with {CAUSAL}, {_CNUM}, f as (select instrument_id, session_date, bar_no as first_no, ts_utc as break_ts, yday_low as level from cn where close < yday_low qualify row_number() over ({_OF_DAY} bar_no) = 1)
+select instrument_id, session_date, break_ts, max(ts_utc) as last_ts, count(*) filter (close < level)::bigint as n_below, avg(rvol_1m) as mean_rvol,
+    case when bool_or(close > level * 9.0) then 'REJECT' when count(*) filter (close < level) >= 1 and avg(rvol_1m) >= 0.8 then 'ACCEPT' else 'OPEN' end as outcome
+from cn join f using (instrument_id, session_date) where bar_no > first_no and bar_no <= first_no + 5 group by all""", "mean_rvol")
+def _(spark, d):
+    return fam.breakout_window(causal(spark, d), "yday_low", 5, 8.0, 1, 0.8, up=False)
+
+
+@register("a7_outcome_summary", f"""with o as ({ORACLES["o1_full_outcomes"]}) select horizon, count(forward_return)::bigint as n, avg(forward_return) as mean, avg(mfe) as mfe, avg(mae) as mae, avg(ambiguous::int::double) as ambiguous_rate, avg(case when target_first is not null then target_first::int::double end) as target_rate from o group by 1""", "mean mfe mae ambiguous_rate target_rate")
+def _(spark, d):
+    o = full_outcomes(gap_events(spark, d), session_bars(spark, d), HORIZONS, M, 360, 0.5, 0.5)
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    return o.groupBy("horizon").agg(F.count("forward_return").alias("n"), F.avg("forward_return").alias("mean"), F.avg("mfe").alias("mfe"), F.avg("mae").alias("mae"), share("ambiguous").alias("ambiguous_rate"), share("target_first").alias("target_rate"))
+
+
+@register("a9_daily_counts", f"with {_EVENTS} select session_date, count(*)::bigint as events, count(distinct instrument_id)::bigint as names from evt group by 1 order by 1")
+def _(spark, d):
+    return gap_events(spark, d).groupBy("session_date").agg(F.count("*").alias("events"), F.countDistinct("instrument_id").alias("names")).orderBy("session_date")
+
+
+@register("a24_chart_means", f"with {_FWD}, g as (select horizon, session_date, date_trunc('month', session_date)::date as month, forward_return, (select count(distinct session_date) from fwd where forward_return is not null) > 60 as many from fwd where forward_return is not null) select horizon, case when many then month else session_date end as period, count(*)::bigint as n, avg(forward_return) as mean from g group by all", "mean")
+def _(spark, d):
+    return st.chart_means(forwards(spark, d), ["horizon"])
+
+
+@register("j16_event_attributes", f"with {_FWD} select event_id, horizon, forward_return, gap_pct, rvol_5m from fwd join (select 'H001-' || instrument_id || '-' || strftime(decision_ts, '%Y%m%d%H%M') as event_id, gap_pct, rvol_5m from feat where is_rth and minute_of_day between 360 and 900 and gap_pct >= 0.15 and rvol_5m >= 0.9) using (event_id)", "forward_return gap_pct rvol_5m")
+def _(spark, d):
+    e = stored(gap_events(spark, d), "events")
+    r = forward_returns(e, session_bars(spark, d), HORIZONS, M).select("event_id", "horizon", "forward_return")
+    return r.join(e.select("event_id", "gap_pct", "rvol_5m"), "event_id", "left")
+
+
+@register("j5_float_asof", f"with r as (select {DESK} as desk, value, max(event_id) as found from events where event_type = 'signup' group by all) select e.event_id, r.found from (select event_id, {DESK} as desk, value from events where event_type = 'error') e asof left join r on e.desk = r.desk and e.value >= r.value")
+def _(spark, d):
+    e = table(spark, d, "events").select(instrument_of().alias("desk"), "event_id", "event_type", "value")
+    right = e.filter("event_type = 'signup'").select("desk", F.col("value").alias("at"), F.col("event_id").alias("found"))
+    return asof_join(e.filter("event_type = 'error'").select("desk", "event_id", "value"), right, ["desk"], "value", "at", ["found"]).select("event_id", "found")
+
+
+@register("p8_rule_conditions", f"with {CAUSAL} select instrument_id, ts_utc from causal where gap_pct > 0.2 and rvol_5m <= 1.2 and new_high_15")
+def _(spark, d):
+    return causal(spark, d).filter(tree.holds([("gap_pct", ">", 0.2), ("rvol_5m", "<=", 1.2), ("new_high_15", "==", 1.0)])).select("instrument_id", "ts_utc")
+
+
+_RULES = {"gap_up": "gap_pct > 0.5", "gap_down": "gap_pct <= -0.5", "busy_high": "rvol_5m > 1.2 and close_location_value > 0.8", "rare": "gap_pct > 20 and new_low_15"}
+
+
+@register("t14_rule_estimates", f"""with {CAUSAL}, pn as (select *, lead(ret_1m) over ({_OF_DAY} ts_utc) as y from causal), rr as ({' union all '.join(f"select '{n}' as rule, instrument_id, session_date, y from pn where y is not null and {w}" for n, w in _RULES.items())}),
+tn as (select rule, max(c) / sum(c) as top_name_share from (select rule, instrument_id, count(*) as c from rr group by all) group by 1)
+select rule, count(*)::bigint as n, avg(y) as mean, stddev_samp(y) / sqrt(count(*)) as se, count(distinct session_date)::bigint as days, count(distinct instrument_id)::bigint as names, any_value(top_name_share) as top_name_share,
+    case when count(*) < 30 or count(distinct session_date) < 5 then 'sample' when any_value(top_name_share) > 0.2 then 'concentration' end as kill from rr join tn using (rule) group by 1""", "mean se top_name_share")
+def _(spark, d):
+    return rules.estimated(panel(spark, d), {n: F.expr(w) for n, w in _RULES.items()}, "y", 30, 5, 0.2)
+
+
+@register("t21_robust_gate", f"""with a as ({ORACLES["t21_directional_gate"]}), b as ({ORACLES["t2_bootstrap"]}), c as ({ORACLES["a11_without_top"]}), e as ({ORACLES["a17_day_agreement"]}),
+g as (select horizon, n, coalesce(reason, case when not (ci_low > 0 and ci_high > 0) then 'ci' when not (mean_below_q99 >= 2.5 and mean_without_best_day >= 2.5) then 'outliers' end) as reason from a join b using (horizon) join c using (horizon) join e using (horizon))
+select *, case when reason is null then 'PASS' else 'KILL' end as decision from g""")
+def _(spark, d):
+    r = stored(forwards(spark, d), "returns")
+    minutes = F.element_at(F.create_map(*[F.lit(x) for kv in HORIZONS.items() for x in kv]), F.col("horizon")).cast("double")
+    days = st.day_agreement(r, ["horizon"])
+    gated = rules.directional_gate(rules.rule_sample(r, ["horizon"]), days, ["horizon"], rules.floor_of(minutes), 30, 0.5, 0.5).select("horizon", "n", "reason")
+    return rules.robust_gate(gated, st.bootstrap(r, ["horizon"], 200), st.without_top(r, ["horizon"], 0.05), days, ["horizon"], F.lit(2.5)).select("horizon", "n", "reason", "decision")

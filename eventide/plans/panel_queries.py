@@ -10,7 +10,7 @@ from eventide.functions.tdist import t_p
 from eventide.operators import graph, grid, models, quality, tree
 from eventide.operators import statistics as st
 from eventide.operators.features import daily_facts
-from eventide.operators.joins import asof_join, effective_join
+from eventide.operators.joins import asof_join, effective_join, range_join
 from eventide.plans.bars_queries import _EVENTS, _FWD, forwards, gap_events
 from eventide.plans.base import BARS, CAUSAL, DAILY, DESK, causal, register, session_bars
 from eventide.sources.bars import instrument_of, news, table, upsert
@@ -89,6 +89,14 @@ def _(spark, d):
     return grid.labels(base_grid(spark, d)).select("instrument_id", "decision_ts", "future_ret", "future_mkt", "future_residual", "next_ret")
 
 
+_LEAD6 = lambda c: " * ".join(f"(1 + lead({c}, {k}) over w)" for k in range(1, 7)) + " - 1"
+
+
+@register("g12_labels_six_legs", f"with {GRID} select instrument_id, decision_ts, {_LEAD6('r')} as future_ret, ({_LEAD6('r')}) - beta * ({_LEAD6('mkt')}) as future_residual, lead(resid) over w as next_resid from gr window w as (partition by instrument_id, trading_date order by minute_of_day)", "future_ret future_residual next_resid")
+def _(spark, d):
+    return grid.labels(base_grid(spark, d), 6).select("instrument_id", "decision_ts", "future_ret", "future_residual", "next_resid")
+
+
 @register("g18_repeated_keys", f"select {DESK} as instrument_id, ts::date as trading_date, (hour(ts) * 60 + minute(ts))::int as minute_of_day, count(*)::bigint as count from events group by all having count(*) > 1")
 def _(spark, d):
     ticks = table(spark, d, "events").select(instrument_of().alias("instrument_id"), F.to_date("ts").alias("trading_date"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute_of_day"))
@@ -105,8 +113,8 @@ ps as (select a.as_of, a.instrument_id as leader_id, b.instrument_id as follower
 ed as (select *, row_number() over (partition by as_of, follower_id order by lag_corr desc, leader_id) as rank from ps where lag_n >= 40 and lag_corr > 0 qualify row_number() over (partition by as_of, follower_id order by lag_corr desc, leader_id) <= 3)"""
 
 
-def pair_stats(spark, d):
-    return graph.pair_statistics(graph.history(grid.grid_of(causal(spark, d))), "r", 40)
+def pair_stats(spark, d, g=None):
+    return graph.pair_statistics(graph.history(grid.grid_of(causal(spark, d)) if g is None else g), "r", 40)
 
 
 @register("k3_pair_correlation", f"with {_PAIRS} select as_of, leader_id, follower_id, corr, n, lag_corr, lag_n from ps", "corr lag_corr")
@@ -136,15 +144,15 @@ pr as (select g.*, as_of, leader_shock, leader_agreement, peer_return, peer_brea
 @register("k9_peer_features", f"""with {_PEERS} select instrument_id, decision_ts, leader_shock, leader_agreement, peer_return, peer_breadth, peer_dispersion, leader_count, leader_count as peer_count, leader_shock - r as response_gap, peer_return - r as peer_response_gap,
     peer_rank - own_rank as peer_rank_gap, leader_count > 0 as graph_available from pr""", "leader_shock leader_agreement peer_return peer_breadth peer_dispersion response_gap peer_response_gap peer_rank_gap")
 def _(spark, d):
-    g = grid.grid_of(causal(spark, d))
-    e = graph.leaders_by_lag(pair_stats(spark, d), 3)
+    g = stored(grid.grid_of(causal(spark, d)), "grid")
+    e = graph.leaders_by_lag(pair_stats(spark, d, g), 3)
     return graph.peer_features(g, e, "r").select("instrument_id", "decision_ts", "leader_shock", "leader_agreement", "peer_return", "peer_breadth", "peer_dispersion", "leader_count", "peer_count", "response_gap", "peer_response_gap", "peer_rank_gap", "graph_available")
 
 
 @register("k8_lineage", f"""with {_PAIRS} select t.as_of, tests, median_abs_r, coalesce(edges, 0)::bigint as edges, coalesce(followers, 0)::bigint as followers from
 (select as_of, count(*)::bigint as tests, quantile_cont(abs(lag_corr), 0.5) as median_abs_r from ps group by 1) t left join (select as_of, count(*) as edges, count(distinct follower_id) as followers from ed group by 1) e using (as_of)""", "median_abs_r")
 def _(spark, d):
-    s = pair_stats(spark, d)
+    s = stored(pair_stats(spark, d), "pairs")
     return graph.lineage(s, graph.leaders_by_lag(s, 3))
 
 
@@ -457,11 +465,20 @@ def _state_rows(spark, d):
     return asof_join(rows, n, ["instrument_id"], "decision_ts", "available_at", ["article_id", "sentiment_score"])
 
 
-@register("e45_news_state", f"""with {CAUSAL}, {_NEWS}, r as (select instrument_id, session_date, ts_utc, decision_ts, ret_5m from causal where rvol_5m >= 0.9 and ret_5m is not null)
-select r.instrument_id, r.ts_utc, n.article_id, n.s as sentiment_score, floor(epoch(r.decision_ts - n.available_at) / 60)::bigint as minutes_since from r asof left join nw n on r.instrument_id = n.instrument_id and r.decision_ts >= n.available_at""")
+@register("e45_news_state", f"""with {CAUSAL}, {_NEWS}, r as (select instrument_id, session_date, ts_utc, decision_ts, ret_5m from causal where rvol_5m >= 0.9 and ret_5m is not null),
+c as (select r.instrument_id, r.ts_utc, count(*) as articles, count(*) filter (s > 0) as positive, count(*) filter (s < 0) as negative, count(*) filter (s = sign(ret_5m)) as same_direction from r join nw n on r.instrument_id = n.instrument_id and n.available_at > r.decision_ts - interval 240 minute and n.available_at <= r.decision_ts group by all)
+select r.instrument_id, r.ts_utc, n.article_id, n.s as sentiment_score, floor(epoch(r.decision_ts - n.available_at) / 60)::bigint as minutes_since, coalesce(articles, 0)::bigint as articles, coalesce(positive, 0)::bigint as positive, coalesce(negative, 0)::bigint as negative, coalesce(same_direction, 0)::bigint as same_direction
+from r asof left join nw n on r.instrument_id = n.instrument_id and r.decision_ts >= n.available_at left join c on c.instrument_id = r.instrument_id and c.ts_utc = r.ts_utc""")
 def _(spark, d):
+    rows = stored(_state_rows(spark, d), "state")
     since = F.floor(F.timestamp_diff("SECOND", "available_at", "decision_ts") / 60)
-    return _state_rows(spark, d).select("instrument_id", "ts_utc", "article_id", "sentiment_score", since.alias("minutes_since"))
+    n = news(table(spark, d, "events")).select("instrument_id", F.col("available_at").alias("_at"), F.col("sentiment_score").alias("_s"))
+    near = range_join(rows.select("instrument_id", "ts_utc", "decision_ts", "ret_5m"), n, ["instrument_id"], "decision_ts", "_at", -4 * 3600, 0, closed="right")
+    counts = near.groupBy("instrument_id", "ts_utc").agg(
+        F.count("*").alias("articles"), F.count_if(F.col("_s") > 0).alias("positive"), F.count_if(F.col("_s") < 0).alias("negative"), F.count_if(F.col("_s") == F.signum("ret_5m")).alias("same_direction")
+    )
+    out = rows.select("instrument_id", "ts_utc", "article_id", "sentiment_score", since.alias("minutes_since")).join(counts, ["instrument_id", "ts_utc"], "left")
+    return out.fillna(0, ["articles", "positive", "negative", "same_direction"])
 
 
 _BUCKETED = f"""with {CAUSAL}, {_NEWS}, r as (select instrument_id, session_date, ts_utc, decision_ts, ret_5m, resid_5m from causal where rvol_5m >= 0.9 and ret_5m is not null),
