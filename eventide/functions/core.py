@@ -80,6 +80,27 @@ def with_bh(df: DataFrame, p: str, keys: list[str], q: float, ties: list) -> Dat
     return df.withColumn("rejected", F.coalesce(F.col(p) <= bound, F.lit(False))).drop("_k", "_n")
 
 
+def with_bh_wide(df: DataFrame, p: str, keys: list[str], q: float, ties: list) -> DataFrame:
+    """with_bh for groups of any size: values of p are dealt to buckets by magnitude, ranked within their bucket, and a table
+    of buckets (a few thousand rows a group at most) tells how many come before and which least value comes later."""
+    group = [*keys, "_b"]
+    bucket = F.when(F.col(p) <= 0, 4000).when(F.col(p).isNotNull(), F.least(F.lit(3999), F.floor(-F.log2(p) * 64)).cast("int"))
+    d = df.withColumn("_b", F.coalesce(bucket, F.lit(-1)))
+    below = Window.partitionBy(*keys).orderBy(F.desc("_b"))  # the smallest values have the highest bucket
+    counts = d.groupBy(*group).agg(F.count(p).alias("_c"))
+    counts = counts.withColumn("_before", F.sum("_c").over(below) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))).drop("_c")
+    inside = Window.partitionBy(*group).orderBy(F.col(p).asc_nulls_last(), *ties)
+    d = d.join(small(counts), group).withColumn("_k", F.col("_before") + F.row_number().over(inside))
+    d = d.withColumn("_v", F.col(p) * F.col("_n") / F.col("_k")).withColumn("_in", F.min("_v").over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    ok = F.when(F.col(p) <= F.lit(q) * F.col("_k") / F.col("_n"), F.col(p))
+    per = d.groupBy(*group).agg(F.min("_v").alias("_least"), F.max(ok).alias("_ok"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(1, Window.unboundedFollowing)
+    per = per.withColumn("_later", F.min("_least").over(later)).withColumn("_bound", F.max("_ok").over(Window.partitionBy(*keys))).drop("_least", "_ok")
+    d = d.join(small(per), group)
+    d = d.withColumn("q_value", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "_in", "_later")))
+    return d.withColumn("rejected", F.coalesce(F.col(p) <= F.col("_bound"), F.lit(False))).drop("_b", "_before", "_n", "_k", "_v", "_in", "_later", "_bound")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new one where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import average_rank, correlation, with_bh
+from eventide.functions.core import average_rank, stored, with_bh
 from eventide.functions.tdist import t_p
 from eventide.operators.grid import CLOCK
 
@@ -21,20 +25,68 @@ def history(panel: DataFrame, days: int = 20) -> DataFrame:
     return panel.join(keep, "trading_date")
 
 
-def pair_statistics(hist: DataFrame, value: str = "resid", least: int = 40) -> DataFrame:
+#: Names of a block; pairs of blocks are correlated by matrix products, so nothing is joined row by row.
+BLOCK = 64
+PAIRS = "as_of date, leader_id string, follower_id string, corr double, n long, lag_corr double, lag_n long"
+
+
+def _correlations(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairwise correlation of the rows of a and b over the columns that both have, and how many those are."""
+    ma, mb = np.isfinite(a), np.isfinite(b)
+    a, b = (np.where(m, x - np.nanmean(np.where(m, x, np.nan), axis=1, keepdims=True), 0.0) if x.size else x for x, m in ((a, ma), (b, mb)))
+    ma, mb = ma.astype(float), mb.astype(float)
+    n = ma @ mb.T
+    sa, sb = a @ mb.T, ma @ b.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        va, vb = (a * a) @ mb.T - sa * sa / n, ma @ (b * b).T - sb * sb / n
+        r = (a @ b.T - sa * sb / n) / np.sqrt(va * vb)
+        flat = (va <= 1e-12 * np.maximum(1e-300, (a * a) @ mb.T)) | (vb <= 1e-12 * np.maximum(1e-300, ma @ (b * b).T))
+    return np.where(flat | ~np.isfinite(r), np.nan, np.clip(r, -1, 1)), n
+
+
+def _block_pair(key: tuple, leaders: pd.DataFrame, followers: pd.DataFrame) -> pd.DataFrame:
+    if not len(leaders) or not len(followers):
+        return pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in PAIRS.split(", ")})
+    cells = np.unique(np.concatenate([*leaders["cells"], *followers["cells"]]))
+
+    def laid_out(rows: pd.DataFrame, column: str) -> np.ndarray:
+        out = np.full((len(rows), len(cells)), np.nan)
+        for i, (at, x) in enumerate(zip(rows["cells"], rows[column])):
+            out[i, np.searchsorted(cells, at)] = np.asarray(x, float)
+        return out
+
+    x = laid_out(leaders, "xs")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # rows without a next step have no mean
+        (r, n), (lag_r, lag_n) = _correlations(x, laid_out(followers, "xs")), _correlations(x, laid_out(followers, "nexts"))
+    i, j = np.nonzero(n > 0)
+    a, b = leaders["instrument_id"].to_numpy()[i], followers["instrument_id"].to_numpy()[j]
+    out = pd.DataFrame({"as_of": pd.Series([key[0]] * len(i), dtype=object), "leader_id": a, "follower_id": b, "corr": r[i, j], "n": n[i, j].astype(int), "lag_corr": lag_r[i, j], "lag_n": lag_n[i, j].astype(int)})
+    return out[a != b]
+
+
+def pair_statistics(hist: DataFrame, value: str = "resid", least: int = 40, step_minutes: int = 60) -> DataFrame:
     """Per as_of and ordered pair: correlation at the same clock, and of the leader with the follower's next step of the
-    same day, with counts. Names need `least` values."""
+    same day (at most step_minutes later), with counts. Names need `least` values; pairs without a common clock are left
+    out.
+
+    A name's history of a week is one row, as long as there are days and clocks; names are dealt to blocks, and each task
+    correlates one block with another. Rows travel once a block, not once a pair."""
     step = Window.partitionBy("as_of", "instrument_id", "trading_date").orderBy("minute_of_day")
     h = hist.filter(F.col(value).isNotNull()).select("as_of", "instrument_id", "trading_date", "minute_of_day", F.col(value).alias("x"))
-    nxt = F.when(F.lead("minute_of_day").over(step) - F.col("minute_of_day") <= 60, F.lead("x").over(step))
-    h = h.withColumn("x_next", nxt).withColumn("_n", F.count("*").over(Window.partitionBy("as_of", "instrument_id"))).filter(F.col("_n") >= least).drop("_n")
-    a = h.select("as_of", "trading_date", "minute_of_day", F.col("instrument_id").alias("leader_id"), F.col("x").alias("lx"))
-    b = h.select("as_of", "trading_date", "minute_of_day", F.col("instrument_id").alias("follower_id"), F.col("x").alias("fx"), F.col("x_next").alias("fn"))
-    j = a.join(b, ["as_of", "trading_date", "minute_of_day"]).filter("leader_id <> follower_id")
-    both = F.col("fn").isNotNull()
-    return j.groupBy("as_of", "leader_id", "follower_id").agg(
-        correlation("lx", "fx").alias("corr"), F.count("*").alias("n"), correlation(F.when(both, F.col("lx")), F.col("fn")).alias("lag_corr"), F.count("fn").alias("lag_n")
-    )
+    nxt = F.when(F.lead("minute_of_day").over(step) - F.col("minute_of_day") <= step_minutes, F.lead("x").over(step))
+    cell = F.unix_date("trading_date").cast("long") * 1440 + F.col("minute_of_day")
+    cells = F.array_sort(F.collect_list(F.struct(cell.alias("cell"), "x", "nxt")))
+    v = h.withColumn("nxt", nxt).groupBy("as_of", "instrument_id").agg(cells.alias("c")).filter(F.size("c") >= least)
+    part = lambda f: F.transform("c", lambda s: s[f])
+    v = stored(v.select("as_of", "instrument_id", part("cell").alias("cells"), part("x").alias("xs"), part("nxt").alias("nexts")), "histories")
+    blocks = max(1, -(-v.select("instrument_id").distinct().count() // BLOCK))
+    own, every = F.pmod(F.xxhash64("instrument_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    keys = ["as_of", "a", "b"]
+    fresh = lambda side: [F.col(c).alias(c) for c in v.columns] + side  # noqa: E731  (both sides need columns of their own)
+    left, right = v.select(*fresh([own.alias("a"), every.alias("b")])), v.select(*fresh([own.alias("b"), every.alias("a")]))
+    both = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_pair, PAIRS)
+    return both.withColumn("corr", F.nanvl("corr", F.lit(None))).withColumn("lag_corr", F.nanvl("lag_corr", F.lit(None)))
 
 
 def edges(stats: DataFrame, peers: int = 20, leaders: int = 5, q: float = 0.10, least: int = 40) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import first_per, stored, with_bh
+from eventide.functions.core import first_per, stored, with_bh, with_bh_wide
 from eventide.functions.tdist import t_p
 from eventide.operators import graph, grid, models, quality, tree
 from eventide.operators import statistics as st
@@ -229,7 +229,7 @@ b as (select *, least(1.0, min(p * n / k) over (partition by g order by p, id ro
 select g, id, p, q_value, coalesce(p <= bound, false) as rejected from b""", "p q_value")
 def _(spark, d):
     t = table(spark, d, "orders").selectExpr("o_orderpriority as g", "o_orderkey as id", "(floor(o_totalprice) % 997) / 997.0D * ((o_orderkey % 10) / 10.0D) as p")
-    return with_bh(t, "p", ["g"], 0.1, ["id"]).select("g", "id", "p", "q_value", "rejected")
+    return with_bh_wide(stored(t, "tests"), "p", ["g"], 0.1, ["id"]).select("g", "id", "p", "q_value", "rejected")
 
 
 _PANEL_F = ["rvol_5m", "gap_pct", "xs_ret_rank", "close_location_value"]

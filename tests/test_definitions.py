@@ -260,3 +260,33 @@ def test_instruments_from_landed_tickers(spark):
     assert got == {
         "A": ("figi:F1", "NASDAQ", "COMMON_STOCK", True), "B": ("cik:12", "NYSE_AMERICAN", "COMMON_STOCK", False), "C": ("ticker:C", "NYSE", "ADRC", True), "F": ("ticker:F", "NYSE_AMERICAN", "Warrant", True),
     }
+
+
+def test_false_discoveries_by_buckets_equal_a_sort(spark):
+    rng = np.random.default_rng(8)
+    rows = [(["a", "b"][i % 2], i, float(np.round(rng.random() ** 4, 3)) if i % 11 else None) for i in range(900)] + [("c", 1, 0.2), ("d", 1, None), ("a", 5000, 0.0)]
+    df = spark.createDataFrame(rows, "g string, id long, p double").repartition(3)
+    one, two = (sorted((r.g, r.id, None if r.q_value is None else round(r.q_value, 9), r.rejected) for r in f(df, "p", ["g"], 0.1, ["id"]).collect()) for f in (core.with_bh, core.with_bh_wide))
+    assert one == two and len(one) == len(rows) and any(x[3] for x in one)
+    assert core.with_bh_wide(df.limit(0), "p", ["g"], 0.1, ["id"]).count() == 0
+
+
+def test_block_correlations_equal_pandas(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    rng, rows = np.random.default_rng(9), []
+    for k in range(8):
+        for day in range(3):
+            for m in range(0, 200, 5):
+                if rng.random() < 0.7:
+                    rows.append((dt.date(2024, 1, 8), f"n{k}", dt.date(2024, 1, 2 + day), m, 0.5 if k == 7 else float(rng.normal())))
+    hist = spark.createDataFrame(rows, "as_of date, instrument_id string, trading_date date, minute_of_day int, resid double")
+    got = {(r.leader_id, r.follower_id): r for r in graph.pair_statistics(hist, "resid", 40).collect()}
+    x = pd.DataFrame([r[1:] for r in rows], columns=["i", "d", "m", "x"]).sort_values(["i", "d", "m"])
+    x["nxt"] = x.groupby(["i", "d"])["x"].shift(-1)
+    wide, nxt = x.pivot(index=["d", "m"], columns="i", values="x"), x.pivot(index=["d", "m"], columns="i", values="nxt")
+    assert len(got) == 56
+    for (a, b), r in got.items():
+        c, lag = wide[a].corr(wide[b]), wide[a].corr(nxt[b])
+        assert (r.corr is None and "n7" in (a, b)) or r.corr == pytest.approx(c)
+        assert (r.lag_corr is None and "n7" in (a, b)) or r.lag_corr == pytest.approx(lag)
+        assert (r.n, r.lag_n) == (int((wide[a].notna() & wide[b].notna()).sum()), int((wide[a].notna() & nxt[b].notna()).sum()))
