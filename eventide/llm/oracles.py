@@ -63,3 +63,27 @@ select dw.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
     sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join hw using (doc_id) left join hi using (doc_id)
 """
+
+OP11 = r"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t, length(coalesce(text, '')) as c from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by t)::bigint as group_size,
+    row_number() over w = 1 as kept, sha256(t) as text_sha256
+from d window w as (partition by t order by c desc, doc_id asc nulls last)
+"""
+
+OP12 = r"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (select *, ('0x' || h[1:8])::bigint % (n + 1) as x, ('0x' || h[9:16])::bigint % (n + 1) as y,
+    ('0x' || h[17:24])::bigint % 100 as plain, ('0x' || h[25:32])::bigint % 100 as turned from d),
+c as (select *, least(x, y) as a, greatest(x, y) as b, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>')
+    or plain >= 90 then 'plain' when turned < 20 then 'spm' else 'psm' end as form from u),
+p as (select *, substr(t, 1, a) as pre, substr(t, a + 1, b - a) as mid, substr(t, b + 1) as suf from c),
+o as (select *, case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+    else '<S>' || suf || '<P>' || pre || '<M>' || mid end as output from p),
+r as (select *, split_part(output, '<M>', 1) as head, split_part(output, '<M>', 2) as m from o)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+    sha256(output) as output_sha256,
+    sha256(case form when 'plain' then output when 'psm' then substr(split_part(head, '<S>', 1), 4) || m || split_part(head, '<S>', 2)
+        else split_part(head, '<P>', 2) || m || substr(split_part(head, '<P>', 1), 4) end) as restored_sha256
+from r
+"""

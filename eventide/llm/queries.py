@@ -18,6 +18,9 @@ from eventide.llm.op07_circulant_minhash import near_duplicates
 from eventide.llm.op08_license_diagonals import scan
 from eventide.llm.op09_decontaminate import decontaminate
 from eventide.llm.op10_pii_votes import personal_data
+from eventide.llm.op11_extendible_hash import exact_duplicates
+from eventide.llm.op12_fill_in_middle import fim_digests
+from eventide.llm.op13_whitening import whitened
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +63,18 @@ def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of all web pages; references are looked up among the payloads of all documents."""
     return page_sequences(table(spark, sf_dir, "pages"), described(media_table(table(spark, sf_dir, "documents"))))
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_diagonals": op8_license_diagonals,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii_votes": op10_pii_votes,
+    "op11_extendible_hash": op11_extendible_hash,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_whitening": op13_whitening,
     "media_pages": media_pages,
 }
 
@@ -83,4 +101,6 @@ ORACLES: dict[str, str] = {
     "op3_mixing": oracles.OP3,
     "op7_circulant_minhash": oracles.OP7,
     "op9_decontaminate": oracles.OP9,
+    "op11_extendible_hash": oracles.OP11,
+    "op12_fill_in_middle": oracles.OP12,
 }
