@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import apart, let, packed, piece, running, spans_of, stored, text_blocks
+from eventide.llm.common import let, met, packed, piece, running, spans_of, stored, text_blocks
 
 #: Strong parts, reported wherever they stand: (kind, pattern, least length of what is measured).
 ASSIGN = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -19,7 +19,8 @@ ASSIGN_HEAD = r"^[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
-#: Weak parts.
+#: Weak parts: upper-case names of up to 128 characters, and blobs that show an upper-case letter, a lower-case letter and a
+#: digit among their first 40 characters.
 KEY_NAME = r"(?<![A-Za-z0-9])(?!AKIA)(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,128}(?![A-Za-z0-9])"
 BLOB = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[0-9])[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20\"'<>]+"
@@ -31,33 +32,38 @@ MASK = "[SECRET]"
 
 
 def scanned(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with `_base` and `_weak`, arrays of struct(kind, start, end, value), a kind in order of start."""
+    """docs with `_base`, `_weak` and `_inner`, arrays of struct(kind, start, end, value), a kind in order of start. `_inner`
+    are weak parts that overlap a base one: they aren't reported, but are company to others."""
     text = F.coalesce(text, F.lit(""))
     # a value of fewer than six characters fails; the match that held it is not tried again
     assign = F.filter(spans_of(text, ASSIGN, "assign"), lambda s: F.char_length(F.regexp_replace(s["value"], ASSIGN_HEAD, "")) >= 6)
     weak = F.concat(spans_of(text, KEY_NAME, "keyname"), spans_of(text, BLOB, "blob"), spans_of(text, ENDPOINT, "endpoint"))
     out = docs.select("*", assign.alias("_assign"), spans_of(text, ACCESS, "access").alias("_access"), spans_of(text, HEX, "hex").alias("_hex"), weak.alias("_weak"))
-    # a weak part inside a base one tells nothing new
     kinds = [F.col(f"_{k}") for k in BASE]
-    return out.withColumn("_weak", apart(F.col("_weak"), *kinds)).withColumn("_base", F.concat(*kinds)).drop(*[f"_{k}" for k in BASE])
+    lone = lambda s: ~(met(s, kinds[0]) | met(s, kinds[1]) | met(s, kinds[2]))
+    out = out.withColumn("_split", F.transform("_weak", lambda s: F.struct(s.alias("s"), lone(s).alias("lone")))).withColumn("_base", F.concat(*kinds))
+    of = lambda keep: F.transform(F.filter("_split", lambda t: t["lone"] == keep), lambda t: t["s"])
+    return out.withColumn("_weak", of(True)).withColumn("_inner", of(False)).drop("_split", *[f"_{k}" for k in BASE])
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """parts(row, base, weak) -> row, spans: the weak parts that have a complementary part within `scope` characters.
+    """parts(row, others, weak) -> row, spans: the weak parts that have a complementary part, weak or other, within `scope`
+    characters.
 
     Distance is the gap between the intervals, 0 where they overlap. A part is cut at multiples of `scope`, with a piece
     for each stretch from that of its start to that of its end. Everything in a piece's own stretch is near; of the
     neighbours, the last end in the stretch before and the first start in the one after decide. Rows are thus as many as
     parts and stretches, never pairs."""
-    one = parts.select("row", F.explode(F.concat("base", "weak")).alias("s"), F.lit(scope).cast("long").alias("_w"))
+    tagged = lambda c, lone: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(lone).alias("lone")))
+    one = parts.select("row", F.inline(F.concat(tagged("others", False), tagged("weak", True))), F.lit(scope).cast("long").alias("_w"))
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
     stretch = lambda c: F.floor(F.col(c) / F.col("_w")).cast("long")
-    one = one.select("row", "s", "_w", role[F.col("s.kind")].alias("role"), F.explode(F.sequence(stretch("s.start"), stretch("s.end"))).alias("at"))
+    one = one.select("row", "s", "lone", "_w", role[F.col("s.kind")].alias("role"), F.explode(F.sequence(stretch("s.start"), stretch("s.end"))).alias("at"))
     one = one.withColumn("lo", F.greatest("s.start", F.col("at") * F.col("_w"))).withColumn("hi", F.least("s.end", (F.col("at") + 1) * F.col("_w")))
     held = one.groupBy("row", "at", "role").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     near = held.select("row", "role", "lo", "hi", F.col("at").alias("own"), F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at"))
     needs = F.create_map(*[x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    weak = one.filter(F.col("s.kind").isin(*NEEDS)).select("row", "at", "s", "lo", "hi", F.explode(needs[F.col("s.kind")]).alias("role"))
+    weak = one.filter("lone").select("row", "at", "s", "lo", "hi", F.explode(needs[F.col("s.kind")]).alias("role"))
     both = weak.alias("w").join(near.alias("n"), ["row", "at", "role"])
     gap = F.when(F.col("n.own") > F.col("at"), F.col("n.lo") - F.col("w.hi")).otherwise(F.col("w.lo") - F.col("n.hi"))
     close = both.filter((F.col("n.own") == F.col("at")) | (gap <= scope))
@@ -76,10 +82,10 @@ def _counted(kind: str) -> Column:
 
 
 def _with_links(rows: DataFrame) -> DataFrame:
-    """Stored rows with _row, _base, _weak -> the same with _linked. Only rows with weak parts take part in the join."""
+    """Stored rows with _row, _base, _weak, _inner -> the same with _linked. Only rows with weak parts take part in the join."""
     plain = F.array().cast("array<struct<start:int,kind:string,end:int>>")
     some = rows.filter(F.size("_weak") > 0)
-    found = linked(some.select(F.col("_row").alias("row"), F.col("_base").alias("base"), F.col("_weak").alias("weak")))
+    found = linked(some.select(F.col("_row").alias("row"), F.concat("_base", "_inner").alias("others"), F.col("_weak").alias("weak")))
     found = found.select(F.col("row").alias("_of"), F.col("spans").alias("_spans"))
     some = some.join(found, F.col("_row") == F.col("_of"), "left").withColumn("_linked", F.coalesce("_spans", plain)).drop("_of", "_spans")
     return rows.filter(F.size("_weak") == 0).withColumn("_linked", plain).unionByName(some)
