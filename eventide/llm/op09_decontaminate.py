@@ -9,25 +9,27 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.common import ALNUM_TABLE, alnum_words, as_bytes, packed, stored
 
 WINDOW = 10
-#: Words of a benchmark whose automaton is sent to every task (about a kilobyte a word). A larger one is met by a join on
-#: windows instead, with the same result.
+#: Words of items that one automaton takes (about a kilobyte a word). The items of a larger benchmark are dealt by a hash to
+#: several automata, which scan the texts one after the other.
 MOST_WORDS = 300_000
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = re.compile(WORD.encode())
 
 
 def item_windows(text: bytes, window: int = WINDOW) -> set[tuple[bytes, ...]]:
@@ -68,24 +70,32 @@ class Index:
         return flags, found
 
 
-def fits(benchmark: DataFrame) -> bool:
-    """Whether the benchmark is small enough for an automaton, counted before anything is fetched."""
-    n = benchmark.agg(F.sum(F.size(_words("text"))).alias("n")).first().n
-    return (n or 0) <= MOST_WORDS
+def dealt(benchmark: DataFrame) -> list[DataFrame]:
+    """The items by automaton, of half of MOST_WORDS words each on average where there are several; an item stays whole."""
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
+    n = benchmark.agg(F.sum(words).alias("n")).first().n or 0
+    shards = 1 if n <= MOST_WORDS else -(-2 * n // MOST_WORDS)
+    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
+    return [benchmark.filter(place == i) for i in range(shards)]
 
 
 def read_items(benchmark: DataFrame) -> list[tuple[object, bytes]]:
-    """The stated query set: the benchmark's items, of which null and empty texts have no windows."""
+    """The items of one automaton, of which null and empty texts have no windows."""
     rows = benchmark.select("item_id", as_bytes("text").alias("text")).dropna(subset=["text"]).toLocalIterator()
     return [(r.item_id, bytes(r.text)) for r in rows]
 
 
+def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of flagged words, end exclusive."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
 def _places(text: bytes, flags: np.ndarray) -> list[tuple[int, int]]:
     """Flagged words as stretches of code points of the original text, end exclusive."""
     places = [m.span() for m in _WORD.finditer(text.translate(ALNUM_TABLE))]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
     spans, at, before = [], 0, 0
-    for i, j in zip(edges[::2], edges[1::2]):
+    for i, j in stretches(flags):
         begin, end = places[i][0], places[j - 1][1]
         start = before + len(text[at:begin].decode("utf-8", "replace"))
         at, before = end, start + len(text[begin:end].decode("utf-8", "replace"))
@@ -98,85 +108,87 @@ def hit_spans(text: bytes, index: Index) -> list[tuple[int, int]]:
     return _places(text, index.hits(alnum_words(text))[0])
 
 
-def _words(column: str) -> Column:
-    """The words of a text with A-Z in lower case; none for null."""
-    lower = F.translate(F.coalesce(F.col(column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+def sharded_hits(rows: DataFrame, shards: list[DataFrame], window: int = WINDOW) -> DataFrame:
+    """Stored rows(_row, text) -> _row, words (stretches of hit words), items: only rows that some automaton hits, whose
+    finds are brought together by row."""
 
+    def scan(items: DataFrame) -> DataFrame:
+        index = rows.sparkSession.sparkContext.broadcast(Index(read_items(items), window))
 
-def _windows(rows: DataFrame, lengths: Column, *keep: str) -> DataFrame:
-    """rows(_words, ...) -> keep, at, length, window (a digest) for each of the given lengths at each place."""
-    at = rows.select(*keep, "_words", F.explode(lengths).alias("length")).filter("length > 0 and length <= size(_words)")
-    at = at.select(*keep, "_words", "length", F.explode(F.sequence(F.lit(0), F.size("_words") - F.col("length"))).alias("at"))
-    return at.select(*keep, "at", "length", F.md5(F.array_join(F.slice("_words", F.col("at") + 1, F.col("length")), " ")).alias("window"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    flags, found = index.value.hits(alnum_words(text.as_py() or b""))
+                    if flags.any():
+                        out.append((row, [{"a": a, "b": b} for a, b in stretches(flags)], sorted(found)))
+                kinds = (pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else ((), (), ()), kinds)], names=["_row", "words", "items"])
 
+        found = rows.select("_row", as_bytes("text").alias("text")).mapInArrow(run, "_row long, words array<struct<a:int,b:int>>, items array<string>")
+        return stored(found, "hits")  # the next automaton takes this one's place in memory
 
-def by_join(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """What decontaminate gives (without spans), by a join of all windows of documents and items, of whatever size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("_item"), _words("text").alias("_words")).filter("size(_words) > 0")
-    keys = _windows(items, F.array(F.least(F.lit(window), F.size("_words"))), "_item").select("_item", "length", "window").distinct()
-    keys = stored(keys, "windows")
-    lengths = sorted(r.length for r in keys.select("length").distinct().collect())  # `window` of them at most
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("_words")).withColumn("_row", F.monotonically_increasing_id()), "words")
-    hits = _windows(rows, F.array(*map(F.lit, lengths)).cast("array<int>"), "_row").join(keys, ["length", "window"])
-    covered = hits.select("_row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("word")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
-    named = hits.select("_row", "_item").distinct().groupBy("_row").agg(F.count("_item").alias("n_items"), F.array_join(F.array_sort(F.collect_list("_item")), ",").alias("_items"))
-    out = rows.select("_row", "doc_id", F.size("_words").cast("long").alias("n_words")).join(covered, "_row", "left").join(named, "_row", "left")
-    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n("n_hit").alias("n_hit"), n("n_items").alias("n_items"), F.sha2(F.coalesce("_items", F.lit("")), 256).alias("items_sha256"), (n("n_hit") > 0).alias("contaminated"))
+    every = reduce(DataFrame.unionByName, map(scan, shards))
+    return every.groupBy("_row").agg(F.flatten(F.collect_list("words")).alias("words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """decontaminate with `spans`, the hit stretches as code points of the original text, in order; one pass with one
-    automaton over a benchmark that fits."""
-    index = docs.sparkSession.sparkContext.broadcast(Index(read_items(benchmark), window))
+    """decontaminate with `spans` as an array, the hit stretches as code points of the original text, in order."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+    def told(batches: Iterator[pa.RecordBatch], hits: Callable[[pa.RecordBatch, int, list[bytes]], tuple]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, n_items, shas, spans = [], [], [], [], []
-            for text in batch.column(1):
+            for i, text in enumerate(batch.column(1)):
                 data = text.as_py() or b""
                 words = alnum_words(data)
-                flags, found = own.hits(words)
+                flags, found = hits(batch, i, words)
                 n_words.append(len(words))
                 n_hit.append(int(flags.sum()))
                 n_items.append(len(found))
                 shas.append(hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
                 spans.append([{"start": a, "end": b} for a, b in _places(data, flags)] if n_hit[-1] else [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array(n_items, pa.int64()),
-                    pa.array(shas, pa.string()),
-                    pa.array([n > 0 for n in n_hit], pa.bool_()),
-                    pa.array(spans, span),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("text")).mapInArrow(run, RESULT)
+            whole = [pa.array(x, pa.int64()) for x in (n_words, n_hit, n_items)]
+            columns = [batch.column(0), *whole, pa.array(shas, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(spans, span)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+
+    shards = dealt(benchmark)
+    rows = docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("text"))
+    if len(shards) == 1:
+        index = docs.sparkSession.sparkContext.broadcast(Index(read_items(shards[0]), window))
+        return rows.mapInArrow(lambda batches: told(batches, lambda _, __, words: index.value.hits(words)), RESULT)
+
+    def gathered(batch: pa.RecordBatch, i: int, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        flags = np.zeros(len(words), bool)
+        for s in batch.column(2)[i].as_py() or []:
+            flags[s["a"] : s["b"]] = True
+        return flags, set(batch.column(3)[i].as_py() or [])
+
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = rows.join(sharded_hits(rows, shards, window), "_row", "left").select("doc_id", "text", "words", "items")
+    return rows.mapInArrow(lambda batches: told(batches, gathered), RESULT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """documents(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """documents(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans
+    (start:end of the hit stretches in code points, comma-joined).
 
-    One row a document row. Null and empty texts have no words and no hits. Items that share a window all count; a null
-    item_id makes hits but isn't listed. An empty benchmark finds nothing. Other columns are ignored. One automaton finds
-    everything in one scan (`marked`, which also tells where); a benchmark too large to be sent to every task is joined."""
-    return marked(docs, benchmark, window).drop("spans") if fits(benchmark) else by_join(docs, benchmark, window)
+    One row a document row, repeated ones included. Null and empty texts have no words and no hits; very long ones are
+    scanned whole. Items that share a window all count; a null item_id makes hits but isn't listed. An empty benchmark finds
+    nothing, an empty table gives no rows. Other columns are ignored. One automaton finds everything in one scan; a
+    benchmark of over MOST_WORDS words takes several, one scan each, with the same result."""
+    said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return marked(docs, benchmark, window).withColumn("spans", said)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, in all their columns, in which no benchmark window occurs; null and empty texts stay."""
-    if not fits(benchmark):
+    shards = dealt(benchmark)
+    if len(shards) > 1:
         rows = stored(packed(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
-        found = by_join(rows.select(F.col("_row").alias("doc_id"), "doc.text"), benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_gone"))
+        found = sharded_hits(rows.select("_row", "doc.text"), shards, window).select(F.col("_row").alias("_gone"))
         return rows.join(found, F.col("_row") == F.col("_gone"), "left_anti").select("doc.*")
-    index = docs.sparkSession.sparkContext.broadcast(Index(read_items(benchmark), window))
+    index = docs.sparkSession.sparkContext.broadcast(Index(read_items(shards[0]), window))
 
     @F.arrow_udf("boolean")
     def free(texts: pa.Array) -> pa.Array:

@@ -57,11 +57,18 @@ pos as (select doc_id, l, i, array_to_string(ws[i:i+l-1], ' ') as g
     from (select doc_id, ws, l, unnest(generate_series(1, len(ws) - l + 1)) as i from dw, lens where len(ws) >= l)),
 hit as (select pos.doc_id, pos.i, pos.l, win.item_id from pos join win on pos.g = win.g and pos.l = win.l),
 hw as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + l - 1)) as p from hit) group by doc_id),
+ow as (select doc_id, i - 1 as i, len(w) as l, sum(len(gap) + len(w)) over (partition by doc_id order by i rows unbounded preceding) as e
+    from (select doc_id, unnest(ws) as w, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')[1:len(ws)]) as gap,
+        unnest(generate_series(1, len(ws))) as i from dw join documents using (doc_id) where doc_id in (select doc_id from hit))),
+st as (select doc_id, min(e - l)::bigint as a, max(e)::bigint as b from (select ow.*, ow.i - row_number() over (partition by doc_id order by ow.i) as run from ow
+    where (doc_id, ow.i + 1) in (select doc_id, unnest(generate_series(i, i + l - 1)) from hit)) group by doc_id, run),
+sp as (select doc_id, string_agg(a || ':' || b, ',' order by a) as spans from st group by doc_id),
 hi as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as items
     from (select distinct doc_id, item_id::varchar as s from hit) group by doc_id)
 select dw.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from dw left join hw using (doc_id) left join hi using (doc_id)
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+    coalesce(spans, '') as spans
+from dw left join sp using (doc_id) left join hw using (doc_id) left join hi using (doc_id)
 """
 
 OP11 = r"""
