@@ -89,12 +89,12 @@ def scored(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
 
     @F.arrow_udf("struct<n:long,w:double>")
     def weigh(texts: pa.Array) -> pa.Array:
-        own = ratios.value
-        at = [ngram_buckets(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays(
-            [pa.array([len(x) for x in at], pa.int64()), pa.array([float(own[x].sum()) for x in at], pa.float64())],
-            names=["n", "w"],
-        )
+        own, n, w = ratios.value, [], []
+        for text in texts:  # the buckets of one text at a time are held
+            at = ngram_buckets(text.as_py())
+            n.append(len(at))
+            w.append(float(own[at].sum()))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=["n", "w"])
 
     rows = packed(docs).select("doc", F.col("doc.doc_id").alias("doc_id"), weigh(as_bytes("doc.text")).alias("_s"))
     return rows.select(*(["doc"] if keep else []), "doc_id", F.col("_s.n").alias("_n"), F.round("_s.w", 6).alias("_w"))
