@@ -134,16 +134,6 @@ def impulse_pullback(features: DataFrame, impulse: float, rvol: float, look: int
     return first_per(k, keys, [F.col("i")]).select(*keys, "i", "j", "k", "ts_utc", F.when(F.col("d") > 0, "LONG").otherwise("SHORT").alias("side"))
 
 
-def two_attempts(bars: DataFrame, level: str, gap: int) -> DataFrame:
-    """A first touch of a level that closes back below it, then the first touch at least `gap` bars later: success if it
-    closes above."""
-    n = numbered(bars.filter("is_rth"))
-    touch = F.col("high") >= F.col(level)
-    a = first_per(n.filter(touch & (F.col("close") < F.col(level))), ["instrument_id", "session_date"], [F.col("bar_no")]).select("instrument_id", "session_date", F.col("bar_no").alias("first_no"))
-    later = n.join(a, ["instrument_id", "session_date"]).filter(touch & (F.col("bar_no") >= F.col("first_no") + gap))
-    return first_per(later, ["instrument_id", "session_date"], [F.col("bar_no")]).withColumn("success", F.col("close") >= F.col(level))
-
-
 def crowded(events: DataFrame, features: DataFrame, gap: float, least: int) -> DataFrame:
     """Events only of days on which at least `least` instruments gap."""
     opens = first_per(features.filter("is_rth"), ["instrument_id", "session_date"], [F.col("ts_utc")])

@@ -114,6 +114,7 @@ def causal_features(bars: DataFrame, spec: SessionSpec = QUARTERS, extreme: floa
         *[f(k).alias(f"{n}_{k}") for k in (3, 5, 10, 15) for n, f in (("hi", high), ("lo", low))],
         *[guarded(F.sum("_step"), "_step", rows(k, day), 2).alias(f"path_abs_{k}") for k in (5, 15)],
         *[lag("close", k, day).alias(f"_c{k}") for k in (5, 15)],
+        F.try_divide(guarded(F.sum(close * F.col("volume")), close * F.col("volume"), rows(15, day), 5), F.sum("volume").over(rows(15, day))).alias("vwap_15m"),
         (F.col("ts_utc") + F.make_dt_interval(mins=F.lit(spec.bar_minutes))).alias("available_at"),
     ).drop("_step")
     state = carried(daily_facts(bars)).select("instrument_id", "session_date", "prev_close", "typ_1m_vol", "yday_ret", "yday_high", "yday_low", "yday_range", "yday_clv", "ret_2d", "ret_3d", "ret_5d", "ah_ret", "med20", "pm_ret")
@@ -121,6 +122,7 @@ def causal_features(bars: DataFrame, spec: SessionSpec = QUARTERS, extreme: floa
     so_far = day.rowsBetween(Window.unboundedPreceding, 0)
     x = x.select(
         "*",
+        F.row_number().over(day).alias("bar_of_day"),
         F.first("open").over(so_far).alias("rth_open"),
         F.max("high").over(so_far).alias("rth_high_so_far"),
         F.min("low").over(so_far).alias("rth_low_so_far"),

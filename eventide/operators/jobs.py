@@ -15,7 +15,8 @@ from eventide.operators.statistics import day_agreement, summary
 
 @dataclass(frozen=True)
 class Job:
-    """One event definition: rows of the features on which `where` holds, on the side that `side` says (null: none)."""
+    """One event definition: rows of the features on which `where` holds, on the side that `side` says (null: none). Entry is
+    at the bar after, or with entry_next=False at the bar itself."""
 
     job_id: str
     family: str
@@ -23,6 +24,7 @@ class Job:
     side: str
     parent: str | None = None
     engine: str = "threshold"
+    entry_next: bool = True
 
 
 def opposite(job: Job, suffix: str) -> Job:
@@ -47,12 +49,12 @@ def job_events(features: DataFrame, jobs: list[Job], bar_minutes: int) -> DataFr
     """Events of all jobs in one pass: a row of features is tested against every job, hits are exploded, and the first of
     each job, instrument and day stays. Rows multiply by hits, not by jobs."""
     hit = lambda j: F.when(F.expr(j.where), F.expr(j.side))
-    every = F.array(*[F.struct(F.lit(j.job_id).alias("job_id"), hit(j).alias("side")) for j in jobs])
+    every = F.array(*[F.struct(F.lit(j.job_id).alias("job_id"), hit(j).alias("side"), F.lit(j.entry_next).alias("next")) for j in jobs])
     rows = features.select("instrument_id", "session_date", "ts_utc", F.explode(F.filter(every, lambda e: e["side"].isNotNull())).alias("e")).select("instrument_id", "session_date", "ts_utc", "e.*")
     rows = first_per(rows, ["job_id", "instrument_id", "session_date"], [F.col("ts_utc")])
     decided = F.col("ts_utc") + F.make_dt_interval(mins=F.lit(bar_minutes))
     event_id = F.concat_ws("-", "job_id", "instrument_id", F.date_format(decided, "yyyyMMddHHmm"))
-    return rows.select("job_id", event_id.alias("event_id"), "instrument_id", "session_date", decided.alias("decision_ts"), decided.alias("entry_ts"), "side")
+    return rows.select("job_id", event_id.alias("event_id"), "instrument_id", "session_date", decided.alias("decision_ts"), F.when(F.col("next"), decided).otherwise(F.col("ts_utc")).alias("entry_ts"), "side")
 
 
 def stage_summary(returns: DataFrame, primary: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventide.operators import events as ev
+from eventide.operators.directional import GAP_SCORE
 from eventide.operators.features import by_day, carried, daily_facts, late_rows
 from eventide.operators.joins import asof_join, range_join
 from eventide.operators.outcomes import barriers, forward_returns
@@ -50,7 +51,7 @@ def _(spark, d):
 
 
 _CAUSAL_A = "ret_1m ret_3m ret_5m ret_10m ret_15m ret_30m volume_1m volume_5m volume_10m volume_15m range_1m range_5m range_15m range_30m hi_3 lo_3 hi_5 lo_5 hi_10 lo_10 hi_15 lo_15 path_abs_5 path_abs_15 rth_open rth_high_so_far rth_low_so_far gap_pct rvol_1m rvol_5m rvol_10m rvol_15m"
-_CAUSAL_B = "dist_open dist_prev_close dist_yday_high dist_yday_low path_efficiency_5m path_efficiency_15m acceleration_5_vs_15 pullback_from_recent_high rebound_from_recent_low range_position_15m close_location_value volume_acceleration volume_persistence vol_vs_prev5_avg px_disp_per_rvol vol_accel_range range_vs_hist"
+_CAUSAL_B = "dist_open dist_prev_close dist_yday_high dist_yday_low path_efficiency_5m path_efficiency_15m acceleration_5_vs_15 pullback_from_recent_high rebound_from_recent_low range_position_15m close_location_value volume_acceleration volume_persistence vol_vs_prev5_avg px_disp_per_rvol vol_accel_range range_vs_hist vwap_15m"
 _CAUSAL_X = "xs_ret_rank xs_rvol_rank xs_accel_rank xs_vol_rank breadth_pos breadth_neg mkt_ret_5m mkt_ret_15m mkt_rvol_5m resid_5m resid_15m"
 
 
@@ -133,34 +134,31 @@ def _job(name: str, where: str, side: str, sql_side: str | None = None):
         return ev.stamp(rows, name, F.expr(side), M).select("event_id", "side")
 
 
-# Weights of the linear side score.
-SCORE = "(2.0 * coalesce(gap_pct, 0) + 1.5 * coalesce(ret_5m, 0) + 0.5 * coalesce(ret_15m, 0) + 0.02 * least(coalesce(rvol_5m, 0), 10.0) / 10 - 0.0004 * coalesce(minutes_from_open, 0))"
 # One row a job: name, condition, side. Thresholds fit the tick table's wide prices.
+_MOST = "minutes_from_open between 30 and 780"
 JOBS = [
     ("e5_weekday_gap", "weekday = 1 and abs(gap_pct) >= 0.1", "case when gap_pct > 0 then 'SHORT' else 'LONG' end"),
     ("e8_quiet_volume_shock", "rvol_5m >= 1.1 and abs(ret_5m) <= 0.25", "'LONG'"),
-    ("e12_after_hours_follow", "minutes_from_open = 0 and abs(ah_ret) >= 0.2", "case when ah_ret > 0 then 'LONG' else 'SHORT' end"),
     ("e13_first_yday_tag", "high >= yday_high or low <= yday_low", "case when high >= yday_high then 'LONG' else 'SHORT' end"),
-    ("e15_momentum_side", "rvol_5m >= 1.0", "case when ret_5m > 0 then 'LONG' when ret_5m < 0 then 'SHORT' end"),
-    ("e15_fade_side", "rvol_5m >= 1.0", "case when ret_5m > 0 then 'SHORT' when ret_5m < 0 then 'LONG' end"),
-    ("e15_gap_side", "rvol_5m >= 1.0", "case when gap_pct > 0 then 'LONG' when gap_pct < 0 then 'SHORT' end"),
-    ("e15_range_side", "rvol_5m >= 1.0", "case when range_position_15m >= 0.7 then 'LONG' when range_position_15m <= 0.3 then 'SHORT' end"),
-    ("e15_gap_fade_side", "rvol_5m >= 1.0", "case when gap_pct > 0 then 'SHORT' when gap_pct < 0 then 'LONG' end"),
-    ("e15_select_side", "rvol_5m >= 1.2 and abs(ret_5m) >= 0.2", "case when ret_5m > 0 then 'LONG' else 'SHORT' end"),
-    ("e15_score_side", f"rvol_5m >= 1.0 and abs({SCORE}) >= 0.5", f"case when {SCORE} > 0 then 'LONG' else 'SHORT' end"),
+    ("e16_gap_absorb", f"{_MOST} and gap_pct >= 0.05 and rvol_5m >= 0.9 and abs(ret_5m) <= 0.6 and close >= vwap_15m", "'LONG'"),
+    ("e16_gap_absorb_fade", f"{_MOST} and gap_pct >= 0.05 and rvol_5m >= 0.9 and abs(ret_5m) <= 0.6 and close >= vwap_15m", "'SHORT'"),
+    ("e19_gap_down_reclaim", "minutes_from_open between 20 and 400 and yday_ret > 0 and gap_pct <= -0.03 and close >= rth_open", "'LONG'"),
+    ("e23_after_hours_agreement", "minutes_from_open between 15 and 400 and abs(ah_ret) >= 0.03 and ret_5m is not null", "case when (ah_ret * ret_5m > 0) = (ah_ret > 0) then 'LONG' else 'SHORT' end"),
+    ("e24_linear_score", f"{_MOST} and rvol_5m >= 1.2 and abs(gap_pct) >= 0.02 and abs({GAP_SCORE}) >= 0.5", f"case when {GAP_SCORE} > 0 then 'LONG' else 'SHORT' end"),
     ("e26_impulse_only", "abs(ret_3m) >= 0.3 and rvol_5m >= 0.9", "case when ret_3m > 0 then 'LONG' else 'SHORT' end"),
-    ("e16_gap_absorb", "gap_pct >= 0.1 and dist_open >= 0 and rvol_5m >= 0.8", "'LONG'"),
-    ("e19_gap_down_reclaim", "gap_pct <= -0.1 and dist_prev_close >= 0", "'LONG'"),
-    ("e20_contrarian_market", "minutes_from_open >= 300 and abs(mkt_ret_5m) >= 0.1", "case when mkt_ret_5m > 0 then 'SHORT' else 'LONG' end"),
-    ("e24_linear_score", "abs(0.5 * ret_5m + 0.3 * gap_pct - 0.2 * pullback_from_recent_high) >= 0.2", "case when 0.5 * ret_5m + 0.3 * gap_pct - 0.2 * pullback_from_recent_high > 0 then 'LONG' else 'SHORT' end"),
-    ("e29_market_divergence", "mkt_ret_5m <= -0.02 and ret_5m >= 0.1", "'LONG'"),
-    ("e31_multi_day_runner", "ret_3d >= 0.3 and dist_prev_close >= 0", "'LONG'"),
-    ("e35_scale_agreement", "signum(ret_1m) = signum(ret_5m) and ret_5m is not null and sign(ret_1m) <> 0", "case when ret_5m > 0 then 'LONG' else 'SHORT' end"),
+    ("e29_market_divergence", f"{_MOST} and (mkt_ret_5m <= -0.2 or breadth_pos <= 0.4) and ret_5m >= -0.1 and xs_ret_rank >= 0.9 and rvol_5m >= 1 and (abs(mkt_ret_5m) <= 0.5 or close >= hi_5)", "'LONG'"),
+    ("e29_market_divergence_short", f"{_MOST} and (mkt_ret_5m >= 0.2 or breadth_neg <= 0.4) and ret_5m <= 0.1 and xs_ret_rank <= 0.4 and rvol_5m >= 1 and (abs(mkt_ret_5m) <= 0.5 or close <= lo_5)", "'SHORT'"),
+    ("e31_multi_day_runner", f"{_MOST} and ret_3d >= 0.15 and close >= rth_open * 0.995 and new_high_15 and rvol_5m >= 1", "'LONG'"),
+    ("e31_runner_cont_short", f"{_MOST} and ret_3d <= -0.15 and close <= rth_open * 1.005 and new_low_15 and rvol_5m >= 1", "'SHORT'"),
+    ("e31_runner_fail_short", f"{_MOST} and ret_3d >= 0.15 and close < rth_open and ret_5m > 0", "'SHORT'"),
+    ("e31_runner_fail_long", f"{_MOST} and ret_3d <= -0.15 and close > rth_open and ret_5m < 0", "'LONG'"),
+    ("e35_scale_conflict", f"{_MOST} and sign(ret_5m) <> sign(yday_ret) and abs(ret_5m) >= 0.1 and abs(ret_15m) < 0.8 and abs(yday_ret) >= 0.01", "case when yday_ret > 0 then 'LONG' else 'SHORT' end"),
     ("e36_snapshot_momentum", "minutes_from_open in (300, 420, 540) and abs(ret_5m) >= 0.3", "case when ret_5m > 0 then 'LONG' else 'SHORT' end"),
-    ("e42_residual_state", "abs(resid_5m) >= 0.3 and rvol_5m >= 0.9", "case when resid_5m > 0 then 'LONG' else 'SHORT' end"),
+    ("e42_residual_state", f"{_MOST} and resid_5m >= 0.3 and rvol_5m >= 1 and xs_ret_rank >= 0.8", "'LONG'"),
+    ("e42_residual_weak", f"{_MOST} and resid_5m <= -0.3 and rvol_5m >= 1 and xs_ret_rank <= 0.4", "'SHORT'"),
 ]
 for _name, _where, _side in JOBS:
-    _job(_name, _where.replace("signum(", "sign("), _side)
+    _job(_name, _where, _side)
 
 _NUM = "num as (select *, row_number() over (partition by instrument_id, session_date order by ts_utc) - 1 as bar_no from ses where is_rth)"
 
@@ -220,13 +218,6 @@ def _(spark, d):
     return ev.impulse_pullback(causal(spark, d), 1.5, 0.9, 5, (0.1, 0.9), 4)
 
 
-@register("e34_two_attempts", f"""with {CAUSAL}, {_CNUM}, a as (select instrument_id, session_date, min(bar_no) as first_no from cn where high >= yday_high and close < yday_high group by all)
-select c.instrument_id, c.session_date, c.ts_utc, c.close >= c.yday_high as success from cn c join a using (instrument_id, session_date) where high >= yday_high and bar_no >= first_no + 2
-qualify row_number() over (partition by c.instrument_id, c.session_date order by bar_no) = 1""")
-def _(spark, d):
-    return ev.two_attempts(causal(spark, d), "yday_high", 2).select("instrument_id", "session_date", "ts_utc", "success")
-
-
 @register("e25_inverted", f"with {_EVENTS}, {_FIRST} select event_id, 'SHORT' as side from fd")
 def _(spark, d):
     return ev.inverted(ev.first_of_day(gap_events(spark, d))).select("event_id", "side")

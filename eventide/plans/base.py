@@ -115,11 +115,12 @@ def _causal_sql() -> str:
     rank = lambda v, n: f"case when {v} is not null then (rank() over (partition by session_date, minute_of_day order by {v} asc nulls last) + (count(*) over (partition by session_date, minute_of_day, {v}) - 1) / 2.0) / count(*) over x end as {n}"
     return DAILY + f""",
 k0 as (select *, abs(close - lag(close) over (partition by instrument_id, session_date order by ts_utc)) as step from ses),
-k1 as (select * exclude (step), volume as volume_1m, (high - low) / nullif(close, 0) as range_1m, ts_utc + interval 15 minute as available_at, {rets}, {vols}, {ranges}, {his}, {paths}
+k1 as (select * exclude (step), volume as volume_1m, (high - low) / nullif(close, 0) as range_1m, ts_utc + interval 15 minute as available_at,
+    case when count(close * volume) over {w(15)} >= 5 then sum(close * volume) over {w(15)} / nullif(sum(volume) over {w(15)}, 0) end as vwap_15m, {rets}, {vols}, {ranges}, {his}, {paths}
     from k0 window d as (partition by instrument_id, session_date order by ts_utc)),
 k2 as (select k1.*, c.prev_close, c.typ_1m_vol, c.yday_ret, c.yday_high, c.yday_low, c.yday_range, c.yday_clv, c.ret_2d, c.ret_3d, c.ret_5d, c.ah_ret, c.med20, c.pm_ret,
     minute_of_day - 360 as minutes_from_open, isodow(session_date)::int as weekday, available_at as decision_ts, {rvol},
-    first_value(open) over u as rth_open, max(high) over u as rth_high_so_far, min(low) over u as rth_low_so_far, high >= lag(hi_15) over d as new_high_15, low <= lag(lo_15) over d as new_low_15,
+    (row_number() over d)::int as bar_of_day, first_value(open) over u as rth_open, max(high) over u as rth_high_so_far, min(low) over u as rth_low_so_far, high >= lag(hi_15) over d as new_high_15, low <= lag(lo_15) over d as new_low_15,
     volume_5m / (lag(volume_5m, 5) over d + 1e-9) as volume_acceleration from k1 left join carried c using (instrument_id, session_date) where is_rth
     window d as (partition by instrument_id, session_date order by ts_utc), u as (partition by instrument_id, session_date order by ts_utc rows between unbounded preceding and current row)),
 k3 as (select * exclude (c5, c15), rth_open / nullif(prev_close, 0) - 1 as gap_pct, {dist}, {path}, ret_5m - ret_15m as acceleration_5_vs_15,

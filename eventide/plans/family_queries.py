@@ -6,84 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.functions.core import stored
-from eventide.operators import events as ev
-from eventide.operators import families as fam
 from eventide.operators import graph, grid, models, rules
 from eventide.operators import statistics as st
 from eventide.operators.joins import range_join
-from eventide.plans.bars_queries import _CNUM, _EVENTS, _FWD, _NUM, M, forwards, gap_events
-from eventide.plans.base import BARS, CAUSAL, DESK, causal, register, session_bars
+from eventide.plans.bars_queries import _EVENTS, _FWD, forwards, gap_events
+from eventide.plans.base import DESK, causal, register, session_bars
 from eventide.plans.panel_queries import _BANK, _DAYM, _FIT, _M_F, _PANEL_F, _PEERS, _RIDGE, pair_stats, panel, train_test
 from eventide.sources.bars import news, table
 
-_OF_DAY = "partition by instrument_id, session_date order by"
-
-
 # --- events
-def _lag_job(name: str, lags: dict[str, tuple[str, int]], where: str, side: str):
-    """A first-of-day job whose condition also reads earlier bars."""
-    columns = ", ".join(f"lag({c}, {k}) over ({_OF_DAY} ts_utc) as {n}" for n, (c, k) in lags.items())
-
-    @register(name, f"""with {CAUSAL}, lagged as (select *, {columns} from causal)
-        select '{name}-' || instrument_id || '-' || strftime(decision_ts, '%Y%m%d%H%M') as event_id, {side} as side from lagged
-        where ({where}) and ({side}) is not null qualify row_number() over ({_OF_DAY} ts_utc) = 1""")
-    def _(spark, d):
-        rows = fam.with_lags(causal(spark, d), lags).filter(where)
-        return ev.stamp(rows, name, F.expr(side), M).select("event_id", "side")
-
-
-_lag_job("e17_compression_break", {"range_then": ("range_5m", 3), "high_then": ("hi_5", 1)}, "range_then <= 0.6 * prev_close and close > high_then", "'LONG'")
-_lag_job("e21_impulse_pause_resume", {"ret_then": ("ret_3m", 2), "pause": ("ret_1m", 1)}, "abs(ret_then) >= 0.2 and abs(pause) <= 0.2", "case when sign(ret_1m) = sign(ret_then) then case when ret_1m > 0 then 'LONG' when ret_1m < 0 then 'SHORT' end end")
-_lag_job("e23_after_hours_agreement", {"first_ret": ("ret_1m", 1)}, "abs(ah_ret) >= 0.1 and sign(first_ret) = sign(ah_ret)", "case when ah_ret > 0 then 'LONG' else 'SHORT' end")
-_lag_job("e33_compression_release", {"range_then": ("range_5m", 3)}, "range_then <= 0.6 * prev_close and range_5m >= 1.5 * range_then", "case when ret_1m > 0 then 'LONG' when ret_1m < 0 then 'SHORT' end")
-
-
-@register("e18_laggards", f"""with {CAUSAL}, m as (select *, avg(dist_open) over x as market_move, quantile_cont(dist_open, 0.2) over x as low_cut from causal window x as (partition by session_date, minute_of_day))
-select instrument_id, ts_utc, market_move, dist_open from m where market_move >= 0.02 and dist_open <= low_cut""", "market_move dist_open")
-def _(spark, d):
-    return fam.laggards(causal(spark, d), 0.02, 0.2).select("instrument_id", "ts_utc", "market_move", "dist_open")
-
-
-@register("e22_failed_opening_break", f"""with {BARS}, {_NUM}, lv as (select instrument_id, session_date, max(high) as oh, min(low) as ol from num where bar_no < 3 group by all),
-o as (select n.*, oh, ol, close > oh as up from num n join lv using (instrument_id, session_date) where bar_no >= 3 and (close > oh or close < ol) qualify row_number() over (partition by n.instrument_id, n.session_date order by bar_no) = 1)
-select n.instrument_id, n.session_date, n.ts_utc, o.ts_utc as break_ts, case when o.up then 'SHORT' else 'LONG' end as side from num n join o using (instrument_id, session_date)
-where n.bar_no > o.bar_no and n.bar_no <= o.bar_no + 4 and n.close between ol and oh qualify row_number() over (partition by n.instrument_id, n.session_date order by n.bar_no) = 1""")
-def _(spark, d):
-    return fam.failed_opening_break(session_bars(spark, d), 3, 4).select("instrument_id", "session_date", "ts_utc", "break_ts", "side")
-
-
-@register("e27_breakout_window", f"""with {CAUSAL}, {_CNUM}, f as (select instrument_id, session_date, bar_no as first_no, ts_utc as break_ts, yday_high as level from cn where close > yday_high qualify row_number() over ({_OF_DAY} bar_no) = 1)
-select instrument_id, session_date, break_ts, max(ts_utc) as last_ts, count(*) filter (close > level)::bigint as n_above, avg(rvol_1m) as mean_rvol,
-    case when bool_or(close < level * 0.9) then 'REJECT' when count(*) filter (close > level) >= 3 and avg(rvol_1m) >= 0.8 then 'ACCEPT' else 'OPEN' end as outcome
-from cn join f using (instrument_id, session_date) where bar_no > first_no and bar_no <= first_no + 5 group by all""", "mean_rvol")
-def _(spark, d):
-    return fam.breakout_window(causal(spark, d), "yday_high", 5, 0.1, 3, 0.8)
-
-
-@register("e28_rank_states", f"""with {CAUSAL}, r as (select *, xs_ret_rank as r0, lag(xs_ret_rank, 1) over w as r1, lag(xs_ret_rank, 2) over w as r2 from causal window w as ({_OF_DAY} ts_utc)),
-s as (select instrument_id, session_date, ts_utc, case when least(r0, r1, r2) >= 0.7 then 'STRONG' when greatest(r0, r1, r2) <= 0.4 then 'WEAK' when r2 >= 0.7 and r0 < r1 and r1 < r2 then 'DECAY'
-    when r2 <= 0.4 and r0 > r1 and r1 > r2 then 'RECOVER' end as state from r where r0 is not null and r1 is not null and r2 is not null)
-select * from s where state is not null qualify row_number() over (partition by instrument_id, session_date, state order by ts_utc) = 1""")
-def _(spark, d):
-    return fam.rank_states(causal(spark, d), "xs_ret_rank", 0.7, 0.4).select("instrument_id", "session_date", "ts_utc", "state")
-
-
-@register("e30_shock_resolution", f"""with {CAUSAL}, {_CNUM}, f as (select instrument_id, session_date, bar_no as first_no, ts_utc as shock_ts, close as c0, ret_1m as r0, close / (1 + ret_1m) as before from cn where abs(ret_1m) >= 0.4 qualify row_number() over ({_OF_DAY} bar_no) = 1),
-k as (select *, (close - before) / nullif(c0 - before, 0) as part from cn join f using (instrument_id, session_date) where bar_no > first_no and bar_no <= first_no + 4),
-o as (select *, part >= 1.25 as res from k where part >= 1.25 or part <= 0.5 qualify row_number() over ({_OF_DAY} bar_no) = 1)
-select instrument_id, session_date, shock_ts, ts_utc, case when res then 'RESOLVED' else 'FAILED' end as outcome, case when (r0 > 0) = res then 'LONG' else 'SHORT' end as side from o""")
-def _(spark, d):
-    return fam.shock_resolution(causal(spark, d), 0.4, 4, 1.25, 0.5).select("instrument_id", "session_date", "shock_ts", "ts_utc", "outcome", "side")
-
-
-@register("e32_opening_dislocation", f"""with {CAUSAL}, {_CNUM}, s as (select instrument_id, session_date, close as c0, (rank() over (partition by session_date order by dist_open) + (count(*) over (partition by session_date, dist_open) - 1) / 2.0) / count(*) over (partition by session_date) as open_rank from cn where bar_no = 1 and dist_open is not null),
-l as (select instrument_id, session_date, arg_max(close, bar_no) as c1, max(ts_utc) as ts_utc from cn where bar_no > 1 and bar_no <= 4 group by all)
-select instrument_id, session_date, ts_utc, open_rank, c1 / nullif(c0, 0) - 1 as move, case when case when open_rank >= 0.8 then c1 / c0 - 1 > 0 else c1 / c0 - 1 < 0 end then 'CONTINUE' else 'REVERSE' end as outcome
-from s join l using (instrument_id, session_date) where (open_rank >= 0.8 or open_rank <= 0.2) and c1 / nullif(c0, 0) is not null""", "open_rank move")
-def _(spark, d):
-    return fam.opening_dislocation(causal(spark, d), 1, 4, 0.8, 0.2).select("instrument_id", "session_date", "ts_utc", "open_rank", "move", "outcome")
-
-
 @register("e41_news_intensity", f"""with {_EVENTS}, nw as (select {DESK} as instrument_id, ts + interval 60 minute as available_at, case event_type when 'signup' then 1 when 'error' then -1 else 0 end as s from events where event_type in ('signup', 'error', 'view')),
 c as (select e.event_id, count(*)::bigint as articles, sum(s)::bigint as net from evt e join nw n on e.instrument_id = n.instrument_id and n.available_at > e.decision_ts - interval 12 hour and n.available_at <= e.decision_ts group by 1)
 select event_id, articles, net, case when net > 0 then 'LONG' else 'SHORT' end as side from c where articles >= 3 and net <> 0""")

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from eventide.functions.core import shared_dir, stored
 from eventide.operators import daybuild, graph, jobs, quality, rules, tree
-from eventide.operators import families as fam
 from eventide.operators import statistics as st
 from eventide.operators.features import by_day
 from eventide.operators.joins import asof_join
 from eventide.operators.outcomes import forward_returns, full_outcomes
-from eventide.plans import family_queries  # noqa: F401  (registers queries whose SQL is used here)
-from eventide.plans.bars_queries import _CNUM, _EVENTS, _FWD, HORIZONS, JOBS, M, _barriers_sql, forwards, gap_events
+from eventide.plans import directional_queries, family_queries  # noqa: F401  (registers queries whose SQL is used here)
+from eventide.plans.directional_queries import _OF_DAY
+from eventide.plans.bars_queries import _EVENTS, _FWD, HORIZONS, JOBS, M, _barriers_sql, forwards, gap_events
 from eventide.plans.base import BARS, CAUSAL, DESK, ORACLES, causal, register, session_bars
 from eventide.plans.panel_queries import _BUCKETED, GRID, _bucketed, _PAIRS, base_grid, pair_stats, panel
 from eventide.sources import stores
@@ -23,15 +24,17 @@ from eventide.sources.bars import instrument_of, instruments, news, table
 Job = jobs.Job
 
 #: The batch of primaries: the single-condition families, with variants of a few of them and their opposite sides.
-PRIMARY = [Job(name, name.split("_")[0], where.replace("signum(", "sign("), side) for name, where, side in JOBS]
+PRIMARY = [Job(name, name.split("_")[0], where, side) for name, where, side in JOBS]
+_AFTER = Job("e12_after_hours_follow", "e12", "bar_of_day = 1 and abs(ah_ret) >= {move}", "case when ah_ret > 0 then 'LONG' else 'SHORT' end", entry_next=False)
 BATCH = [
     *PRIMARY,
     *jobs.variants(Job("e5_weekday_gap", "e5", "weekday = {day} and abs(gap_pct) >= 0.1", "case when gap_pct > 0 then 'SHORT' else 'LONG' end"), "day", {"tue": "2", "wed": "3", "thu": "4"}),
     *jobs.variants(Job("e8_quiet_volume_shock", "e8", "rvol_5m >= {level} and abs(ret_5m) <= 0.25", "'LONG'"), "level", {"low": "1.0", "high": "1.25"}),
-    *jobs.variants(Job("e12_after_hours_follow", "e12", "minutes_from_open = 0 and abs(ah_ret) >= {move}", "case when ah_ret > 0 then 'LONG' else 'SHORT' end"), "move", {"wide": "0.05", "narrow": "0.5"}),
-    *jobs.variants(Job("e16_gap_absorb", "e16", "gap_pct >= {gap} and dist_open >= 0 and rvol_5m >= 0.8", "'LONG'"), "gap", {"small": "0.05", "large": "0.3"}),
+    replace(_AFTER, where=_AFTER.where.replace("{move}", "0.2")),
+    *jobs.variants(_AFTER, "move", {"wide": "0.05", "narrow": "0.5"}),
+    *jobs.variants(Job("e16_gap_absorb", "e16", "gap_pct >= {gap} and rvol_5m >= 0.9 and abs(ret_5m) <= 0.6 and close >= vwap_15m", "'LONG'"), "gap", {"small": "0.02", "large": "0.3"}),
     jobs.opposite(PRIMARY[1], "fade"),
-    jobs.opposite(next(j for j in PRIMARY if j.family == "e16"), "fade"),
+    jobs.opposite(next(j for j in PRIMARY if j.family == "e24"), "fade"),
     jobs.opposite(next(j for j in PRIMARY if j.family == "e19"), "cont"),
 ]
 
@@ -50,9 +53,9 @@ DIRECTIONAL = [
 
 
 def _events_sql(table_of: list[Job]) -> str:
-    one = lambda j: f"select '{j.job_id}' as job_id, instrument_id, session_date, ts_utc, decision_ts, {j.side} as side from causal where ({j.where}) and ({j.side}) is not null"
+    one = lambda j: f"select '{j.job_id}' as job_id, instrument_id, session_date, ts_utc, decision_ts, {'decision_ts' if j.entry_next else 'ts_utc'} as entry_ts, {j.side} as side from causal where ({j.where}) and ({j.side}) is not null"
     return f"""{CAUSAL}, je0 as ({' union all '.join(map(one, table_of))}),
-je as (select job_id, job_id || '-' || instrument_id || '-' || strftime(decision_ts, '%Y%m%d%H%M') as event_id, instrument_id, session_date, decision_ts, decision_ts as entry_ts, side from je0
+je as (select job_id, job_id || '-' || instrument_id || '-' || strftime(decision_ts, '%Y%m%d%H%M') as event_id, instrument_id, session_date, decision_ts, entry_ts, side from je0
     qualify row_number() over (partition by job_id, instrument_id, session_date order by ts_utc) = 1)"""
 
 
@@ -113,10 +116,10 @@ def _(spark, d):
     return jobs.with_p_values(jobs.stage_summary(_job_returns(spark, d, DIRECTIONAL), "3h")).filter("is_primary").select("job_id", "t_stat", "p", "q_value", "rejected")
 
 
-@register("t23_direction_correction", f"""with {_returns_sql(BATCH)}, {_JUDGED}, dr as (select unnest(['e12_after_hours_follow', 'e15_fade_side', 'e29_market_divergence']) as job_id, unnest([-1, 1, -1]) as direction)
+@register("t23_direction_correction", f"""with {_returns_sql(BATCH)}, {_JUDGED}, dr as (select unnest(['e12_after_hours_follow', 'e24_linear_score', 'e29_market_divergence']) as job_id, unnest([-1, 1, -1]) as direction)
 select job_id, mean, mean * coalesce(direction, 1) as signed_mean, decision as original, coalesce(case when direction is null or decision = 'WATCH' then null when mean * direction <= 0 then 'KILL' when reason = 'sign' then 'RETEST' end, decision) as decision from jv left join dr using (job_id)""", "mean signed_mean")
 def _(spark, d):
-    frozen = spark.createDataFrame([("e12_after_hours_follow", -1), ("e15_fade_side", 1), ("e29_market_divergence", -1)], "job_id string, direction int")
+    frozen = spark.createDataFrame([("e12_after_hours_follow", -1), ("e24_linear_score", 1), ("e29_market_divergence", -1)], "job_id string, direction int")
     return jobs.redirected(_judged(spark, d, BATCH), frozen)
 
 
@@ -373,17 +376,6 @@ def _(spark, d):
     return jobs.inverted(e, jobs.stage_summary(r, "3h"), 0.05).select("job_id", "event_id", "side")
 
 
-_OF_DAY = "partition by instrument_id, session_date order by"
-
-
-@register("e27_breakdown_window", f"""with {CAUSAL}, {_CNUM}, f as (select instrument_id, session_date, bar_no as first_no, ts_utc as break_ts, yday_low as level from cn where close < yday_low qualify row_number() over ({_OF_DAY} bar_no) = 1)
-select instrument_id, session_date, break_ts, max(ts_utc) as last_ts, count(*) filter (close < level)::bigint as n_below, avg(rvol_1m) as mean_rvol,
-    case when bool_or(close > level * 9.0) then 'REJECT' when count(*) filter (close < level) >= 1 and avg(rvol_1m) >= 0.8 then 'ACCEPT' else 'OPEN' end as outcome
-from cn join f using (instrument_id, session_date) where bar_no > first_no and bar_no <= first_no + 5 group by all""", "mean_rvol")
-def _(spark, d):
-    return fam.breakout_window(causal(spark, d), "yday_low", 5, 8.0, 1, 0.8, up=False)
-
-
 @register("a7_outcome_summary", f"""with o as ({ORACLES["o1_full_outcomes"]}) select horizon, count(forward_return)::bigint as n, avg(forward_return) as mean, avg(mfe) as mfe, avg(mae) as mae, avg(ambiguous::int::double) as ambiguous_rate, avg(case when target_first is not null then target_first::int::double end) as target_rate from o group by 1""", "mean mfe mae ambiguous_rate target_rate")
 def _(spark, d):
     o = full_outcomes(gap_events(spark, d), session_bars(spark, d), HORIZONS, M, 360, 0.5, 0.5)

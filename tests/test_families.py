@@ -1,56 +1,14 @@
-"""Patterns on hand-made days, and the models on planted panels."""
-
-import datetime as dt
+"""Verdicts on rules, and the models on planted panels."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventide.operators import families as fam
 from eventide.operators import models, rules
 
-START = dt.datetime(2024, 1, 2, 15)
-
-
-def day(spark, name, closes, **columns):
-    rows = [(name, START.date(), START + dt.timedelta(hours=i), True, c, c + 0.5, c - 0.5, *(v[i] for v in columns.values())) for i, c in enumerate(closes)]
-    return spark.createDataFrame(rows, f"instrument_id string, session_date date, ts_utc timestamp, is_rth boolean, close double, high double, low double{''.join(f', {c} double' for c in columns)}")
-
-
 def only(df, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
 
-def test_failed_opening_break_needs_a_close_back_in_time(spark):
-    bars = day(spark, "back", [10.0, 11.0, 10.5, 13.0, 12.5, 11.0]).union(day(spark, "late", [10.0, 11.0, 10.5, 13.0, 13.0, 13.0, 13.0, 11.0])).union(day(spark, "below", [10.0, 11.0, 10.5, 8.0, 10.0]))
-    got = only(fam.failed_opening_break(bars, 3, 2), "instrument_id", "side")
-    assert sorted(got) == [("back", "SHORT"), ("below", "LONG")]
-    assert fam.failed_opening_break(bars.limit(0), 3, 2).count() == 0
-
-
-def test_breakout_window_outcomes(spark):
-    def one(name, closes):
-        return day(spark, name, closes, rvol_1m=[1.0] * len(closes), level=[10.0] * len(closes))
-
-    bars = one("up", [9.0, 11.0, 11.0, 11.0, 12.0]).union(one("down", [9.0, 11.0, 11.0, 8.0, 12.0])).union(one("flat", [9.0, 11.0, 9.9, 9.9, 9.9])).union(one("never", [9.0, 9.0]))
-    got = only(fam.breakout_window(bars, "level", 3, 0.1, 3, 0.8), "instrument_id", "outcome")
-    assert sorted(got) == [("down", "REJECT"), ("flat", "OPEN"), ("up", "ACCEPT")]
-
-
-def test_rank_states(spark):
-    bars = day(spark, "a", [1.0] * 6, rank=[0.9, 0.9, 0.9, 0.5, 0.3, None]).union(day(spark, "b", [1.0] * 4, rank=[0.1, 0.2, 0.5, 0.9]))
-    got = only(fam.rank_states(bars, "rank", 0.8, 0.3), "instrument_id", "state")
-    assert sorted(got) == [("a", "DECAY"), ("a", "STRONG"), ("b", "RECOVER")]
-
-
-def test_shock_resolution(spark):
-    def one(name, closes):
-        return day(spark, name, closes, ret_1m=[None, *(b / a - 1 for a, b in zip(closes, closes[1:]))])
-
-    bars = one("on", [10.0, 15.0, 15.5, 17.0]).union(one("fail", [10.0, 15.0, 12.0])).union(one("drop", [10.0, 5.0, 2.0])).union(one("calm", [10.0, 10.1]))
-    got = only(fam.shock_resolution(bars, 0.4, 4, 1.25, 0.5), "instrument_id", "outcome", "side")
-    assert sorted(got) == [("drop", "RESOLVED", "SHORT"), ("fail", "FAILED", "SHORT"), ("on", "RESOLVED", "LONG")]
-
-
 def test_verdicts_and_neighbours(spark):
     rows = [("a", "D1", 50, 0.02), ("a", "D2", 50, 0.01), ("a", "D3", 50, 0.03), ("b", "D1", 50, 0.02), ("b", "D2", 5, 0.02), ("b", "D3", 50, 0.02), ("c", "D1", 50, 0.02), ("c", "D2", 50, 0.02), ("c", "D3", 50, -0.02)]
     stats = spark.createDataFrame(rows, "job string, split string, n long, mean double")
