@@ -163,3 +163,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], x: str, ps: tuple[float, .
     found = near.withColumn("_w", weight).filter("_w > 0").groupBy(*group, "i").agg(F.sum(F.col("_w") * F.col("_v")).alias("_x"))
     out = found.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_x"))), lambda s: s["_x"]).alias("q"))
     return out if keys else out.drop("_all")
+
+
+def drawn(seed: int, replicate: str, slot: str, n: str) -> Column:
+    """A number from 0 to n - 1 from a hash of (seed, replicate, slot): independent draws, the same in any order and anywhere."""
+    said = F.concat_ws(":", F.lit(str(seed)), F.col(replicate).cast("string"), F.col(slot).cast("string"))
+    return (F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("long") % F.col(n)).cast("int")

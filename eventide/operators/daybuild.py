@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import average_rank, guarded, lag, rows
+from eventide.functions.core import average_rank, guarded, lag, rows, stored
+from eventide.operators import grid as panel
 from eventide.operators.grid import CLOCK, of_day
 
 FLAGS = ("h004", "impulse", "high_rvol", "quiet_px", "mkt_agree")
@@ -34,44 +35,56 @@ def eligible(grid: DataFrame, price: float, dollars: float) -> DataFrame:
 
 
 def with_weight(grid: DataFrame) -> DataFrame:
-    """Root of typical dollar volume; where that is unknown, of the median one, else 1."""
-    second = F.sqrt("med20_dvol") if "med20_dvol" in grid.columns else F.lit(None).cast("double")
-    return grid.withColumn("weight_mkt", F.coalesce(F.sqrt(F.col("typ_1m_vol") * F.col("prev_close") * 390), second, F.lit(1.0)))
+    """Root of the median dollar volume where the table has it (med20_dvol), else of a typical day's, else 1."""
+    if "med20_dvol" in grid.columns:
+        return grid.withColumn("weight_mkt", F.sqrt("med20_dvol"))
+    if {"typ_1m_vol", "prev_close"} <= set(grid.columns):
+        return grid.withColumn("weight_mkt", F.sqrt(F.col("typ_1m_vol") * F.col("prev_close") * 390))
+    return grid.withColumn("weight_mkt", F.lit(1.0))
+
+
+def with_residuals(grid: DataFrame, beta_days: int = 20) -> DataFrame:
+    """Adds trading_date, r and weight, the market of all others over five and fifteen bars (mkt, mkt_15), beta over completed
+    days, resid and resid_15; null where beta is unknown. Read twice: store what is dear."""
+    g = grid.withColumns({"trading_date": F.col("session_date"), "r": F.col("ret_5m"), "weight": F.col("weight_mkt")})
+    g = panel.residual_grid(g, panel.rolling_beta(panel.daily_returns(g), beta_days))
+    g = panel.with_loo_market(g, CLOCK, "ret_15m", "mkt_15")
+    return g.withColumn("resid_15", F.col("ret_15m") - F.col("beta") * F.col("mkt_15"))
 
 
 def with_activity(grid: DataFrame) -> DataFrame:
-    """Changes over five rows of the grid, path and place of the last five bars, distance to the day's extremes in units of
-    recent variation, and volume against the cross-section's."""
+    """Changes over five rows of the grid, the move in units of its path, the place in the day's range, distances to the day's
+    extremes in units of how much absolute moves of the last fifteen rows varied, and volume."""
     d = by_day()
-    swing = guarded(F.stddev_samp("ret_5m"), "ret_5m", rows(15, d), 3) + 1e-9
+    swing = F.col("close") * (guarded(F.stddev_samp(F.abs("ret_5m")), "ret_5m", rows(15, d), 15) + 1e-6)
     return grid.select(
         "*",
         (F.col("ret_5m") - lag("ret_5m", 5, d)).alias("ret_accel_5m"),
-        (F.signum("ret_5m") * F.col("path_efficiency_5m")).alias("signed_path_eff_5m"),
-        ((F.col("close") - F.col("lo_5")) / (F.col("hi_5") - F.col("lo_5") + 1e-12)).alias("close_location_5m"),
-        ((F.try_divide("close", "rth_high_so_far") - 1) / swing).alias("dist_sess_high_volnorm"),
-        ((F.try_divide("close", "rth_low_so_far") - 1) / swing).alias("dist_sess_low_volnorm"),
-        (F.col("rvol_5m") / (F.avg("rvol_5m").over(Window.partitionBy("session_date", "minute_of_day")) + 1e-9)).alias("rvol_5m_tod"),
-        (F.col("rvol_5m") - lag("rvol_5m", 5, d)).alias("activity_acceleration"),
+        (F.col("ret_5m") / (F.col("path_abs_5") / (F.col("close") + 1e-12) + 1e-12)).alias("signed_path_eff_5m"),
+        F.col("close_location_value").alias("close_location_5m"),
+        F.try_divide(F.col("rth_high_so_far") - F.col("close"), swing).alias("dist_sess_high_volnorm"),
+        F.try_divide(F.col("close") - F.col("rth_low_so_far"), swing).alias("dist_sess_low_volnorm"),
+        F.col("rvol_5m").alias("rvol_5m_tod"),
+        (F.col("volume_5m") / (lag("volume_5m", 5, d) + 1e-9)).alias("activity_acceleration"),
     )
 
 
 @dataclass(frozen=True)
 class Thresholds:
-    shock_rvol: float
-    shock_move: float
-    impulse: float
-    rvol: float
-    quiet: float
+    shock_rvol: float = 5.0
+    quiet_move: float = 0.012
+    impulse: float = 0.04
+    impulse_rvol: float = 3.0
+    high_rvol: float = 3.0
 
 
 def with_flags(grid: DataFrame, t: Thresholds) -> DataFrame:
     """The five states of a row, all of them together, and each conjunction without one."""
     made = {
-        "h004": (F.col("rvol_5m") >= t.shock_rvol) & (F.abs("ret_5m") <= t.shock_move),
-        "impulse": F.abs("ret_5m") >= t.impulse,
-        "high_rvol": F.col("rvol_5m") >= t.rvol,
-        "quiet_px": F.col("range_5m") <= t.quiet,
+        "h004": (F.col("rvol_5m") >= t.shock_rvol) & (F.abs("ret_5m") <= t.quiet_move),
+        "impulse": (F.abs("ret_10m") >= t.impulse) & (F.col("rvol_10m") >= t.impulse_rvol),
+        "high_rvol": F.col("rvol_5m") >= t.high_rvol,
+        "quiet_px": F.abs("ret_5m") <= t.quiet_move,
         "mkt_agree": F.signum("ret_5m") == F.signum("mkt_ret_5m"),
     }
     grid = grid.select("*", *[c.alias(n) for n, c in made.items()])
@@ -84,7 +97,7 @@ def with_proxies(grid: DataFrame) -> DataFrame:
     return grid.select(
         "*",
         (F.col("volume") / (F.col("transactions") + 1e-9)).alias("relative_trade_size_proxy"),
-        (F.abs("resid_5m") / (F.col("volume_5m") * F.col("close") + 1e-9)).alias("price_impact_proxy"),
+        (F.abs("resid") / (F.col("volume_5m") * F.col("close") + 1e-9)).alias("price_impact_proxy"),
         (F.col("rvol_5m") - F.abs("ret_5m") * 100).alias("volume_price_disagreement"),
         (F.col("range_15m") / (F.col("med20") + 1e-9)).alias("range_ratio_15m"),
         (F.abs("ret_15m") / (F.abs("ret_5m") + 1e-9)).alias("realized_vol_ratio_15m"),
@@ -96,8 +109,20 @@ def with_proxies(grid: DataFrame) -> DataFrame:
 
 
 def enriched(grid: DataFrame, thresholds: Thresholds) -> DataFrame:
-    """Weight, activity, flags, proxies, in this order."""
-    return grid.transform(with_weight).transform(with_activity).transform(with_flags, thresholds).transform(with_proxies)
+    """Activity, flags and proxies of a grid with residuals, in this order."""
+    return grid.transform(with_activity).transform(with_flags, thresholds).transform(with_proxies)
+
+
+def built(features: DataFrame, window: tuple[int, int], step: int, price: float, dollars: float, thresholds: Thresholds, beta_days: int = 20, tail: float = 2.0) -> DataFrame:
+    """The whole day build in its fixed order: grid, eligibility, weight, beta, both residuals, activity, flags, cross-section,
+    same clock, proxies, labels over three and six steps. Repeated keys are an error."""
+    g = stored(features.transform(decision_grid, window, step).transform(eligible, price, dollars).transform(with_weight), "grid")
+    if panel.repeated_keys(g, ["instrument_id", "session_date", "decision_ts"]).head(1):
+        raise ValueError("the grid has repeated keys")
+    g = with_residuals(g, beta_days).transform(with_activity).transform(with_flags, thresholds)
+    g = g.transform(panel.cross_section, "resid", tail).transform(panel.same_clock).transform(with_proxies)
+    six = g.transform(panel.labels, 6).withColumnRenamed("future_residual", "future_residual_six").drop("future_ret", "future_mkt", "next_ret", "next_resid")
+    return panel.labels(six, 3)
 
 
 def future_steps(grid: DataFrame, value: str = "resid") -> DataFrame:

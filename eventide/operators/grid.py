@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from eventide.functions.core import average_rank, share_true
+from eventide.functions.core import average_rank, share_true, small
 
 CLOCK = ["trading_date", "minute_of_day"]
 
@@ -81,11 +81,12 @@ def cross_section(grid: DataFrame, value: str = "resid", tail: float = 2.0) -> D
 
 
 def same_clock(grid: DataFrame) -> DataFrame:
-    """Mean over earlier days of the day's mean return at the same minute, and the surprise against it (unknown: 0)."""
-    daily = grid.groupBy("instrument_id", *CLOCK).agg(F.avg("r").alias("_m"))
-    w = Window.partitionBy("instrument_id", "minute_of_day").orderBy("trading_date").rowsBetween(Window.unboundedPreceding, -1)
-    means = daily.select("instrument_id", *CLOCK, F.avg("_m").over(w).alias("same_clock_mean"))
-    out = grid.join(means, ["instrument_id", *CLOCK], "left")
+    """Mean over earlier days of the day's mean return of all names at the same minute, and the surprise against it (unknown:
+    0). One row a day and minute is left after the first grouping."""
+    daily = grid.groupBy(*CLOCK).agg(F.avg("r").alias("_m"))
+    w = Window.partitionBy("minute_of_day").orderBy("trading_date").rowsBetween(Window.unboundedPreceding, -1)
+    means = daily.select(*CLOCK, F.avg("_m").over(w).alias("same_clock_mean"))
+    out = grid.join(small(means), CLOCK, "left")
     return out.withColumn("same_clock_surprise", F.col("r") - F.coalesce("same_clock_mean", F.lit(0.0)))
 
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import correlation, exact_percentiles, small, stored, with_top
+from eventide.functions.core import correlation, drawn, exact_percentiles, small, stored, with_top
 
 
 def summary(returns: DataFrame, keys: list[str], x: str = "forward_return", day: str = "session_date") -> DataFrame:
-    """Sample size, moments, quantiles, share above 0, t statistic, effect size and share of the sum made by the top 1 % by
-    size."""
+    """Sample size, moments, quantiles, share above 0, t statistic, effect size and share of the sum that the top 1 % by
+    size make up (signed over signed: above 1 where the others lose, 0 where the sum is)."""
     r = stored(returns.filter(F.col(x).isNotNull()).select(*keys, "event_id", "instrument_id", day, x), "returns")
     r = with_top(r, keys, F.abs(x), lambda n: F.ceil(n * 0.01), 0.01, ["event_id"])
     s = r.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg((F.col(x) > 0).cast("double")).alias("positive_rate"),
-        F.try_divide(F.sum(F.when(F.col("_top"), F.abs(x))), F.sum(F.abs(x))).alias("top_share"), F.countDistinct(day).alias("days"), F.countDistinct("instrument_id").alias("names"), F.countDistinct(F.struct("instrument_id", day)).alias("name_days"),
+        F.coalesce(F.try_divide(F.sum(F.when(F.col("_top"), F.col(x))), F.sum(x)), F.lit(0.0)).alias("top_share"), F.countDistinct(day).alias("days"), F.countDistinct("instrument_id").alias("names"), F.countDistinct(F.struct("instrument_id", day)).alias("name_days"),
     )
     s = s.withColumn("se", F.col("std") / F.sqrt("n")).withColumn("t_stat", F.try_divide("mean", "se")).withColumn("effect", F.try_divide("mean", "std"))
     q = exact_percentiles(r, keys, x, (0.1, 0.25, 0.5, 0.75, 0.9))
@@ -45,23 +45,25 @@ def concentration(returns: DataFrame, keys: list[str], by: str) -> DataFrame:
     return c.groupBy(*keys).agg((F.max("count") / F.sum("count")).alias("top_share"), F.count("*").alias("values"))
 
 
-def bootstrap(returns: DataFrame, keys: list[str], replicates: int, x: str = "forward_return", day: str = "session_date") -> DataFrame:
-    """Day-block bootstrap of the mean: 2.5 % and 97.5 % bounds and a two-sided p.
-
-    Draws are a fixed integer sequence over (replicate, slot), the same everywhere; each replicate draws as many days as
-    there are. What is multiplied is days by replicates, never rows."""
+def replicate_means(returns: DataFrame, keys: list[str], replicates: int, x: str = "forward_return", day: str = "session_date", seed: int = 7) -> DataFrame:
+    """keys, rep, m: means over drawn day blocks. Each replicate draws as many days as there are, each draw from a hash of
+    (seed, replicate, slot). What is multiplied is days by replicates, never rows."""
     d = returns.filter(F.col(x).isNotNull()).groupBy(*keys, day).agg(F.sum(x).alias("s"), F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
     d = d.withColumn("i", F.row_number().over(w.orderBy(day)) - 1).withColumn("n", F.count("*").over(w))
     slots = d.select(*keys, F.col("i").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = slots.withColumn("i", ((F.col("rep").cast("long") * 7919 + F.col("slot") * 104729 + F.col("rep").cast("long") * F.col("slot") * 31 + 17) % 1000003 % F.col("n")).cast("int"))
-    m = drawn.join(d.select(*keys, "i", "s", "c"), [*keys, "i"]).groupBy(*keys, "rep").agg((F.sum("s") / F.sum("c")).alias("m"))
+    return slots.withColumn("i", drawn(seed, "rep", "slot", "n")).join(d.select(*keys, "i", "s", "c"), [*keys, "i"]).groupBy(*keys, "rep").agg((F.sum("s") / F.sum("c")).alias("m"))
+
+
+def bootstrap(returns: DataFrame, keys: list[str], replicates: int, x: str = "forward_return", day: str = "session_date", seed: int = 7) -> DataFrame:
+    """Day-block bootstrap of the mean: 2.5 % and 97.5 % bounds and a two-sided p."""
+    m = replicate_means(returns, keys, replicates, x, day, seed)
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     out = m.groupBy(*keys).agg(q.alias("_q"), F.avg((F.col("m") <= 0).cast("double")).alias("_a"), F.avg((F.col("m") >= 0).cast("double")).alias("_b"))
     return out.select(*keys, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), F.least(F.lit(1.0), 2 * F.least("_a", "_b")).alias("p_boot"))
 
 
-def reality_check(day_means: DataFrame, replicates: int, rule: str = "rule", day: str = "session_date", x: str = "m", least_days: int = 10) -> DataFrame:
+def reality_check(day_means: DataFrame, replicates: int, rule: str = "rule", day: str = "session_date", x: str = "m", least_days: int = 10, seed: int = 7) -> DataFrame:
     """p of the best of several rules against no edge: the largest studentised mean (over the root of all days), and in
     each replicate of drawn days the largest studentised mean of what is recentred by max(mean, 0), studentised anew. Days
     on which a rule has no mean are left out of its moments. Fewer than `least_days` days give no p."""
@@ -73,8 +75,7 @@ def reality_check(day_means: DataFrame, replicates: int, rule: str = "rule", day
     by_rule = d.crossJoin(F.broadcast(total)).groupBy("rule").agg((F.avg("m") / se(F.first("n"))).alias("t"), F.greatest(F.avg("m"), F.lit(0.0)).alias("c"), F.first("n").alias("n"))
     seen = by_rule.agg(F.max("t").alias("best"), F.count("*").alias("rules"), F.max("n").alias("n"))
     slots = days.select(F.col("i").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = slots.select("rep", ((F.col("rep").cast("long") * 7919 + F.col("slot") * 104729 + F.col("rep").cast("long") * F.col("slot") * 31 + 17) % 1000003 % F.col("n")).cast("int").alias("i"))
-    per = drawn.join(days.select("i", "day", "n"), "i").join(d, "day").join(by_rule.select("rule", "c"), "rule").groupBy("rep", "rule").agg(((F.avg("m") - F.first("c")) / se(F.first("n"))).alias("t"))
+    per = slots.select("rep", drawn(seed, "rep", "slot", "n").alias("i")).join(days.select("i", "day", "n"), "i").join(d, "day").join(by_rule.select("rule", "c"), "rule").groupBy("rep", "rule").agg(((F.avg("m") - F.first("c")) / se(F.first("n"))).alias("t"))
     top = per.groupBy("rep").agg(F.max("t").alias("t"))
     p = (F.count_if(F.col("t") >= F.col("best") - 1e-9) + 1) / (F.count("*") + 1)
     out = top.crossJoin(F.broadcast(seen)).agg(F.first("best").alias("best_t"), F.first("rules").alias("rules"), F.first("n").alias("days"), p.alias("p"))

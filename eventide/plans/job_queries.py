@@ -15,9 +15,9 @@ from eventide.operators.joins import asof_join
 from eventide.operators.outcomes import forward_returns, full_outcomes
 from eventide.plans import directional_queries, family_queries  # noqa: F401  (registers queries whose SQL is used here)
 from eventide.plans.directional_queries import _OF_DAY
-from eventide.plans.bars_queries import _EVENTS, _FWD, HORIZONS, JOBS, M, _barriers_sql, forwards, gap_events
+from eventide.plans.bars_queries import _EVENTS, _FWD, HORIZONS, JOBS, M, forwards, gap_events
 from eventide.plans.base import BARS, CAUSAL, DESK, ORACLES, causal, register, session_bars
-from eventide.plans.panel_queries import _BUCKETED, GRID, _bucketed, _PAIRS, base_grid, pair_stats, panel
+from eventide.plans.panel_queries import _BUCKETED, GRID, TAIL, _bucketed, _loo, _PAIRS, base_grid, pair_stats, panel
 from eventide.sources import stores
 from eventide.sources.bars import instrument_of, instruments, news, table
 
@@ -69,7 +69,7 @@ jd as (select *, row_number() over (partition by job_id, horizon order by m desc
 ja as (select job_id, horizon, avg((m > 0)::int::double) as positive_days, sum(s) filter (k > 1) / nullif(sum(c) filter (k > 1), 0) as mean_without_best_day from jd group by all),
 jn as (select job_id, horizon, max(c) / sum(c) as top_name_share from (select job_id, horizon, instrument_id, count(*) as c from jr group by all) group by all),
 js as (select job_id, horizon, count(*)::bigint as n, avg(forward_return) as mean, stddev_samp(forward_return) as std, avg(forward_return) / nullif(stddev_samp(forward_return) / sqrt(count(*)), 0) as t_stat, quantile_cont(forward_return, 0.5) as q50,
-    avg((forward_return > 0)::int::double) as positive_rate, sum(abs(forward_return)) filter (k <= ceil(nn * 0.01)) / nullif(sum(abs(forward_return)), 0) as top_share, count(distinct session_date)::bigint as days, count(distinct instrument_id)::bigint as names from jk group by all),
+    avg((forward_return > 0)::int::double) as positive_rate, coalesce(sum(forward_return) filter (k <= ceil(nn * 0.01)) / nullif(sum(forward_return), 0), 0) as top_share, count(distinct session_date)::bigint as days, count(distinct instrument_id)::bigint as names from jk group by all),
 stg as (select js.*, top_name_share, positive_days, mean_without_best_day, horizon = '3h' as is_primary from js join ja using (job_id, horizon) join jn using (job_id, horizon))"""
 
 
@@ -171,10 +171,13 @@ def _(spark, d):
 
 
 # --- outcomes in one table
-@register("o1_full_outcomes", f"""with o3 as ({_barriers_sql("LONG", "high / nullif(entry_price, 0) - 1", "low / nullif(entry_price, 0) - 1")}), o2 as (with {_FWD} select event_id, horizon, exit_price, forward_return from fwd)
-select event_id, horizon, entry_price, exit_price, forward_return, mfe, mae, ambiguous, target_first, stop_first from o2 join o3 using (event_id)""", "entry_price exit_price forward_return mfe mae")
+@register("o1_full_outcomes", f"""with {_FWD}, j as (select en.event_id, horizon, b.ts_utc, high / nullif(entry_price, 0) - 1 as best, low / nullif(entry_price, 0) - 1 as worst from en cross join hz join bars b on b.instrument_id = en.instrument_id and b.ts_utc >= entry_ts and b.ts_utc < entry_ts + to_minutes(minutes)),
+hit as (select event_id, horizon, min(ts_utc) filter (best >= 0.5 or worst <= -0.5) as hit from j group by all),
+g as (select event_id, horizon, max(best) as best, min(worst) as worst, bool_or(ts_utc = hit and best >= 0.5) as t, bool_or(ts_utc = hit and worst <= -0.5) as s from j join hit using (event_id, horizon) where hit is null or ts_utc <= hit group by all),
+o as (select fwd.*, greatest(0.0, coalesce(best, 0)) as mfe, least(0.0, coalesce(worst, 0)) as mae, coalesce(t, false) as t, coalesce(s, false) as s from fwd left join g using (event_id, horizon) where entry_price is not null)
+select event_id, horizon, entry_price, exit_price, forward_return, mfe, mae, t and s as ambiguous, case when t <> s then t end as target_first, case when t <> s then s end as stop_first from o""", "entry_price exit_price forward_return mfe mae")
 def _(spark, d):
-    out = full_outcomes(gap_events(spark, d), session_bars(spark, d), HORIZONS, M, 360, 0.5, 0.5)
+    out = full_outcomes(gap_events(spark, d), stored(session_bars(spark, d), "bars"), HORIZONS, M, 0.5, 0.5)
     return out.select("event_id", "horizon", "entry_price", "exit_price", "forward_return", "mfe", "mae", "ambiguous", "target_first", "stop_first")
 
 
@@ -195,21 +198,32 @@ def _(spark, d):
 # --- the grid's day build
 _DAY = f"""{CAUSAL}, gk as (select * from causal where minutes_from_open between 60 and 720 and minutes_from_open % 30 = 0),
 ge as (select *, prev_close >= 1 and typ_1m_vol * prev_close * 390 >= 1e3 as eligible from gk),
-gx as (select *, ret_5m - lag(ret_5m, 5) over d as ret_accel_5m, sign(ret_5m) * path_efficiency_5m as signed_path_eff_5m, (close - lo_5) / (hi_5 - lo_5 + 1e-12) as close_location_5m,
-    case when count(ret_5m) over v >= 3 then (close / nullif(rth_high_so_far, 0) - 1) / (stddev_samp(ret_5m) over v + 1e-9) end as dist_sess_high_volnorm,
-    case when count(ret_5m) over v >= 3 then (close / nullif(rth_low_so_far, 0) - 1) / (stddev_samp(ret_5m) over v + 1e-9) end as dist_sess_low_volnorm,
-    rvol_5m / (avg(rvol_5m) over x + 1e-9) as rvol_5m_tod, rvol_5m - lag(rvol_5m, 5) over d as activity_acceleration,
-    rvol_5m >= 1.1 and abs(ret_5m) <= 0.25 as h004, abs(ret_5m) >= 0.3 as impulse, rvol_5m >= 1.0 as high_rvol, range_5m <= 1.5 as quiet_px, sign(ret_5m) = sign(mkt_ret_5m) as mkt_agree,
-    volume / (transactions + 1e-9) as relative_trade_size_proxy, abs(resid_5m) / (volume_5m * close + 1e-9) as price_impact_proxy, rvol_5m - abs(ret_5m) * 100 as volume_price_disagreement,
-    range_15m / (med20 + 1e-9) as range_ratio_15m, abs(ret_15m) / (abs(ret_5m) + 1e-9) as realized_vol_ratio_15m, coalesce(sqrt(typ_1m_vol * prev_close * 390), 1.0) as weight_mkt
-    from ge where eligible window d as (partition by instrument_id, session_date order by ts_utc), v as (partition by instrument_id, session_date order by ts_utc rows between 14 preceding and current row), x as (partition by session_date, minute_of_day))"""
+b0 as (select *, session_date as trading_date, ret_5m as r, sqrt(typ_1m_vol * prev_close * 390) as weight from ge where eligible),
+bd0 as (select instrument_id, trading_date, product(1 + coalesce(r, 0)) - 1 as day_ret, arg_min(weight, minute_of_day) as weight from b0 group by all),
+bd as (select * exclude (sw, sr, oc) from {_loo('bd0', 'trading_date', 'day_ret', 'day_mkt')}),
+bcal as (select trading_date, row_number() over (order by trading_date) as day_no from (select distinct trading_date from bd)),
+bbeta as (select instrument_id, trading_date, case when regr_count(day_ret, day_mkt) over b = 5 and var_pop(day_mkt) over b >= 1e-18 then regr_slope(day_ret, day_mkt) over b end as beta
+    from bd join bcal using (trading_date) window b as (partition by instrument_id order by day_no range between 5 preceding and 1 preceding)),
+b1 as (select * exclude (sw, sr, oc) from {_loo('b0', 'trading_date, minute_of_day', 'r', 'mkt')}),
+b2 as (select * exclude (sw, sr, oc) from {_loo('b1', 'trading_date, minute_of_day', 'ret_15m', 'mkt_15')}),
+b3 as (select b2.*, beta, r - beta * mkt as resid, ret_15m - beta * mkt_15 as resid_15 from b2 left join bbeta using (instrument_id, trading_date)),
+gx as (select *, ret_5m - lag(ret_5m, 5) over d as ret_accel_5m, ret_5m / (path_abs_5 / (close + 1e-12) + 1e-12) as signed_path_eff_5m, close_location_value as close_location_5m,
+    (rth_high_so_far - close) / (close * (case when count(ret_5m) over v >= 15 then stddev_samp(abs(ret_5m)) over v end + 1e-6)) as dist_sess_high_volnorm,
+    (close - rth_low_so_far) / (close * (case when count(ret_5m) over v >= 15 then stddev_samp(abs(ret_5m)) over v end + 1e-6)) as dist_sess_low_volnorm,
+    rvol_5m as rvol_5m_tod, volume_5m / (lag(volume_5m, 5) over d + 1e-9) as activity_acceleration,
+    rvol_5m >= 1.1 and abs(ret_5m) <= 0.6 as h004, abs(ret_10m) >= 0.3 and rvol_10m >= 1.1 as impulse, rvol_5m >= 1.0 as high_rvol, abs(ret_5m) <= 0.6 as quiet_px, sign(ret_5m) = sign(mkt_ret_5m) as mkt_agree,
+    volume / (transactions + 1e-9) as relative_trade_size_proxy, abs(resid) / (volume_5m * close + 1e-9) as price_impact_proxy, rvol_5m - abs(ret_5m) * 100 as volume_price_disagreement,
+    range_15m / (med20 + 1e-9) as range_ratio_15m, abs(ret_15m) / (abs(ret_5m) + 1e-9) as realized_vol_ratio_15m, weight as weight_mkt
+    from b3 window d as (partition by instrument_id, session_date order by ts_utc), v as (partition by instrument_id, session_date order by ts_utc rows between 14 preceding and current row))"""
 
 _G5 = "ret_accel_5m signed_path_eff_5m close_location_5m dist_sess_high_volnorm dist_sess_low_volnorm rvol_5m_tod activity_acceleration"
 _G9 = "relative_trade_size_proxy price_impact_proxy volume_price_disagreement range_ratio_15m realized_vol_ratio_15m premarket_residual_return gap_market_residual missing_minute_rate_15m rtxn_5m_tod weight_mkt"
+_THRESHOLDS = daybuild.Thresholds(1.1, 0.6, 0.3, 1.1, 1.0)
 
 
 def _day(spark, d):
-    return daybuild.enriched(daybuild.eligible(daybuild.decision_grid(causal(spark, d), (60, 720), 30), 1.0, 1e3), daybuild.Thresholds(1.1, 0.25, 0.3, 1.0, 1.5))
+    g = daybuild.eligible(daybuild.decision_grid(causal(spark, d), (60, 720), 30), 1.0, 1e3)
+    return daybuild.enriched(daybuild.with_residuals(stored(daybuild.with_weight(g), "grid"), 5), _THRESHOLDS)
 
 
 @register("p5_decision_grid", f"with {_DAY} select instrument_id, ts_utc, coalesce(eligible, false) as eligible from ge")
@@ -234,6 +248,39 @@ def _(spark, d):
     return _day(spark, d).select("instrument_id", "ts_utc", *_G9.split())
 
 
+_G16_XS = "resid_rank xs_dispersion xs_breadth xs_tail_imbalance resid_rank_change"
+_G16 = f"beta mkt resid mkt_15 resid_15 {_G5} h004 impulse full_state {_G16_XS} same_clock_mean same_clock_surprise price_impact_proxy future_ret future_residual future_residual_six next_ret next_resid"
+_AHEAD = lambda c, n: " * ".join(f"(1 + lead({c}, {k}) over w)" for k in range(1, n + 1)) + " - 1"
+_BUILT = f"""{_DAY}, z as (select *, h004 and impulse and high_rvol and quiet_px and mkt_agree as full_state, (resid - avg(resid) over x) / (stddev_samp(resid) over x + 1e-12) as z,
+    case when resid is not null then (rank() over (partition by trading_date, minute_of_day order by resid asc nulls last) + (count(*) over (partition by trading_date, minute_of_day, resid) - 1) / 2.0) / count(*) over x end as resid_rank,
+    quantile_cont(abs(resid), 0.5) over x as xs_dispersion, avg(case when resid is not null then (resid > 0)::int::double end) over x as xs_breadth from gx window x as (partition by trading_date, minute_of_day)),
+cm as (select trading_date, minute_of_day, avg(m) over (partition by minute_of_day order by trading_date rows between unbounded preceding and 1 preceding) as same_clock_mean from (select trading_date, minute_of_day, avg(r) as m from gx group by all)),
+bt as (select z.*, same_clock_mean, r - coalesce(same_clock_mean, 0) as same_clock_surprise, avg(case when z is not null then (z > {TAIL})::int::double end) over x - avg(case when z is not null then (z < -{TAIL})::int::double end) over x as xs_tail_imbalance,
+    resid_rank - lag(resid_rank) over w as resid_rank_change, {_AHEAD('r', 3)} as future_ret, ({_AHEAD('r', 3)}) - beta * ({_AHEAD('mkt', 3)}) as future_residual, ({_AHEAD('r', 6)}) - beta * ({_AHEAD('mkt', 6)}) as future_residual_six, lead(r) over w as next_ret, lead(resid) over w as next_resid
+    from z left join cm using (trading_date, minute_of_day) window x as (partition by trading_date, minute_of_day), w as (partition by instrument_id, trading_date order by minute_of_day))"""
+
+
+def _built(spark, d):
+    return daybuild.built(causal(spark, d), (60, 720), 30, 1.0, 1e3, _THRESHOLDS, beta_days=5, tail=TAIL)
+
+
+@register("g10_enriched_grid", f"with {_BUILT} select instrument_id, trading_date, minute_of_day, {_G16.replace(' ', ', ')} from bt", " ".join(c for c in _G16.split() if c not in ("h004", "impulse", "full_state")))
+def _(spark, d):
+    return _built(spark, d).select("instrument_id", "trading_date", "minute_of_day", *_G16.split())
+
+
+@register("g16_day_build", f"with {_BUILT} select trading_date, count(*)::bigint as rows, count(resid)::bigint as residuals, count(future_residual)::bigint as labels, avg(resid_rank) as mean_rank, sum(same_clock_surprise) as surprise from bt group by 1", "mean_rank surprise")
+def _(spark, d):
+    """The build stored by day in two runs: the second writes only the days that the first, stopped half-way, has left."""
+    path = f"{shared_dir(spark)}/day-build-{uuid.uuid4().hex}"
+    rows = stored(_built(spark, d), "built")
+    half = rows.agg(F.percentile(F.unix_date("trading_date"), F.lit(0.5)).alias("d")).first().d
+    stores.write_missing_days(rows.filter(F.unix_date("trading_date") <= F.lit(half)), path, "trading_date")
+    stores.write_missing_days(rows, path, "trading_date")
+    b = spark.read.schema(rows.schema).parquet(path)
+    return b.groupBy("trading_date").agg(F.count("*").alias("rows"), F.count("resid").alias("residuals"), F.count("future_residual").alias("labels"), F.avg("resid_rank").alias("mean_rank"), F.sum("same_clock_surprise").alias("surprise"))
+
+
 @register("g11_future_ranks", f"""with {GRID}, gs as (select *, case when resid is not null then (rank() over (partition by trading_date, minute_of_day order by resid asc nulls last) + (count(*) over (partition by trading_date, minute_of_day, resid) - 1) / 2.0) / count(*) over (partition by trading_date, minute_of_day) end as resid_rank from gr)
 select instrument_id, decision_ts, lead(resid, 1) over w as future_resid_1, lead(resid, 3) over w as future_resid_3, lead(resid, 6) over w as future_resid_6, lead(resid, 12) over w as future_resid_12, lead(resid_rank, 3) over w as future_rank_3, lead(r, 3) over w as future_ret_3 from gs window w as (partition by instrument_id, trading_date order by minute_of_day)""", "future_resid_1 future_resid_3 future_resid_6 future_resid_12 future_rank_3 future_ret_3")
 def _(spark, d):
@@ -378,7 +425,7 @@ def _(spark, d):
 
 @register("a7_outcome_summary", f"""with o as ({ORACLES["o1_full_outcomes"]}) select horizon, count(forward_return)::bigint as n, avg(forward_return) as mean, avg(mfe) as mfe, avg(mae) as mae, avg(ambiguous::int::double) as ambiguous_rate, avg(case when target_first is not null then target_first::int::double end) as target_rate from o group by 1""", "mean mfe mae ambiguous_rate target_rate")
 def _(spark, d):
-    o = full_outcomes(gap_events(spark, d), session_bars(spark, d), HORIZONS, M, 360, 0.5, 0.5)
+    o = full_outcomes(gap_events(spark, d), stored(session_bars(spark, d), "bars"), HORIZONS, M, 0.5, 0.5)
     share = lambda c: F.avg(F.col(c).cast("double"))
     return o.groupBy("horizon").agg(F.count("forward_return").alias("n"), F.avg("forward_return").alias("mean"), F.avg("mfe").alias("mfe"), F.avg("mae").alias("mae"), share("ambiguous").alias("ambiguous_rate"), share("target_first").alias("target_rate"))
 

@@ -73,9 +73,9 @@ def _(spark, d):
     return grid.cross_section(base_grid(spark, d), "resid", TAIL).select("instrument_id", "decision_ts", "resid_rank", "xs_dispersion", "xs_breadth", "xs_tail_imbalance", "resid_rank_change")
 
 
-@register("g8_same_clock", f"""with {GRID}, dm as (select instrument_id, trading_date, minute_of_day, avg(r) as m from gr group by all),
-sc as (select *, avg(m) over (partition by instrument_id, minute_of_day order by trading_date rows between unbounded preceding and 1 preceding) as same_clock_mean from dm)
-select instrument_id, decision_ts, same_clock_mean, r - coalesce(same_clock_mean, 0) as same_clock_surprise from gr left join sc using (instrument_id, trading_date, minute_of_day)""", "same_clock_mean same_clock_surprise")
+@register("g8_same_clock", f"""with {GRID}, dm as (select trading_date, minute_of_day, avg(r) as m from gr group by all),
+sc as (select trading_date, minute_of_day, avg(m) over (partition by minute_of_day order by trading_date rows between unbounded preceding and 1 preceding) as same_clock_mean from dm)
+select instrument_id, decision_ts, same_clock_mean, r - coalesce(same_clock_mean, 0) as same_clock_surprise from gr left join sc using (trading_date, minute_of_day)""", "same_clock_mean same_clock_surprise")
 def _(spark, d):
     return grid.same_clock(base_grid(spark, d)).select("instrument_id", "decision_ts", "same_clock_mean", "same_clock_surprise")
 
@@ -160,7 +160,7 @@ def _(spark, d):
 @register("a7_horizon_summary", f"""with {_FWD}, r as (select *, row_number() over (partition by horizon order by abs(forward_return) desc, event_id) as k, count(*) over (partition by horizon) as nn from fwd where forward_return is not null)
 select horizon, count(*)::bigint as n, avg(forward_return) as mean, stddev_samp(forward_return) as std, stddev_samp(forward_return) / sqrt(count(*)) as se, avg(forward_return) / nullif(stddev_samp(forward_return) / sqrt(count(*)), 0) as t_stat, avg(forward_return) / nullif(stddev_samp(forward_return), 0) as effect,
 quantile_cont(forward_return, 0.1) as q10, quantile_cont(forward_return, 0.25) as q25, quantile_cont(forward_return, 0.5) as q50, quantile_cont(forward_return, 0.75) as q75, quantile_cont(forward_return, 0.9) as q90,
-avg((forward_return > 0)::int::double) as positive_rate, sum(case when k <= ceil(nn * 0.01) then abs(forward_return) end) / nullif(sum(abs(forward_return)), 0) as top_share,
+avg((forward_return > 0)::int::double) as positive_rate, coalesce(sum(case when k <= ceil(nn * 0.01) then forward_return end) / nullif(sum(forward_return), 0), 0) as top_share,
 count(distinct session_date)::bigint as days, count(distinct instrument_id)::bigint as names, count(distinct (instrument_id, session_date))::bigint as name_days from r group by horizon""",
     "mean std se t_stat effect q10 q25 q50 q75 q90 positive_rate top_share")
 def _(spark, d):
@@ -200,7 +200,7 @@ def _(spark, d):
     return st.concentration(forwards(spark, d), ["horizon"], "instrument_id")
 
 
-_DRAW = "(rep * 7919 + slot * 104729 + rep * slot * 31 + 17) % 1000003 % n"
+_DRAW = "(('0x' || md5('7:' || rep || ':' || slot)[1:12])::bigint % n)"
 
 
 @register("t2_bootstrap", f"""with {_DAYM}, i as (select *, row_number() over (partition by horizon order by session_date) - 1 as i, count(*) over (partition by horizon) as n from dm),
@@ -300,7 +300,7 @@ def _(spark, d):
 
 
 @register("t20_stage_gate", f"""with {_FWD}, r as (select *, row_number() over (partition by horizon order by abs(forward_return) desc, event_id) as k, count(*) over (partition by horizon) as nn from fwd where forward_return is not null),
-s as (select horizon, count(*)::bigint as n, avg(forward_return) as mean, sum(case when k <= ceil(nn * 0.01) then abs(forward_return) end) / nullif(sum(abs(forward_return)), 0) as top_share from r group by 1),
+s as (select horizon, count(*)::bigint as n, avg(forward_return) as mean, coalesce(sum(case when k <= ceil(nn * 0.01) then forward_return end) / nullif(sum(forward_return), 0), 0) as top_share from r group by 1),
 g as (select *, case when n < 100 then 'sample' when top_share > 0.9 then 'concentration' when mean <= 0 then 'sign' when mean < 0.1 then 'size' end as reason from s)
 select horizon, n, reason, case when reason is null then 'PASS' when reason = 'size' then 'WATCH' else 'KILL' end as decision from g""")
 def _(spark, d):

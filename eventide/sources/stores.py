@@ -46,6 +46,20 @@ def write_partitioned(df: DataFrame, path: str, keys: list[str]) -> None:
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*keys).parquet(path)
 
 
+def write_missing_days(rows: DataFrame, path: str, day: str) -> int:
+    """Appends the days that the table at `path` doesn't have yet and returns their number; a run over days that are all there
+    writes nothing. A day is there once it has a row: days are written whole, so that a run that was cut short is taken up
+    where it ended."""
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select(day).distinct(), day, "left_anti")
+    days = rows.select(day).distinct().count()
+    if days:
+        write_partitioned(rows, path, [day])
+    return days
+
+
 def write_job_returns(returns: DataFrame, path: str, batch_id: str, stage: str) -> None:
     write_partitioned(returns.withColumn("batch_id", F.lit(batch_id)).withColumn("stage", F.lit(stage)), path, ["batch_id", "stage", "job_id"])
 
