@@ -36,7 +36,7 @@ def incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
 
 def t_p_values(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     ok = np.isfinite(t) & (df > 0)
-    x = np.where(ok, df / (df + np.where(ok, t, 0.0) ** 2), 1.0)
+    x = np.where(ok, df, 1.0) / np.where(ok, df + np.where(ok, t, 0.0) ** 2, 1.0)
     return np.where(ok, incomplete_beta(np.where(ok, df, 2) / 2.0, 0.5, x), np.nan)
 
 

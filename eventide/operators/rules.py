@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.core import stored
+
 #: Floor of a mean return: this much at 15 minutes, growing with the root of time.
 FLOOR, FLOOR_MINUTES = 0.0012, 15
 
@@ -108,10 +110,20 @@ def robust_gate(gated: DataFrame, intervals: DataFrame, trimmed: DataFrame, days
     return d.withColumn("decision", F.when(F.col("reason").isNull(), "PASS").otherwise("KILL"))
 
 
-def estimated(panel: DataFrame, rules: dict[str, Column], target: str, least: int, least_days: int, name_share: float, name: str = "instrument_id", day: str = "session_date") -> DataFrame:
-    """Sample, mean and error of many rules in one pass, and why a rule is out: sample or concentration."""
+def estimated(
+    panel: DataFrame, rules: dict[str, Column], target: str, least: int = 0, least_days: int = 0, least_names: int = 0, name_share: float = 1.0, name: str = "instrument_id", day: str = "session_date",
+) -> DataFrame:
+    """Sample, mean and error of many rules in one pass, and why a rule is out: sample (too few name-days, days or names) or
+    concentration (one name has too large a share of the rows). The error is that of day means where there are two days or
+    more. Rows are counted once by rule, name and day; all else comes from these sums."""
     each = F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items()]), lambda r: r.isNotNull()))
-    rows = panel.filter(F.col(target).isNotNull()).select(each.alias("rule"), F.col(target).alias("_y"), name, day)
-    top = rows.groupBy("rule", name).count().groupBy("rule").agg((F.max("count") / F.sum("count")).alias("top_name_share"))
-    g = rows.groupBy("rule").agg(F.count("*").alias("n"), F.avg("_y").alias("mean"), (F.stddev_samp("_y") / F.sqrt(F.count("*"))).alias("se"), F.countDistinct(day).alias("days"), F.countDistinct(name).alias("names")).join(top, "rule")
-    return g.withColumn("kill", F.when((F.col("n") < least) | (F.col("days") < least_days), "sample").when(F.col("top_name_share") > name_share, "concentration"))
+    y = F.col(target).cast("double")
+    rows = panel.filter(y.isNotNull() & ~F.isnan(y)).select(each.alias("rule"), y.alias("_y"), F.col(name).alias("_name"), F.col(day).alias("_day"))
+    cells = stored(rows.groupBy("rule", "_name", "_day").agg(F.count("*").alias("c"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q")), "cells")
+    names = cells.groupBy("rule", "_name").agg(F.sum("c").alias("c")).groupBy("rule").agg((F.max("c") / F.sum("c")).alias("top_name_share"), F.count("*").alias("names"))
+    means = cells.groupBy("rule", "_day").agg((F.sum("s") / F.sum("c")).alias("m")).groupBy("rule").agg(F.count("*").alias("days"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("_day_se"))
+    n, s, q = F.sum("c"), F.sum("s"), F.sum("q")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(q - s * s / n, n - 1)) / n)
+    g = cells.groupBy("rule").agg(n.alias("n"), (s / n).alias("mean"), F.count("*").alias("name_days"), spread.alias("_row_se")).join(names, "rule").join(means, "rule")
+    kill = F.when((F.col("name_days") < least) | (F.col("days") < least_days) | (F.col("names") < least_names), "sample").when(F.col("top_name_share") > name_share, "concentration")
+    return g.select("rule", "n", "mean", F.when(F.col("days") > 1, F.col("_day_se")).otherwise(F.col("_row_se")).alias("se"), "name_days", "days", "names", "top_name_share", kill.alias("kill"))

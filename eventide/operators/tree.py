@@ -1,6 +1,9 @@
-"""Conditional-inference tree: features are tested before anything is cut, at every node of a level in one job.
+"""Conditional-inference trees: features are tested before anything is cut, at every node of a level in one job, and all trees
+of a forest of day samples together.
 
-The driver holds a row a node, a feature and a cut, never rows of the panel."""
+Days are the independent unit: each feature has one statistic a day, tested over days. The fold (which days a tree sees) is
+a key beside the node, so that a hundred trees take the jobs of one. The driver holds a row a fold, node, feature or cut,
+never rows of the panel."""
 
 from __future__ import annotations
 
@@ -9,9 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import correlation, with_bh
+from eventide.functions.core import correlation, small, stored, with_bh
 from eventide.functions.tdist import t_p
-from eventide.operators.statistics import quantile_bank, split_scores
+from eventide.operators import rules as tables
 
 
 @dataclass
@@ -47,108 +50,201 @@ def binary_features(panel: DataFrame, features: list[str]) -> list[str]:
     return [f for f in features if row[f] == 0]
 
 
-def _long(panel: DataFrame, features: list[str], target: str, keys: list[str]) -> DataFrame:
-    fs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
-    rows = panel.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).select(*keys, F.col(target).cast("double").alias("y"), F.explode(fs).alias("f"))
-    return rows.select(*keys, "y", "f.feature", "f.x").filter("x is not null and not isnan(x)")
-
-
-def associations(panel: DataFrame, features: list[str], binary: list[str], target: str, node: str = "_node", day: str = "session_date", least_rows: int = 30, least_days: int = 8, least_side: int = 10) -> DataFrame:
-    """(node, feature, p, q_value): for each node and feature whether it has to do with the target.
-
-    Other features: rank correlation within each day (ten rows at least), then a t test of the daily values, so that no
-    rank runs over more than a day and days are the independent unit. Binary features: Welch's t of the target's mean on
-    both sides. Too few rows, days or rows a side: p is 1. q_value controls false discoveries within the node."""
-    keys = [node, day]
-    rank_keys = [node, day, "feature"]
-    long = _long(panel, [f for f in features if f not in binary], target, keys)
-    rank = lambda c: F.rank().over(Window.partitionBy(*rank_keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*rank_keys, c)) - 1) / 2.0
-    daily = long.withColumn("rx", rank("x")).withColumn("ry", rank("y")).groupBy(*rank_keys).agg(F.count("*").alias("n"), correlation("rx", "ry").alias("rho"))
-    rho = F.when((F.col("n") >= 10) & ~F.isnan("rho"), F.col("rho"))
-    ranked = daily.groupBy(node, "feature").agg(F.sum("n").alias("n"), F.count(rho).alias("days"), F.avg(rho).alias("m"), F.stddev_samp(rho).alias("sd"))
-    ranked = ranked.select(node, "feature", F.try_divide(F.col("m") * F.sqrt("days"), F.col("sd")).alias("t"), (F.col("days") - 1).cast("double").alias("df"), ((F.col("n") >= least_rows) & (F.col("days") >= least_days)).alias("ok"))
-    if not binary:
-        both = ranked
-    else:
-        one, zero = F.when(F.col("x") == 1, F.col("y")), F.when(F.col("x") == 0, F.col("y"))
-        sides = _long(panel, binary, target, [node]).groupBy(node, "feature").agg(
-            F.count(one).alias("n1"), F.avg(one).alias("m1"), F.var_samp(one).alias("v1"), F.count(zero).alias("n0"), F.avg(zero).alias("m0"), F.var_samp(zero).alias("v0")
-        )
-        a, b = F.try_divide("v1", "n1"), F.try_divide("v0", "n0")
-        welch = F.try_divide(F.pow(a + b, F.lit(2.0)), F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n0") - 1))
-        sides = sides.select(node, "feature", F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(a + b)).alias("t"), welch.alias("df"), ((F.col("n1") + F.col("n0") >= least_rows) & (F.least("n1", "n0") >= least_side)).alias("ok"))
-        both = ranked.unionByName(sides)
-    p = F.when(F.col("ok") & F.col("t").isNotNull() & (F.col("df") > 0), t_p("t", "df"))
-    tested = both.select(node, "feature", F.coalesce(p, F.lit(1.0)).alias("p"))
-    return with_bh(tested, "p", [node], 1.0, ["feature"]).drop("rejected")
-
-
-def grow(panel: DataFrame, features: list[str], target: str, depth: int = 3, alpha: float = 0.05, least: int = 50, parent_share: float = 0.0, parts: int = 10, day: str = "session_date") -> list[Rule]:
-    """Leaves of the tree as rules, in the order of their paths.
-
-    A node is split if it has `least` rows and its best feature's q_value is at most alpha, at the cut of that feature
-    (frozen quantiles of the whole panel; true for binary ones) with the largest difference of means. Both sides need
-    0.15 * least rows, one of them parent_share of the node's parent. A tree that never splits has no rules."""
+#: Rows a day for a rank correlation, rows a day and a side for a difference of means, and days for a test.
+RANK_ROWS, SIDE_ROWS, LEAST_SIDE, LEAST_DAYS = 10, 20, 5, 8
+#: Cuts need so many values, more than so many of them different.
+CUT_VALUES, CUT_DISTINCT = 50, 4
+
+
+def panel_rows(panel: DataFrame, features: list[str], target: str, **keys: str) -> DataFrame:
+    """The keys under their new names, y, x: the features as one array of doubles, what isn't a number null; rows without a
+    target are left out."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    rows = panel.select(*[F.col(c).alias(k) for k, c in keys.items()], number(target).alias("y"), F.array(*map(number, features)).alias("x"))
+    return rows.filter("y is not null")
+
+
+def daily_statistics(rows: DataFrame, keys: list[str], numbers: list[int], flags: list[int]) -> DataFrame:
+    """rows(keys, day, y, x) -> keys, day, f, s: for each feature number and day the rank correlation with the target (ten rows
+    at least), or for flags the difference of the target's means (twenty rows, five a side)."""
+    group = [*keys, "day", "f"]
+    long = rows.select(*keys, "day", "y", F.posexplode("x").alias("f", "v")).filter("v is not null")
+    of = lambda some: long.filter(F.col("f").isin(some)) if some else long.limit(0)
+    rank = lambda c: F.rank().over(Window.partitionBy(*group).orderBy(c)) + (F.count("*").over(Window.partitionBy(*group, c)) - 1) / 2.0
+    ranked = of(numbers).withColumn("rx", rank("v")).withColumn("ry", rank("y")).groupBy(*group).agg(F.count("*").alias("n"), correlation("rx", "ry").alias("s"))
+    one, zero = F.when(F.col("v") == 1, F.col("y")), F.when(F.col("v") == 0, F.col("y"))
+    sides = of(flags).groupBy(*group).agg(F.count("*").alias("n"), F.count(one).alias("n1"), F.count(zero).alias("n0"), (F.avg(one) - F.avg(zero)).alias("s"))
+    sides = sides.filter((F.col("n") >= SIDE_ROWS) & (F.least("n1", "n0") >= LEAST_SIDE))
+    both = ranked.filter((F.col("n") >= RANK_ROWS) & ~F.isnan("s")).select(*group, "s").unionByName(sides.select(*group, "s"))
+    return both.filter("s is not null")
+
+
+def day_tests(daily: DataFrame, keys: list[str], nodes: DataFrame, n_features: int) -> DataFrame:
+    """keys, f, days, t, p, q_value for every feature of every node (nodes: keys): t test of the daily statistics against 0;
+    with fewer than eight days p is 1. q_value controls false discoveries within the node."""
+    every = nodes.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("f"))
+    stats = daily.groupBy(*keys, "f").agg(F.count("s").alias("days"), F.avg("s").alias("m"), F.stddev_samp("s").alias("sd"))
+    both = every.join(stats, [*keys, "f"], "left").withColumn("t", F.try_divide(F.col("m") * F.sqrt("days"), F.col("sd")))
+    p = F.when((F.col("days") >= LEAST_DAYS) & F.col("t").isNotNull(), t_p("t", (F.col("days") - 1).cast("double")))
+    tested = both.select(*keys, "f", F.coalesce("days", F.lit(0)).alias("days"), "t", F.coalesce(p, F.lit(1.0)).alias("p"))
+    return with_bh(tested, "p", keys, 1.0, ["f"]).drop("rejected")
+
+
+def associations(panel: DataFrame, features: list[str], binary: list[str], target: str, node: str = "_node", day: str = "session_date") -> DataFrame:
+    """(node, feature, days, t, p, q_value): for each node and feature whether it has to do with the target, by day."""
+    rows = panel_rows(panel, features, target, node=node, day=day)
+    flags = [i for i, f in enumerate(features) if f in binary]
+    daily = daily_statistics(rows, ["node"], [i for i in range(len(features)) if i not in flags], flags)
+    names = F.array(*map(F.lit, features))
+    return day_tests(daily, ["node"], rows.select("node").distinct(), len(features)).select(F.col("node").alias(node), F.get(names, F.col("f")).alias("feature"), "days", "t", "p", "q_value")
+
+
+def welch(panel: DataFrame, flags: list[str], target: str, least_side: int = 10) -> DataFrame:
+    """(feature, t, df, p): Welch's test of the target's means where a flag holds and where it doesn't, over rows."""
+    fs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in flags])
+    long = panel.select(F.col(target).cast("double").alias("y"), F.inline(fs)).filter("y is not null and not isnan(y) and v is not null")
+    one, zero = F.when(F.col("v") == 1, F.col("y")), F.when(F.col("v") == 0, F.col("y"))
+    g = long.groupBy("feature").agg(F.count(one).alias("n1"), F.avg(one).alias("m1"), F.var_samp(one).alias("v1"), F.count(zero).alias("n0"), F.avg(zero).alias("m0"), F.var_samp(zero).alias("v0"))
+    a, b = F.try_divide("v1", "n1"), F.try_divide("v0", "n0")
+    df = F.try_divide(F.pow(a + b, F.lit(2.0)), F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n0") - 1))
+    g = g.select("feature", F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(a + b)).alias("t"), df.alias("df"), (F.least("n1", "n0") >= least_side).alias("_ok"))
+    return g.select("feature", "t", "df", F.coalesce(F.when(F.col("_ok") & F.col("t").isNotNull() & (F.col("df") > 0), t_p("t", "df")), F.lit(1.0)).alias("p"))
+
+
+def half_samples(days: DataFrame, day: str, folds: int, share: float = 0.5, seed: int = 7) -> DataFrame:
+    """fold, day: in each fold exactly floor(share * n) of the n days (one at least), those with the least digests of (seed,
+    fold, day): drawn without replacement, the same in every run."""
+    d = days.select(F.col(day).alias("day")).distinct().withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("fold").cast("string"), F.col("day").cast("string")))
+    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("fold").orderBy(digest))).withColumn("_n", F.count("*").over(Window.partitionBy("fold")))
+    return d.filter(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select("fold", "day")
+
+
+#: Values are dealt to so many bins before cuts are looked for.
+BINS = 200
+
+
+def fold_cuts(rows: DataFrame, folds: DataFrame, numbers: list[int], parts: int = 10) -> DataFrame:
+    """fold, f, cut: the inner quantiles, interpolated, of every feature over each fold's days.
+
+    Values are counted by day, feature and bin; sums of these rows tell in which bin of a fold a quantile lies and at which
+    place of it. Only rows of such bins meet the folds and are ranked, so that rows never multiply by folds as a whole."""
+    long = rows.select("day", F.posexplode("x").alias("f", "v")).filter(F.col("v").isNotNull() & F.col("f").isin(numbers))
+    long = stored(long, "values")
+    edges = long.groupBy("f").agg(F.percentile_approx("v", F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), F.lit(10_000)).alias("edges"), F.approx_count_distinct("v").alias("distinct"))
+    edges = small(stored(edges.filter(F.col("distinct") > CUT_DISTINCT), "edges").select("f", F.array_distinct("edges").alias("edges")))
+    binned = stored(long.join(edges, "f").select("day", "f", "v", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bin")), "bins")
+    counts = binned.groupBy("day", "f", "bin").agg(F.count("*").alias("c")).join(small(folds), "day").groupBy("fold", "f", "bin").agg(F.sum("c").alias("c"))
+    upto = Window.partitionBy("fold", "f").orderBy("bin")
+    counts = counts.withColumn("before", F.sum("c").over(upto) - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy("fold", "f"))).filter(F.col("n") >= CUT_VALUES)
+    # the places of the values below and above each quantile, with their weights
+    places = []
+    for i in range(1, parts):
+        at = F.lit(i / parts) * (F.col("n") - 1)
+        part = at - F.floor(at)
+        places += [F.struct(F.lit(i).alias("no"), (F.floor(at) + k).alias("place"), (part if k else 1 - part).alias("weight")) for k in (0, 1)]
+    wanted = counts.select("fold", "f", "bin", "before", "c", F.inline(F.array(*places))).filter("weight > 0 and place >= before and place < before + c")
+    wanted = stored(wanted.select("fold", "f", "bin", "no", (F.col("place") - F.col("before")).alias("place"), "weight"), "places")
+    near = binned.join(small(wanted.select("f", "bin").distinct()), ["f", "bin"], "left_semi").join(small(folds), "day").join(small(wanted.select("fold", "f", "bin").distinct()), ["fold", "f", "bin"], "left_semi")
+    ranked = near.select("fold", "f", "bin", "v", (F.row_number().over(Window.partitionBy("fold", "f", "bin").orderBy("v")) - 1).alias("place"))
+    return ranked.join(small(wanted), ["fold", "f", "bin", "place"]).groupBy("fold", "f", "no").agg(F.sum(F.col("weight") * F.col("v")).alias("cut")).select("fold", "f", "cut").distinct()
+
+
+@dataclass
+class _Node:
+    path: list[tuple[str, str, float]]
+    n: int
+    name_days: int
+    mean: float
+    parent_n: int
+
+
+def forest(
+    panel: DataFrame, folds: DataFrame, features: list[str], target: str, depth: int = 3, alpha: float = 0.05, least: int = 50, parent_share: float = 0.0, parts: int = 10, name: str = "instrument_id", day: str = "session_date",
+) -> dict[int, list[Rule]]:
+    """folds(fold, day) -> the leaves of each fold's tree as rules, in the order of their paths.
+
+    A node is split if it has `least` name-days and its best feature's q_value is at most alpha (ties: the earlier feature),
+    at the cut of that feature (quantiles of the fold's days; true for binary ones) with the largest difference of means.
+    Both sides need 0.15 * least rows and five, one of them parent_share of the rows of the node's parent. A tree that never
+    splits has no rules. Daily statistics of the root are shared by all folds; rows meet folds only where a root splits."""
     binary = binary_features(panel, features)
-    plain = [f for f in features if f not in binary]
-    bank = quantile_bank(panel, plain, parts) if plain else None
-    rows, nodes, parents, leaves = panel.withColumn("_node", F.lit("")), {"": []}, {"": None}, []
-    for level in range(depth + 1):
-        stats = {r["_node"]: r for r in rows.filter("_node is not null").groupBy("_node").agg(F.count("*").alias("n"), F.avg(target).alias("m")).collect()}
-        open_ = [k for k in nodes if level < depth and k in stats and stats[k]["n"] >= least]
-        chosen: dict[str, tuple[str, float]] = {}
-        if open_:
-            here = rows.filter(F.col("_node").isin(open_))
-            best = Window.partitionBy("_node").orderBy("q_value", "p", "feature")
-            tested = associations(here, features, binary, target, day=day).withColumn("_k", F.row_number().over(best)).filter("_k = 1").filter(F.col("q_value") <= alpha)
-            chosen = {r["_node"]: (r["feature"], r["q_value"]) for r in tested.collect()}
-        cuts: dict[str, tuple[str, float]] = {}
-        if chosen:
-            wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("f")) for k, (f, _) in chosen.items()])
-            own = here.filter(F.col("_node").isin(list(chosen)))
-            used = sorted({f for f, _ in chosen.values()})
-            halves = rows.sparkSession.createDataFrame([(f, 0, 0.5) for f in used if f in binary] + [("", 0, 0.0)], "feature string, no int, cut double").filter("feature <> ''")
-            offered = halves if bank is None else bank.filter(F.col("feature").isin(used)).unionByName(halves)
-            s = split_scores(own, offered.select("feature", "cut").distinct(), used, target, "_node", 1)
-            s = s.filter(F.array_contains(wanted, F.struct(F.col("_node").alias("k"), F.col("feature").alias("f"))))
-            s = s.filter((F.col("n_left") >= 0.15 * least) & (F.col("n_right") >= 0.15 * least))
-            share = F.create_map(*[x for k in chosen for x in (F.lit(k), F.lit(float(max(1, stats[parents[k]]["n"] if parents[k] in stats else stats[k]["n"]))))]) if parent_share else None
-            if share is not None:
-                s = s.filter(F.greatest("n_left", "n_right") >= parent_share * share[F.col("_node")])
-            w = Window.partitionBy("_node").orderBy(F.desc("score"), "cut")
-            cuts = {r["_node"]: (r["feature"], r["cut"]) for r in s.withColumn("_k", F.row_number().over(w)).filter("_k = 1").collect()}
-        step, grown, above = F.lit(None).cast("string"), {}, {}
-        for node, path in nodes.items():
-            if node in cuts:
-                f, c = cuts[node]
-                left, right = ((f, "==", 1.0), (f, "==", 0.0)) if f in binary else ((f, ">", c), (f, "<=", c))
-                grown[node + "L"], grown[node + "R"] = [*path, left], [*path, right]
-                above[node + "L"] = above[node + "R"] = node
-                mine = F.col("_node") == node
-                step = F.when(mine & holds([left]), node + "L").when(mine & holds([right]), node + "R").otherwise(step)
-            elif node in stats and path:
-                leaves.append(Rule(path, int(stats[node]["n"]), float(stats[node]["m"] or 0.0)))
-        if not grown:
+    flags = [i for i, f in enumerate(features) if f in binary]
+    numbers = [i for i in range(len(features)) if i not in flags]
+    rows, folds = stored(panel_rows(panel, features, target, name=name, day=day), "panel"), stored(folds.select("fold", F.col("day")), "folds")
+    spark, keys = rows.sparkSession, ["fold", "node"]
+    bank = stored(fold_cuts(rows, folds, numbers, parts), "bank") if numbers else None
+    by_day = rows.groupBy("day").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.countDistinct("name").alias("k"))
+    roots = folds.join(small(by_day), "day").groupBy("fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("k")).collect()
+    nodes = {(r.fold, ""): _Node([], r.n, r.k, r.s / r.n, r.n) for r in roots}
+    leaves: dict[int, list[Rule]] = {r.fold: [] for r in roots}
+    current, split_at = None, set()
+    level = dict(nodes)
+    for _ in range(depth):
+        tried = [k for k, v in level.items() if v.name_days >= least]
+        if not tried:
+            break
+        some = spark.createDataFrame(tried, "fold int, node string")
+        daily = daily_statistics(rows, [], numbers, flags).join(small(folds), "day").withColumn("node", F.lit("")) if current is None else daily_statistics(current.join(F.broadcast(some), keys), keys, numbers, flags)
+        best = Window.partitionBy(*keys).orderBy("q_value", "f")
+        tests = day_tests(daily, keys, some, len(features)).withColumn("_k", F.row_number().over(best)).filter((F.col("_k") == 1) & (F.col("q_value") <= alpha))
+        chosen = [(r.fold, r.node, r.f) for r in tests.select("fold", "node", "f").collect()]
+        if not chosen:
+            break
+        picks = F.broadcast(spark.createDataFrame(chosen, "fold int, node string, f int"))
+        base = rows.join(small(folds), "day").withColumn("node", F.lit("")) if current is None else current
+        own = stored(base.drop("f").join(picks, keys).withColumn("v", F.get("x", F.col("f"))).filter("v is not null"), "nodes")
+        offered = spark.createDataFrame([(k, n, f, 0.5) for k, n, f in chosen if f in flags], "fold int, node string, f int, cut double")
+        if bank is not None:
+            offered = offered.unionByName(picks.join(bank, ["fold", "f"]).select(*keys, "f", "cut"))
+        cuts = offered.groupBy(*keys).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
+        s = own.join(small(stored(cuts, "cuts")), keys).select(*keys, "y", "v", F.explode("cuts").alias("cut"))
+        left, right = F.when(F.col("v") > F.col("cut"), F.col("y")), F.when(F.col("v") <= F.col("cut"), F.col("y"))
+        s = s.groupBy(*keys, "cut").agg(F.count(left).alias("a"), F.count(right).alias("b"), F.abs(F.avg(left) - F.avg(right)).alias("score"))
+        s = s.filter(F.least("a", "b") >= max(5, 0.15 * least))
+        parents = F.broadcast(spark.createDataFrame([(k, n, max(1, level[k, n].parent_n)) for k, n, _ in chosen], "fold int, node string, parent long"))
+        s = s.join(parents, keys).filter(F.greatest("a", "b") >= parent_share * F.col("parent"))
+        top = s.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("score", 12).desc(), "cut"))).filter("_k = 1")
+        feature_of = {(k, n): f for k, n, f in chosen}
+        splits = {(r.fold, r.node): (feature_of[r.fold, r.node], r.cut) for r in top.select(*keys, "cut").collect()}
+        if not splits:
             break
-        nodes, parents, rows = grown, above, rows.withColumn("_node", step)
-    return sorted(leaves, key=lambda r: str(r))
+        split_at |= set(splits)
+        at = F.broadcast(spark.createDataFrame([(k, n, c) for (k, n), (_, c) in splits.items()], "fold int, node string, cut double"))
+        side = F.concat("node", F.when(F.col("v") > F.col("cut"), "L").otherwise("R"))
+        current = stored(own.join(at, keys).withColumn("node", side).select(*keys, "name", "day", "y", "x"), "nodes")
+        counts = current.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.countDistinct(F.struct("name", "day")).alias("k")).collect()
+        following = {}
+        for r in counts:
+            up = r.fold, r.node[:-1]
+            f, c = splits[up]
+            step = (features[f], "==", 1.0 if r.node[-1] == "L" else 0.0) if f in flags else (features[f], ">" if r.node[-1] == "L" else "<=", c)
+            following[r.fold, r.node] = _Node([*level[up].path, step], r.n, r.k, r.m, level[up].n)
+        nodes |= following
+        level = following
+    for (fold, node), v in nodes.items():
+        if v.path and (fold, node) not in split_at:
+            leaves[fold].append(Rule(v.path, v.n, v.mean))
+    return {k: sorted(v, key=str) for k, v in leaves.items()}
+
+
+def grow(panel: DataFrame, features: list[str], target: str, depth: int = 3, alpha: float = 0.05, least: int = 50, parent_share: float = 0.0, parts: int = 10, day: str = "session_date", name: str = "instrument_id") -> list[Rule]:
+    """The leaves of one tree over all days."""
+    days = panel.select(F.lit(0).alias("fold"), F.col(day).alias("day")).distinct()
+    return forest(panel, days, features, target, depth, alpha, least, parent_share, parts, name, day).get(0, [])
 
 
-def estimates(panel: DataFrame, paths: list[list[tuple[str, str, float]]], target: str, by: tuple[str, ...] = ("instrument_id", "session_date")) -> list[dict]:
-    """n, mean, standard error, days and names of the rows on each path, all paths in one aggregate."""
-    name, day = by
-    columns = []
-    for i, path in enumerate(paths):
-        y = F.when(holds(path), F.col(target).cast("double"))
-        columns += [F.count(y).alias(f"n{i}"), F.avg(y).alias(f"m{i}"), F.stddev_samp(y).alias(f"s{i}"), F.countDistinct(F.when(y.isNotNull(), F.col(day))).alias(f"d{i}"), F.countDistinct(F.when(y.isNotNull(), F.col(name))).alias(f"k{i}")]
-    row = panel.agg(*columns).first()
-    return [{"n": row[f"n{i}"], "mean": row[f"m{i}"], "se": (row[f"s{i}"] or 0.0) / max(1, row[f"n{i}"]) ** 0.5, "days": row[f"d{i}"], "names": row[f"k{i}"]} for i in range(len(paths))]
+def estimates(panel: DataFrame, paths: list[list[tuple[str, str, float]]], target: str, name: str = "instrument_id", day: str = "session_date") -> list[dict]:
+    """What tables.estimated says of the rows on each path, all paths in one pass; None for a path without rows."""
+    got = {int(r.rule): r.asDict() for r in tables.estimated(panel, {str(i): holds(p) for i, p in enumerate(paths)}, target, name=name, day=day).collect()}
+    return [got.get(i) for i in range(len(paths))]
 
 
-def simplified(panel: DataFrame, rules: list[Rule], target: str, least_rows: int, least_days: int, least_names: int = 1) -> list[Rule]:
+def simplified(panel: DataFrame, rules: list[Rule], target: str, least: int = 0, least_days: int = 0, least_names: int = 0, name_share: float = 1.0) -> list[Rule]:
     """Parsimony on fresh rows: as long as a rule without one of its conditions is as good as the best variant to within
-    that one's standard error, with the same sign, the shortest (then largest mean) is taken. Variants with too few rows,
-    days or names don't count; all rules' variants of a round go through one aggregate."""
+    that one's standard error (over day means), with the same sign, the shortest (then largest mean) is taken. Variants with
+    too few name-days, days or names, or with too large a share of one name, don't count; all rules' variants of a round go
+    through one aggregate."""
     done, open_ = {}, dict(enumerate(rules))
     while open_:
         asked = {i: [[c for j, c in enumerate(r.path) if j != k] for k in range(len(r.path))] * (len(r.path) > 1) + [r.path] for i, r in open_.items()}
@@ -156,11 +252,11 @@ def simplified(panel: DataFrame, rules: list[Rule], target: str, least_rows: int
         found = list(zip(flat, estimates(panel, [p for _, p in flat], target)))
         following = {}
         for i, r in open_.items():
-            own = [(p, e) for (k, p), e in found if k == i and e["mean"] is not None and e["n"] >= least_rows and e["days"] >= least_days and e["names"] >= least_names]
+            own = [(p, e) for (k, p), e in found if k == i and e and e["name_days"] >= least and e["days"] >= least_days and e["names"] >= least_names and e["top_name_share"] <= name_share]
             pick = None
             if own and len(r.path) > 1:
                 _, best = max(own, key=lambda x: abs(x[1]["mean"]))
-                good = [(p, e) for p, e in own if abs(e["mean"]) + 1e-12 >= abs(best["mean"]) - best["se"] and (e["mean"] > 0) == (best["mean"] > 0) and len(p) < len(r.path)]
+                good = [(p, e) for p, e in own if abs(e["mean"]) + 1e-12 >= abs(best["mean"]) - (best["se"] or 0.0) and (e["mean"] > 0) == (best["mean"] > 0) and len(p) < len(r.path)]
                 pick = min(good, key=lambda x: (len(x[0]), -abs(x[1]["mean"])), default=None)
             if pick is None:
                 done[i] = r
@@ -170,29 +266,54 @@ def simplified(panel: DataFrame, rules: list[Rule], target: str, least_rows: int
     return [done[i] for i in range(len(rules))]
 
 
-def path_stability(panel: DataFrame, rules: list[Rule], features: list[str], target: str, draws: int, least_found: float = 0.5, near: float = 0.10, day: str = "session_date", **tree) -> list[dict]:
-    """Of each rule the share of trees, each grown on a half of the days (by a hash of draw and day), that have a rule with
-    the same features and operators, every cut within `near` of the same place in the feature's distribution, and the same
-    direction among those. A rule that can't reach `least_found` any more stops being counted as such (`settled`)."""
-    at: dict[tuple[str, float], float] = {}
-
-    def places(pairs: list[tuple[str, float]]) -> None:
-        new = [p for p in dict.fromkeys(pairs) if p not in at]
-        if new:
-            row = panel.agg(*[F.avg(F.when(F.col(f).isNotNull(), (F.col(f).cast("double") <= c).cast("double"))).alias(f"p{i}") for i, (f, c) in enumerate(new)]).first()
-            at.update({p: row[f"p{i}"] or 0.0 for i, p in enumerate(new)})
-
-    hits, same = [0] * len(rules), [0] * len(rules)
-    ran = 0
-    for k in range(draws):
-        half = panel.filter(F.substring(F.md5(F.concat_ws(":", F.lit(str(k)), F.col(day).cast("string"))), 1, 1) < "8")
-        grown = grow(half, features, target, day=day, **tree)
-        ran += 1
-        places([(f, c) for r in [*rules, *grown] for f, _, c in r.path])
-        for i, r in enumerate(rules):
-            like = [g for g in grown if len(g.path) == len(r.path) and all(x[:2] == y[:2] and abs(at[x[0], x[2]] - at[y[0], y[2]]) <= near for x, y in zip(sorted(g.path), sorted(r.path)))]
-            hits[i] += bool(like)
-            same[i] += any(g.direction == r.direction for g in like)
-        if all((h + draws - ran) / draws < least_found for h in hits):
-            break
-    return [{"rule": str(r), "found": h / ran, "agreed": s / h if h else None, "settled": ran, "stable": h / draws >= least_found and s == h} for r, h, s in zip(rules, hits, same)]
+def places(panel: DataFrame, folds: DataFrame, pairs: list[tuple[str, float]], day: str) -> dict[tuple[int, str, float], float]:
+    """(fold, feature, value) -> share of the fold's values at or below it, from counts by day."""
+    if not pairs:
+        return {}
+    names = sorted({f for f, _ in pairs})
+    asked = F.create_map(*[x for f in names for x in (F.lit(f), F.array(*[F.lit(float(c)) for g, c in sorted(set(pairs)) if g == f]))])
+    long = panel.select(F.col(day).alias("day"), F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in names]))).filter("v is not null and not isnan(v)")
+    counts = long.select("day", "f", "v", F.explode(asked[F.col("f")]).alias("c")).groupBy("day", "f", "c").agg(F.count_if(F.col("v") <= F.col("c")).alias("below"), F.count("*").alias("n"))
+    shares = counts.join(small(folds), "day").groupBy("fold", "f", "c").agg((F.sum("below") / F.sum("n")).alias("share")).collect()
+    return {(r.fold, r.f, r.c): r.share for r in shares}
+
+
+def path_stability(
+    panel: DataFrame, rules: list[Rule], features: list[str], target: str, draws: int, least_found: float = 0.5, least_agreed: float = 0.8, near: float = 0.10, day: str = "session_date", seed: int = 7, **tree,
+) -> list[dict]:
+    """Of each rule the share of trees, each grown on half of the days, that have a rule with the same features and operators
+    from the root on, every cut within `near` of the same place among the fold's values, and of these the share with the
+    same direction. A rule counts as settled at the fold from which on it can reach neither share any more; what comes after
+    isn't counted. `features` of the first row: how many trees use each feature."""
+    folds = stored(half_samples(panel.select(day), day, draws, seed=seed), "folds")
+    grown = forest(panel, folds, features, target, day=day, **tree)
+    steps = lambda r: [(f, op) for f, op, _ in r.path]
+    like = {(i, k): [g for g in grown.get(k, []) if steps(g) == steps(r)] for i, r in enumerate(rules) for k in range(draws)}
+    numeric = lambda r: [(f, c) for f, op, c in r.path if op != "=="]
+    at = places(panel, folds, [p for (i, _), own in like.items() if own for g in [rules[i], *own] for p in numeric(g)], day)
+
+    def close(k: int, one: Rule, other: Rule) -> bool:
+        for (f, op, a), (_, _, b) in zip(one.path, other.path):
+            if op == "==":
+                if a != b:
+                    return False
+            elif abs(at.get((k, f, a), float("inf")) - at.get((k, f, b), 0.0)) > near:
+                return False
+        return True
+
+    used = {f: sum(any(f == g for r in own for g, _, _ in r.path) for own in grown.values()) for f in features}
+    out = []
+    for i, r in enumerate(rules):
+        hits = same = 0
+        settled = None
+        for k in range(draws):
+            own = [g for g in like[i, k] if close(k, r, g)]
+            hits += bool(own)
+            same += any(g.direction == r.direction for g in own)
+            rest = draws - k - 1
+            if hits + rest < least_found * draws - 1e-9 or (hits and (same + rest) / (hits + rest) < least_agreed - 1e-12):
+                settled = k + 1
+                break
+        stable = settled is None and hits / draws >= least_found - 1e-12 and hits > 0 and same / hits >= least_agreed - 1e-12
+        out.append({"rule": str(r), "found": hits / draws, "agreed": same / hits if hits else None, "settled": settled or draws, "stable": stable, "features": used})
+    return out

@@ -463,11 +463,12 @@ _RULES = {"gap_up": "gap_pct > 0.5", "gap_down": "gap_pct <= -0.5", "busy_high":
 
 
 @register("t14_rule_estimates", f"""with {CAUSAL}, pn as (select *, lead(ret_1m) over ({_OF_DAY} ts_utc) as y from causal), rr as ({' union all '.join(f"select '{n}' as rule, instrument_id, session_date, y from pn where y is not null and {w}" for n, w in _RULES.items())}),
-tn as (select rule, max(c) / sum(c) as top_name_share from (select rule, instrument_id, count(*) as c from rr group by all) group by 1)
-select rule, count(*)::bigint as n, avg(y) as mean, stddev_samp(y) / sqrt(count(*)) as se, count(distinct session_date)::bigint as days, count(distinct instrument_id)::bigint as names, any_value(top_name_share) as top_name_share,
-    case when count(*) < 30 or count(distinct session_date) < 5 then 'sample' when any_value(top_name_share) > 0.2 then 'concentration' end as kill from rr join tn using (rule) group by 1""", "mean se top_name_share")
+tn as (select rule, max(c) / sum(c) as top_name_share, count(*)::bigint as names from (select rule, instrument_id, count(*) as c from rr group by all) group by 1),
+td as (select rule, stddev_samp(m) / sqrt(count(*)) as day_se, count(*)::bigint as days from (select rule, session_date, avg(y) as m from rr group by all) group by 1),
+te as (select rule, count(*)::bigint as n, avg(y) as mean, stddev_samp(y) / sqrt(count(*)) as row_se, count(distinct (instrument_id, session_date))::bigint as name_days from rr group by 1)
+select rule, n, mean, case when days > 1 then day_se else row_se end as se, name_days, days, names, top_name_share, case when name_days < 30 or days < 5 or names < 2 then 'sample' when top_name_share > 0.2 then 'concentration' end as kill from te join tn using (rule) join td using (rule)""", "mean se top_name_share")
 def _(spark, d):
-    return rules.estimated(panel(spark, d), {n: F.expr(w) for n, w in _RULES.items()}, "y", 30, 5, 0.2)
+    return rules.estimated(panel(spark, d), {n: F.expr(w) for n, w in _RULES.items()}, "y", 30, 5, 2, 0.2)
 
 
 @register("t21_robust_gate", f"""with a as ({ORACLES["t21_directional_gate"]}), b as ({ORACLES["t2_bootstrap"]}), c as ({ORACLES["a11_without_top"]}), e as ({ORACLES["a17_day_agreement"]}),

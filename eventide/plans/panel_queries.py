@@ -278,7 +278,7 @@ def _(spark, d):
     p = stored(p.join(days, "session_date").select("instrument_id", "session_date", "split", "y", *_PANEL_F, "new_high_15"), "panel")
     first, second = p.filter("split = 'D1'"), p.filter("split = 'D2'")
     rules = tree.grow(first, [*_PANEL_F, "new_high_15"], "y", depth=3, alpha=0.5, least=40)
-    short = tree.simplified(second, rules, "y", 10, 2)
+    short = tree.simplified(second, rules, "y", 10, 2, 2, 0.9)
     rows = [(str(r), r.n, r.mean, r.direction, str(s)) for r, s in zip(rules, short)]
     return spark.createDataFrame(rows, "rule string, n long, mean double, direction string, simplified string")
 
@@ -290,13 +290,66 @@ def _(spark, d):
     return tree.associations(p, [*_PANEL_F, "new_high_15"], ["new_high_15"], "y").withColumnRenamed("_node", "node")
 
 
+_DAILY_STATS = f"""{CAUSAL}, pn as (select *, lead(ret_1m) over (partition by instrument_id, session_date order by ts_utc) as y from causal),
+lg as (select node, session_date, y, f.feature as feature, f.x as x from (select case when gap_pct > 0 then 'up' else 'down' end as node, session_date, y, unnest([{', '.join("{'feature': '" + f + "', 'x': " + f + "::double}" for f in (*_PANEL_F, 'new_high_15'))}]) as f from pn where y is not null) where f.x is not null),
+rk as (select *, rank() over (partition by node, session_date, feature order by x) + (count(*) over (partition by node, session_date, feature, x) - 1) / 2.0 as rx, rank() over (partition by node, session_date, feature order by y) + (count(*) over (partition by node, session_date, feature, y) - 1) / 2.0 as ry from lg where feature <> 'new_high_15'),
+ds as (select node, session_date, feature, corr(rx, ry) as s from rk group by all having count(*) >= 10 and corr(rx, ry) is not null and not isnan(corr(rx, ry))
+    union all select node, session_date, feature, avg(y) filter (x = 1) - avg(y) filter (x = 0) as s from lg where feature = 'new_high_15' group by all having count(*) >= 20 and count(*) filter (x = 1) >= 5 and count(*) filter (x = 0) >= 5)"""
+
+
+@register("t8_daily_differences", f"""with {_DAILY_STATS}, al as (select * from (select distinct node from lg), (select distinct feature from lg))
+select node, feature, count(s)::bigint as days, avg(s) * sqrt(count(s)) / nullif(stddev_samp(s), 0) as t from al left join ds using (node, feature) group by all""", "t")
+def _(spark, d):
+    """Days and t of the daily statistics at two nodes: rank correlations, and for the flag differences of means by day."""
+    p = panel(spark, d).filter("y is not null").withColumn("_node", F.when(F.col("gap_pct") > 0, "up").otherwise("down"))
+    return tree.associations(p, [*_PANEL_F, "new_high_15"], ["new_high_15"], "y").select(F.col("_node").alias("node"), "feature", "days", "t")
+
+
+@register("t7_welch", f"""with {CAUSAL}, pn as (select *, lead(ret_1m) over (partition by instrument_id, session_date order by ts_utc) as y from causal),
+g as (select feature, count(*) filter (x) as n1, avg(y) filter (x) as m1, var_samp(y) filter (x) as v1, count(*) filter (not x) as n0, avg(y) filter (not x) as m0, var_samp(y) filter (not x) as v0
+    from (select y, unnest([{{'feature': 'new_high_15', 'x': new_high_15}}, {{'feature': 'new_low_15', 'x': new_low_15}}], recursive := true) from pn where y is not null) where x is not null group by 1)
+select feature, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) as t, (v1 / n1 + v0 / n0) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v0 / n0) ** 2 / (n0 - 1)) as df from g""", "t df")
+def _(spark, d):
+    return tree.welch(panel(spark, d), ["new_high_15", "new_low_15"], "y").select("feature", "t", "df")
+
+
+def _stability(spark, d):
+    p = stored(panel(spark, d).filter("y is not null").select("instrument_id", "session_date", "y", *_PANEL_F), "panel")
+    rules = tree.grow(p, _PANEL_F, "y", depth=2, alpha=0.5, least=40)
+    return tree.path_stability(p, rules, _PANEL_F, "y", 20, depth=2, alpha=0.5, least=20)
+
+
 @register("t18_path_stability")
 def _(spark, d):
     """How often trees on half of the days find the same rules."""
+    rows = [(x["rule"], x["found"], x["agreed"], x["settled"], x["stable"]) for x in _stability(spark, d)]
+    return spark.createDataFrame(rows, "rule string, found double, agreed double, settled int, stable boolean")
+
+
+@register("t17_forest_features")
+def _(spark, d):
+    """In how many of the trees on half of the days each feature is used."""
     p = stored(panel(spark, d).filter("y is not null").select("instrument_id", "session_date", "y", *_PANEL_F), "panel")
-    rules = tree.grow(p, _PANEL_F, "y", depth=2, alpha=0.5, least=40)
-    rows = [tuple(x.values()) for x in tree.path_stability(p, rules, _PANEL_F, "y", 4, depth=2, alpha=0.5, least=40)]
-    return spark.createDataFrame(rows, "rule string, found double, agreed double, draws int, stable boolean")
+    grown = tree.forest(p, tree.half_samples(p.select("session_date"), "session_date", 20), _PANEL_F, "y", depth=2, alpha=0.5, least=20)
+    return spark.createDataFrame([(f, sum(any(f == g for r in own for g, _, _ in r.path) for own in grown.values())) for f in _PANEL_F], "feature string, trees int")
+
+
+@register("t17_half_samples", f"""with {BARS}, dd as (select distinct session_date from ses), k as (select fold, session_date, row_number() over (partition by fold order by md5('7:' || fold || ':' || session_date)) as k, count(*) over (partition by fold) as n from dd, generate_series(0, 99) as t(fold))
+select fold::int as fold, session_date as day from k where k <= greatest(1, floor(n * 0.5))""")
+def _(spark, d):
+    return tree.half_samples(session_bars(spark, d).select("session_date"), "session_date", 100)
+
+
+@register("t17_fold_cuts", f"""with {_LONG}, dd as (select distinct session_date from lg), k as (select fold::int as fold, session_date, row_number() over (partition by fold order by md5('7:' || fold || ':' || session_date)) as k, count(*) over (partition by fold) as n from dd, generate_series(0, 9) as t(fold)),
+fd as (select fold, session_date from k where k <= greatest(1, floor(n * 0.5))), q as (select fold, feature, unnest(quantile_cont(x, [0.25, 0.5, 0.75])) as cut from lg join fd using (session_date) group by 1, 2 having count(*) >= 50)
+select distinct fold, feature, round(cut, 9) as cut from q""", "cut")
+def _(spark, d):
+    """Quartiles of each feature over the days of ten half samples."""
+    p = panel(spark, d).filter("y is not null")
+    rows = stored(tree.panel_rows(p, _PANEL_F, "y", name="instrument_id", day="session_date"), "panel")
+    folds = stored(tree.half_samples(rows.select("day"), "day", 10), "folds")
+    cuts = tree.fold_cuts(rows, folds, list(range(len(_PANEL_F))), 4)
+    return cuts.select("fold", F.get(F.array(*map(F.lit, _PANEL_F)), F.col("f")).alias("feature"), F.round("cut", 9).alias("cut")).distinct()
 
 
 @register("t20_stage_gate", f"""with {_FWD}, r as (select *, row_number() over (partition by horizon order by abs(forward_return) desc, event_id) as k, count(*) over (partition by horizon) as nn from fwd where forward_return is not null),

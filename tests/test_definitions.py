@@ -1,6 +1,7 @@
 """Definitions against hand-made days, plain loops and numpy; helpers that replace global sorts; trees; stores."""
 
 import datetime as dt
+import hashlib
 import json
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.functions import core
-from eventide.operators import daybuild, graph, grid, jobs, models, quality, tree
+from eventide.operators import daybuild, graph, grid, jobs, models, quality, rules, tree
 from eventide.operators import events as ev
 from eventide.operators import outcomes as oc
 from eventide.operators import statistics as st
@@ -101,7 +102,8 @@ def test_reality_check_equals_numpy(spark):
     r = st.reality_check(spark.createDataFrame(rows, "rule string, session_date date, m double"), 100).first()
     stat = lambda a, c: np.nanmax((np.nanmean(a, 0) - c) / np.maximum(np.nanstd(a, 0, ddof=1) / np.sqrt(30), 1e-12))
     seen, centre, slot = stat(x, 0), np.maximum(np.nanmean(x, 0), 0), np.arange(30)
-    draws = [stat(x[(k * 7919 + slot * 104729 + k * slot * 31 + 17) % 1000003 % 30], centre) for k in range(100)]
+    drawn = lambda k: [int(hashlib.md5(f"7:{k}:{j}".encode()).hexdigest()[:12], 16) % 30 for j in slot]
+    draws = [stat(x[drawn(k)], centre) for k in range(100)]
     assert r.best_t == pytest.approx(seen) and r.rules == 4 and r.days == 30
     assert r.p_value == pytest.approx((sum(d >= seen - 1e-9 for d in draws) + 1) / 101)
 
@@ -140,9 +142,9 @@ def planted(spark, n=4000, noise=1.0, effect=1.0):
 
 def test_tree_finds_a_planted_rule_and_nothing_in_noise(spark):
     p = planted(spark).cache()
-    rules = tree.grow(p, ["a", "b", "flag"], "y", depth=2, least=100)
-    assert {f for r in rules for f, _, _ in r.path} == {"a", "flag"}
-    best = max(rules, key=lambda r: r.mean)
+    rules_ = tree.grow(p, ["a", "b", "flag"], "y", depth=2, least=100)
+    assert {f for r in rules_ for f, _, _ in r.path} == {"a", "flag"}
+    best = max(rules_, key=lambda r: r.mean)
     cuts = {f: (op, c) for f, op, c in best.path}
     assert cuts["flag"] == ("==", 1.0) and cuts["a"][0] == ">" and abs(cuts["a"][1] - 0.7) < 0.02
     row = p.filter(tree.holds(best.path)).agg(F.count("*").alias("n"), F.avg("y").alias("m")).first()
@@ -160,12 +162,19 @@ def test_association_equals_plain_statistics(spark):
 
     t = rho.mean() * np.sqrt(len(rho)) / rho.std(ddof=1)
     assert got["a"] == pytest.approx(t_p_values(np.array([t]), np.array([len(rho) - 1.0]))[0], rel=1e-6)
+    diff = rows.groupby("session_date")[["flag", "y"]].apply(lambda d: d["y"][d["flag"]].mean() - d["y"][~d["flag"]].mean())
+    t = diff.mean() * np.sqrt(len(diff)) / diff.std(ddof=1)
+    assert got["flag"] == pytest.approx(t_p_values(np.array([t]), np.array([len(diff) - 1.0]))[0], rel=1e-6)
+    few = tree.associations(p.limit(20), ["a", "flag"], ["flag"], "y").collect()
+    assert all(r.p == 1.0 and r.q_value == 1.0 for r in few)
+    seven = tree.associations(p.filter("session_date < '2024-01-08'"), ["a", "flag"], ["flag"], "y").collect()
+    assert all(r.p == 1.0 and r.days == 7 for r in seven)  # seven days are too few
     one, zero = rows[rows["flag"]]["y"], rows[~rows["flag"]]["y"]
     v1, v0 = one.var() / len(one), zero.var() / len(zero)
     df = (v1 + v0) ** 2 / (v1**2 / (len(one) - 1) + v0**2 / (len(zero) - 1))
-    assert got["flag"] == pytest.approx(t_p_values(np.array([(one.mean() - zero.mean()) / np.sqrt(v1 + v0)]), np.array([df]))[0], rel=1e-6)
-    few = tree.associations(p.limit(20), ["a", "flag"], ["flag"], "y").collect()
-    assert all(r.p == 1.0 and r.q_value == 1.0 for r in few)
+    w = tree.welch(p, ["flag"], "y").first()
+    assert w.t == pytest.approx((one.mean() - zero.mean()) / np.sqrt(v1 + v0)) and w.df == pytest.approx(df)
+    assert w.p == pytest.approx(t_p_values(np.array([w.t]), np.array([df]))[0], rel=1e-6)
 
 
 def test_rules_lose_conditions_that_say_nothing(spark):
@@ -179,9 +188,85 @@ def test_rules_lose_conditions_that_say_nothing(spark):
 
 def test_paths_that_come_back(spark):
     p = planted(spark, 4000, noise=0.2).cache()
-    rules = tree.grow(p, ["a", "flag"], "y", depth=2, least=100)
-    got = tree.path_stability(p, [*rules, tree.Rule([("b", ">", 0.5)], 5, 1.0)], ["a", "flag"], "y", 3, depth=2, least=100)
-    assert got[-1]["found"] == 0.0 and not got[-1]["stable"] and max(x["found"] for x in got) == 1.0
+    found = tree.grow(p, ["a", "flag"], "y", depth=2, least=100)
+    deep = max(found, key=lambda r: len(r.path))
+    backward = tree.Rule(list(reversed(deep.path)), 5, deep.mean)
+    other_way = [tree.Rule(r.path, r.n, -r.mean) for r in found]
+    asked = [*found, tree.Rule([("b", ">", 0.5)], 5, 1.0), backward, *other_way]
+    got = tree.path_stability(p, asked, ["a", "flag"], "y", 6, depth=2, least=50)
+    own, (b, back), other = got[: len(found)], got[len(found) : len(found) + 2], got[len(found) + 2 :]
+    assert max(x["found"] for x in own) == 1.0 and any(x["stable"] for x in own)
+    assert b["found"] == 0.0 and not b["stable"] and b["settled"] == 4  # three of six can't be reached after four misses
+    assert back["found"] == 0.0  # the order of the path counts
+    assert all(o["agreed"] == 0.0 and not o["stable"] for x, o in zip(own, other) if x["stable"])
+    assert got[0]["features"]["a"] == got[0]["features"]["flag"] == 6
+
+
+def test_a_hundred_trees_take_the_jobs_of_one(spark):
+    p = planted(spark, 3000, noise=0.3).cache()
+    sc = spark.sparkContext
+
+    def jobs_of(f):
+        sc.setJobGroup(f"g{id(f)}", "")
+        out = f()
+        return out, len(sc.statusTracker().getJobIdsForGroup(f"g{id(f)}"))
+
+    one = tree.half_samples(p.select("session_date"), "session_date", 1)
+    many = tree.half_samples(p.select("session_date"), "session_date", 100)
+    assert {r.n for r in many.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {10} and many.select("fold").distinct().count() == 100
+    tree_args = (["a", "b", "flag"], "y", 2, 0.05, 50)
+    _, few = jobs_of(lambda: tree.forest(p, one, *tree_args))
+    grown, all_ = jobs_of(lambda: tree.forest(p, many, *tree_args))
+    assert all_ <= few + 12, (few, all_)  # adaptive stages differ by a few; a hundred times as many they aren't
+    assert sum({f for r in own for f, _, _ in r.path} >= {"a", "flag"} for own in grown.values()) >= 95
+    for fold in (3, 71):
+        days = [r.day for r in many.filter(F.col("fold") == fold).collect()]
+        alone = tree.grow(p.filter(F.col("session_date").isin(days)), *tree_args)
+        assert [(str(r), r.n, round(r.mean, 9)) for r in alone] == [(str(r), r.n, round(r.mean, 9)) for r in grown[fold]]
+
+
+def test_cuts_of_folds_equal_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(size=900), np.round(rng.normal(size=900), 1), rng.integers(0, 3, 900).astype(float), np.where(rng.random(900) < 0.3, np.nan, rng.random(900))])
+    day = [dt.date(2024, 1, 1) + dt.timedelta(days=int(i % 12)) for i in range(900)]
+    panel = spark.createDataFrame(pd.DataFrame({"n": "a", "day": day, **{f"f{j}": x[:, j] for j in range(4)}, "y": 1.0}))
+    rows = tree.panel_rows(panel, ["f0", "f1", "f2", "f3"], "y", name="n", day="day")
+    folds = tree.half_samples(rows.select("day"), "day", 5).cache()
+    for bins in (200, 7):
+        monkeypatch.setattr(tree, "BINS", bins)
+        got = {}
+        for r in tree.fold_cuts(rows, folds, [0, 1, 2, 3]).collect():
+            got.setdefault((r.fold, r.f), []).append(r.cut)
+        for k in range(5):
+            own = {r.day for r in folds.filter(F.col("fold") == k).collect()}
+            inside = np.array([d in own for d in day])
+            for j in (0, 1, 3):
+                want = np.unique(np.round(np.nanquantile(x[inside, j], np.arange(1, 10) / 10), 12))
+                assert sorted(got[k, j]) == pytest.approx(sorted(want), abs=1e-9)
+            assert (k, 2) not in got  # three different values are too few
+
+
+def test_children_need_a_share_of_their_parents_parent(spark):
+    p = planted(spark, 4000, noise=0.3).cache()
+    found = tree.grow(p, ["a", "flag"], "y", depth=2, least=50)
+    assert max(len(r.path) for r in found) == 2
+    big = max(r.n for r in found if len(r.path) == 2)
+    first = [tree.holds(r.path[:1]) for r in found if r.n == big][0]
+    root_share = big / p.count()
+    assert root_share < big / p.filter(first).count()
+    # at the second level the share is of the first split's rows: of the whole table the same share would be too much to ask
+    tight = tree.grow(p, ["a", "flag"], "y", depth=2, least=50, parent_share=root_share + 0.02)
+    assert max(len(r.path) for r in tight) <= 2 and len(tight) <= len(found)
+    assert tree.grow(p, ["a", "flag"], "y", depth=2, least=50, parent_share=0.99) == []
+
+
+def test_estimates_of_rules_by_day(spark):
+    rows = [("a", 1, 1.0), ("a", 1, 3.0), ("b", 1, 2.0), ("b", 2, 5.0), ("c", 3, None)]
+    p = spark.createDataFrame([(n, dt.date(2024, 1, d), y, float(d)) for n, d, y in rows], "instrument_id string, session_date date, y double, x double")
+    got = {r.rule: r for r in rules.estimated(p, {"all": F.lit(True), "one": F.col("x") == 1, "two": F.col("x") == 2}, "y", 2, 1, 2, 0.6).collect()}
+    assert got["all"].se == pytest.approx(np.std([2.0, 5.0], ddof=1) / 2**0.5) and (got["all"].n, got["all"].name_days, got["all"].days, got["all"].names) == (4, 3, 2, 2)
+    assert got["one"].se == pytest.approx(np.std([1, 3, 2], ddof=1) / 3**0.5) and got["one"].kill == "concentration" and got["all"].kill is None
+    assert got["two"].kill == "sample" and got["two"].top_name_share == 1.0
 
 
 def test_jobs(spark):
