@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,3 +101,93 @@ def ridge_path(train: DataFrame, test: DataFrame, xs: list[str], y: str, penalti
     j = d.join(F.broadcast(cut), "penalty")
     top, low = F.avg(F.when(F.col("s") >= F.col("_q")[1], F.col("_y"))), F.avg(F.when(F.col("s") <= F.col("_q")[0], F.col("_y")))
     return j.groupBy("penalty").agg(F.avg(F.pow(F.col("s") - F.col("_y"), 2)).alias("error"), (top - low).alias("spread"), F.count("*").alias("n"))
+
+
+def day_moments(panel: DataFrame, xs: list[str], y: str, day: str = "session_date") -> DataFrame:
+    """day, m0_0, m0_1, ...: sums of products of (1, xs, y) by day; unknown features count as 0, rows without y not at all.
+    Sums of these rows give the normal equations of any set of days, any scaler and any penalty."""
+    a = [F.lit(1.0), *[F.coalesce(F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double")), F.lit(0.0)) for x in xs], F.col(y).cast("double")]
+    sums = [F.sum(a[i] * a[j]).alias(f"m{i}_{j}") for i in range(len(a)) for j in range(i, len(a))]
+    return panel.filter(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))).groupBy(F.col(day).alias("day")).agg(*sums)
+
+
+def split_moments(moments: DataFrame, shares: tuple[float, ...]) -> dict[float, tuple[np.ndarray, np.ndarray]]:
+    """For each share the moments of the first days, which together hold at most that share of the rows, and of the rest."""
+    names = [c for c in moments.columns if c != "day"]
+    size = max(int(c.split("_")[1]) for c in names) + 1
+    d = moments.withColumn("_seen", F.sum("m0_0").over(Window.orderBy("day"))).withColumn("_all", F.sum("m0_0").over(Window.partitionBy(F.lit(1))))
+    d = d.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("first", F.col("_seen") <= F.col("share") * F.col("_all") + 1e-9)
+    out = {s: [np.zeros((size, size)), np.zeros((size, size))] for s in shares}
+    for r in d.groupBy("share", "first").agg(*[F.sum(c).alias(c) for c in names]).collect():
+        for c in names:
+            i, j = map(int, c[1:].split("_"))
+            out[r.share][not r.first][i, j] = out[r.share][not r.first][j, i] = r[c]
+    return {s: tuple(m) for s, m in out.items()}
+
+
+@dataclass
+class Ridge:
+    """A ridge with its scaler: prediction = weights[0] + sum of weights[i] * (x - mean) / deviation."""
+
+    mean: np.ndarray
+    deviation: np.ndarray
+    weights: np.ndarray
+
+    def design(self) -> np.ndarray:
+        """The matrix that turns (1, xs) into the scaled row."""
+        t = np.eye(len(self.mean) + 1)
+        t[1:, 0] = -self.mean / self.deviation
+        t[1:, 1:] = np.diag(1 / self.deviation)
+        return t
+
+    def score(self, xs: list[str]) -> Column:
+        out = F.lit(float(self.weights[0]))
+        for x, m, s, w in zip(xs, self.mean, self.deviation, self.weights[1:]):
+            out = out + (F.coalesce(F.col(x).cast("double"), F.lit(0.0)) - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(w))
+        return out
+
+
+def scaler(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population deviations of the features in moments of (1, xs, y); a constant one is divided by 1."""
+    mean = m[0, 1:-1] / m[0, 0]
+    s = np.sqrt(np.maximum(np.diag(m)[1:-1] / m[0, 0] - mean**2, 0))
+    return mean, np.where(s < 1e-12, 1.0, s)
+
+
+def ridge_of(m: np.ndarray, penalty: float) -> Ridge:
+    """The ridge on the rows behind the moments, scaled by themselves; the intercept isn't penalised."""
+    r = Ridge(*scaler(m), np.zeros(len(m) - 1))
+    t = r.design()
+    a = t @ m[:-1, :-1] @ t.T + penalty * np.eye(len(t))
+    a[0, 0] -= penalty
+    r.weights = np.linalg.solve(a, t @ m[:-1, -1])
+    return r
+
+
+def squared_error(r: Ridge, m: np.ndarray) -> float:
+    """Mean squared error of a ridge on the rows behind the moments."""
+    w = r.design().T @ r.weights
+    return float((w @ m[:-1, :-1] @ w - 2 * w @ m[:-1, -1] + m[-1, -1]) / m[0, 0])
+
+
+def picked_ridge(first: np.ndarray, rest: np.ndarray, penalties: tuple[float, ...], train_scaler: bool = True) -> tuple[Ridge, float, dict[float, float]]:
+    """The ridge on the first rows whose penalty has the least error on the rest (the earlier of equal ones), its penalty, and
+    all errors. With train_scaler=False predictions scale by all rows. Up to fifty rows everything is both."""
+    whole = first + rest
+    if whole[0, 0] <= 50 or not rest[0, 0] or not first[0, 0]:
+        first = rest = whole
+    fits = {p: ridge_of(first, p) for p in penalties}
+    if not train_scaler:
+        fits = {p: Ridge(*scaler(whole), r.weights) for p, r in fits.items()}
+    errors = {p: squared_error(r, rest) for p, r in fits.items()}
+    best = min(penalties, key=lambda p: errors[p])
+    return fits[best], best, errors
+
+
+def decile_spread(scored: DataFrame, s: str, y: str) -> DataFrame:
+    """Mean of y in the top tenth of scores less that in the bottom tenth; 0 with under 50 rows or five a side."""
+    d = stored(scored.filter(F.col(s).isNotNull() & F.col(y).isNotNull()).select(F.col(s).alias("s"), F.col(y).cast("double").alias("y")), "scored")
+    j = d.crossJoin(F.broadcast(exact_percentiles(d, [], "s", (0.1, 0.9))))
+    top, low = F.when(F.col("s") >= F.col("q")[1], F.col("y")), F.when(F.col("s") <= F.col("q")[0], F.col("y"))
+    ok = (F.count("*") >= 50) & (F.least(F.count(top), F.count(low)) >= 5)
+    return j.agg(F.count("*").alias("n"), F.when(ok, F.avg(top) - F.avg(low)).otherwise(0.0).alias("spread"))

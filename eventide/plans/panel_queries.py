@@ -406,6 +406,57 @@ def _(spark, d):
     return train.unionByName(test).select("instrument_id", "ts_utc", (F.col("split") == "D1").alias("train"), F.col(f"z_{_M_F[0]}").alias("z0"), F.col(f"z_{_M_F[1]}").alias("z1"))
 
 
+# --- normal equations by day: the first 70 % of days, split at three places, and the rest
+_PENALTIES, _SHARES = (0.1, 10.0, 1000.0), (0.5, 0.7, 0.8)
+_MOMENTS = f"""{CAUSAL}, pr as (select instrument_id, ts_utc, session_date, coalesce({_M_F[0]}, 0) as x0, coalesce({_M_F[1]}, 0) as x1, lead(ret_1m) over (partition by instrument_id, session_date order by ts_utc) as y from causal),
+dn as (select session_date, row_number() over (order by session_date) / count(*) over ()::double <= 0.7 as early from (select distinct session_date from pr)),
+pn as (select * from pr join dn using (session_date) where y is not null),
+cu as (select session_date, sum(count(*)) over (order by session_date) as seen, sum(count(*)) over () as total from pn where early group by 1),
+rw as (select pn.*, share, seen <= share * total + 1e-9 as first from pn join cu using (session_date), (select unnest([0.5, 0.7, 0.8]::double[]) as share)),
+sc as (select share, avg(x0) filter (first) as m0, stddev_pop(x0) filter (first) as s0, avg(x1) filter (first) as m1, stddev_pop(x1) filter (first) as s1, avg(y) filter (first) as my from rw group by 1),
+zr as (select rw.*, (x0 - m0) / s0 as z0, (x1 - m1) / s1 as z1, my from rw join sc using (share)),
+gr as (select share, sum(z0 * z0) as a, sum(z0 * z1) as b, sum(z1 * z1) as c, sum(z0 * y) as u, sum(z1 * y) as v, any_value(my) as my from zr where first group by 1),
+wt as (select share, penalty, my, ((c + penalty) * u - b * v) / ((a + penalty) * (c + penalty) - b * b) as w0, ((a + penalty) * v - b * u) / ((a + penalty) * (c + penalty) - b * b) as w1 from gr, (select unnest([0.1, 10.0, 1000.0]::double[]) as penalty)),
+er as (select share, penalty, avg((wt.my + w0 * z0 + w1 * z1 - y) ** 2) as error from zr join wt using (share) where not first group by all),
+pk as (select *, row_number() over (partition by share order by error, penalty) = 1 as picked from er)"""
+
+
+def _early(spark, d):
+    p = stored(panel(spark, d).select("session_date", "instrument_id", "ts_utc", "y", *_M_F).filter("y is not null"), "panel")
+    days = st.chronological_split(session_bars(spark, d).filter("is_rth").select("session_date").distinct(), "session_date", 0, (0.7, 0.0, 0.3))
+    return [p.join(days.filter(part), "session_date") for part in ("split = 'D1'", "split <> 'D1'")]
+
+
+@register("m9_day_moments", f"with {_MOMENTS} select session_date as day, count(*)::double as m0_0, sum(x0) as m0_1, sum(x1) as m0_2, sum(y) as m0_3, sum(x0 * x0) as m1_1, sum(x0 * x1) as m1_2, sum(x0 * y) as m1_3, sum(x1 * x1) as m2_2, sum(x1 * y) as m2_3, sum(y * y) as m3_3 from pn where early group by 1", "m0_0 m0_1 m0_2 m0_3 m1_1 m1_2 m1_3 m2_2 m2_3 m3_3")
+def _(spark, d):
+    return models.day_moments(_early(spark, d)[0], _M_F, "y")
+
+
+@register("m8_picked_penalty", f"with {_MOMENTS} select share, penalty, error, picked from pk", "error")
+def _(spark, d):
+    """Errors of each penalty for three splits of the days, all from one table of day sums."""
+    early = _early(spark, d)[0]
+    rows = []
+    for share, (first, rest) in models.split_moments(stored(models.day_moments(early, _M_F, "y"), "moments"), _SHARES).items():
+        _, best, errors = models.picked_ridge(first, rest, _PENALTIES)
+        rows += [(share, p, e, p == best) for p, e in errors.items()]
+    return spark.createDataFrame(rows, "share double, penalty double, error double, picked boolean")
+
+
+@register("m10_picked_spread", f"""with {_MOMENTS}, la as (select share, w.my + w0 * (x0 - m0) / s0 + w1 * (x1 - m1) / s1 as s, y from pn, sc join (select wt.* from wt join pk using (share, penalty) where picked) w using (share) where not early),
+qs as (select share, quantile_cont(s, 0.1) as lo, quantile_cont(s, 0.9) as hi from la group by 1)
+select share, count(*)::bigint as n, avg(y) filter (s >= hi) - avg(y) filter (s <= lo) as spread from la join qs using (share) group by 1""", "spread")
+def _(spark, d):
+    """Spread of later returns between top and bottom tenth of scores of the picked ridge, scaled by its training days."""
+    early, late = _early(spark, d)
+    out = None
+    for share, (first, rest) in models.split_moments(stored(models.day_moments(early, _M_F, "y"), "moments"), _SHARES).items():
+        fit, _, _ = models.picked_ridge(first, rest, _PENALTIES)
+        one = models.decile_spread(late.select(fit.score(_M_F).alias("s"), "y"), "s", "y").select(F.lit(share).alias("share"), "n", "spread")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("m1_standardise", f"with {CAUSAL} select instrument_id, ts_utc, coalesce((gap_pct - avg(gap_pct) over ()) / nullif(stddev_pop(gap_pct) over (), 0), 0) as z_gap_pct from causal", "z_gap_pct")
 def _(spark, d):
     return models.standardised(causal(spark, d), ["gap_pct"]).select("instrument_id", "ts_utc", "z_gap_pct")

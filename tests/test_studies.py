@@ -160,3 +160,51 @@ def test_day_build_against_its_parts_and_resumed(spark, tmp_path):
     with pytest.raises(ValueError, match="repeated keys"):
         daybuild.built(f.unionByName(f.limit(1)), (0, 95), 5, 1.0, 1e3, daybuild.Thresholds())
     assert grid.repeated_keys(built, ["instrument_id", "decision_ts"]).count() == 0
+
+
+def plain_ridge(x, y, penalty):
+    mu, sd = x.mean(0), x.std(0)
+    sd = np.where(sd < 1e-12, 1.0, sd)
+    z = np.hstack([np.ones((len(x), 1)), (x - mu) / sd])
+    a = z.T @ z + penalty * np.eye(z.shape[1])
+    a[0, 0] -= penalty
+    return mu, sd, np.linalg.solve(a, z.T @ y)
+
+
+def test_ridges_from_day_sums_equal_ridges_on_rows(spark):
+    from eventide.operators import models
+
+    rng = np.random.default_rng(6)
+    n = 900
+    x = np.column_stack([rng.normal(3, 2, n), rng.normal(size=n), np.full(n, 2.0)])
+    y = 1 + 0.5 * x[:, 0] - x[:, 1] + rng.normal(size=n)
+    day = np.sort(rng.integers(0, 30, n))
+    gone = rng.random(n) < 0.05
+    rows = [(T0.date() + dt.timedelta(days=int(d)), None if g else float(a), float(b), float(c), float(v)) for d, g, (a, b, c), v in zip(day, gone, x, y)]
+    rows += [(T0.date(), 1.0, 1.0, 1.0, None)]
+    panel = spark.createDataFrame(rows, "session_date date, a double, b double, c double, y double").repartition(3)
+    x[gone, 0] = 0.0
+    seen = np.array([(day <= d).sum() for d in day])
+    splits = models.split_moments(models.day_moments(panel, ["a", "b", "c"], "y"), (0.3, 0.7, 0.9))
+    for share, (first, rest) in splits.items():
+        own = seen <= share * n
+        assert first[0, 0] == own.sum() and rest[0, 0] == (~own).sum()
+        fit, best, errors = models.picked_ridge(first, rest, (0.1, 50.0, 5000.0))
+        for p, e in errors.items():
+            mu, sd, w = plain_ridge(x[own], y[own], p)
+            pred = np.hstack([np.ones(((~own).sum(), 1)), (x[~own] - mu) / sd]) @ w
+            assert e == pytest.approx(((pred - y[~own]) ** 2).mean(), rel=1e-8)
+        assert best == min(errors, key=errors.get)
+        assert fit.weights == pytest.approx(plain_ridge(x[own], y[own], best)[2], rel=1e-7, abs=1e-9)
+        _, _, other = models.picked_ridge(first, rest, (50.0,), train_scaler=False)
+        mu, sd, w = plain_ridge(x[own], y[own], 50.0)
+        pred = np.hstack([np.ones(((~own).sum(), 1)), (x[~own] - x.mean(0)) / np.where(x.std(0) < 1e-12, 1, x.std(0))]) @ w
+        assert other[50.0] == pytest.approx(((pred - y[~own]) ** 2).mean(), rel=1e-8)
+    scored = panel.withColumn("s", fit.score(["a", "b", "c"]))
+    s = np.hstack([np.ones((n, 1)), (x - fit.mean) / fit.deviation]) @ fit.weights
+    lo, hi = np.quantile(s, [0.1, 0.9])
+    got = models.decile_spread(scored, "s", "y").first()
+    assert got.n == n and got.spread == pytest.approx(y[s >= hi].mean() - y[s <= lo].mean())
+    assert models.decile_spread(scored.limit(40), "s", "y").first().spread == 0.0
+    few = models.split_moments(models.day_moments(panel.limit(30), ["a", "b", "c"], "y"), (0.7,))[0.7]
+    assert models.picked_ridge(*few, (1.0,))[2][1.0] == pytest.approx(models.squared_error(models.ridge_of(few[0] + few[1], 1.0), few[0] + few[1]))
