@@ -8,22 +8,9 @@ from pyspark.sql import functions as F
 from eventide.functions.core import stored
 from eventide.operators import graph, grid, models, rules
 from eventide.operators import statistics as st
-from eventide.operators.joins import range_join
-from eventide.plans.bars_queries import _EVENTS, _FWD, forwards, gap_events
-from eventide.plans.base import DESK, causal, register, session_bars
+from eventide.plans.bars_queries import _FWD, forwards
+from eventide.plans.base import causal, register, session_bars
 from eventide.plans.panel_queries import _BANK, _DAYM, _FIT, _M_F, _PANEL_F, _PEERS, _RIDGE, pair_stats, panel, train_test
-from eventide.sources.bars import news, table
-
-# --- events
-@register("e41_news_intensity", f"""with {_EVENTS}, nw as (select {DESK} as instrument_id, ts + interval 60 minute as available_at, case event_type when 'signup' then 1 when 'error' then -1 else 0 end as s from events where event_type in ('signup', 'error', 'view')),
-c as (select e.event_id, count(*)::bigint as articles, sum(s)::bigint as net from evt e join nw n on e.instrument_id = n.instrument_id and n.available_at > e.decision_ts - interval 12 hour and n.available_at <= e.decision_ts group by 1)
-select event_id, articles, net, case when net > 0 then 'LONG' else 'SHORT' end as side from c where articles >= 3 and net <> 0""")
-def _(spark, d):
-    e = gap_events(spark, d).select("event_id", "instrument_id", "decision_ts")
-    j = range_join(e, news(table(spark, d, "events")), ["instrument_id"], "decision_ts", "available_at", -12 * 3600, 0, closed="right")
-    c = j.groupBy("event_id").agg(F.count("*").alias("articles"), F.sum("sentiment_score").cast("long").alias("net"))
-    return c.filter("articles >= 3 and net <> 0").withColumn("side", F.when(F.col("net") > 0, "LONG").otherwise("SHORT"))
-
 
 # --- tables on jobs and rules
 @register("a15_signed_baseline", f"""with {_FWD}, r as (select *, strftime(session_date, '%Y-%m') as month from fwd where forward_return is not null)

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from eventide.functions.core import shared_dir, stored
 from eventide.operators import daybuild, graph, jobs, quality, rules, tree
 from eventide.operators import statistics as st
+from eventide.operators.events import stamp
 from eventide.operators.features import by_day
 from eventide.operators.joins import asof_join
+from eventide.operators.news_state import news_jobs
 from eventide.operators.outcomes import forward_returns, full_outcomes
 from eventide.plans import directional_queries, family_queries  # noqa: F401  (registers queries whose SQL is used here)
 from eventide.plans.directional_queries import _OF_DAY
 from eventide.plans.bars_queries import _EVENTS, _FWD, HORIZONS, JOBS, M, forwards, gap_events
 from eventide.plans.base import BARS, CAUSAL, DESK, ORACLES, causal, register, session_bars
-from eventide.plans.panel_queries import _BUCKETED, GRID, TAIL, _bucketed, _loo, _PAIRS, base_grid, pair_stats, panel
+from eventide.plans.panel_queries import GRID, NEWS_STATE, TAIL, _loo, _PAIRS, base_grid, news_states, pair_stats, panel
 from eventide.sources import stores
 from eventide.sources.bars import instrument_of, instruments, news, table
 
@@ -152,22 +154,33 @@ def _(spark, d):
     return jobs.family_pairs(table_)
 
 
-# --- news jobs: reaction to news without price, and baselines beside it
-_NEWS_JOBS = {
-    "e43_news_reaction": ("bucket in ('pos', 'neg') and abs(ret_5m) <= 0.2", "case when s > 0 then 'LONG' else 'SHORT' end"),
-    "e43_news_baseline": ("bucket in ('pos', 'neg')", "case when s > 0 then 'LONG' else 'SHORT' end"),
-    "e43_price_baseline": ("bucket = 'none' and abs(ret_5m) >= 0.3", "case when ret_5m > 0 then 'LONG' else 'SHORT' end"),
-    "e44_neutral_momentum": ("bucket = 'neu' and abs(ret_5m) >= 0.3", "case when ret_5m > 0 then 'LONG' else 'SHORT' end"),
-    "e44_fade_news": ("bucket in ('pos', 'neg') and sign(ret_5m) = -s", "case when s > 0 then 'LONG' else 'SHORT' end"),
-    "e44_residual_agree": ("bucket in ('pos', 'neg') and sign(resid_5m) = s and abs(resid_5m) >= 0.2", "case when s > 0 then 'LONG' else 'SHORT' end"),
-}
+# --- news jobs: the news families on rows with news state
+_NEWS_JOBS = news_jobs(0, 90, 0.3, 1.0, 0.3, 0.5, 0.8, 2, 120, "minutes_from_open between 15 and 780", "minutes_from_open between 30 and 720")
 
 
-@register("e44_news_jobs", f"""{_BUCKETED}, nj as ({' union all '.join(f"select '{n}' as job_id, instrument_id, session_date, ts_utc, {side} as side from b where {w}" for n, (w, side) in _NEWS_JOBS.items())})
-select job_id, instrument_id, ts_utc, side from nj where side is not null qualify row_number() over (partition by job_id, instrument_id, session_date order by ts_utc) = 1""")
-def _(spark, d):
-    rows = _bucketed(spark, d).withColumn("s", F.col("sentiment_score"))
-    return jobs.job_events(rows, [Job(n, n.split("_")[0], w, s) for n, (w, s) in _NEWS_JOBS.items()], 0).select("job_id", "instrument_id", F.col("decision_ts").alias("ts_utc"), "side")
+def _news_family(name: str, prefixes: tuple[str, ...]) -> None:
+    own = {n: v for n, v in _NEWS_JOBS.items() if n.startswith(prefixes)}
+
+    @register(name, f"""with {NEWS_STATE}, nj as ({' union all '.join(f"select '{n}' as job_id, instrument_id, session_date, ts_utc, {side} as side from ns where {w}" for n, (w, side) in own.items())})
+    select job_id, instrument_id, ts_utc, side from nj qualify row_number() over (partition by job_id, instrument_id, session_date order by ts_utc) = 1""")
+    def _(spark, d):
+        e = jobs.job_events(news_states(spark, d), [Job(n, n.split("_")[0], w, s) for n, (w, s) in own.items()], 0)
+        return e.select("job_id", "instrument_id", F.col("decision_ts").alias("ts_utc"), "side")
+
+
+for _name, _prefixes in (("e39_news_then_price", ("n1", "n2", "n3", "n4")), ("e40_news_against_residual", ("n5",)), ("e41_news_intensity", ("ni",)), ("e43_news_reaction", ("nr", "bl")), ("e44_news_jobs", ("n", "bl"))):
+    _news_family(_name, _prefixes)
+
+
+for _name, _sign in (("e42_state_agree", ">"), ("e42_state_against", "<")):
+
+    @register(_name, f"""with {CAUSAL}, im as (select *, case when ret_3m > 0 then 'LONG' else 'SHORT' end as side from causal where abs(ret_3m) >= 0.3 and rvol_5m >= 0.9 qualify row_number() over ({_OF_DAY} ts_utc) = 1)
+    select instrument_id, ts_utc, side from im where resid_5m * case side when 'LONG' then 1 else -1 end {_sign} 0""")
+    def _(spark, d, sign=_sign):
+        """Impulses whose residual goes the same way, or the other."""
+        e = stamp(causal(spark, d).filter("abs(ret_3m) >= 0.3 and rvol_5m >= 0.9"), "im", F.expr("case when ret_3m > 0 then 'LONG' else 'SHORT' end"), M)
+        own = F.col("resid_5m") * F.when(F.col("side") == "LONG", 1).otherwise(-1)
+        return e.filter(own > 0 if sign == ">" else own < 0).select("instrument_id", "ts_utc", "side")
 
 
 # --- outcomes in one table

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import first_per, stored, with_bh, with_bh_wide
+from eventide.functions.core import stored, with_bh, with_bh_wide
 from eventide.functions.tdist import t_p
 from eventide.operators import graph, grid, models, quality, tree
 from eventide.operators import statistics as st
 from eventide.operators.features import daily_facts
-from eventide.operators.joins import asof_join, effective_join, range_join
+from eventide.operators.joins import asof_join, effective_join
+from eventide.operators.news_state import with_news_state
 from eventide.plans.bars_queries import _EVENTS, _FWD, forwards, gap_events
 from eventide.plans.base import BARS, CAUSAL, DAILY, DESK, causal, register, session_bars
 from eventide.sources.bars import instrument_of, news, table, upsert
@@ -569,20 +570,32 @@ def _state_rows(spark, d):
     return asof_join(rows, n, ["instrument_id"], "decision_ts", "available_at", ["article_id", "sentiment_score"])
 
 
-@register("e45_news_state", f"""with {CAUSAL}, {_NEWS}, r as (select instrument_id, session_date, ts_utc, decision_ts, ret_5m from causal where rvol_5m >= 0.9 and ret_5m is not null),
-c as (select r.instrument_id, r.ts_utc, count(*) as articles, count(*) filter (s > 0) as positive, count(*) filter (s < 0) as negative, count(*) filter (s = sign(ret_5m)) as same_direction from r join nw n on r.instrument_id = n.instrument_id and n.available_at > r.decision_ts - interval 240 minute and n.available_at <= r.decision_ts group by all)
-select r.instrument_id, r.ts_utc, n.article_id, n.s as sentiment_score, floor(epoch(r.decision_ts - n.available_at) / 60)::bigint as minutes_since, coalesce(articles, 0)::bigint as articles, coalesce(positive, 0)::bigint as positive, coalesce(negative, 0)::bigint as negative, coalesce(same_direction, 0)::bigint as same_direction
-from r asof left join nw n on r.instrument_id = n.instrument_id and r.decision_ts >= n.available_at left join c on c.instrument_id = r.instrument_id and c.ts_utc = r.ts_utc""")
+_STATE_COUNTS = [f"{c}_{k}" for k in ("2h", "4h", "today") for c in ("positive_count", "neutral_count", "negative_count", "single_ticker_news_count", "multi_ticker_news_count", "article_count", "publisher_count", "net_sentiment")]
+_STATE = ["latest_article_id", "latest_news_sentiment", "latest_article_ticker_count", "minutes_since_latest_available_news", *_STATE_COUNTS, "same_direction_news_count", "sentiment_last_2h", "sentiment_last_4h", "sentiment_today"]
+
+
+def _window_sql(name: str, hours: int, left: str) -> str:
+    return f"""{name} as (select r.instrument_id, r.ts_utc, count(*) filter (s = 1) as positive_count_{name}, count(*) filter (s = 0) as neutral_count_{name}, count(*) filter (s = -1) as negative_count_{name}, count(*) filter (k = 1) as single_ticker_news_count_{name},
+    count(*) filter (k > 1) as multi_ticker_news_count_{name}, count(distinct article_id) as article_count_{name}, count(distinct publisher) as publisher_count_{name}, sum(s) as net_sentiment_{name}
+    from r join nx n on r.instrument_id = n.instrument_id and n.available_at {left} r.decision_ts - interval {hours} hour and n.available_at <= r.decision_ts group by all)"""
+
+
+NEWS_STATE = f"""{CAUSAL}, nx as (select {DESK} as instrument_id, ts + interval 60 minute as available_at, event_id as article_id, props as publisher, (event_id % 3 + 1)::int as k, case event_type when 'signup' then 1 when 'error' then -1 else 0 end as s from events where event_type in ('signup', 'error', 'view')),
+r as (select * from causal where rvol_5m >= 0.9 and ret_5m is not null), {_window_sql('w2h', 2, '>').replace('_w2h', '_2h')}, {_window_sql('w4h', 4, '>').replace('_w4h', '_4h')}, {_window_sql('wtd', 12, '>=').replace('_wtd', '_today')},
+la as (select r.*, n.article_id as latest_article_id, n.s as latest_news_sentiment, n.k as latest_article_ticker_count, floor(epoch(r.decision_ts - n.available_at) / 60)::bigint as minutes_since_latest_available_news
+    from r asof left join (select * from nx qualify row_number() over (partition by instrument_id, available_at order by article_id desc) = 1) n on r.instrument_id = n.instrument_id and r.decision_ts >= n.available_at),
+ns0 as (select la.*, {', '.join(f'coalesce({c}, 0)::bigint as {c}' for c in _STATE_COUNTS)} from la left join w2h using (instrument_id, ts_utc) left join w4h using (instrument_id, ts_utc) left join wtd using (instrument_id, ts_utc)),
+ns as (select *, case latest_news_sentiment when 1 then positive_count_2h when -1 then negative_count_2h else neutral_count_2h end as same_direction_news_count, net_sentiment_2h as sentiment_last_2h, net_sentiment_4h as sentiment_last_4h, net_sentiment_today as sentiment_today from ns0)"""
+
+
+def news_states(spark, d):
+    rows = stored(causal(spark, d).filter("rvol_5m >= 0.9 and ret_5m is not null"), "rows")
+    return with_news_state(rows, news(table(spark, d, "events")), ["instrument_id", "ts_utc"])
+
+
+@register("e45_news_state", f"with {NEWS_STATE} select instrument_id, ts_utc, {', '.join(_STATE)} from ns")
 def _(spark, d):
-    rows = stored(_state_rows(spark, d), "state")
-    since = F.floor(F.timestamp_diff("SECOND", "available_at", "decision_ts") / 60)
-    n = news(table(spark, d, "events")).select("instrument_id", F.col("available_at").alias("_at"), F.col("sentiment_score").alias("_s"))
-    near = range_join(rows.select("instrument_id", "ts_utc", "decision_ts", "ret_5m"), n, ["instrument_id"], "decision_ts", "_at", -4 * 3600, 0, closed="right")
-    counts = near.groupBy("instrument_id", "ts_utc").agg(
-        F.count("*").alias("articles"), F.count_if(F.col("_s") > 0).alias("positive"), F.count_if(F.col("_s") < 0).alias("negative"), F.count_if(F.col("_s") == F.signum("ret_5m")).alias("same_direction")
-    )
-    out = rows.select("instrument_id", "ts_utc", "article_id", "sentiment_score", since.alias("minutes_since")).join(counts, ["instrument_id", "ts_utc"], "left")
-    return out.fillna(0, ["articles", "positive", "negative", "same_direction"])
+    return news_states(spark, d).select("instrument_id", "ts_utc", *_STATE)
 
 
 _BUCKETED = f"""with {CAUSAL}, {_NEWS}, r as (select instrument_id, session_date, ts_utc, decision_ts, ret_5m, resid_5m from causal where rvol_5m >= 0.9 and ret_5m is not null),
@@ -601,20 +614,6 @@ def _(spark, d):
     return _bucketed(spark, d).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("ret_5m").alias("mean_ret"), F.count_if(F.signum("ret_5m") == F.col("sentiment_score")).alias("agreeing"))
 
 
-@register("e39_news_then_price", _BUCKETED + """ select instrument_id, session_date, ts_utc, case when s > 0 then 'LONG' else 'SHORT' end as side from b where bucket in ('pos', 'neg') and sign(ret_5m) = s
-qualify row_number() over (partition by instrument_id, session_date order by ts_utc) = 1""")
-def _(spark, d):
-    e = _bucketed(spark, d).filter(F.col("bucket").isin("pos", "neg") & (F.signum("ret_5m") == F.col("sentiment_score")))
-    e = first_per(e, ["instrument_id", "session_date"], [F.col("ts_utc")])
-    return e.select("instrument_id", "session_date", "ts_utc", F.when(F.col("sentiment_score") > 0, "LONG").otherwise("SHORT").alias("side"))
-
-
-@register("e40_news_against_residual", _BUCKETED + " select instrument_id, ts_utc, case when s > 0 then 'LONG' else 'SHORT' end as side from b where bucket in ('pos', 'neg') and sign(resid_5m) = -s and abs(resid_5m) >= 0.2")
-def _(spark, d):
-    e = _bucketed(spark, d).filter(F.col("bucket").isin("pos", "neg") & (F.signum("resid_5m") == -F.col("sentiment_score")) & (F.abs("resid_5m") >= 0.2))
-    return e.select("instrument_id", "ts_utc", F.when(F.col("sentiment_score") > 0, "LONG").otherwise("SHORT").alias("side"))
-
-
 @register("q11_news_onset", """with m as (select date_trunc('week', ts)::date as week, avg((event_type in ('signup', 'error', 'view'))::int::double) as rate, count(*) as n from events group by 1)
 select week, rate from m where rate >= 0.4 and n >= 50 order by week limit 1""", "rate")
 def _(spark, d):

@@ -208,3 +208,36 @@ def test_ridges_from_day_sums_equal_ridges_on_rows(spark):
     assert models.decile_spread(scored.limit(40), "s", "y").first().spread == 0.0
     few = models.split_moments(models.day_moments(panel.limit(30), ["a", "b", "c"], "y"), (0.7,))[0.7]
     assert models.picked_ridge(*few, (1.0,))[2][1.0] == pytest.approx(models.squared_error(models.ridge_of(few[0] + few[1], 1.0), few[0] + few[1]))
+
+
+def test_news_state_equals_a_plain_count(spark):
+    from eventide.operators.news_state import WINDOWS, with_news_state
+
+    rng = np.random.default_rng(12)
+    hour = dt.timedelta(hours=1)
+    news = []
+    for n in "abc":
+        for i in range(120):
+            at = T0 + int(rng.integers(0, 200)) * 15 * MIN
+            news.append((n, at if rng.random() > 0.03 else None, int(rng.integers(-1, 2)) if rng.random() > 0.05 else None, int(rng.integers(0, 60)), ["p", "q", "r", None][rng.integers(0, 4)], int(rng.integers(1, 4))))
+    rows = [(n, T0 + int(k) * 15 * MIN) for n in "abcd" for k in sorted(set(rng.integers(-2, 210, 60)))]
+    got = with_news_state(
+        spark.createDataFrame([(*r, "kept") for r in rows], "instrument_id string, decision_ts timestamp_ntz, note string"),
+        spark.createDataFrame(news, "instrument_id string, available_at timestamp_ntz, sentiment_score int, article_id long, publisher string, article_ticker_count int"), ["instrument_id", "decision_ts"],
+    ).collect()
+    assert len(got) == len(rows) and all(r.note == "kept" for r in got)
+    for r in got:
+        own = [x for x in news if x[0] == r.instrument_id and x[1] is not None and x[1] <= r.decision_ts]
+        last = max(own, key=lambda x: (x[1], x[3]), default=None)
+        assert r.minutes_since_latest_available_news == (None if last is None else (r.decision_ts - last[1]) // MIN)
+        assert r.latest_article_id == (None if last is None else last[3])
+        for name, (h, closed) in WINDOWS.items():
+            w = [x for x in own if x[1] > r.decision_ts - h * hour or closed and x[1] == r.decision_ts - h * hour]
+            say = lambda c: r[f"{c}_{name}"]  # noqa: B023, E731
+            assert [say(f"{k}_count") for k in ("positive", "neutral", "negative")] == [sum(x[2] == v for x in w) for v in (1, 0, -1)]
+            assert say("single_ticker_news_count") == sum(x[5] == 1 for x in w) and say("multi_ticker_news_count") == sum(x[5] > 1 for x in w)
+            assert say("article_count") == len({x[3] for x in w}) and say("publisher_count") == len({x[4] for x in w} - {None})
+            assert say("net_sentiment") == sum(x[2] or 0 for x in w)
+        counts = {1: r.positive_count_2h, -1: r.negative_count_2h}
+        assert r.same_direction_news_count == counts.get(r.latest_news_sentiment, r.neutral_count_2h)
+        assert (r.sentiment_last_2h, r.sentiment_last_4h, r.sentiment_today) == (r.net_sentiment_2h, r.net_sentiment_4h, r.net_sentiment_today)
