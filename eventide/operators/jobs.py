@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.core import first_per, with_bh
 from eventide.functions.tdist import t_p
+from eventide.operators.rules import stage_reason
 from eventide.operators.statistics import day_agreement, summary
 
 
@@ -93,22 +94,47 @@ def inverted(events: DataFrame, stage: DataFrame, floor: float) -> DataFrame:
     return events.join(losing, "job_id", "left_semi").withColumn("side", other).withColumn("job_id", F.concat("job_id", F.lit(".opp")))
 
 
-def redirected(decisions: DataFrame, directions: DataFrame) -> DataFrame:
-    """Direction correction: decisions(job_id, mean, decision) with directions(job_id, direction), the frozen direction of a
-    variant (1 or -1). The stored mean is scored anew in that direction; the earlier decision is kept beside it. Jobs without
-    a frozen direction keep theirs."""
-    d = decisions.join(directions, "job_id", "left")
-    signed = F.col("mean") * F.coalesce("direction", F.lit(1))
-    corrected = F.when(F.col("direction").isNull() | (F.col("decision") == "WATCH"), F.lit(None).cast("string")).when(signed <= 0, "KILL").when((F.col("reason") == "sign") & (signed > 0), "RETEST")
-    return d.select("job_id", "mean", signed.alias("signed_mean"), F.col("decision").alias("original"), F.coalesce(corrected, "decision").alias("decision"))
+def redirected(stage: DataFrame, directions: DataFrame, least_name_days: int, least_days: int, name_share: float, least_mean: float | None = None) -> DataFrame:
+    """Direction correction: a stage's stored statistics (job_id, mean, name_days, days, top_name_share) through the gate again,
+    in the frozen direction of a variant (directions: job_id, direction of 1 or -1) instead of the long one that all were
+    first judged by. The earlier decision and reason are kept beside the new ones; bars aren't scanned. Jobs without a
+    frozen direction keep theirs."""
+    gate = lambda direction: stage_reason(least_name_days, least_days, name_share, direction, least_mean)
+    d = stage.join(F.broadcast(directions) if directions.limit(1_000_001).count() <= 1_000_000 else directions, "job_id", "left")
+    d = d.withColumn("original_reason", gate(F.lit(1))).withColumn("_again", gate(F.col("direction")))
+    d = d.withColumn("reason", F.when(F.col("direction").isNull(), F.col("original_reason")).otherwise(F.col("_again")))
+    said = lambda c: F.when(F.col(c).isNull(), "PASS").otherwise("KILL")
+    return d.select("job_id", "mean", F.col("direction").alias("frozen_direction"), "original_reason", said("original_reason").alias("original"), "reason", said("reason").alias("decision"))
 
 
 def family_pairs(families: DataFrame) -> DataFrame:
-    """families(job_id, family, parent, engine, trigger, side): each pair of jobs as a duplicate (same trigger and side), a
-    derived pair (one is the other's parent), variants (same family) or different mechanisms (the rest of an engine). The
-    table has a row a job; pairs are formed within an engine only."""
+    """families(id, hypothesis, policy, engine, direction, neighborhood, parent, derived_from, mechanism, context) -> id_a, id_b,
+    relation: the first of these that holds of a pair, a's id being the lesser one. EXACT_DUPLICATE: one hypothesis and
+    policy. PARAMETER_VARIANT: one engine and direction, a's parameters differ. DERIVED_OPPOSITE_DIRECTION: long and short of
+    one engine and hypothesis. DERIVED: parent and child, or one experiment behind both. DIFFERENT_MECHANISM, and
+    DIFFERENT_CONTEXT_SAME_MECHANISM, by taxonomy. Else RELATED_OR_UNCLEAR. The table has a row a family: a few dozen."""
     a, b = families.alias("a"), families.alias("b")
-    j = a.join(b, (F.col("a.engine") == F.col("b.engine")) & (F.col("a.job_id") < F.col("b.job_id")))
-    derived: Column = F.coalesce(F.col("a.parent") == F.col("b.job_id"), F.lit(False)) | F.coalesce(F.col("b.parent") == F.col("a.job_id"), F.lit(False))
-    kind = F.when((F.col("a.trigger") == F.col("b.trigger")) & (F.col("a.side") == F.col("b.side")), "duplicate").when(derived, "derived").when(F.col("a.family") == F.col("b.family"), "variant").otherwise("different")
-    return j.select(F.col("a.job_id").alias("job_a"), F.col("b.job_id").alias("job_b"), kind.alias("relation"))
+    j = a.join(b, F.col("a.id") < F.col("b.id"))
+    A, B = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    same = lambda c: F.coalesce(A(c) == B(c), F.lit(False))
+    opposite_sides = ((A("direction") == "long") & (B("direction") == "short")) | ((A("direction") == "short") & (B("direction") == "long"))
+    some = lambda c: F.size(F.coalesce(A(c), F.array().cast("array<string>"))) > 0
+    kind = (
+        F.when(same("hypothesis") & same("policy"), "EXACT_DUPLICATE")
+        .when(same("engine") & (A("engine") != "unimplemented") & same("direction") & (F.coalesce(A("neighborhood"), F.lit("")) != "") & ~same("neighborhood"), "PARAMETER_VARIANT")
+        .when(opposite_sides & same("engine") & A("hypothesis").eqNullSafe(B("hypothesis")), "DERIVED_OPPOSITE_DIRECTION")
+        .when(F.coalesce(A("parent") == B("id"), F.lit(False)) | F.coalesce(B("parent") == A("id"), F.lit(False)), "DERIVED")
+        .when(same("derived_from"), "DERIVED")
+        .when(some("mechanism") & ~F.sort_array(A("mechanism")).eqNullSafe(F.sort_array(B("mechanism"))), "DIFFERENT_MECHANISM")
+        .when(some("context") & ~F.coalesce(F.arrays_overlap(A("context"), B("context")), F.lit(False)), "DIFFERENT_CONTEXT_SAME_MECHANISM")
+        .otherwise("RELATED_OR_UNCLEAR")
+    )
+    return j.select(A("id").alias("id_a"), B("id").alias("id_b"), kind.alias("relation"))
+
+
+def shared_events(pairs: DataFrame, events: DataFrame) -> DataFrame:
+    """pairs with `shared`, how many decisions (instrument and time) both jobs make. Decisions meet within their instrument and
+    time only, where a job has one at most."""
+    e = events.groupBy("instrument_id", "decision_ts").agg(F.array_sort(F.collect_set("job_id")).alias("_j")).filter(F.size("_j") > 1)
+    e = e.select("_j", F.posexplode("_j").alias("_i", "id_a")).select("id_a", F.explode(F.slice("_j", F.col("_i") + 2, F.size("_j"))).alias("id_b"))
+    return pairs.join(e.groupBy("id_a", "id_b").agg(F.count("*").alias("shared")), ["id_a", "id_b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))

@@ -11,7 +11,9 @@ def by_date(bars: DataFrame) -> DataFrame:
     bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.col("low"))
     return bars.groupBy("session_date").agg(
         F.count("*").alias("rows"), F.countDistinct("instrument_id").alias("names"), F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count_if(bad).alias("bad_ohlc"),
-        F.count_if(F.least("open", "high", "low", "close") <= 0).alias("non_positive"), F.count_if(F.col("volume") < 0).alias("negative_volume"), F.count_if(F.second("ts_utc") != 0).alias("off_minute"),
+        F.count_if(F.least("open", "high", "low", "close") <= 0).alias("non_positive"), F.count_if(F.col("volume") < 0).alias("negative_volume"), F.count_if(F.col("transactions") < 0).alias("negative_transactions"),
+        F.count_if(F.unix_micros(F.col("ts_utc").cast("timestamp")) % 60_000_000 != 0).alias("off_minute"), F.count_if(~(F.col("is_premarket") | F.col("is_rth") | F.col("is_after_hours"))).alias("out_of_hours"),
+        (F.count("*") - F.countDistinct("instrument_id", "ts_utc")).alias("extra_rows"),
         F.count_if("is_premarket").alias("premarket_rows"), F.count_if("is_rth").alias("rth_rows"), F.count_if("is_after_hours").alias("after_hours_rows"), F.max("high").alias("max_high"), F.min("low").alias("min_low"),
     )
 
@@ -29,11 +31,15 @@ def overnight_jumps(daily: DataFrame, actions: DataFrame, limit: float = 0.4) ->
 
 
 def coverage_jumps(days: DataFrame, share: float = 0.25) -> DataFrame:
-    """Days whose row count leaves 0.5 to 1.5 times the median or jumps by a share against the day before."""
-    w = Window.orderBy("session_date")  # a row a day
-    d = days.withColumn("before", F.lag("rows").over(w)).withColumn("median", F.percentile("rows", F.lit(0.5)).over(Window.partitionBy(F.lit(1))))
-    d = d.withColumn("jump", F.abs(F.try_divide("rows", F.col("before")) - 1) > share).withColumn("outside", ~(F.col("rows") / F.col("median")).between(0.5, 1.5))
-    return d.filter(F.coalesce("jump", F.lit(False)) | F.col("outside")).select("session_date", "rows", "before", "outside")
+    """Days whose number of names jumps by a share against the day before (jump), or whose names or rows leave 0.5 to 1.5
+    times the median day's (outside)."""
+    every = Window.partitionBy(F.lit(1))  # a row a day
+    middle = lambda c: F.percentile(c, F.lit(0.5)).over(every)
+    d = days.withColumn("before", F.lag("names").over(Window.orderBy("session_date"))).withColumns({"_names": middle("names"), "_rows": middle("rows")})
+    d = d.withColumn("jump", F.coalesce(F.abs(F.col("names") - F.col("before")) / F.when(F.col("before") > 0, F.col("before")) > share, F.lit(False)))
+    out = lambda c, m: (F.col(m) != 0) & ~F.col(c).between(0.5 * F.col(m), 1.5 * F.col(m))
+    d = d.withColumn("outside", out("names", "_names") | out("rows", "_rows"))
+    return d.filter(F.col("jump") | F.col("outside")).select("session_date", "rows", "names", "before", "jump", "outside")
 
 
 def missing_weekdays(days: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,12 +56,35 @@ def worst_rows(bars: DataFrame, value: str, k: int = 5) -> DataFrame:
     return bars.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def verdict(days: DataFrame) -> DataFrame:
-    """PASS, WARNING or FAIL of each category over the whole panel."""
-    t = days.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "bad_ohlc", "non_positive", "negative_volume", "off_minute")])
-    grade = lambda c, fail: F.when(F.col(c) > fail * F.col("rows"), "FAIL").when(F.col(c) > 0, "WARNING").otherwise("PASS")
-    cats = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("found"), grade(c, f).alias("grade")) for c, f in (("bad_ohlc", 0.001), ("non_positive", 0.0), ("negative_volume", 0.0), ("off_minute", 0.01))])
-    return t.select(F.explode(cats).alias("c")).select("c.*")
+def certified(days: DataFrame, jumps: DataFrame, overnight: DataFrame, extreme: DataFrame, instruments: DataFrame, missing: DataFrame) -> DataFrame:
+    """category, found, grade of the eight categories and of the verdict over all of them.
+
+    days: by_date; jumps: coverage_jumps; overnight: overnight_jumps; extreme: extremes; missing: days that should be there
+    and aren't. A table of the reference without rows fails, one with rows warns, as it tells no listing dates; identity
+    by ticker always warns. The verdict is NOT_READY if a category fails."""
+    sums = ("rows", "bad_ohlc", "non_positive", "negative_volume", "negative_transactions", "off_minute", "out_of_hours", "extra_rows")
+    t = days.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums], F.count("*").alias("n_days"))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    one_row = [count(jumps, "jumps"), count(overnight, "overnight"), count(overnight.filter(~F.col("explained")), "unexplained"), count(extreme, "extremes"), count(instruments, "listed"), count(missing, "missing")]
+    for other in one_row:
+        t = t.crossJoin(F.broadcast(other))
+    odd = F.col("bad_ohlc") + F.col("non_positive") + F.col("negative_volume") + F.col("negative_transactions")
+    warn = lambda c: F.when(c > 0, "WARNING").otherwise("PASS")
+    grades = {
+        "coverage": (F.col("missing") + F.col("jumps"), F.when((F.col("missing") > 0) | (F.col("n_days") == 0), "FAIL").otherwise(warn(F.col("jumps")))),
+        "uniqueness": (F.col("extra_rows"), F.when(F.col("extra_rows") >= 100, "FAIL").otherwise(warn(F.col("extra_rows")))),
+        "ohlc": (odd, F.when(F.col("bad_ohlc") > 0.001 * F.col("rows"), "FAIL").otherwise(warn(odd))),
+        "timestamps": (F.col("out_of_hours") + F.col("off_minute"), F.when(F.col("out_of_hours") > 0.01 * F.col("rows"), "FAIL").otherwise(warn(F.col("out_of_hours") + F.col("off_minute")))),
+        "splits": (F.col("overnight"), F.when(F.col("unexplained") > 500, "FAIL").otherwise(warn(F.col("overnight")))),
+        "extremes": (F.col("extremes"), warn(F.col("extremes"))),
+        "reference_pit": (F.col("listed"), F.when(F.col("listed") == 0, "FAIL").otherwise("WARNING")),
+        "instrument_identity": (F.lit(0).cast("long"), F.lit("WARNING")),
+    }
+    each = [F.struct(F.lit(c).alias("category"), found.cast("long").alias("found"), grade.alias("grade")) for c, (found, grade) in grades.items()]
+    t = t.select(F.array(*each).alias("c"))
+    failed = F.size(F.filter("c", lambda c: c["grade"] == "FAIL")).cast("long")
+    overall = F.struct(F.lit("verdict").alias("category"), failed.alias("found"), F.when(failed > 0, "NOT_READY").otherwise("READY_FOR_EXPLORATORY_RESEARCH").alias("grade"))
+    return t.select(F.inline(F.concat("c", F.array(overall))))
 
 
 def extremes(bars: DataFrame, price: float, volume: float, move: float, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import stored
+from eventide.functions.core import exact_percentiles, small, stored
 
 #: Floor of a mean return: this much at 15 minutes, growing with the root of time.
 FLOOR, FLOOR_MINUTES = 0.0012, 15
@@ -15,25 +15,30 @@ FLOOR, FLOOR_MINUTES = 0.0012, 15
 
 def signed_baseline(returns: DataFrame, keys: list[str], x: str = "forward_return", day: str = "session_date") -> DataFrame:
     """Moments, quantiles and signs by key and month, with a row over all months (month null)."""
-    r = returns.filter(F.col(x).isNotNull()).withColumn("month", F.date_format(day, "yyyy-MM"))
-    q = F.percentile(x, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    sets = [[*map(F.col, keys), F.col("month")], [*map(F.col, keys)]]
-    g = r.groupingSets(sets, *map(F.col, keys), F.col("month")).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg(F.abs(x)).alias("abs_mean"), q.alias("_q"),
+    r = returns.filter(F.col(x).isNotNull()).select(*keys, F.date_format(day, "yyyy-MM").alias("month"), x)
+    r = stored(r.select(*keys, x, F.explode(F.array("month", F.lit("all"))).alias("month")), "returns")
+    by = [*keys, "month"]
+    g = r.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg(F.abs(x)).alias("abs_mean"),
         F.avg((F.col(x) > 0).cast("double")).alias("positive"), F.avg((F.col(x) < 0).cast("double")).alias("negative"),
     )
-    return g.select(*keys, "month", "n", "mean", "std", "abs_mean", *[F.col("_q")[i].alias(f"q{p}") for i, p in enumerate(("05", "50", "95"))], "positive", "negative")
+    q = small(exact_percentiles(r, by, x, (0.05, 0.5, 0.95)))
+    month = F.nullif(F.col("month"), F.lit("all")).alias("month")
+    return g.join(q, by).select(*keys, month, "n", "mean", "std", "abs_mean", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate(("05", "50", "95"))], "positive", "negative")
 
 
 def rule_sample(returns: DataFrame, keys: list[str], x: str = "forward_return", day: str = "session_date") -> DataFrame:
     """Mean with its error from day means, and what the sample is made of."""
     r = returns.filter(F.col(x).isNotNull())
     days = r.groupBy(*keys, day).agg(F.avg(x).alias("_m")).groupBy(*keys).agg((F.stddev_samp("_m") / F.sqrt(F.count("*"))).alias("day_se"), F.count("*").alias("days"))
+    r = stored(r.select(*keys, day, "instrument_id", x), "returns")
+    median = exact_percentiles(r, keys, x, (0.5,)).select(*keys, F.col("q")[0].alias("median"))
+    top = r.groupBy(*keys, "instrument_id").count().groupBy(*keys).agg((F.max("count") / F.sum("count")).alias("top_name_share"))
     one = r.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.avg((F.col(x) > 0).cast("double")).alias("win_rate"),
+        F.count("*").alias("n"), F.avg(x).alias("mean"), F.avg((F.col(x) > 0).cast("double")).alias("win_rate"),
         F.countDistinct("instrument_id").alias("names"), F.countDistinct(F.struct("instrument_id", day)).alias("name_days"),
     )
-    return one.join(days, keys)
+    return one.join(days, keys).join(median, keys).join(top, keys)
 
 
 def histogram(returns: DataFrame, keys: list[str], width: float, low: float, high: float, x: str = "forward_return") -> DataFrame:
@@ -90,12 +95,22 @@ def split_verdict(stats: DataFrame, keys: list[str], floor: Column, least: int)
     return wide.withColumn("verdict", F.when(~d2, "D2_FAILED").when(~d3, "D3_FAILED").otherwise("HELD"))
 
 
-def directional_gate(stats: DataFrame, days: DataFrame, keys: list[str], floor: Column, least: int, win: float, agree: float) -> DataFrame:
-    """First reason against a job: sample, sign, size, win_rate, median, days, best_day; PASS without one."""
+def stage_reason(least_name_days: int, least_days: int, name_share: float, direction: Column | None, least_mean: float | None = None) -> Column:
+    """Why a job of a stage is out, over its name_days, days, top_name_share and mean: sample, concentration, returns (none on
+    the primary horizon), sign (against the expected direction, 1 or -1; null expects none), size. Null: it passes."""
+    reason = F.when((F.col("name_days") < least_name_days) | (F.col("days") < least_days), "sample").when(F.col("top_name_share") > name_share, "concentration").when(F.col("mean").isNull(), "returns")
+    if direction is not None:
+        reason = reason.when(F.col("mean") * direction < 0, "sign")
+    return reason if least_mean is None else reason.when(F.abs("mean") < least_mean, "size")
+
+
+def directional_gate(stats: DataFrame, days: DataFrame, keys: list[str], floor: Column, least_name_days: int, least_days: int, name_share: float, win: float, agree: float) -> DataFrame:
+    """First reason against a job whose returns are signed by its side: sample, concentration, returns, sign, size, win_rate,
+    median, days; PASS without one. A mean or median of exactly 0 has no wrong sign."""
     d = stats.join(days.select(*keys, "positive_days", "mean_without_best_day"), keys)
     reason = (
-        F.when(F.col("n") < least, "sample").when(F.col("mean") <= 0, "sign").when(F.col("mean") < floor, "size").when(F.col("win_rate") < win, "win_rate")
-        .when(F.col("median") <= 0, "median").when(F.col("positive_days") < agree, "days").when(F.coalesce("mean_without_best_day", F.lit(0.0)) <= 0, "best_day")
+        stage_reason(least_name_days, least_days, name_share, F.lit(1)).when(F.abs("mean") < floor, "size").when(F.col("win_rate").isNull() | (F.col("win_rate") < win), "win_rate")
+        .when(F.col("median").isNull() | (F.col("median") < 0), "median").when(F.col("positive_days").isNull() | (F.col("positive_days") < agree), "days")
     )
     return d.withColumn("reason", reason).withColumn("decision", F.when(reason.isNull(), "PASS").otherwise("KILL"))
 

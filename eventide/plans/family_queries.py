@@ -22,10 +22,11 @@ def _(spark, d):
 
 _SAMPLE = f"""{_DAYM}, sd as (select horizon, stddev_samp(m) / sqrt(count(*)) as day_se, count(*)::bigint as days from dm group by 1),
 rs as (select horizon, count(*)::bigint as n, avg(forward_return) as mean, quantile_cont(forward_return, 0.5) as median, avg((forward_return > 0)::int::double) as win_rate, count(distinct instrument_id)::bigint as names,
-    count(distinct (instrument_id, session_date))::bigint as name_days from fwd where forward_return is not null group by 1)"""
+    count(distinct (instrument_id, session_date))::bigint as name_days from fwd where forward_return is not null group by 1),
+tn as (select horizon, max(c) / sum(c) as top_name_share from (select horizon, instrument_id, count(*) as c from fwd where forward_return is not null group by all) group by 1)"""
 
 
-@register("a18_rule_sample", f"with {_SAMPLE} select rs.*, day_se, days from rs join sd using (horizon)", "mean median win_rate day_se")
+@register("a18_rule_sample", f"with {_SAMPLE} select rs.*, day_se, days, top_name_share from rs join sd using (horizon) join tn using (horizon)", "mean median win_rate day_se top_name_share")
 def _(spark, d):
     return rules.rule_sample(forwards(spark, d), ["horizon"])
 
@@ -76,11 +77,11 @@ def _(spark, d):
 
 @register("t21_directional_gate", f"""with {_SAMPLE}, k as (select *, row_number() over (partition by horizon order by m desc, session_date) as k from dm),
 ag as (select horizon, avg((m > 0)::int::double) as positive_days, sum(case when k > 1 then s end) / nullif(sum(case when k > 1 then c end), 0) as rest from k group by 1),
-g as (select horizon, n, case when n < 30 then 'sample' when mean <= 0 then 'sign' when mean < {_FLOOR_SQL} then 'size' when win_rate < 0.5 then 'win_rate' when median <= 0 then 'median' when positive_days < 0.5 then 'days' when coalesce(rest, 0) <= 0 then 'best_day' end as reason from rs join ag using (horizon))
+g as (select horizon, n, case when name_days < 30 or days < 5 then 'sample' when top_name_share > 0.5 then 'concentration' when mean < 0 then 'sign' when abs(mean) < {_FLOOR_SQL} then 'size' when win_rate < 0.3 then 'win_rate' when median < 0 then 'median' when positive_days < 0.5 then 'days' end as reason from rs join sd using (horizon) join tn using (horizon) join ag using (horizon))
 select *, case when reason is null then 'PASS' else 'KILL' end as decision from g""")
 def _(spark, d):
     r = forwards(spark, d)
-    out = rules.directional_gate(rules.rule_sample(r, ["horizon"]), st.day_agreement(r, ["horizon"]), ["horizon"], rules.floor_of(_minutes()), 30, 0.5, 0.5)
+    out = rules.directional_gate(rules.rule_sample(r, ["horizon"]), st.day_agreement(r, ["horizon"]), ["horizon"], rules.floor_of(_minutes()), 30, 5, 0.5, 0.3, 0.5)
     return out.select("horizon", "n", "reason", "decision")
 
 

@@ -71,7 +71,7 @@ jd as (select *, row_number() over (partition by job_id, horizon order by m desc
 ja as (select job_id, horizon, avg((m > 0)::int::double) as positive_days, sum(s) filter (k > 1) / nullif(sum(c) filter (k > 1), 0) as mean_without_best_day from jd group by all),
 jn as (select job_id, horizon, max(c) / sum(c) as top_name_share from (select job_id, horizon, instrument_id, count(*) as c from jr group by all) group by all),
 js as (select job_id, horizon, count(*)::bigint as n, avg(forward_return) as mean, stddev_samp(forward_return) as std, avg(forward_return) / nullif(stddev_samp(forward_return) / sqrt(count(*)), 0) as t_stat, quantile_cont(forward_return, 0.5) as q50,
-    avg((forward_return > 0)::int::double) as positive_rate, coalesce(sum(forward_return) filter (k <= ceil(nn * 0.01)) / nullif(sum(forward_return), 0), 0) as top_share, count(distinct session_date)::bigint as days, count(distinct instrument_id)::bigint as names from jk group by all),
+    avg((forward_return > 0)::int::double) as positive_rate, coalesce(sum(forward_return) filter (k <= ceil(nn * 0.01)) / nullif(sum(forward_return), 0), 0) as top_share, count(distinct session_date)::bigint as days, count(distinct instrument_id)::bigint as names, count(distinct (instrument_id, session_date))::bigint as name_days from jk group by all),
 stg as (select js.*, top_name_share, positive_days, mean_without_best_day, horizon = '3h' as is_primary from js join ja using (job_id, horizon) join jn using (job_id, horizon))"""
 
 
@@ -118,11 +118,18 @@ def _(spark, d):
     return jobs.with_p_values(jobs.stage_summary(_job_returns(spark, d, DIRECTIONAL), "3h")).filter("is_primary").select("job_id", "t_stat", "p", "q_value", "rejected")
 
 
-@register("t23_direction_correction", f"""with {_returns_sql(BATCH)}, {_JUDGED}, dr as (select unnest(['e12_after_hours_follow', 'e24_linear_score', 'e29_market_divergence']) as job_id, unnest([-1, 1, -1]) as direction)
-select job_id, mean, mean * coalesce(direction, 1) as signed_mean, decision as original, coalesce(case when direction is null or decision = 'WATCH' then null when mean * direction <= 0 then 'KILL' when reason = 'sign' then 'RETEST' end, decision) as decision from jv left join dr using (job_id)""", "mean signed_mean")
+_FROZEN = [("e12_after_hours_follow", -1), ("e24_linear_score", 1), ("e29_market_divergence", -1), ("e31_runner_fail_short", -1)]
+
+
+@register("t23_direction_correction", f"""with {_returns_sql(BATCH)}, dr as (select * from (values {', '.join(f"('{j}', {v})" for j, v in _FROZEN)}) t(job_id, direction)),
+sg as (select job_id, mean, name_days, days, top_name_share, direction from stg left join dr using (job_id) where is_primary),
+rs as (select *, case when name_days < 30 or days < 5 then 'sample' when top_name_share > 0.5 then 'concentration' when mean is null then 'returns' when mean < 0 then 'sign' when abs(mean) < 0.2 then 'size' end as reason,
+    case when name_days < 30 or days < 5 then 'sample' when top_name_share > 0.5 then 'concentration' when mean is null then 'returns' when mean * direction < 0 then 'sign' when abs(mean) < 0.2 then 'size' end as again from sg)
+select job_id, mean, direction::int as frozen_direction, reason as original_reason, case when reason is null then 'PASS' else 'KILL' end as original, case when direction is null then reason else again end as reason,
+    case when (case when direction is null then reason else again end) is null then 'PASS' else 'KILL' end as decision from rs""", "mean")
 def _(spark, d):
-    frozen = spark.createDataFrame([("e12_after_hours_follow", -1), ("e24_linear_score", 1), ("e29_market_divergence", -1)], "job_id string, direction int")
-    return jobs.redirected(_judged(spark, d, BATCH), frozen)
+    stage = jobs.stage_summary(_job_returns(spark, d, BATCH), "3h").filter("is_primary")
+    return jobs.redirected(stage, spark.createDataFrame(_FROZEN, "job_id string, direction int"), 30, 5, 0.5, 0.2)
 
 
 @register("e46_family_table", f"""with {_events_sql(BATCH)}, fm as (select * from (values {', '.join(f"('{j.job_id}', '{j.family}', {repr(j.parent) if j.parent else 'null'})" for j in BATCH)}) t(job_id, family, parent))
@@ -141,17 +148,29 @@ def _(spark, d):
     return j.groupBy("job_id").agg(F.count("*").alias("events"), F.count_if(F.col("side") != F.col("_side")).alias("flipped"))
 
 
-@register("t25_family_pairs", f"""with {_events_sql(BATCH)}, fm as (select * from (values {', '.join(f"('{j.job_id}', '{j.family}', {repr(j.parent) if j.parent else 'null'})" for j in BATCH)}) t(job_id, family, parent)),
-sg as (select job_id, family, parent, coalesce(md5(string_agg(instrument_id || strftime(decision_ts, '%Y%m%d%H%M'), ',' order by instrument_id || strftime(decision_ts, '%Y%m%d%H%M'))), 'none') as trigger, coalesce(md5(string_agg(side, ',' order by instrument_id || strftime(decision_ts, '%Y%m%d%H%M'))), 'none') as side from fm left join je using (job_id) group by all)
-select a.job_id as job_a, b.job_id as job_b, case when a.trigger = b.trigger and a.side = b.side then 'duplicate' when coalesce(a.parent = b.job_id, false) or coalesce(b.parent = a.job_id, false) then 'derived' when a.family = b.family then 'variant' else 'different' end as relation from sg a join sg b on a.job_id < b.job_id""")
+#: What a family is about: mechanism and context.
+_TAXONOMY = {
+    "e5": ("calendar", "gap"), "e8": ("volume", "quiet"), "e12": ("carry", "after_hours"), "e13": ("level", "yesterday"), "e16": ("absorption", "gap"), "e19": ("absorption", "gap"), "e23": ("carry", "after_hours"), "e24": ("score", "gap"),
+    "e26": ("momentum", "intraday"), "e29": ("divergence", "market"), "e31": ("momentum", "multi_day"), "e35": ("momentum", "multi_day"), "e36": ("momentum", "snapshot"), "e42": ("divergence", "market"),
+}
+_SIDE = lambda j: "long" if j.side == "'LONG'" else "short" if j.side == "'SHORT'" else "signed"
+_CORE = lambda j: j.parent or j.job_id
+_FAMILIES = [(j.job_id, _CORE(j), "first_of_day", j.engine if j.family != "e24" else "score", _SIDE(j), "" if j.parent is None else j.job_id.removeprefix(j.parent), j.parent, None, *([x] for x in _TAXONOMY[j.family])) for j in BATCH]
+_LITERAL = lambda v: "null" if v is None else "[" + ", ".join(f"'{x}'" for x in v) + "]" if isinstance(v, list) else f"'{v}'"
+
+
+@register("t25_family_pairs", f"""with {_events_sql(BATCH)}, fm as (select * from (values {', '.join('(' + ', '.join(map(_LITERAL, f)) + ')' for f in _FAMILIES)}) t(id, hypothesis, policy, engine, direction, neighborhood, parent, derived_from, mechanism, context)),
+sh as (select a.job_id as id_a, b.job_id as id_b, count(*)::bigint as shared from je a join je b on a.instrument_id = b.instrument_id and a.decision_ts = b.decision_ts and a.job_id < b.job_id group by all)
+select a.id as id_a, b.id as id_b, case when a.hypothesis = b.hypothesis and a.hypothesis is not null and a.policy = b.policy then 'EXACT_DUPLICATE'
+    when a.engine = b.engine and a.engine <> 'unimplemented' and a.direction = b.direction and a.neighborhood <> '' and a.neighborhood <> b.neighborhood then 'PARAMETER_VARIANT'
+    when (a.direction, b.direction) in (('long', 'short'), ('short', 'long')) and a.engine = b.engine and a.hypothesis = b.hypothesis then 'DERIVED_OPPOSITE_DIRECTION'
+    when coalesce(a.parent = b.id, false) or coalesce(b.parent = a.id, false) then 'DERIVED' when coalesce(a.derived_from = b.derived_from, false) then 'DERIVED'
+    when len(a.mechanism) > 0 and list_sort(a.mechanism) <> list_sort(b.mechanism) then 'DIFFERENT_MECHANISM' when len(a.context) > 0 and not list_has_any(a.context, b.context) then 'DIFFERENT_CONTEXT_SAME_MECHANISM' else 'RELATED_OR_UNCLEAR' end as relation, coalesce(shared, 0)::bigint as shared
+from fm a join fm b on a.id < b.id left join sh on sh.id_a = a.id and sh.id_b = b.id""")
 def _(spark, d):
-    e = jobs.job_events(causal(spark, d), BATCH, M)
-    key = F.concat("instrument_id", F.date_format("decision_ts", "yyyyMMddHHmm"))
-    events = F.array_sort(F.collect_list(F.struct(key.alias("k"), "side")))  # a job's events of a fixture; the digest tells tables apart
-    sides = e.groupBy("job_id").agg(events.alias("_e")).select("job_id", F.md5(F.array_join(F.transform("_e", lambda s: s["k"]), ",")).alias("trigger"), F.md5(F.array_join(F.transform("_e", lambda s: s["side"]), ",")).alias("side"))
-    none = F.lit("none")
-    table_ = jobs.job_table(spark, BATCH).join(sides, "job_id", "left").withColumn("trigger", F.coalesce("trigger", none)).withColumn("side", F.coalesce("side", none))
-    return jobs.family_pairs(table_)
+    """How the jobs of the batch are related, and how many events each pair has in common."""
+    families = spark.createDataFrame(_FAMILIES, "id string, hypothesis string, policy string, engine string, direction string, neighborhood string, parent string, derived_from string, mechanism array<string>, context array<string>")
+    return jobs.shared_events(jobs.family_pairs(families), jobs.job_events(causal(spark, d), BATCH, M))
 
 
 # --- news jobs: the news families on rows with news state
@@ -491,5 +510,5 @@ def _(spark, d):
     r = stored(forwards(spark, d), "returns")
     minutes = F.element_at(F.create_map(*[F.lit(x) for kv in HORIZONS.items() for x in kv]), F.col("horizon")).cast("double")
     days = st.day_agreement(r, ["horizon"])
-    gated = rules.directional_gate(rules.rule_sample(r, ["horizon"]), days, ["horizon"], rules.floor_of(minutes), 30, 0.5, 0.5).select("horizon", "n", "reason")
+    gated = rules.directional_gate(rules.rule_sample(r, ["horizon"]), days, ["horizon"], rules.floor_of(minutes), 30, 5, 0.5, 0.3, 0.5).select("horizon", "n", "reason")
     return rules.robust_gate(gated, st.bootstrap(r, ["horizon"], 200), st.without_top(r, ["horizon"], 0.05), days, ["horizon"], F.lit(2.5)).select("horizon", "n", "reason", "decision")

@@ -478,7 +478,7 @@ def _(spark, d):
 # --- quality
 _DAYS = f"""{BARS}, days as (select session_date, count(*)::bigint as rows, count(distinct instrument_id)::bigint as names, min(ts_utc) as first_ts, max(ts_utc) as last_ts,
 count(*) filter (high < greatest(open, close) or low > least(open, close) or high < low)::bigint as bad_ohlc, count(*) filter (least(open, high, low, close) <= 0)::bigint as non_positive, count(*) filter (volume < 0)::bigint as negative_volume,
-count(*) filter (second(ts_utc) <> 0)::bigint as off_minute, count(*) filter (is_premarket)::bigint as premarket_rows, count(*) filter (is_rth)::bigint as rth_rows, count(*) filter (is_after_hours)::bigint as after_hours_rows, max(high) as max_high, min(low) as min_low from ses group by 1)"""
+count(*) filter (transactions < 0)::bigint as negative_transactions, count(*) filter (epoch_us(ts_utc) % 60000000 <> 0)::bigint as off_minute, count(*) filter (not (is_premarket or is_rth or is_after_hours))::bigint as out_of_hours, (count(*) - count(distinct (instrument_id, ts_utc)))::bigint as extra_rows, count(*) filter (is_premarket)::bigint as premarket_rows, count(*) filter (is_rth)::bigint as rth_rows, count(*) filter (is_after_hours)::bigint as after_hours_rows, max(high) as max_high, min(low) as min_low from ses group by 1)"""
 
 
 @register("q1_by_date", f"with {_DAYS} select * from days", "max_high min_low")
@@ -503,8 +503,11 @@ def _(spark, d):
     return quality.overnight_jumps(daily_facts(session_bars(spark, d)), actions)
 
 
-@register("q6_coverage_jumps", f"""with {_DAYS}, c as (select session_date, rows, lag(rows) over (order by session_date) as before, quantile_cont(rows, 0.5) over () as med from days)
-select session_date, rows, before, not (rows / med between 0.5 and 1.5) as outside from c where coalesce(abs(rows / nullif(before, 0) - 1) > 0.25, false) or not (rows / med between 0.5 and 1.5)""")
+_JUMPS = """cj as (select session_date, rows, names, lag(names) over (order by session_date) as before, quantile_cont(names, 0.5) over () as mn, quantile_cont(rows, 0.5) over () as mr from days),
+jp as (select session_date, rows, names, before, coalesce(abs(names - before) / nullif(before, 0) > 0.25, false) as jump, not (names between 0.5 * mn and 1.5 * mn) or not (rows between 0.5 * mr and 1.5 * mr) as outside from cj)"""
+
+
+@register("q6_coverage_jumps", f"with {_DAYS}, {_JUMPS} select * from jp where jump or outside")
 def _(spark, d):
     return quality.coverage_jumps(quality.by_date(session_bars(spark, d)))
 
@@ -515,10 +518,25 @@ def _(spark, d):
     return quality.missing_weekdays(table(spark, d, "orders").select(F.col("o_orderpriority").alias("feed"), F.to_date("o_orderdate").alias("session_date")), ["feed"])
 
 
-@register("q9_verdict", f"""with {_DAYS}, t as (select sum(rows) as r, sum(bad_ohlc) as a, sum(non_positive) as b, sum(negative_volume) as c, sum(off_minute) as e from days)
-select category, found::bigint as found, case when found > fail * r then 'FAIL' when found > 0 then 'WARNING' else 'PASS' end as grade from (select 'bad_ohlc' as category, a as found, 0.001 as fail, r from t union all select 'non_positive', b, 0.0, r from t union all select 'negative_volume', c, 0.0, r from t union all select 'off_minute', e, 0.01, r from t)""")
-def _(spark, d):
-    return quality.verdict(quality.by_date(session_bars(spark, d)))
+@register("q9_verdict", f"""with {DAILY}, {_DAYS[len(BARS) + 2:]}, {_JUMPS},
+oj as (select o.*, s_suppkey is not null as explained from (select instrument_id, session_date, rth_open / nullif(lag(rth_close) over (partition by instrument_id order by session_date), 0) - 1 as jump from daily) o left join supplier on instrument_id = 'i' || s_suppkey and s_suppkey % 2 = 0 where abs(jump) >= 0.4),
+ex as (select (count(*) filter (high >= 400) + count(*) filter (volume >= 4) + count(*) filter (abs(m) >= 5))::bigint as n from (select *, close / nullif(lag(close) over (partition by instrument_id, session_date order by ts_utc), 0) - 1 as m from ses)),
+wk as (select count(*)::bigint as n from (select unnest(generate_series(min(session_date), max(session_date), interval 1 day))::date as session_date from days) g where isodow(session_date) < 6 and session_date not in (select session_date from days)),
+t as (select sum(rows) as r, sum(bad_ohlc)::bigint as a, sum(bad_ohlc + non_positive + negative_volume + negative_transactions)::bigint as odd, sum(off_minute)::bigint as om, sum(out_of_hours)::bigint as oh, sum(extra_rows)::bigint as xr from days),
+q as (select t.*, (select count(*) from jp where jump or outside)::bigint as jn, (select count(*) from oj)::bigint as onn, (select count(*) from oj where not explained)::bigint as un, ex.n as en, wk.n as wn, (select count(*) from supplier)::bigint as sn from t, ex, wk),
+c as (select unnest([{{'category': 'coverage', 'found': wn + jn, 'grade': case when wn > 0 then 'FAIL' when jn > 0 then 'WARNING' else 'PASS' end}}, {{'category': 'uniqueness', 'found': xr, 'grade': case when xr >= 100 then 'FAIL' when xr > 0 then 'WARNING' else 'PASS' end}},
+    {{'category': 'ohlc', 'found': odd, 'grade': case when a > 0.001 * r then 'FAIL' when odd > 0 then 'WARNING' else 'PASS' end}}, {{'category': 'timestamps', 'found': oh + om, 'grade': case when oh > 0.01 * r then 'FAIL' when oh + om > 0 then 'WARNING' else 'PASS' end}},
+    {{'category': 'splits', 'found': onn, 'grade': case when un > 500 then 'FAIL' when onn > 0 then 'WARNING' else 'PASS' end}}, {{'category': 'extremes', 'found': en, 'grade': case when en > 0 then 'WARNING' else 'PASS' end}},
+    {{'category': 'reference_pit', 'found': sn, 'grade': case when sn = 0 then 'FAIL' else 'WARNING' end}}, {{'category': 'instrument_identity', 'found': 0::bigint, 'grade': 'WARNING'}}], recursive := true) from q)
+select category, found, grade from c union all select 'verdict', count(*) filter (grade = 'FAIL')::bigint, case when count(*) filter (grade = 'FAIL') > 0 then 'NOT_READY' else 'READY_FOR_EXPLORATORY_RESEARCH' end from c""")
+def _(spark, d):
+    """Certification of the bars: splits stand in for every second supplier, on every day."""
+    bars = stored(session_bars(spark, d), "bars")
+    days = stored(quality.by_date(bars), "days")
+    even = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("i"), "s_suppkey").alias("instrument_id"))
+    actions = even.crossJoin(F.broadcast(days.select(F.col("session_date").alias("effective_date"))))
+    gaps = quality.missing_weekdays(days.withColumn("feed", F.lit(0)), ["feed"])
+    return quality.certified(days, quality.coverage_jumps(days), quality.overnight_jumps(daily_facts(bars), actions), quality.extremes(bars, 400.0, 4.0, 5.0, 1_000_000), table(spark, d, "supplier"), gaps)
 
 
 @register("a22_news_coverage", """select date_trunc('week', ts)::date as week, count(*)::bigint as rows, count(*) filter (event_type = 'signup')::bigint as positive, count(*) filter (event_type = 'view')::bigint as neutral, count(*) filter (event_type = 'error')::bigint as negative,

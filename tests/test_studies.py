@@ -241,3 +241,85 @@ def test_news_state_equals_a_plain_count(spark):
         counts = {1: r.positive_count_2h, -1: r.negative_count_2h}
         assert r.same_direction_news_count == counts.get(r.latest_news_sentiment, r.neutral_count_2h)
         assert (r.sentiment_last_2h, r.sentiment_last_4h, r.sentiment_today) == (r.net_sentiment_2h, r.net_sentiment_4h, r.net_sentiment_today)
+
+
+def plain_relation(a, b):
+    """Relation of two families (dicts), by the order of the definitions."""
+    core = lambda x: (x["engine"], x["hypothesis"])
+    if a["hypothesis"] and a["hypothesis"] == b["hypothesis"] and a["policy"] == b["policy"]:
+        return "EXACT_DUPLICATE"
+    if a["engine"] == b["engine"] != "unimplemented" and a["direction"] == b["direction"] and a["neighborhood"] and a["neighborhood"] != b["neighborhood"]:
+        return "PARAMETER_VARIANT"
+    if {a["direction"], b["direction"]} == {"long", "short"} and core(a) == core(b):
+        return "DERIVED_OPPOSITE_DIRECTION"
+    if a["parent"] == b["id"] or b["parent"] == a["id"] or a["derived_from"] and a["derived_from"] == b["derived_from"]:
+        return "DERIVED"
+    if set(a["mechanism"]) and set(a["mechanism"]) != set(b["mechanism"]):
+        return "DIFFERENT_MECHANISM"
+    if set(a["context"]) and not set(a["context"]) & set(b["context"]):
+        return "DIFFERENT_CONTEXT_SAME_MECHANISM"
+    return "RELATED_OR_UNCLEAR"
+
+
+def test_family_relations_equal_plain_rules(spark):
+    from eventide.operators import jobs
+
+    rng = np.random.default_rng(3)
+    pick = lambda *v: v[rng.integers(0, len(v))]
+    fams = []
+    for i in range(45):
+        fams.append({
+            "id": f"F{i:02d}", "hypothesis": pick(None, "h1", "h2", f"h{i}"), "policy": pick("first", "all"), "engine": pick("x", "y", "unimplemented"), "direction": pick("long", "short", "signed"), "neighborhood": pick("", "a", "b"),
+            "parent": pick(None, None, f"F{int(rng.integers(0, 45)):02d}"), "derived_from": pick(None, None, None, "e1"), "mechanism": pick([], ["m"], ["m", "n"], ["n", "m"]), "context": pick([], ["c"], ["c", "d"], ["d"]),
+        })
+    got = {(r.id_a, r.id_b): r.relation for r in jobs.family_pairs(spark.createDataFrame([tuple(f.values()) for f in fams], "id string, hypothesis string, policy string, engine string, direction string, neighborhood string, parent string, derived_from string, mechanism array<string>, context array<string>")).collect()}
+    want = {(a["id"], b["id"]): plain_relation(a, b) for i, a in enumerate(fams) for b in fams[i + 1 :]}
+    assert got == want and len(set(want.values())) == 7
+    e = spark.createDataFrame([("F00", "i", 1), ("F01", "i", 1), ("F02", "i", 1), ("F00", "i", 2), ("F02", "i", 2), ("F01", "j", 2)], "job_id string, instrument_id string, decision_ts int")
+    pairs = spark.createDataFrame([("F00", "F01"), ("F00", "F02"), ("F01", "F02"), ("F00", "F09")], "id_a string, id_b string")
+    assert {(r.id_a, r.id_b): r.shared for r in jobs.shared_events(pairs, e).collect()} == {("F00", "F01"): 1, ("F00", "F02"): 2, ("F01", "F02"): 1, ("F00", "F09"): 0}
+
+
+def test_gates_and_corrections(spark):
+    from eventide.operators import jobs, rules
+
+    rows = [("few", 0.5, 5, 20, 0.1), ("short", 0.5, 50, 3, 0.1), ("one", 0.5, 50, 20, 0.9), ("none", None, 50, 20, 0.1), ("zero", 0.0, 50, 20, 0.1), ("down", -0.5, 50, 20, 0.1), ("up", 0.5, 50, 20, 0.1), ("small", 0.01, 50, 20, 0.1), ("lost", 0.4, 50, 20, 0.1)]
+    stage = spark.createDataFrame(rows, "job_id string, mean double, name_days long, days long, top_name_share double")
+    frozen = spark.createDataFrame([("down", -1), ("lost", -1), ("few", -1)], "job_id string, direction int")
+    got = {r.job_id: (r.original_reason, r.original, r.reason, r.decision) for r in jobs.redirected(stage, frozen, 10, 5, 0.5, 0.05).collect()}
+    assert got == {
+        "few": ("sample", "KILL", "sample", "KILL"), "short": ("sample", "KILL", "sample", "KILL"), "one": ("concentration", "KILL", "concentration", "KILL"), "none": ("returns", "KILL", "returns", "KILL"),
+        "zero": ("size", "KILL", "size", "KILL"), "down": ("sign", "KILL", None, "PASS"), "up": (None, "PASS", None, "PASS"), "small": ("size", "KILL", "size", "KILL"), "lost": (None, "PASS", "sign", "KILL"),
+    }
+    stats = spark.createDataFrame([("a", 0.5, 0.5, 0.6, 50, 20, 0.1), ("b", 0.5, -0.1, 0.6, 50, 20, 0.1), ("c", 0.5, 0.0, 0.6, 50, 20, 0.1), ("d", 0.5, 0.1, 0.2, 50, 20, 0.1), ("e", -0.5, 0.1, 0.6, 50, 20, 0.1), ("f", 0.5, 0.1, 0.6, 50, 20, 0.1)], "k string, mean double, median double, win_rate double, name_days long, days long, top_name_share double")
+    days = spark.createDataFrame([(k, 0.2 if k == "f" else 0.7, 0.1) for k in "abcdef"], "k string, positive_days double, mean_without_best_day double")
+    got = {r.k: r.reason for r in rules.directional_gate(stats, days, ["k"], F.lit(0.05), 10, 5, 0.5, 0.5, 0.5).collect()}
+    assert got == {"a": None, "b": "median", "c": None, "d": "win_rate", "e": "sign", "f": "days"}
+
+
+def test_certification_grades(spark):
+    from eventide.operators import quality
+
+    T = dt.datetime(2024, 1, 2, 15)
+    bar = lambda day, i, **k: {"instrument_id": f"n{i % 4}", "session_date": (T + dt.timedelta(days=day)).date(), "ts_utc": T + dt.timedelta(days=day, minutes=i), "open": 10.0, "high": 11.0, "low": 9.0, "close": 10.0, "volume": 5.0, "transactions": 3, "is_premarket": False, "is_rth": True, "is_after_hours": False} | k
+    schema = "instrument_id string, session_date date, ts_utc timestamp_ntz, open double, high double, low double, close double, volume double, transactions long, is_premarket boolean, is_rth boolean, is_after_hours boolean"
+    none = lambda *names: spark.createDataFrame([], ", ".join(f"{n} boolean" for n in names) or "x int")
+
+    def grades(bars, overnight=None, extreme=None, listed=1, missing=0):
+        days = quality.by_date(spark.createDataFrame(bars, schema) if bars else spark.createDataFrame([], schema))
+        rows = spark.range(listed), spark.range(missing)
+        out = quality.certified(days, quality.coverage_jumps(days), none("explained") if overnight is None else spark.createDataFrame([(x,) for x in overnight], "explained boolean"), none("x") if extreme is None else spark.range(extreme), *rows)
+        return {r.category: r.grade for r in out.collect()}
+
+    clean = [bar(d, i) for d in range(4) for i in range(40)]
+    want = dict.fromkeys(("coverage", "uniqueness", "ohlc", "timestamps", "splits", "extremes"), "PASS") | {"reference_pit": "WARNING", "instrument_identity": "WARNING", "verdict": "READY_FOR_EXPLORATORY_RESEARCH"}
+    assert grades(clean) == want
+    assert grades([*clean, bar(0, 3)])["uniqueness"] == "WARNING" and grades([*clean, *[bar(0, 3)] * 100])["uniqueness"] == "FAIL"
+    assert grades([*clean, bar(0, 50, close=-1.0, low=-1.0)])["ohlc"] == "WARNING"  # a price below 0 warns
+    assert grades([*clean, bar(0, 50, high=1.0)])["ohlc"] == "FAIL" and grades([*clean, bar(0, 50, transactions=-1)])["ohlc"] == "WARNING"
+    assert grades([*clean, bar(0, 50, is_rth=False)])["timestamps"] == "WARNING" and grades([*clean, *[bar(0, 50 + i, is_rth=False) for i in range(9)]])["timestamps"] == "FAIL"
+    assert grades([*clean, bar(0, 50, ts_utc=T + dt.timedelta(seconds=7))])["timestamps"] == "WARNING"
+    assert grades(clean, overnight=[True])["splits"] == "WARNING" and grades(clean, overnight=[False] * 501)["splits"] == "FAIL"
+    assert grades(clean, extreme=1)["extremes"] == "WARNING" and grades(clean, listed=0)["verdict"] == "NOT_READY"
+    assert grades(clean, missing=1)["coverage"] == "FAIL" and grades([*clean, *[bar(4, i) for i in range(2)]])["coverage"] == "WARNING"
+    assert grades([])["coverage"] == "FAIL"
