@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import average_rank, stored, with_bh
+from eventide.functions.core import average_rank, small, stored, with_bh
 from eventide.functions.tdist import t_p
 from eventide.operators.grid import CLOCK
 
@@ -44,7 +44,7 @@ def _correlations(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.where(flat | ~np.isfinite(r), np.nan, np.clip(r, -1, 1)), n
 
 
-def _block_pair(key: tuple, leaders: pd.DataFrame, followers: pd.DataFrame) -> pd.DataFrame:
+def _block_pair(key: tuple, leaders: pd.DataFrame, followers: pd.DataFrame, peers: int | None = None) -> pd.DataFrame:
     if not len(leaders) or not len(followers):
         return pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in PAIRS.split(", ")})
     cells = np.unique(np.concatenate([*leaders["cells"], *followers["cells"]]))
@@ -62,50 +62,78 @@ def _block_pair(key: tuple, leaders: pd.DataFrame, followers: pd.DataFrame) -> p
     i, j = np.nonzero(n > 0)
     a, b = leaders["instrument_id"].to_numpy()[i], followers["instrument_id"].to_numpy()[j]
     out = pd.DataFrame({"as_of": pd.Series([key[0]] * len(i), dtype=object), "leader_id": a, "follower_id": b, "corr": r[i, j], "n": n[i, j].astype(int), "lag_corr": lag_r[i, j], "lag_n": lag_n[i, j].astype(int)})
-    return out[a != b]
+    out = out[a != b]
+    if peers is None:
+        return out
+    # of this block's leaders only the strongest of each follower can be among its strongest of all
+    out = out[np.isfinite(out["corr"].to_numpy(float))]
+    order = out.assign(_s=-out["corr"].abs()).sort_values(["follower_id", "_s", "leader_id"])
+    return order.groupby("follower_id").head(peers).drop(columns="_s")
 
 
-def pair_statistics(hist: DataFrame, value: str = "resid", least: int = 40, step_minutes: int = 60) -> DataFrame:
-    """Per as_of and ordered pair: correlation at the same clock, and of the leader with the follower's next step of the
-    same day (at most step_minutes later), with counts. Names need `least` values; pairs without a common clock are left
-    out.
-
-    A name's history of a week is one row, as long as there are days and clocks; names are dealt to blocks, and each task
-    correlates one block with another. Rows travel once a block, not once a pair."""
+def _histories(hist: DataFrame, value: str, step_minutes: int) -> DataFrame:
+    """as_of, instrument_id, cells, xs, nexts: a name's history of a week as one row, in order of time."""
     step = Window.partitionBy("as_of", "instrument_id", "trading_date").orderBy("minute_of_day")
     h = hist.filter(F.col(value).isNotNull()).select("as_of", "instrument_id", "trading_date", "minute_of_day", F.col(value).alias("x"))
     nxt = F.when(F.lead("minute_of_day").over(step) - F.col("minute_of_day") <= step_minutes, F.lead("x").over(step))
     cell = F.unix_date("trading_date").cast("long") * 1440 + F.col("minute_of_day")
-    cells = F.array_sort(F.collect_list(F.struct(cell.alias("cell"), "x", "nxt")))
-    v = h.withColumn("nxt", nxt).groupBy("as_of", "instrument_id").agg(cells.alias("c")).filter(F.size("c") >= least)
+    v = h.withColumn("nxt", nxt).groupBy("as_of", "instrument_id").agg(F.array_sort(F.collect_list(F.struct(cell.alias("cell"), "x", "nxt"))).alias("c"))
     part = lambda f: F.transform("c", lambda s: s[f])
-    v = stored(v.select("as_of", "instrument_id", part("cell").alias("cells"), part("x").alias("xs"), part("nxt").alias("nexts")), "histories")
+    return v.select("as_of", "instrument_id", part("cell").alias("cells"), part("x").alias("xs"), part("nxt").alias("nexts"))
+
+
+def _paired(v: DataFrame, peers: int | None) -> DataFrame:
     blocks = max(1, -(-v.select("instrument_id").distinct().count() // BLOCK))
     own, every = F.pmod(F.xxhash64("instrument_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     keys = ["as_of", "a", "b"]
     fresh = lambda side: [F.col(c).alias(c) for c in v.columns] + side  # noqa: E731  (both sides need columns of their own)
     left, right = v.select(*fresh([own.alias("a"), every.alias("b")])), v.select(*fresh([own.alias("b"), every.alias("a")]))
-    both = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_pair, PAIRS)
+    both = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda key, x, y: _block_pair(key, x, y, peers), PAIRS)
     return both.withColumn("corr", F.nanvl("corr", F.lit(None))).withColumn("lag_corr", F.nanvl("lag_corr", F.lit(None)))
 
 
-def edges(stats: DataFrame, peers: int = 20, leaders: int = 5, q: float = 0.10, least: int = 40) -> DataFrame:
-    """The strongest `peers` by |corr| per follower are tested for the lag; false discoveries are controlled over all tests of
-    a week; positive survivors are kept, `leaders` a follower."""
-    w = Window.partitionBy("as_of", "follower_id")
-    top = stats.filter("corr is not null and not isnan(corr)").withColumn("_r", F.row_number().over(w.orderBy(F.abs("corr").desc(), "leader_id"))).filter(F.col("_r") <= peers).drop("_r")
-    tested = top.filter((F.col("lag_n") >= least) & F.col("lag_corr").isNotNull() & (F.abs("lag_corr") < 1))
+def pair_statistics(hist: DataFrame, value: str = "resid", least: int = 40, step_minutes: int = 60) -> DataFrame:
+    """Per as_of and ordered pair: correlation at the same clock, and of the leader with the follower's next step of the
+    same day (at most step_minutes later), with counts. Names need `least` values; pairs without a common clock are left
+    out.
+
+    A name's history of a week is one row, as long as there are days and clocks; names are dealt to blocks, and each task
+    correlates one block with another. Rows travel once a block, not once a pair. This gives all pairs: a graph needs
+    `structural_pairs` only."""
+    return _paired(stored(_histories(hist, value, step_minutes).filter(F.size("cells") >= least), "histories"), None)
+
+
+def structural_pairs(hist: DataFrame, value: str = "resid", least: int = 40, step_minutes: int = 60, peers: int = 20, least_names: int = 3, least_clocks: int = 30) -> tuple[DataFrame, DataFrame]:
+    """The `peers` leaders of each follower with the largest |corr|, with what pair_statistics tells of them; and of each week
+    how many names, names with enough values, and clocks there were. Weeks with too few names or clocks have no pairs.
+
+    A task hands on no more than `peers` leaders of each follower, whatever the number of names: what crosses the network
+    grows with followers and blocks, never with pairs."""
+    v = stored(_histories(hist, value, step_minutes), "histories")
+    clocks = v.select("as_of", F.explode("cells").alias("cell")).distinct().groupBy("as_of").agg(F.count("*").alias("clocks"))
+    weeks = stored(v.groupBy("as_of").agg(F.count("*").alias("names"), F.count_if(F.size("cells") >= least).alias("usable")).join(clocks, "as_of"), "weeks")
+    fit = weeks.filter((F.col("names") >= least_names) & (F.col("clocks") >= least_clocks)).select("as_of")
+    near = _paired(stored(v.filter(F.size("cells") >= least).join(small(fit), "as_of", "left_semi"), "histories"), peers)
+    w = Window.partitionBy("as_of", "follower_id").orderBy(F.abs("corr").desc(), "leader_id")
+    return near.withColumn("peer_rank", F.row_number().over(w)).filter(F.col("peer_rank") <= peers), weeks
+
+
+def lag_tests(pairs: DataFrame, least: int = 40, q: float = 0.10) -> DataFrame:
+    """structural_pairs whose lagged correlation rests on `least` pairs of values, with t, p, and q_value over all tests of a
+    week."""
+    tested = pairs.filter((F.col("lag_n") >= least) & F.col("lag_corr").isNotNull() & (F.abs("lag_corr") < 1))
     tested = tested.withColumn("t", F.col("lag_corr") * F.sqrt((F.col("lag_n") - 2) / (1 - F.col("lag_corr") * F.col("lag_corr"))))
-    tested = with_bh(tested.withColumn("p", t_p("t", (F.col("lag_n") - 2).cast("double"))), "p", ["as_of"], q, ["leader_id", "follower_id"])
-    kept = tested.filter((F.col("q_value") <= q) & (F.col("lag_corr") > 0))
-    return kept.withColumn("_r", F.row_number().over(w.orderBy(F.desc("lag_corr"), "leader_id"))).filter(F.col("_r") <= leaders).drop("_r")
+    return with_bh(tested.withColumn("p", t_p("t", (F.col("lag_n") - 2).cast("double"))), "p", ["as_of"], q, ["leader_id", "follower_id"])
+
+
+def survivors(tests: DataFrame, q: float = 0.10) -> DataFrame:
+    return tests.filter((F.col("q_value") <= q) & (F.col("lag_corr") > 0))
 
 
-def leaders_by_lag(stats: DataFrame, leaders: int = 5, least: int = 40) -> DataFrame:
-    """The strongest positive lagged leaders of each follower, without the test."""
+def edges(tests: DataFrame, leaders: int = 5, q: float = 0.10) -> DataFrame:
+    """Of the tests that survive false discovery control with a positive correlation the strongest `leaders` a follower."""
     w = Window.partitionBy("as_of", "follower_id").orderBy(F.desc("lag_corr"), "leader_id")
-    ok = stats.filter((F.col("lag_n") >= least) & (F.col("lag_corr") > 0))
-    return ok.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= leaders)
+    return survivors(tests, q).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= leaders)
 
 
 def peer_features(grid: DataFrame, graph: DataFrame, value: str = "resid") -> DataFrame:
@@ -138,10 +166,13 @@ def peer_features(grid: DataFrame, graph: DataFrame, value: str = "resid") -> Da
     )
 
 
-def lineage(stats: DataFrame, graph: DataFrame) -> DataFrame:
-    a = stats.groupBy("as_of").agg(F.count("*").alias("tests"), F.percentile(F.abs("lag_corr"), F.lit(0.5)).alias("median_abs_r"))
-    b = graph.groupBy("as_of").agg(F.count("*").alias("edges"), F.countDistinct("follower_id").alias("followers"))
-    return a.join(b, "as_of", "left").withColumn("edges", F.coalesce("edges", F.lit(0))).withColumn("followers", F.coalesce("followers", F.lit(0)))
+def lineage(weeks: DataFrame, pairs: DataFrame, tests: DataFrame, graph: DataFrame, q: float = 0.10) -> DataFrame:
+    """What each week's graph was made from: names, usable ones, clocks, structural pairs, tests, survivors, edges, and the
+    median |r| of survivors (null without one)."""
+    count = lambda df, name: df.groupBy("as_of").agg(F.count("*").alias(name))
+    alive = survivors(tests, q).groupBy("as_of").agg(F.count("*").alias("survivors"), F.percentile(F.abs("lag_corr"), F.lit(0.5)).alias("median_abs_r"))
+    out = weeks.join(count(pairs, "structural"), "as_of", "left").join(count(tests, "tests"), "as_of", "left").join(alive, "as_of", "left").join(count(graph, "edges"), "as_of", "left")
+    return out.select("as_of", "names", "usable", "clocks", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("structural", "tests", "survivors", "edges")], "median_abs_r")
 
 
 def overlay_checks(edges: DataFrame, hist: DataFrame) -> DataFrame:

@@ -48,6 +48,21 @@ def causal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal_features(session_bars(spark, sf_dir), extreme=EXTREME, large_gap=LARGE_GAP, shock=SHOCK)
 
 
+def t_p_sql(t: str, df: str) -> str:
+    """SQL of the two-sided p of a t statistic with a whole number of degrees of freedom, by the finite series."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({angle}) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos({angle}), 2 * k) for k in range(0, ({df} // 2)::bigint)])"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos({angle}), 2 * k + 1) for k in range(0, ({df} // 2)::bigint)]), 0))"
+    return f"(1 - case when {df} % 2 = 0 then {even} else {odd} end)"
+
+
+def bh_sql(rel: str, p: str, keys: str, ties: str) -> str:
+    """SQL of a relation with q_value, the least p n / rank from there on."""
+    over = f"partition by {keys} order by {p} nulls last, {ties}"
+    return f"""(select * exclude (bh_k, bh_n), case when {p} is not null then least(1.0, min({p} * bh_n / bh_k) over ({over} rows between current row and unbounded following)) end as q_value
+        from (select *, row_number() over ({over}) as bh_k, count({p}) over (partition by {keys}) as bh_n from {rel}))"""
+
+
 #: SQL of a tick's instrument.
 DESK = "'i' || (user_id // 20)"
 

@@ -10,7 +10,7 @@ from eventide.operators import graph, grid, models, rules
 from eventide.operators import statistics as st
 from eventide.plans.bars_queries import _FWD, forwards
 from eventide.plans.base import causal, register, session_bars
-from eventide.plans.panel_queries import _BANK, _DAYM, _FIT, _M_F, _PANEL_F, _PEERS, _RIDGE, pair_stats, panel, train_test
+from eventide.plans.panel_queries import _BANK, _DAYM, _FIT, _M_F, _PANEL_F, _PEERS, _RIDGE, graph_of, panel, train_test
 
 # --- tables on jobs and rules
 @register("a15_signed_baseline", f"""with {_FWD}, r as (select *, strftime(session_date, '%Y-%m') as month from fwd where forward_return is not null)
@@ -92,8 +92,7 @@ pd as (select trading_date, feature, corr(rx, ry) as rho from rk group by all ha
 select feature, count(*)::bigint as days, avg(rho) as mean_rho, avg(rho) * sqrt(count(*)) / nullif(stddev_samp(rho), 0) as t_stat from pd group by 1""", "mean_rho t_stat")
 def _(spark, d):
     g = stored(grid.grid_of(causal(spark, d)), "grid")
-    e = graph.leaders_by_lag(pair_stats(spark, d, g), 3)
-    p = graph.peer_features(g, e, "r")
+    p = graph.peer_features(g, graph_of(spark, d, g)[3], "r")
     # names with one leader have equal shocks but for the last bits, which would break ties by chance
     p = p.select("instrument_id", "trading_date", "minute_of_day", "r", *[F.round(c, 9).alias(c) for c in ("leader_shock", "response_gap", "peer_rank_gap")])
     p = p.withColumn("y", F.lead("r").over(Window.partitionBy("instrument_id", "trading_date").orderBy("minute_of_day")))

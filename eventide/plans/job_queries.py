@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from eventide.functions.core import shared_dir, stored
-from eventide.operators import daybuild, graph, jobs, quality, rules, tree
+from eventide.operators import daybuild, graph, grid, jobs, quality, rules, tree
 from eventide.operators import statistics as st
 from eventide.operators.events import stamp
 from eventide.operators.features import by_day
@@ -18,8 +18,8 @@ from eventide.operators.outcomes import forward_returns, full_outcomes
 from eventide.plans import directional_queries, family_queries  # noqa: F401  (registers queries whose SQL is used here)
 from eventide.plans.directional_queries import _OF_DAY
 from eventide.plans.bars_queries import _EVENTS, _FWD, HORIZONS, JOBS, M, forwards, gap_events
-from eventide.plans.base import BARS, CAUSAL, DESK, ORACLES, causal, register, session_bars
-from eventide.plans.panel_queries import GRID, NEWS_STATE, TAIL, _loo, _PAIRS, base_grid, news_states, pair_stats, panel
+from eventide.plans.base import BARS, CAUSAL, DESK, ORACLES, causal, register, session_bars, t_p_sql, bh_sql
+from eventide.plans.panel_queries import EDGE_Q, GRID, NEWS_STATE, TAIL, _loo, _PAIRS, base_grid, graph_of, news_states, panel
 from eventide.sources import stores
 from eventide.sources.bars import instrument_of, instruments, news, table
 
@@ -112,7 +112,8 @@ def _(spark, d):
     return _judged(spark, d, DIRECTIONAL).select("job_id", "n", "reason", "decision")
 
 
-@register("t24_stage_p_values")
+@register("t24_stage_p_values", f"""with {_returns_sql(DIRECTIONAL)}, pp as (select job_id, horizon, t_stat, case when is_primary and t_stat is not null and days > 1 then {t_p_sql('t_stat', '(days - 1)')} end as p, 1 as stage, is_primary from stg)
+select job_id, t_stat, p, q_value, coalesce(p <= max(case when p <= 0.10 * bk / bn then p end) over (), false) as rejected from (select *, row_number() over (order by p nulls last, job_id, horizon) as bk, count(p) over () as bn from {bh_sql('pp', 'p', 'stage', 'job_id, horizon')}) where is_primary""", "t_stat p q_value")
 def _(spark, d):
     """p and q values of all jobs of a stage on their primary horizon."""
     return jobs.with_p_values(jobs.stage_summary(_job_returns(spark, d, DIRECTIONAL), "3h")).filter("is_primary").select("job_id", "t_stat", "p", "q_value", "rejected")
@@ -378,10 +379,8 @@ def _(spark, d):
 
 @register("k12_overlay_checks", f"""with {_PAIRS}, hist as (select as_of, max(trading_date) as history_end from kp group by 1) select count(*)::bigint as edges, count(*) filter (history_end >= ed.as_of)::bigint as late, (count(*) - count(distinct (ed.as_of, leader_id, follower_id)))::bigint as repeated, count(*) filter (leader_id = follower_id)::bigint as own from ed join hist using (as_of)""")
 def _(spark, d):
-    edges = graph.leaders_by_lag(pair_stats(spark, d), 3)
-    from eventide.operators import grid
-
-    return graph.overlay_checks(edges, graph.history(grid.grid_of(causal(spark, d))))
+    g = stored(grid.grid_of(causal(spark, d)), "grid")
+    return graph.overlay_checks(graph_of(spark, d, g)[3], graph.history(g))
 
 
 # --- stores: written to the shared folder, read back
@@ -431,9 +430,8 @@ def _(spark, d):
 
 @register("s21_graph_store", f"with {_PAIRS} select as_of, count(*)::bigint as edges, sum(lag_corr) as weight from ed group by 1", "weight")
 def _(spark, d):
-    path, s = _place(spark, "graph"), pair_stats(spark, d)
-    edges = stored(graph.leaders_by_lag(s, 3), "edges")
-    stores.write_graph(edges, graph.lineage(s, edges), path)
+    path, made = _place(spark, "graph"), graph_of(spark, d)
+    stores.write_graph(made[3], graph.lineage(*made, EDGE_Q), path)
     got, lineage = stores.read_graph(spark, path)
     return got.join(lineage.select("as_of"), "as_of").groupBy("as_of").agg(F.count("*").alias("edges"), F.sum("lag_corr").alias("weight"))
 

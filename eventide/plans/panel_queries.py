@@ -13,7 +13,7 @@ from eventide.operators.features import daily_facts
 from eventide.operators.joins import asof_join, effective_join
 from eventide.operators.news_state import with_news_state
 from eventide.plans.bars_queries import _EVENTS, _FWD, forwards, gap_events
-from eventide.plans.base import BARS, CAUSAL, DAILY, DESK, causal, register, session_bars
+from eventide.plans.base import BARS, CAUSAL, DAILY, DESK, bh_sql, causal, register, session_bars, t_p_sql
 from eventide.sources.bars import instrument_of, news, table, upsert
 
 
@@ -111,7 +111,24 @@ h0 as (select as_of, instrument_id, trading_date, minute_of_day, r as x from g0
 h as (select *, case when lead(minute_of_day) over s - minute_of_day <= 60 then lead(x) over s end as x_next from h0 window s as (partition by as_of, instrument_id, trading_date order by minute_of_day) qualify count(*) over (partition by as_of, instrument_id) >= 40),
 ps as (select a.as_of, a.instrument_id as leader_id, b.instrument_id as follower_id, corr(a.x, b.x) as corr, count(*)::bigint as n, corr(a.x, b.x_next) as lag_corr, count(b.x_next)::bigint as lag_n
     from h a join h b on a.as_of = b.as_of and a.trading_date = b.trading_date and a.minute_of_day = b.minute_of_day and a.instrument_id <> b.instrument_id group by all),
-ed as (select *, row_number() over (partition by as_of, follower_id order by lag_corr desc, leader_id) as rank from ps where lag_n >= 40 and lag_corr > 0 qualify row_number() over (partition by as_of, follower_id order by lag_corr desc, leader_id) <= 3)"""
+wk0 as (select as_of, count(distinct instrument_id)::bigint as names, count(distinct (trading_date, minute_of_day))::bigint as clocks from h0 group by 1),
+us as (select as_of, count(distinct instrument_id)::bigint as usable from h group by 1),
+sp as (select ps.* from ps join wk0 using (as_of) where names >= 3 and clocks >= 30 and corr is not null and not isnan(corr) qualify row_number() over (partition by as_of, follower_id order by abs(corr) desc, leader_id) <= 20),
+lt0 as (select *, {t_p_sql('t', '(lag_n - 2)')} as p from (select *, lag_corr * sqrt((lag_n - 2) / (1 - lag_corr * lag_corr)) as t from sp where lag_n >= 40 and lag_corr is not null and abs(lag_corr) < 1)),
+lt as (select * from {bh_sql('lt0', 'p', 'as_of', 'leader_id, follower_id')}),
+sv as (select * from lt where q_value <= 0.5 and lag_corr > 0),
+ed as (select *, row_number() over (partition by as_of, follower_id order by lag_corr desc, leader_id) as rank from sv qualify row_number() over (partition by as_of, follower_id order by lag_corr desc, leader_id) <= 5)"""
+#: On noise false discoveries are let through at this rate, so that there are edges; the operator's own is 0.10.
+EDGE_Q = 0.5
+
+
+def graph_of(spark, d, g=None):
+    """Weeks, structural pairs, tests and edges."""
+    g = grid.grid_of(causal(spark, d)) if g is None else g
+    pairs, weeks = graph.structural_pairs(graph.history(g), "r", 40)
+    pairs = stored(pairs, "pairs")
+    tests = stored(graph.lag_tests(pairs, 40, EDGE_Q), "tests")
+    return weeks, pairs, tests, stored(graph.edges(tests, 5, EDGE_Q), "edges")
 
 
 def pair_stats(spark, d, g=None):
@@ -123,14 +140,24 @@ def _(spark, d):
     return pair_stats(spark, d).select("as_of", "leader_id", "follower_id", "corr", "n", "lag_corr", "lag_n")
 
 
-@register("k7_top_leaders", f"with {_PAIRS} select as_of, leader_id, follower_id, lag_corr, rank from ed", "lag_corr")
+@register("k4_structural_peers", f"with {_PAIRS} select as_of, follower_id, leader_id, corr from sp", "corr")
+def _(spark, d):
+    return graph_of(spark, d)[1].select("as_of", "follower_id", "leader_id", "corr")
+
+
+@register("k5_lag_tests", f"with {_PAIRS} select as_of, leader_id, follower_id, lag_corr, lag_n, t, p from lt", "lag_corr t p")
 def _(spark, d):
-    return graph.leaders_by_lag(pair_stats(spark, d), 3).select("as_of", "leader_id", "follower_id", "lag_corr", "rank")
+    return graph_of(spark, d)[2].select("as_of", "leader_id", "follower_id", "lag_corr", "lag_n", "t", "p")
 
 
-@register("k6_tested_edges")
+@register("k6_tested_edges", f"with {_PAIRS} select as_of, leader_id, follower_id, lag_corr, lag_n, p, q_value from ed", "lag_corr p q_value")
 def _(spark, d):
-    return graph.edges(pair_stats(spark, d), q=0.5).select("as_of", "leader_id", "follower_id", "lag_corr", "lag_n", "p", "q_value")
+    return graph_of(spark, d)[3].select("as_of", "leader_id", "follower_id", "lag_corr", "lag_n", "p", "q_value")
+
+
+@register("k7_top_leaders", f"with {_PAIRS} select as_of, leader_id, follower_id, lag_corr, rank from ed", "lag_corr")
+def _(spark, d):
+    return graph_of(spark, d)[3].select("as_of", "leader_id", "follower_id", "lag_corr", "rank")
 
 
 _PEERS = f"""{_PAIRS}, wt as (select as_of, leader_id, follower_id as instrument_id, abs(lag_corr) / nullif(sum(abs(lag_corr)) over (partition by as_of, follower_id), 0) as w from ed),
@@ -146,15 +173,14 @@ pr as (select g.*, as_of, leader_shock, leader_agreement, peer_return, peer_brea
     peer_rank - own_rank as peer_rank_gap, leader_count > 0 as graph_available from pr""", "leader_shock leader_agreement peer_return peer_breadth peer_dispersion response_gap peer_response_gap peer_rank_gap")
 def _(spark, d):
     g = stored(grid.grid_of(causal(spark, d)), "grid")
-    e = graph.leaders_by_lag(pair_stats(spark, d, g), 3)
-    return graph.peer_features(g, e, "r").select("instrument_id", "decision_ts", "leader_shock", "leader_agreement", "peer_return", "peer_breadth", "peer_dispersion", "leader_count", "peer_count", "response_gap", "peer_response_gap", "peer_rank_gap", "graph_available")
+    return graph.peer_features(g, graph_of(spark, d, g)[3], "r").select("instrument_id", "decision_ts", "leader_shock", "leader_agreement", "peer_return", "peer_breadth", "peer_dispersion", "leader_count", "peer_count", "response_gap", "peer_response_gap", "peer_rank_gap", "graph_available")
 
 
-@register("k8_lineage", f"""with {_PAIRS} select t.as_of, tests, median_abs_r, coalesce(edges, 0)::bigint as edges, coalesce(followers, 0)::bigint as followers from
-(select as_of, count(*)::bigint as tests, quantile_cont(abs(lag_corr), 0.5) as median_abs_r from ps group by 1) t left join (select as_of, count(*) as edges, count(distinct follower_id) as followers from ed group by 1) e using (as_of)""", "median_abs_r")
+@register("k8_lineage", f"""with {_PAIRS} select as_of, names, coalesce(usable, 0)::bigint as usable, clocks, coalesce(structural, 0)::bigint as structural, coalesce(tests, 0)::bigint as tests, coalesce(survivors, 0)::bigint as survivors, coalesce(edges, 0)::bigint as edges, median_abs_r
+from wk0 left join us using (as_of) left join (select as_of, count(*) as structural from sp group by 1) using (as_of) left join (select as_of, count(*) as tests from lt group by 1) using (as_of)
+left join (select as_of, count(*) as survivors, quantile_cont(abs(lag_corr), 0.5) as median_abs_r from sv group by 1) using (as_of) left join (select as_of, count(*) as edges from ed group by 1) using (as_of)""", "median_abs_r")
 def _(spark, d):
-    s = stored(pair_stats(spark, d), "pairs")
-    return graph.lineage(s, graph.leaders_by_lag(s, 3))
+    return graph.lineage(*graph_of(spark, d), EDGE_Q)
 
 
 # --- statistics
@@ -250,7 +276,14 @@ def _(spark, d):
     return st.day_association(panel(spark, d), _PANEL_F, "y")
 
 
-@register("t5_association_p")
+_ASSOC = f"""{_LONG}, rk as (select session_date, feature, rank() over (partition by session_date, feature order by x) + (count(*) over (partition by session_date, feature, x) - 1) / 2.0 as rx,
+    rank() over (partition by session_date, feature order by y) + (count(*) over (partition by session_date, feature, y) - 1) / 2.0 as ry from lg),
+pd as (select session_date, feature, corr(rx, ry) as rho from rk group by all having count(*) >= 10 and corr(rx, ry) is not null and not isnan(corr(rx, ry))),
+ta as (select feature, count(*)::bigint as days, avg(rho) as mean_rho, avg(rho) * sqrt(count(*)) / nullif(stddev_samp(rho), 0) as t_stat from pd group by 1),
+tb as (select *, {t_p_sql('t_stat', '(days - 1)')} as p, 'root' as node from ta)"""
+
+
+@register("t5_association_p", f"with {_ASSOC} select *, q_value <= 0.1 as rejected from {bh_sql('tb', 'p', 'node', 'feature')}", "mean_rho t_stat p q_value")
 def _(spark, d):
     a = st.day_association(panel(spark, d), _PANEL_F, "y").withColumn("p", t_p("t_stat", (F.col("days") - 1).cast("double")))
     return with_bh(a.withColumn("node", F.lit("root")), "p", ["node"], 0.1, ["feature"])
@@ -284,13 +317,6 @@ def _(spark, d):
     return spark.createDataFrame(rows, "rule string, n long, mean double, direction string, simplified string")
 
 
-@register("t9_node_association")
-def _(spark, d):
-    """Association of every feature with the target at the root and at its two halves by gap, with q values a node."""
-    p = panel(spark, d).filter("y is not null").withColumn("_node", F.when(F.col("gap_pct") > 0, "up").otherwise("down"))
-    return tree.associations(p, [*_PANEL_F, "new_high_15"], ["new_high_15"], "y").withColumnRenamed("_node", "node")
-
-
 _DAILY_STATS = f"""{CAUSAL}, pn as (select *, lead(ret_1m) over (partition by instrument_id, session_date order by ts_utc) as y from causal),
 lg as (select node, session_date, y, f.feature as feature, f.x as x from (select case when gap_pct > 0 then 'up' else 'down' end as node, session_date, y, unnest([{', '.join("{'feature': '" + f + "', 'x': " + f + "::double}" for f in (*_PANEL_F, 'new_high_15'))}]) as f from pn where y is not null) where f.x is not null),
 rk as (select *, rank() over (partition by node, session_date, feature order by x) + (count(*) over (partition by node, session_date, feature, x) - 1) / 2.0 as rx, rank() over (partition by node, session_date, feature order by y) + (count(*) over (partition by node, session_date, feature, y) - 1) / 2.0 as ry from lg where feature <> 'new_high_15'),
@@ -314,6 +340,16 @@ def _(spark, d):
     return tree.welch(panel(spark, d), ["new_high_15", "new_low_15"], "y").select("feature", "t", "df")
 
 
+@register("t9_node_association", f"""with {_DAILY_STATS}, al as (select * from (select distinct node from lg), (select distinct feature from lg)),
+tt as (select node, feature, count(s)::bigint as days, avg(s) * sqrt(count(s)) / nullif(stddev_samp(s), 0) as t from al left join ds using (node, feature) group by all),
+tp as (select *, case when days >= 8 and t is not null then {t_p_sql('t', '(days - 1)')} else 1.0 end as p from tt)
+select node, feature, days, t, p, q_value from {bh_sql('tp', 'p', 'node', 'feature')}""", "t p q_value")
+def _(spark, d):
+    """Association of every feature with the target at two nodes by gap, with q values a node."""
+    p = panel(spark, d).filter("y is not null").withColumn("_node", F.when(F.col("gap_pct") > 0, "up").otherwise("down"))
+    return tree.associations(p, [*_PANEL_F, "new_high_15"], ["new_high_15"], "y").withColumnRenamed("_node", "node")
+
+
 def _stability(spark, d):
     p = stored(panel(spark, d).filter("y is not null").select("instrument_id", "session_date", "y", *_PANEL_F), "panel")
     rules = tree.grow(p, _PANEL_F, "y", depth=2, alpha=0.5, least=40)
