@@ -169,3 +169,17 @@ def drawn(seed: int, replicate: str, slot: str, n: str) -> Column:
     """A number from 0 to n - 1 from a hash of (seed, replicate, slot): independent draws, the same in any order and anywhere."""
     said = F.concat_ws(":", F.lit(str(seed)), F.col(replicate).cast("string"), F.col(slot).cast("string"))
     return (F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("long") % F.col(n)).cast("int")
+
+
+def bottom_k(df: DataFrame, k: int, ids: list[str], seed: int = 7, keys: list[str] | None = None) -> DataFrame:
+    """Exactly k rows (all, where there are fewer) of df or of each group of `keys`: those with the least digests of (seed,
+    ids), the same at any partitioning. Every task first keeps the k least of its own, and these are merged; k is what fits
+    a task. Rows of equal ids are taken in no stated order."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids]))
+    d = df.withColumn("_digest", digest)
+    if not keys:
+        return d.orderBy("_digest").limit(k).drop("_digest")
+    salted = d.withColumn("_salt", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
+    for group in ([*keys, "_salt"], keys):
+        salted = salted.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("_digest"))).filter(F.col("_k") <= k)
+    return salted.drop("_digest", "_salt", "_k")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from eventide.functions.core import average_rank, guarded, lag, ratio_less_one, rows, share_true
+from eventide.functions.core import average_rank, guarded, lag, ratio_less_one, rows, share_true, upper_median
 from eventide.sources.bars import QUARTERS, SessionSpec
 
 CLOCK = ["session_date", "minute_of_day"]
@@ -169,6 +169,26 @@ def causal_features(bars: DataFrame, spec: SessionSpec = QUARTERS, extreme: floa
     return x.select("*", (F.col("ret_5m") - F.col("mkt_ret_5m")).alias("resid_5m"), (F.col("ret_15m") - F.col("mkt_ret_15m")).alias("resid_15m"))
 
 
+def trigger_window(bars: DataFrame, window: tuple[int, int], bar_minutes: int) -> DataFrame:
+    """Bars of a window (minutes of the day, both ends included) with the features of a trigger: volume of five bars, which
+    begins anew at the window's first bar; typical volume, the upper median of the last twenty days' median regular volumes
+    (the value at half the length of the sorted ones); gap and relative volume. Days without regular bars carry nothing on;
+    a day's open shows from the regular session on."""
+    daily = daily_facts(bars).filter("rth_close is not null").select("instrument_id", "session_date", "rth_close", F.coalesce("rth_med_vol", F.lit(0.0)).alias("_v"))
+    d = Window.partitionBy("instrument_id").orderBy("session_date")
+    # what a day leaves behind, as known from the day after it on; days without regular bars look it up
+    left = daily.select("instrument_id", "session_date", "rth_close", upper_median("_v", d.rowsBetween(-19, 0)).alias("typ_1m_vol"))
+    days = bars.select("instrument_id", "session_date").distinct()
+    seen = days.join(left, ["instrument_id", "session_date"], "left")
+    before = d.rowsBetween(Window.unboundedPreceding, -1)
+    state = seen.select("instrument_id", "session_date", F.last("rth_close", ignorenulls=True).over(before).alias("prev_close"), F.last("typ_1m_vol", ignorenulls=True).over(before).alias("typ_1m_vol"))
+    opened = by_day().rowsBetween(Window.unboundedPreceding, 0)
+    x = bars.withColumn("rth_open", F.first(F.when(F.col("is_rth"), F.col("open")), ignorenulls=True).over(opened))
+    x = x.filter(F.col("minute_of_day").between(*window)).withColumn("roll_vol_5m", F.sum("volume").over(rows(5, by_day()))).join(state, ["instrument_id", "session_date"], "left")
+    at = F.col("ts_utc") + F.make_dt_interval(mins=F.lit(bar_minutes))
+    return x.select("*", ratio_less_one(F.col("rth_open"), F.col("prev_close")).alias("gap_pct"), F.try_divide("roll_vol_5m", F.col("typ_1m_vol") * 5).alias("rvol_5m"), at.alias("decision_ts"), at.alias("available_at"), (F.col("close") * F.col("volume")).alias("dollar_volume"))
+
+
 def late_rows(features: DataFrame, available: str = "available_at", decision: str = "decision_ts") -> DataFrame:
     """Rows that use what wasn't known at the decision."""
     return features.filter(F.col(available) > F.col(decision))

@@ -7,18 +7,18 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from eventide.functions.core import shared_dir, stored
-from eventide.operators import daybuild, graph, grid, jobs, quality, rules, tree
+from eventide.functions.core import bottom_k, shared_dir, stored
+from eventide.operators import daybuild, graph, grid, jobs, leakage, quality, rules, tree
 from eventide.operators import statistics as st
 from eventide.operators.events import stamp
-from eventide.operators.features import by_day
+from eventide.operators.features import bar_features, by_day, causal_features, trigger_window
 from eventide.operators.joins import asof_join
 from eventide.operators.news_state import news_jobs
 from eventide.operators.outcomes import forward_returns, full_outcomes
 from eventide.plans import directional_queries, family_queries  # noqa: F401  (registers queries whose SQL is used here)
 from eventide.plans.directional_queries import _OF_DAY
 from eventide.plans.bars_queries import _EVENTS, _FWD, HORIZONS, JOBS, M, forwards, gap_events
-from eventide.plans.base import BARS, CAUSAL, DESK, ORACLES, causal, register, session_bars, t_p_sql, bh_sql
+from eventide.plans.base import BARS, CAUSAL, DAILY, DESK, FEATURES, ORACLES, causal, register, session_bars, t_p_sql, bh_sql
 from eventide.plans.panel_queries import EDGE_Q, GRID, NEWS_STATE, TAIL, _loo, _PAIRS, base_grid, graph_of, news_states, panel
 from eventide.sources import stores
 from eventide.sources.bars import instrument_of, instruments, news, table
@@ -383,6 +383,65 @@ def _(spark, d):
     return graph.overlay_checks(graph_of(spark, d, g)[3], graph.history(g))
 
 
+# --- replay on cut and spoilt bars
+_REPLAYED = {
+    "bar": (lambda b: bar_features(b).select("instrument_id", "decision_ts", "ret_5m", "roll_vol_5m", "prev_close", "typ_1m_vol", "gap_pct", "rvol_5m", "session_vwap", "session_high", "premarket_high"), "feat"),
+    "causal": (lambda b: causal_features(b).select("instrument_id", "decision_ts", "ret_15m", "hi_15", "vwap_15m", "rvol_5m", "med20", "yday_ret", "close_location_value", "xs_ret_rank", "mkt_ret_5m", "resid_5m"), "causal"),
+    "grid": (lambda b: _replayed_grid(b).select("instrument_id", "decision_ts", "r", "mkt", "beta", "resid"), "g0"),
+    "graph": (lambda b: _replayed_graph(b).select("instrument_id", "decision_ts", "leader_shock", "peer_return", "leader_count"), "g0"),
+}
+
+
+def _replayed_grid(bars):
+    g = stored(grid.grid_of(causal_features(bars)), "grid")
+    return grid.residual_grid(g, grid.rolling_beta(grid.daily_returns(g)))
+
+
+def _replayed_graph(bars):
+    g = stored(grid.grid_of(causal_features(bars)), "grid")
+    pairs, _ = graph.structural_pairs(graph.history(g), "r", 40)
+    return graph.peer_features(g, graph.edges(graph.lag_tests(pairs, 40, EDGE_Q), 5, EDGE_Q), "r")
+
+
+@register("t26_leakage", f"""with {GRID}, {FEATURES[len(DAILY) + 2:]}, cutoff as (select max(ts_utc) - interval 4 day as last_ts from bars),
+n as ({' union all '.join(f"select '{n}' as transform, count(*)::bigint as rows from {rel}, cutoff where decision_ts <= last_ts" for n, (_, rel) in _REPLAYED.items())})
+select transform, replay, rows, 0::bigint as differences from n, (select unnest(['truncated', 'poisoned']) as replay)""")
+def _(spark, d):
+    """Values that change when later bars are missing or spoilt: none, over bar, causal, grid and graph features."""
+    bars = stored(session_bars(spark, d), "bars")
+    last = bars.agg((F.max("ts_utc") - F.make_dt_interval(days=F.lit(4))).alias("at")).first()["at"]
+    out = None
+    for name, (transform, _) in _REPLAYED.items():
+        at = F.lit(last).cast("timestamp_ntz")
+        found = leakage.leaks(bars, transform, ["instrument_id", "decision_ts"], at, M).groupBy("replay").agg(F.count("*").alias("differences"))
+        rows = transform(bars).filter(F.col("decision_ts") <= at).agg(F.count("*").alias("rows"))
+        one = spark.createDataFrame([("truncated",), ("poisoned",)], "replay string").join(found, "replay", "left").crossJoin(rows)
+        one = one.select(F.lit(name).alias("transform"), "replay", "rows", F.coalesce("differences", F.lit(0).cast("long")).alias("differences"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("w13_trigger_window", f"""with {BARS}, df as (select instrument_id, session_date, arg_max(close, ts_utc) as rth_close, quantile_cont(volume, 0.5) as v from ses where is_rth group by all),
+lf as (select *, list_sort(list(v) over d) as l from df window d as (partition by instrument_id order by session_date rows between 19 preceding and current row)),
+sn as (select instrument_id, session_date, rth_close, l[len(l) // 2 + 1] as typ from (select distinct instrument_id, session_date from ses) left join lf using (instrument_id, session_date)),
+st as (select instrument_id, session_date, last_value(rth_close ignore nulls) over b as prev_close, last_value(typ ignore nulls) over b as typ_1m_vol from sn window b as (partition by instrument_id order by session_date rows between unbounded preceding and 1 preceding)),
+op as (select *, first_value(case when is_rth then open end ignore nulls) over (partition by instrument_id, session_date order by ts_utc rows between unbounded preceding and current row) as rth_open from ses),
+tw as (select *, sum(volume) over (partition by instrument_id, session_date order by ts_utc rows between 4 preceding and current row) as roll_vol_5m from op where minute_of_day between 330 and 600)
+select instrument_id, ts_utc, roll_vol_5m, prev_close, typ_1m_vol, rth_open, rth_open / nullif(prev_close, 0) - 1 as gap_pct, roll_vol_5m / nullif(typ_1m_vol * 5, 0) as rvol_5m from tw left join st using (instrument_id, session_date)""", "roll_vol_5m prev_close typ_1m_vol rth_open gap_pct rvol_5m")
+def _(spark, d):
+    return trigger_window(session_bars(spark, d), (330, 600), M).select("instrument_id", "ts_utc", "roll_vol_5m", "prev_close", "typ_1m_vol", "rth_open", "gap_pct", "rvol_5m")
+
+
+@register("x_sample", "select o_orderkey from orders order by md5('7:' || o_orderkey) limit 100")
+def _(spark, d):
+    return bottom_k(table(spark, d, "orders"), 100, ["o_orderkey"]).select("o_orderkey")
+
+
+@register("x_sample_per_group", "select l_returnflag, l_orderkey, l_linenumber from lineitem qualify row_number() over (partition by l_returnflag order by md5('7:' || l_orderkey || ':' || l_linenumber)) <= 20")
+def _(spark, d):
+    return bottom_k(table(spark, d, "lineitem"), 20, ["l_orderkey", "l_linenumber"], keys=["l_returnflag"]).select("l_returnflag", "l_orderkey", "l_linenumber")
+
+
 # --- stores: written to the shared folder, read back
 def _place(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -95,7 +95,7 @@ def news(events: DataFrame, lag_minutes: int = 60) -> DataFrame:
     ).filter("sentiment_score is not null")
 
 
-def read_bar_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_bar_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Landed gzip CSV minute files to bars. Header case is free; window_start is an epoch in ns, us, ms or s, told by its
     number of digits."""
     raw = spark.read.option("header", True).csv(path)

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.sources.bars import read_bar_csv, write_bars
+
 
 def scan_bars(spark: SparkSession, path: str) -> DataFrame:
     """Bars below a path, at any depth, of any mix of schemas: columns that some files lack are null there."""
@@ -51,8 +53,7 @@ def write_missing_days(rows: DataFrame, path: str, day: str) -> int:
     writes nothing. A day is there once it has a row: days are written whole, so that a run that was cut short is taken up
     where it ended."""
     spark = rows.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if _exists(spark, path):
         rows = rows.join(spark.read.schema(rows.schema).parquet(path).select(day).distinct(), day, "left_anti")
     days = rows.select(day).distinct().count()
     if days:
@@ -136,3 +137,31 @@ def manifest_hash(files: DataFrame) -> DataFrame:
     as the sum of the files' own digests."""
     one = F.conv(F.substring(F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")), 256), 1, 12), 16, 10).cast("decimal(38,0)")
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.sha2(F.coalesce(F.sum(one), F.lit(0)).cast("string"), 256).alias("digest"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def new_files(spark: SparkSession, landed: str, manifest: str) -> DataFrame:
+    """path, length, modified of landed files (a pattern) that the manifest doesn't have in this very form: new and changed
+    ones. File contents aren't read."""
+    files = spark.read.format("binaryFile").load(landed).select("path", "length", F.col("modificationTime").alias("modified"))
+    if not _exists(spark, manifest):
+        return files
+    done = spark.read.schema("path string, length long, modified timestamp").parquet(manifest)
+    return files.join(done, ["path", "length", "modified"], "left_anti")
+
+
+def convert_landed(spark: SparkSession, landed: str, path: str, manifest: str) -> int:
+    """Landed day files (gzip CSV, a file holds whole days) to the day-partitioned store; returns how many files were read.
+
+    Files that are there in the same form aren't read again; a changed one replaces its days and no others. The manifest is
+    written after the store: a run that is cut short repeats its files and ends with the same store."""
+    fresh = new_files(spark, landed, manifest)
+    seen = fresh.collect()  # a name and form a file of this run, as they were before reading
+    if seen:
+        write_bars(read_bar_csv(spark, [r.path for r in seen]), path)
+        spark.createDataFrame([tuple(r) for r in seen], fresh.schema).write.mode("append").parquet(manifest)
+    return len(seen)

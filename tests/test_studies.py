@@ -323,3 +323,137 @@ def test_certification_grades(spark):
     assert grades(clean, extreme=1)["extremes"] == "WARNING" and grades(clean, listed=0)["verdict"] == "NOT_READY"
     assert grades(clean, missing=1)["coverage"] == "FAIL" and grades([*clean, *[bar(4, i) for i in range(2)]])["coverage"] == "WARNING"
     assert grades([])["coverage"] == "FAIL"
+
+
+def bars_of(spark, days=30, names="abc"):
+    from eventide.sources.bars import SessionSpec, add_session
+
+    rng, rows = np.random.default_rng(2), []
+    for n in names:
+        c = 50.0
+        for d in range(days):
+            for k in range(20):
+                c = float(np.round(c + rng.normal(0, 0.4), 2))
+                rows.append((n, T0 + dt.timedelta(days=d) + 5 * k * MIN, c, c + 0.3, c - 0.3, c + 0.1, float(rng.integers(1, 50)), 3))
+    return add_session(spark.createDataFrame(rows, "instrument_id string, ts_utc timestamp_ntz, open double, high double, low double, close double, volume double, transactions long"), SessionSpec())
+
+
+def test_replay_finds_a_planted_leak_and_nothing_else(spark):
+    from pyspark.sql import Window
+
+    from eventide.operators.features import bar_features
+    from eventide.operators.leakage import leaks
+    from eventide.sources.bars import SessionSpec
+
+    spec, bars = SessionSpec(), bars_of(spark, 6)
+    at = F.lit(T0 + dt.timedelta(days=3) + 50 * MIN).cast("timestamp_ntz")
+    honest = lambda b: bar_features(b, spec).select("instrument_id", "decision_ts", "ret_5m", "gap_pct", "rvol_5m", "session_high")
+    assert leaks(bars, honest, ["instrument_id", "decision_ts"], at, spec.bar_minutes).count() == 0
+    ahead = Window.partitionBy("instrument_id").orderBy("ts_utc")
+    sly = lambda b: bar_features(b, spec).withColumn("next_close", F.lead("close").over(ahead)).select("instrument_id", "decision_ts", "ret_5m", "next_close")
+    got = leaks(bars, sly, ["instrument_id", "decision_ts"], at, spec.bar_minutes).collect()
+    assert {(r["replay"], r["column"]) for r in got} == {("truncated", "next_close"), ("poisoned", "next_close")} and len(got) == 6  # the last bar of each of three names
+    assert all(r.after is None for r in got if r.replay == "truncated")
+    day_high = Window.partitionBy("session_date")
+    whole = lambda b: b.withColumn("decision_ts", F.col("ts_utc")).withColumn("top", F.max("high").over(day_high)).select("instrument_id", "decision_ts", "top")
+    assert {r.replay for r in leaks(bars, whole, ["instrument_id", "decision_ts"], at, spec.bar_minutes).collect()} == {"truncated", "poisoned"}
+    losing = lambda b: b.withColumn("decision_ts", F.col("ts_utc")).filter(F.col("session_date") < b.agg(F.max("session_date").alias("m")).first().m).select("instrument_id", "decision_ts", "close")
+    assert {r["column"] for r in leaks(bars, losing, ["instrument_id", "decision_ts"], at, spec.bar_minutes).collect() if r.replay == "truncated"} == {"(row)"}
+
+
+def test_trigger_window_restarts_and_carries_the_upper_median(spark):
+    from eventide.operators.features import trigger_window
+
+    bars = bars_of(spark, 30, "ab").filter("not (instrument_id = 'b' and session_date between '2024-01-10' and '2024-01-12')")
+    rows = bars.orderBy("instrument_id", "ts_utc").collect()
+    start = min(r.minute_of_day for r in rows if r.is_rth)
+    got = {(r.instrument_id, r.ts_utc): r for r in trigger_window(bars, (start + 10, start + 60), 5).collect()}
+    assert len(got) == sum(start + 10 <= r.minute_of_day <= start + 60 for r in rows)
+    days = {}
+    for r in rows:
+        days.setdefault((r.instrument_id, r.session_date), []).append(r)
+    past = {}
+    for (name, _), own in sorted(days.items()):
+        closes, medians = past.setdefault(name, ([], []))
+        inside = [r for r in own if start + 10 <= r.minute_of_day <= start + 60]
+        for i, r in enumerate(inside):
+            g = got[name, r.ts_utc]
+            assert g.roll_vol_5m == sum(x.volume for x in inside[max(0, i - 4) : i + 1])
+            last = sorted(medians[-20:])
+            assert g.typ_1m_vol == (last[len(last) // 2] if last else None) and g.prev_close == (closes[-1] if closes else None)
+            assert g.rth_open == [x for x in own if x.is_rth][0].open
+        regular = [x for x in own if x.is_rth]
+        closes.append(regular[-1].close)
+        medians.append(float(np.median([x.volume for x in regular])))
+
+
+def test_samples_are_exact_and_the_same_at_any_partitioning(spark):
+    from eventide.functions.core import bottom_k
+
+    df = spark.range(3000).select("id", (F.col("id") % 7).alias("g"))
+    one, two = (sorted(r.id for r in bottom_k(d, 100, ["id"]).collect()) for d in (df.repartition(1), df.repartition(13)))
+    assert one == two and len(one) == 100 and one != sorted(r.id for r in bottom_k(df, 100, ["id"], seed=8).collect())
+    per = [sorted((r.g, r.id) for r in bottom_k(d, 5, ["id"], keys=["g"]).collect()) for d in (df.repartition(2), df.repartition(9))]
+    assert per[0] == per[1] and len(per[0]) == 35 and {g for g, _ in per[0]} == set(range(7))
+    assert bottom_k(df, 10_000, ["id"]).count() == 3000 and bottom_k(df.limit(0), 5, ["id"], keys=["g"]).count() == 0
+    assert abs(np.mean(one) - 1500) < 4 * 866 / 10
+
+
+def test_landed_files_are_converted_once(spark, tmp_path):
+    import gzip
+    import time
+
+    head = "ticker,volume,open,close,high,low,window_start,transactions\n"
+    land, store, manifest = tmp_path / "in", f"file://{tmp_path}/store", f"file://{tmp_path}/manifest"
+    land.mkdir()
+
+    def put(day, close):
+        at = int(dt.datetime(2024, 1, day, 15, tzinfo=dt.UTC).timestamp()) * 10**9
+        with gzip.open(land / f"2024-01-{day:02d}.csv.gz", "wt") as f:
+            f.write(head + "".join(f"A,{i},1,{close},2,0.5,{at + i * 60 * 10**9},1\n" for i in range(5)))
+
+    run = lambda: stores.convert_landed(spark, f"file://{land}/*.csv.gz", store, manifest)
+    closes = lambda: {str(r.date): r.c for r in spark.read.parquet(store).groupBy("date").agg(F.max("close").alias("c")).collect()}
+    put(2, 1.5), put(3, 1.6)
+    assert run() == 2 and run() == 0 and closes() == {"2024-01-02": 1.5, "2024-01-03": 1.6}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    assert run() == 0 and {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")} == before
+    time.sleep(1.1)
+    put(3, 1.9), put(4, 1.7)
+    assert run() == 2 and run() == 0 and closes() == {"2024-01-02": 1.5, "2024-01-03": 1.9, "2024-01-04": 1.7}
+    kept = [p for p in (tmp_path / "store").rglob("*.parquet") if "2024-01-02" in str(p)]
+    assert all(before[p] == p.stat().st_mtime_ns for p in kept) and spark.read.parquet(store).count() == 15
+
+
+def test_strongest_peers_of_blocks_equal_those_of_all_pairs(spark, monkeypatch):
+    from eventide.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    rng, rows = np.random.default_rng(4), []
+    lead = rng.normal(size=(4, 60))
+    for k in range(9):
+        for d in range(4):
+            for m in range(60):
+                x = rng.normal() if k else lead[d, m]
+                if k == 8 and m:
+                    x = lead[d, m - 1] + 0.3 * rng.normal()
+                if k == 5:
+                    x = lead[d, m] + 0.5 * rng.normal()
+                if rng.random() < 0.9 and (k != 7 or m < 5):
+                    rows.append((dt.date(2024, 1, 8), f"n{k}", dt.date(2024, 1, 2 + d), m * 5, float(x)))
+    rows += [(dt.date(2024, 1, 15), "a", dt.date(2024, 1, 9), m, 1.0 * m) for m in range(50)]  # a week with one name
+    hist = spark.createDataFrame(rows, "as_of date, instrument_id string, trading_date date, minute_of_day int, resid double")
+    pairs, weeks = graph.structural_pairs(hist, "resid", 40, peers=3)
+    every = graph.pair_statistics(hist.filter("as_of = '2024-01-08'"), "resid", 40).collect()
+    want = set()
+    for f in {r.follower_id for r in every}:
+        own = sorted((r for r in every if r.follower_id == f and r["corr"] is not None), key=lambda r: (-abs(r["corr"]), r.leader_id))
+        want |= {(r.leader_id, f) for r in own[:3]}
+    assert {(r.leader_id, r.follower_id) for r in pairs.collect()} == want and "n7" not in {a for p in want for a in p}
+    w = {str(r.as_of): (r.names, r.usable) for r in weeks.collect()}
+    assert w == {"2024-01-08": (9, 8), "2024-01-15": (1, 1)}
+    tests = graph.lag_tests(graph.structural_pairs(hist, "resid", 40)[0])
+    edges = graph.edges(tests).collect()
+    assert ("n0", "n8") in {(r.leader_id, r.follower_id) for r in edges}
+    told = {str(r.as_of): r for r in graph.lineage(weeks, pairs, tests, graph.edges(tests)).collect()}
+    assert told["2024-01-08"].tests == 56 and told["2024-01-08"].edges == len(edges) and told["2024-01-15"].edges == 0 and told["2024-01-15"].median_abs_r is None
