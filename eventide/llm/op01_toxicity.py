@@ -168,7 +168,8 @@ def classify(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> DataF
 
     One row a document row; toxic: p_toxic of at least THRESHOLD. Null and empty texts get the chain's answer for no
     features. Rows of labels with a null don't train; without labels every probability is near 0. Of rows with one
-    labelled doc_id the least text trains. Other columns are ignored."""
+    labelled doc_id the least text trains. Texts count whole, however long; repeated rows get equal answers; no rows give
+    none. Other columns are ignored."""
     names = [f"p_{n}" for n, _ in categories]
     models = docs.sparkSession.sparkContext.broadcast(fit_chain(docs, labels, categories))
 

@@ -190,7 +190,8 @@ def page_sequences(pages: DataFrame, media: DataFrame) -> DataFrame:
     n_resolved, media_positions; one row a page row.
 
     Null and empty HTML has no items. Media whose reference isn't a digest, or isn't in the table, stay in the sequence
-    unresolved. Repeated page_ids stay apart. Other columns are ignored."""
+    unresolved. Repeated page_ids and pages stay apart; very long pages are parsed whole; no pages give no rows. Other
+    columns are ignored."""
     rows = stored(sequences(pages, "page_id"), "sequences").withColumn("_row", F.monotonically_increasing_id())
     kind = lambda k: F.filter("items", lambda x: x["kind"] == k)
     counted = rows.select(
@@ -232,7 +233,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
     Each document becomes a page whose figure refers to the document's payload; the page is parsed, the reference is
     resolved against the stored media table by digest, and features come from the bytes read back. A null text is an
-    empty one, whose payload is one row of fill. Other columns are ignored."""
+    empty one, whose payload is one row of fill; a very long one is stored whole, as a higher image. Equal texts share one
+    stored payload and get equal values; no rows give none. Other columns are ignored."""
     media = stored(media_table(docs), "media")
     items = docs.select(F.col("doc_id").cast("long").alias("id"), as_bytes("text").alias("text")).mapInArrow(_paged, f"id long, items array<{ITEM}>")
     counted = items.select(F.struct("id", F.size("items").alias("n")).alias("id"), "items")

@@ -170,7 +170,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = MAX_REPEATS, shares=(1.
 
     size: words of the text (null or empty: 0). Sources in code point order, null last as a source of its own, weigh
     `weights` in turn. taken: size times the copies that the mix has of the document, at most `repeats`. Rows with equal
-    doc_id, or without one and equal text, have equal hashes and are taken together. An empty table gives no rows; other columns are ignored.
+    doc_id, or without one and equal text, have equal hashes and are taken together. Very long texts
+    count with all their words: one may be larger than a budget, and is then taken or left as a whole. An empty table gives
+    no rows; other columns are ignored.
     The last share's budget is the one reported.
     """
     narrow = stored(docs.select("doc_id", "source", *with_size(docs)), "sizes")

@@ -471,7 +471,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     Counts and network learn from all training texts. Null and empty texts are the end token alone. Without training
     texts N and V are 0 and both scores are those of unknown words. Words beyond the sent counts are looked up by a join.
-    Rows are told apart by where they are stored; equal or null doc_ids do no harm. Other columns are ignored."""
+    Rows are told apart by where they are stored; equal or null doc_ids do no harm. Very long texts are
+    read window by window with the state carried on; repeated rows get equal scores; no rows give none. Other columns are
+    ignored."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     counts = word_counts(rows.filter(~held_out()))
     v = vocabulary(counts)

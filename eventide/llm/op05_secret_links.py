@@ -95,7 +95,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked; one row a document row.
 
     Null and empty texts have no spans; the digest is then that of the empty string. Rows are told apart by where they
-    are stored, so null and repeated doc_ids do no harm. Other columns are ignored."""
+    are stored, so null and repeated doc_ids do no harm; repeated rows get equal spans. Of spans that begin at one place the
+    kind listed first comes first. Very long texts are scanned whole, in time in proportion; no rows give none. Other columns
+    are ignored."""
     found = scanned(docs.select("doc_id", "text"), F.col("text")).drop("text").withColumn("_row", F.monotonically_increasing_id())
     rows = _with_links(stored(found, "parts"))
     shape = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))

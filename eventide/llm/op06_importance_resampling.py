@@ -120,7 +120,9 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """documents(doc_id, text), labels(doc_id, quality) -> doc_id, n_grams, log_weight, gumbel_key, kept.
 
     One row a document row. Null and empty texts have no n-grams and weight 0. Without good labels all weights are 0
-    and all rows stay. A null doc_id gets one fixed noise value. Other columns are ignored."""
+    and all rows stay. Noise hangs on doc_id: rows of one doc_id share it, and so do all without one. Keys are compared to
+    six decimals; rows of equal keys stay or go together, so that k may be missed by as many. Very long texts count with
+    all their n-grams; no rows give none. Other columns are ignored."""
     done = with_decision(stored(scored(docs.select("doc_id", "text"), labels), "weights"))
     return done.select(
         "doc_id", F.col("_n").alias("n_grams"), F.col("_w").alias("log_weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept")
@@ -129,5 +131,5 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, in all their columns, that importance resampling keeps. Null and empty texts have weight 0 and count
-    as target-like; columns of any name pass through."""
+    as target-like; ties, repeated rows, long texts and empty tables as in `resample`. Columns of any name pass through."""
     return with_decision(stored(scored(docs, labels, keep=True), "weights")).filter("_kept").select("doc.*")

@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     link at once; only one of each such class is banded. A pair that shares a band (all but a share MISSED of those at
     the wanted similarity do) is either verified on full sets, or already in one component, or ruled out by its sketch
     (see DEVIATIONS). component_id: least doc_id reachable; rows with a null doc_id join components but never name them.
-    Other columns are ignored."""
+    Repeated rows are one class; very long texts are shingled whole; no rows give none. Other columns are ignored."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     facts, groups = grouped(rows, percent)
     out = facts.select("doc_id", "n_shingles", "fp").join(small(groups.drop("root")), "fp", "left")
@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, in all their columns, one row of each component: that with the least doc_id, nulls last, then the
     least fingerprint. Rows are told apart by where they are stored, so null and repeated doc_ids do no harm; texts
-    without shingles all stay. Columns of any name pass through."""
+    without shingles all stay. Of repeated rows the one stored first stays; very long texts count whole; no rows give none.
+    Columns of any name pass through."""
     rows = stored(packed(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
     facts, groups = grouped(rows.select(F.col("_row").alias("row"), "doc.doc_id", "doc.text"), percent)
     members = stored(facts.select("row", "doc_id", "fp").join(small(groups.select("fp", "root")), "fp"), "members")

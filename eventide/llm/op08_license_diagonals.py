@@ -121,7 +121,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=(*TEMPLATES, *LICENSES)) ->
     One row a document row. Null and empty texts have no words, no labels and score 0. score: the largest share of a
     template's words found, 1 where a base phrase stands. The text's end is joined as a gram of its own, so a document
     without a hit still gives its row. A row is told apart by its place in the scan: repeated or null doc_ids do no harm.
-    Other columns are ignored."""
+    Very long texts are scanned whole; of templates that cover equally all labels are told; no rows give none. Other columns
+    are ignored."""
     spark = docs.sparkSession
     base_n = len(phrases)
     texts = [(i, p.split()) for i, (p, _) in enumerate([*phrases, *templates])]

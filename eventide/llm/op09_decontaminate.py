@@ -182,7 +182,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, in all their columns, in which no benchmark window occurs; null and empty texts stay."""
+    """The documents, in all their columns, in which no benchmark window occurs; null and empty texts stay. Repeated rows go
+    or stay together; very long texts are scanned whole; an empty benchmark keeps all, an empty table gives no rows."""
     shards = dealt(benchmark)
     if len(shards) > 1:
         rows = stored(packed(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")

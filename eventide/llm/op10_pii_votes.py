@@ -203,7 +203,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Base spans always stay; further candidates are added where the span classifier gives at least one half. Null and empty
     texts have no spans; without any candidate in the table nothing is learnt and nothing added. Repeated rows get equal
-    spans. Other columns are ignored."""
+    spans; very long texts are scanned whole; spans of one place keep the order of their kinds; no rows give none. Other
+    columns are ignored."""
     rows = stored(scanned(docs.select("doc_id", "text")).drop("text"), "candidates")
     each = rows.select(F.explode(F.concat("_base", "_more")).alias("s"))
     counts = {(r.votes, r.traits): float(r.n) for r in each.groupBy("s.votes", "s.traits").agg(F.count("*").alias("n")).collect()}  # 3**4 * 2**5 at most

@@ -335,6 +335,32 @@ def test_very_long_texts(spark):
     assert got[1].n_tokens == 600_001 and all(math.isfinite(r.score) for r in got.values())
 
 
+def test_very_long_texts_through_the_stages(spark, tmp_path):
+    rows = [(1, "long words " * 200_000), (2, "long words " * 200_000), (3, "x" * 2_000_000), (4, "token=abcdef12 " * 30_000), (5, None), (6, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    labels, bench = tables(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {name: {r.doc_id: r.text for r in stage(spark, docs, str(tmp_path)).collect()} for name, stage in cp.STAGES}
+    texts = dict(rows)
+    assert all(texts[i] == t for name in ("quality", "near_dedup", "decontamination", "mixing") for i, t in out[name].items())
+    assert set(out["near_dedup"]) == {1, 3, 4, 5, 6} and set(out["decontamination"]) == set(texts)
+    assert out["secret_scan"][4] == "[SECRET] " * 30_000 and out["secret_scan"][3] == texts[3]
+    page = spark.createDataFrame([("p", "<p>" + "word " * 400_000 + "<img src=x></p>" * 3)], "page_id string, html string")
+    got = media.page_sequences(page, media.described(media.media_table(docs))).first()
+    assert (got.n_words, got.n_media, got.n_resolved) == (400_000, 3, 0)
+
+
+def test_equal_keys_stay_or_go_together(spark):
+    rows = [(i % 3, 10, -2.0) for i in range(30)] + [(None, 10, -2.0)] * 4 + [(50 + i, 10, 50.0) for i in range(5)]
+    got = dsir.with_decision(spark.createDataFrame(rows, "doc_id long, _n long, _w double").repartition(3)).collect()
+    fates = {}
+    for r in got:
+        fates.setdefault(r["_key"], set()).add(r["_kept"])
+    assert len(got) == 39 and all(len(f) == 1 for f in fates.values()) and len(fates) == 4 + 5
+    assert dsir.with_decision(spark.createDataFrame([], "doc_id long, _n long, _w double")).count() == 0
+
+
 def test_several_automata_find_what_one_finds(spark, sf_dir, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "one two"), (None, "x one, TWO y"), (-3, "one"), (-3, "one")], "doc_id long, text string")
