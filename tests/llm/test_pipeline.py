@@ -28,5 +28,5 @@ def test_stages_in_order(spark, sf_dir):
 
 
 def test_registered_names():
-    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
     assert [n for n, _ in cp.STAGES] == ["quality", "near_dedup", "decontamination", "secret_scan", "mixing"]
