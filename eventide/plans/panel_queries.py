@@ -378,7 +378,7 @@ def _(spark, d):
 
 
 @register("t17_fold_cuts", f"""with {_LONG}, dd as (select distinct session_date from lg), k as (select fold::int as fold, session_date, row_number() over (partition by fold order by md5('7:' || fold || ':' || session_date)) as k, count(*) over (partition by fold) as n from dd, generate_series(0, 9) as t(fold)),
-fd as (select fold, session_date from k where k <= greatest(1, floor(n * 0.5))), q as (select fold, feature, unnest(quantile_cont(x, [0.25, 0.5, 0.75])) as cut from lg join fd using (session_date) group by 1, 2 having count(*) >= 50)
+fd as (select fold, session_date from k where k <= greatest(1, floor(n * 0.5))), q as (select fold, feature, unnest(quantile_cont(x, [0.25, 0.5, 0.75])) as cut from lg join fd using (session_date) where feature in (select feature from lg group by 1 having count(distinct x) > 4) group by 1, 2 having count(*) >= 50)
 select distinct fold, feature, round(cut, 9) as cut from q""", "cut")
 def _(spark, d):
     """Quartiles of each feature over the days of ten half samples."""
