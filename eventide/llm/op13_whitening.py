@@ -26,7 +26,7 @@ SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
 #: Centred rows of a block are first turned by an orthogonal transform, which leaves at most as many rows as there are
 #: dimensions and the same scatter; each of these is a rank-one update. 1: every vector is an update of its own.
-BLOCK = 256
+BLOCK = 2048
 #: Spectra that a task combines.
 FAN = 16
 _EPS = np.finfo(float).eps
