@@ -46,12 +46,15 @@ def range_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, r
 
 
 def effective_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, from_col: str = "effective_from", to_col: str = "effective_to") -> DataFrame:
-    """Slowly changing dimension: the version whose validity holds at the row's time."""
-    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
-    on = (F.col(ts) >= F.col(f"_r_{from_col}")) & (F.col(f"_r_{to_col}").isNull() | (F.col(ts) < F.col(f"_r_{to_col}")))
-    for k in by:
-        on = on & (F.col(k) == F.col(f"_r_{k}"))
-    return left.join(r, on, "left").select(*left.columns, *[F.col(f"_r_{c}").alias(c) for c in right.columns if c not in left.columns])
+    """Slowly changing dimension: the version whose validity holds at the row's time, null where none does. Versions of a key
+    don't overlap; empty ones (that end as they begin) don't count. As the last version that has begun is the only one
+    that can hold, this is an as-of join: a row never meets the other versions of its key."""
+    versions = right.filter(F.col(from_col).isNotNull() & (F.col(to_col).isNull() | (F.col(to_col) > F.col(from_col))))
+    new = [c for c in right.columns if c not in left.columns]
+    held = versions.select(*by, F.col(from_col).alias("_from"), F.struct(F.col(to_col).alias("_until"), *new).alias("_version"))
+    out = asof_join(left, held, by, ts, "_from", ["_version"])
+    holds = F.col("_version").isNotNull() & (F.col("_version._until").isNull() | (F.col(ts) < F.col("_version._until")))
+    return out.select(*left.columns, *[F.when(holds, F.col(f"_version.{c}")).alias(c) for c in new])
 
 
 def overlay_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
