@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import SPACE_WORD, as_bytes, stored
+from eventide.llm.common import SPACE_WORD, as_bytes, small, stored
 
 #: Samples of a row of the image, and the byte that fills the last row.
 WIDTH, FILL = 576, b"\xff"
@@ -169,20 +169,30 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
+#: References to a payload of more copies than this are dealt to several tasks, so many a task.
+HOT = 1000
+
+
 def described(media: DataFrame) -> DataFrame:
-    """One row a digest with what reading the stored bytes back gives. Copies fall together before the join."""
+    """One row a digest, stored, with what reading the stored bytes back gives and how many copies there are. Copies fall
+    together before the join."""
     schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     facts = media.select("digest", "n_bytes", "media").mapInArrow(_described, schema)
     values = facts.columns[1:]
-    return facts.groupBy("digest").agg(F.min(F.struct(*values)).alias("f")).select("digest", "f.*")
+    return stored(facts.groupBy("digest").agg(F.min(F.struct(*values)).alias("f"), F.count("*").alias("copies")).select("digest", "copies", "f.*"), "facts")
 
 
-def resolved(items: DataFrame, media: DataFrame, columns: list[str]) -> DataFrame:
+def resolved(items: DataFrame, media: DataFrame, columns: list[str], hot: int = HOT) -> DataFrame:
     """(id, items) -> one row a media reference: id, pos, caption, digest and the columns of the media table, null for a
-    reference that the table doesn't have. The media table has one row a digest."""
+    reference that the table doesn't have. The media table (described) has one row a digest; that of a payload with many
+    copies stands in several places, among which references to it are dealt by their id."""
     refs = items.select("id", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("x"))
     refs = refs.select("id", F.col("x.pos").alias("pos"), F.col("x.caption").alias("caption"), F.regexp_replace("x.ref", f"^{SCHEME}", "").alias("digest"))
-    return refs.join(media.select("digest", *columns), "digest", "left")
+    parts = F.ceil(F.col("copies") / hot).cast("int")
+    spread = small(media.filter(F.col("copies") > hot).select("digest", parts.alias("_parts")))
+    refs = refs.join(spread, "digest", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("id", "pos"), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    places = media.select("digest", *columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return refs.join(places, ["digest", "_part"], "left").drop("_part")
 
 
 def page_sequences(pages: DataFrame, media: DataFrame) -> DataFrame:

@@ -230,3 +230,15 @@ def test_rank_one_updates_keep_the_spectrum():
         both = white.combined(*parts)
         want = x[:40].T @ x[:40] + 3 * x[40:50].T @ x[40:50]
         assert np.allclose(both[0], np.linalg.eigvalsh(want), atol=1e-10 * both[0].max())
+
+
+def test_references_to_a_hot_payload_are_dealt(spark):
+    from eventide.llm import op02_media_sequences as media
+
+    docs = spark.createDataFrame([(i, "hot" if i % 3 else f"text {i % 40}") for i in range(600)] + [(None, None), (None, "hot")], "doc_id long, text string")
+    facts = media.described(media.media_table(docs))
+    assert {r.copies for r in facts.collect() if r.n_bytes == 3} == {401}
+    digest = facts.filter("n_bytes = 3").first().digest
+    items = spark.createDataFrame([(i, [(0, "media", None, f"{media.SCHEME}{digest if i % 2 else 'none'}", f"c{i}")]) for i in range(300)], f"id long, items array<{media.ITEM}>")
+    one, many = (sorted(map(tuple, media.resolved(items, facts, ["n_bytes"], hot).select("id", "pos", "caption", "digest", "n_bytes").collect())) for hot in (1000, 7))
+    assert one == many and len(one) == 300 and sum(r[-1] == 3 for r in one) == 150 and all(r[2] == f"c{r[0]}" for r in one)
