@@ -11,7 +11,6 @@ from eventide.functions.tdist import t_p_values
 from eventide.operators import events as ev
 from eventide.operators import joins, models
 from eventide.operators import outcomes as oc
-from eventide.operators import statistics as st
 from eventide.operators.features import bar_features, causal_features
 from eventide.sources.bars import SessionSpec, add_session
 
