@@ -134,6 +134,28 @@ def failed_opening_break(bars: DataFrame, opening: int, later: int, minutes: int
     return first_per(back, DAY, [F.col("ts_utc")]).withColumn("side", sided(~F.col("_up"))).drop("_up")
 
 
+def breakout_trap(features: DataFrame, level: str, clock: Clock, minutes: int, up: bool = True) -> DataFrame:
+    """First bar that reaches a level of yesterday (its high, or with up=False its low), then the first later bar within so many
+    minutes that comes back to it, against the break."""
+    rows, at = within(features, clock).filter(F.col(level).isNotNull()), F.col(level)
+    touch, back = (F.col("high") >= at, F.col("low") <= at) if up else (F.col("low") <= at, F.col("high") >= at)
+    first = first_per(rows.filter(touch), DAY, [F.col("ts_utc")]).select(*DAY, F.col("ts_utc").alias("first_ts"))
+    later = (F.col("ts_utc") > F.col("first_ts")) & (F.col("ts_utc") <= F.col("first_ts") + F.make_dt_interval(mins=F.lit(minutes)))
+    return first_per(rows.join(first, DAY).filter(later & back), DAY, [F.col("ts_utc")]).withColumn("side", F.lit("SHORT" if up else "LONG"))
+
+
+def compression_expansion(features: DataFrame, clock: Clock, compress: float, minutes: int, growth: float) -> DataFrame:
+    """First bar whose range of fifteen bars is at most `compress` of the median day's, then the first later bar within so many
+    minutes that spans by itself `growth` times that range, with the bar's colour."""
+    rows = within(features, clock).withColumn("_range", F.col("hi_15") - F.col("lo_15"))
+    tight = F.col("med20").isNotNull() & (F.try_divide("_range", "prev_close") <= compress * F.col("med20"))
+    first = first_per(rows.filter(tight), DAY, [F.col("ts_utc")]).select(*DAY, F.col("ts_utc").alias("first_ts"), F.try_divide("_range", "prev_close").alias("_then"))
+    later = (F.col("ts_utc") > F.col("first_ts")) & (F.col("ts_utc") <= F.col("first_ts") + F.make_dt_interval(mins=F.lit(minutes)))
+    wide = F.try_divide(F.col("high") - F.col("low"), "prev_close") >= growth * F.col("_then")
+    hits = first_per(rows.join(first, DAY).filter(later & wide), DAY, [F.col("ts_utc")])
+    return hits.withColumn("side", sided(F.col("close") >= F.col("open"))).drop("_range", "_then")
+
+
 def scale_agreement(features: DataFrame, clock: Clock, short: float, rvol: float) -> DataFrame:
     """Moves of five and fifteen bars and of yesterday with one sign, the shortest of at least `short`, with volume, at a close
     no lower than the high of the three bars before."""

@@ -76,16 +76,6 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("bar_no", F.row_number().over(by_day()) - 1)
 
 
-def touch_and_follow(bars: DataFrame, first: Column, follow: Column, within: int) -> DataFrame:
-    """First bar of an instrument and day on which `first` holds, and then the first later one, at most `within` bars on, on
-    which `follow` holds. Columns of the first bar are at hand in `follow` as struct `at`."""
-    n = numbered(bars)
-    hit = first_per(n.filter(first), ["instrument_id", "session_date"], [F.col("bar_no")])
-    at = hit.select("instrument_id", "session_date", F.struct(*hit.columns).alias("at"))
-    later = n.join(at, ["instrument_id", "session_date"]).filter((F.col("bar_no") > F.col("at.bar_no")) & (F.col("bar_no") <= F.col("at.bar_no") + within) & follow)
-    return first_per(later, ["instrument_id", "session_date"], [F.col("bar_no")])
-
-
 def hold_near_high(bars: DataFrame, state: DataFrame, window: tuple[int, int], later: tuple[int, int], gap: float, spread: float, near: float) -> DataFrame:
     """Hold near the high: a day that opens at least `gap` over the previous close, whose opening window (minutes of the day,
     end exclusive) has a high above the open, a range of at least `spread` of it, and no close further than `near` below its
@@ -135,9 +125,9 @@ def impulse_pullback(features: DataFrame, impulse: float, rvol: float, look: int
 
 
 def crowded(events: DataFrame, features: DataFrame, gap: float, least: int) -> DataFrame:
-    """Events only of days on which at least `least` instruments gap."""
+    """Events only of days on which at least `least` instruments gap up."""
     opens = first_per(features.filter("is_rth"), ["instrument_id", "session_date"], [F.col("ts_utc")])
-    days = opens.filter(F.abs("gap_pct") >= gap).groupBy("session_date").count().filter(F.col("count") >= least)
+    days = opens.filter(F.col("gap_pct") >= gap).groupBy("session_date").count().filter(F.col("count") >= least)
     return events.join(days, "session_date", "left_semi")
 
 

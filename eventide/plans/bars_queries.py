@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators import events as ev
 from eventide.operators.directional import GAP_SCORE
-from eventide.operators.features import by_day, carried, daily_facts, late_rows
+from eventide.operators.features import carried, daily_facts, late_rows
 from eventide.operators.joins import asof_join, range_join
 from eventide.operators.outcomes import barriers, forward_returns
 from eventide.plans.base import BARS, CAUSAL, DAILY, DESK, FEATURES, causal, features, register, session_bars
@@ -116,12 +116,12 @@ def _(spark, d):
     return ev.cooldown(gap_events(spark, d), 180).select("event_id", "instrument_id")
 
 
-_CROWD = "crowd as (select session_date from (select * from feat where is_rth qualify row_number() over (partition by instrument_id, session_date order by ts_utc) = 1) where abs(gap_pct) >= 0.15 group by 1 having count(*) >= 6)"
+_CROWD = "crowd as (select session_date from (select * from feat where is_rth qualify row_number() over (partition by instrument_id, session_date order by ts_utc) = 1) where gap_pct >= 0.15 group by 1 having count(*) >= 4)"
 
 
 @register("e11_crowded_days", f"with {_EVENTS}, {_CROWD} select event_id, session_date from evt where session_date in (select session_date from crowd)")
 def _(spark, d):
-    return ev.crowded(gap_events(spark, d), features(spark, d), 0.15, 6).select("event_id", "session_date")
+    return ev.crowded(gap_events(spark, d), features(spark, d), 0.15, 4).select("event_id", "session_date")
 
 
 def _job(name: str, where: str, side: str, sql_side: str | None = None):
@@ -139,7 +139,8 @@ _MOST = "minutes_from_open between 30 and 780"
 JOBS = [
     ("e5_weekday_gap", "weekday = 1 and abs(gap_pct) >= 0.1", "case when gap_pct > 0 then 'SHORT' else 'LONG' end"),
     ("e8_quiet_volume_shock", "rvol_5m >= 1.1 and abs(ret_5m) <= 0.25", "'LONG'"),
-    ("e13_first_yday_tag", "high >= yday_high or low <= yday_low", "case when high >= yday_high then 'LONG' else 'SHORT' end"),
+    ("e13_first_yday_tag", "minutes_from_open between 15 and 800 and high >= yday_high", "'SHORT'"),
+    ("e13_first_yday_low_tag", "minutes_from_open between 15 and 800 and low <= yday_low", "'LONG'"),
     ("e16_gap_absorb", f"{_MOST} and gap_pct >= 0.05 and rvol_5m >= 0.9 and abs(ret_5m) <= 0.6 and close >= vwap_15m", "'LONG'"),
     ("e16_gap_absorb_fade", f"{_MOST} and gap_pct >= 0.05 and rvol_5m >= 0.9 and abs(ret_5m) <= 0.6 and close >= vwap_15m", "'SHORT'"),
     ("e19_gap_down_reclaim", "minutes_from_open between 20 and 400 and yday_ret > 0 and gap_pct <= -0.03 and close >= rth_open", "'LONG'"),
@@ -160,8 +161,6 @@ JOBS = [
 for _name, _where, _side in JOBS:
     _job(_name, _where, _side)
 
-_NUM = "num as (select *, row_number() over (partition by instrument_id, session_date order by ts_utc) - 1 as bar_no from ses where is_rth)"
-
 
 @register("e6_hold_near_high", f"""with {DAILY}, w as (select instrument_id, session_date, arg_min(open, ts_utc) as rth_open, max(high) as high_w, min(low) as low_w, min(close) as min_c from ses where is_rth and minute_of_day < 480 group by all),
 s as (select w.* from w join carried using (instrument_id, session_date) where w.rth_open / nullif(prev_close, 0) - 1 >= 0.15 and high_w > w.rth_open and (high_w - low_w) / nullif(w.rth_open, 0) >= 0.002 and min_c >= high_w * (1 - 0.8))
@@ -179,27 +178,6 @@ def _(spark, d):
     return ev.stamp(rows, "e7_parabolic", "SHORT", M).select("event_id", "side")
 
 
-_CNUM = "cn as (select *, row_number() over (partition by instrument_id, session_date order by ts_utc) - 1 as bar_no from causal)"
-
-
-@register("e9_failed_breakout_trap", f"""with {CAUSAL}, {_CNUM}, h as (select * from cn where high >= yday_high and low > yday_low qualify row_number() over (partition by instrument_id, session_date order by bar_no) = 1)
-select c.instrument_id, c.session_date, c.ts_utc, h.ts_utc as first_ts from cn c join h using (instrument_id, session_date) where c.bar_no > h.bar_no and c.bar_no <= h.bar_no + 3 and c.low <= h.yday_low
-qualify row_number() over (partition by c.instrument_id, c.session_date order by c.bar_no) = 1""")
-def _(spark, d):
-    out = ev.touch_and_follow(causal(spark, d), (F.col("high") >= F.col("yday_high")) & (F.col("low") > F.col("yday_low")), F.col("low") <= F.col("at.yday_low"), 3)
-    return out.select("instrument_id", "session_date", "ts_utc", F.col("at.ts_utc").alias("first_ts"))
-
-
-@register("e10_compression_expansion", f"""with {CAUSAL}, {_CNUM}, h as (select * from cn where range_5m <= 0.5 * prev_close and bar_no >= 2 qualify row_number() over (partition by instrument_id, session_date order by bar_no) = 1)
-select c.instrument_id, c.session_date, c.ts_utc, case when c.close >= c.open then 'LONG' else 'SHORT' end as side from cn c join h using (instrument_id, session_date)
-where c.bar_no > h.bar_no and c.bar_no <= h.bar_no + 4 and c.range_5m >= 1.5 * h.range_5m qualify row_number() over (partition by c.instrument_id, c.session_date order by c.bar_no) = 1""")
-def _(spark, d):
-    first = (F.col("range_5m") <= 0.5 * F.col("prev_close")) & (F.row_number().over(by_day()) > 2)
-    rows = causal(spark, d).withColumn("_ok", first)
-    out = ev.touch_and_follow(rows, F.col("_ok"), F.col("range_5m") >= 1.5 * F.col("at.range_5m"), 4)
-    return out.select("instrument_id", "session_date", "ts_utc", F.when(F.col("close") >= F.col("open"), "LONG").otherwise("SHORT").alias("side"))
-
-
 def _impulse_sql(impulse: float) -> str:
     return f"""with {CAUSAL}, n as (select instrument_id, session_date, ts_utc, close, ret_3m as r, rvol_5m as v, row_number() over w - 1 as b, sum(volume_1m) over (w rows between unbounded preceding and current row) as sum_v, avg(volume_1m) over (w rows between 9 preceding and current row) as mean_v, lag(hi_3) over w as hb, lag(lo_3) over w as lb from causal window w as (partition by instrument_id, session_date order by ts_utc)),
 i as (select instrument_id, session_date, b as i, sign(r) as d, close as peak, abs(r) * close as size, sum_v as sum_i, mean_v from n where abs(r) >= {impulse} and v >= 0.9),

@@ -104,6 +104,19 @@ def _(x):
     return dr.failed_opening_break(x, 60, 60, 90)
 
 
+for _name, _level, _up in (("e9_failed_breakout_trap", "yday_high", True), ("e9_failed_breakdown_trap", "yday_low", False)):
+    _touch, _back = (f"high >= {_level}", f"low <= {_level}") if _up else (f"low <= {_level}", f"high >= {_level}")
+    _family(_name, f"""n as (select * from causal where {_MOST} and {_level} is not null), f as (select {_DAY}, min(ts_utc) as first_ts from n where {_touch} group by all),
+    hits as (select n.*, '{'SHORT' if _up else 'LONG'}' as side from n join f using ({_DAY}) where ts_utc > first_ts and ts_utc <= first_ts + interval 90 minute and {_back})""")(lambda x, level=_level, up=_up: dr.breakout_trap(x, level, _W, 90, up))
+
+
+@_family("e10_compression_expansion", f"""n as (select *, (hi_15 - lo_15) / nullif(prev_close, 0) as rg from causal where {_MOST}),
+    f as (select {_DAY}, ts_utc as first_ts, rg as rg_then from n where med20 is not null and rg <= 1.5 * med20 qualify row_number() over ({_OF_DAY} ts_utc) = 1),
+    hits as (select n.*, case when close >= open then 'LONG' else 'SHORT' end as side from n join f using ({_DAY}) where ts_utc > first_ts and ts_utc <= first_ts + interval 90 minute and (high - low) / nullif(prev_close, 0) >= 0.3 * rg_then)""")
+def _(x):
+    return dr.compression_expansion(x, _W, 1.5, 90, 0.3)
+
+
 @_family("e35_scale_agreement", f"""lg as (select *, lag(hi_3) over w as high_before from causal where {_MOST} window w as ({_OF_DAY} ts_utc)),
     hits as (select *, case when ret_5m > 0 then 'LONG' else 'SHORT' end as side from lg where sign(ret_5m) = sign(ret_15m) and sign(ret_15m) = sign(yday_ret) and abs(ret_5m) >= 0.1 and rvol_5m >= 1 and close >= high_before)""")
 def _(x):

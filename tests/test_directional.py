@@ -299,3 +299,29 @@ def test_two_attempts(days, frame, up):
                         break
     assert {j for *_, j in want} == {"succ", "fail"}
     assert found(fam.two_attempts(frame, "yday_high" if up else "yday_low", CLOCK, 5, 0.003, up), "job") == said(want)
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_breakout_trap(days, frame, up):
+    want, level = [], "yday_high" if up else "yday_low"
+    for rows in days.values():
+        w, at = inside(rows), rows[0][level]
+        if at is None:
+            continue
+        first = next((r for r in w if (r["high"] >= at if up else r["low"] <= at)), None)
+        if first:
+            hit = next((r for r in w if first["ts_utc"] < r["ts_utc"] <= first["ts_utc"] + dt.timedelta(minutes=15) and (r["low"] <= at if up else r["high"] >= at)), None)
+            want += [(hit, "SHORT" if up else "LONG")] if hit else []
+    assert want and found(dr.breakout_trap(frame, level, CLOCK, 15, up)) == said(want)
+
+
+def test_compression_expansion(days, frame):
+    want = []
+    for rows in days.values():
+        w = inside(rows)
+        first = next((r for r in w if ok(lambda: (r["hi_15"] - r["lo_15"]) / r["prev_close"] <= 0.8 * r["med20"])), None)  # noqa: B023
+        if first:
+            span = (first["hi_15"] - first["lo_15"]) / first["prev_close"]
+            hit = next((r for r in w if first["ts_utc"] < r["ts_utc"] <= first["ts_utc"] + dt.timedelta(minutes=30) and (r["high"] - r["low"]) / r["prev_close"] >= 1.5 * span), None)
+            want += [(hit, "LONG" if hit["close"] >= hit["open"] else "SHORT")] if hit else []
+    assert want and found(dr.compression_expansion(frame, CLOCK, 0.8, 30, 1.5)) == said(want)
