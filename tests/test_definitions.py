@@ -206,17 +206,17 @@ def test_a_hundred_trees_take_the_jobs_of_one(spark):
     p = planted(spark, 3000, noise=0.3).cache()
     sc = spark.sparkContext
 
-    def jobs_of(f):
-        sc.setJobGroup(f"g{id(f)}", "")
+    def jobs_of(name, f):
+        sc.setJobGroup(name, "")
         out = f()
-        return out, len(sc.statusTracker().getJobIdsForGroup(f"g{id(f)}"))
+        return out, len(sc.statusTracker().getJobIdsForGroup(name))
 
     one = tree.half_samples(p.select("session_date"), "session_date", 1)
     many = tree.half_samples(p.select("session_date"), "session_date", 100)
     assert {r.n for r in many.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {10} and many.select("fold").distinct().count() == 100
     tree_args = (["a", "b", "flag"], "y", 2, 0.05, 50)
-    _, few = jobs_of(lambda: tree.forest(p, one, *tree_args))
-    grown, all_ = jobs_of(lambda: tree.forest(p, many, *tree_args))
+    _, few = jobs_of("one tree", lambda: tree.forest(p, one, *tree_args))
+    grown, all_ = jobs_of("many trees", lambda: tree.forest(p, many, *tree_args))
     assert all_ <= few + 12, (few, all_)  # adaptive stages differ by a few; a hundred times as many they aren't
     assert sum({f for r in own for f, _, _ in r.path} >= {"a", "flag"} for own in grown.values()) >= 95
     for fold in (3, 71):
