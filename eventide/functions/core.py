@@ -165,6 +165,30 @@ def exact_percentiles(df: DataFrame, keys: list[str], x: str, ps: tuple[float, .
     return out if keys else out.drop("_all")
 
 
+#: A group's values are dealt to so many buckets for ranking.
+RANK_BUCKETS = 256
+
+
+def wide_rank(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
+    """Adds the average rank of x among its group's values, null for a null x, for groups of any size: equal values are first
+    counted, so that a frequent one is a single row; distinct values are dealt to buckets by a sketch and ranked within
+    their bucket, and a table of buckets tells how many rows lie below. Ranks come back by a join on the value, whose
+    right side has each value once: a hot value is a skewed partition that adaptive execution splits."""
+    values = stored(df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_v")).agg(F.count("*").alias("_c")), "values")
+    parts = F.array(*[F.lit(i / RANK_BUCKETS) for i in range(1, RANK_BUCKETS)])
+    cuts = small(values.groupBy(*keys).agg(F.percentile_approx("_v", parts, F.lit(10_000)).alias("_cuts")))
+    dealt = values.join(cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    upward = Window.partitionBy(*keys).orderBy("_b")
+    below = dealt.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n")).withColumn("_before", F.sum("_n").over(upward) - F.col("_n")).drop("_n")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.join(small(below), [*keys, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    ranks = dealt.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_v", (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(out))
+    on = F.col(x) == F.col("_v")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(ranks, on, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
+
+
 def drawn(seed: int, replicate: str, slot: str, n: str) -> Column:
     """A number from 0 to n - 1 from a hash of (seed, replicate, slot): independent draws, the same in any order and anywhere."""
     said = F.concat_ws(":", F.lit(str(seed)), F.col(replicate).cast("string"), F.col(slot).cast("string"))

@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.core import first_per, with_bh
+from eventide.functions.core import first_per, stored, with_bh
 from eventide.functions.tdist import t_p
 from eventide.operators.rules import stage_reason
-from eventide.operators.statistics import day_agreement, summary
+from eventide.operators.statistics import bootstrap, day_agreement, summary
 
 
 @dataclass(frozen=True)
@@ -68,6 +68,16 @@ def stage_summary(returns: DataFrame, primary: str) -> DataFrame:
     return summary(r, keys).join(names, keys).join(days, keys).withColumn("is_primary", F.col("horizon") == primary)
 
 
+def primary_bootstrap(returns: DataFrame, primary: str, replicates: int, absolute: bool = False) -> DataFrame:
+    """A row a job: mean of its returns on the primary horizon, day-block bootstrap bounds and p, and the share of days whose
+    mean is above 0. With `absolute` sizes count instead of returns (jobs without a side). Other horizons aren't drawn."""
+    x = F.abs("forward_return") if absolute else F.col("forward_return")
+    r = stored(returns.filter((F.col("horizon") == primary) & F.col("forward_return").isNotNull()).select("job_id", "session_date", x.alias("forward_return")), "primary")
+    means = r.groupBy("job_id").agg(F.count("*").alias("n"), F.avg("forward_return").alias("mean"))
+    days = r.groupBy("job_id", "session_date").agg(F.avg("forward_return").alias("m")).groupBy("job_id").agg(F.avg((F.col("m") > 0).cast("double")).alias("positive_days"))
+    return means.join(days, "job_id").join(bootstrap(r, ["job_id"], replicates), "job_id")
+
+
 def with_p_values(stage: DataFrame, q: float = 0.10) -> DataFrame:
     """Adds p of the primary horizon's t statistic over days, and q values over all jobs of the stage; other horizons have
     none."""

@@ -87,18 +87,24 @@ def certified(days: DataFrame, jumps: DataFrame, overnight: DataFrame, extreme:
     return t.select(F.inline(F.concat("c", F.array(overall))))
 
 
-def extremes(bars: DataFrame, price: float, volume: float, move: float, k: int) -> DataFrame:
-    """The k largest prices, volumes and one-bar moves (within a day) of at least so much: (kind, instrument, time, value)."""
+def extremes(bars: DataFrame, price: float, volume: float, move: float, k: int | None, low: float | None = None) -> DataFrame:
+    """The k largest (all, without k) prices, volumes and one-bar moves (within a day) of at least so much, and with `low` the
+    k smallest closes above 0 and up to it: (kind, instrument, time, value). Each of 64 salts first keeps its own k."""
     step = Window.partitionBy("instrument_id", "session_date").orderBy("ts_utc")
     moved = F.abs(F.try_divide("close", F.lag("close").over(step)) - 1)
-    kinds = F.array(
-        F.struct(F.lit("price").alias("kind"), F.col("high").alias("value"), F.lit(price).alias("least")),
-        F.struct(F.lit("volume").alias("kind"), F.col("volume").alias("value"), F.lit(volume).alias("least")),
-        F.struct(F.lit("move").alias("kind"), F.col("_move").alias("value"), F.lit(move).alias("least")),
-    )
-    hits = bars.withColumn("_move", moved).select("instrument_id", "ts_utc", F.explode(F.filter(kinds, lambda x: x["value"] >= x["least"])).alias("x")).select("instrument_id", "ts_utc", "x.kind", "x.value")
-    w = Window.partitionBy("kind").orderBy(F.desc("value"), "instrument_id", "ts_utc")
-    return hits.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
+    one = lambda kind, value, hit: F.struct(F.lit(kind).alias("kind"), value.alias("value"), hit.alias("hit"))
+    kinds = [one(kind, F.col(c), F.col(c) >= least) for kind, c, least in (("price", "high", price), ("volume", "volume", volume), ("move", "_move", move))]
+    if low is not None:
+        kinds.append(one("low", F.col("close"), (F.col("close") > 0) & (F.col("close") <= low)))
+    hits = bars.withColumn("_move", moved).select("instrument_id", "ts_utc", F.explode(F.filter(F.array(*kinds), lambda x: x["hit"])).alias("x")).select("instrument_id", "ts_utc", "x.kind", "x.value")
+    if k is None:
+        return hits
+    size = F.when(F.col("kind") == "low", -F.col("value")).otherwise(F.col("value"))
+    hits = hits.withColumn("_salt", F.pmod(F.xxhash64("instrument_id", "ts_utc"), F.lit(64)))
+    for group in (["kind", "_salt"], ["kind"]):
+        w = Window.partitionBy(*group).orderBy(size.desc(), "instrument_id", "ts_utc")
+        hits = hits.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k)
+    return hits.drop("_k", "_salt")
 
 
 def reference_coverage(instruments: DataFrame, bars: DataFrame) -> DataFrame:
@@ -110,6 +116,33 @@ def reference_coverage(instruments: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
+def identity_counts(instruments: DataFrame) -> DataFrame:
+    """What a reference table tells of identity, in one grouping: (aspect, value, n, with_figi) by activity and by exchange.
+    Instruments known by FIGI have ids that begin with figi:."""
+    aspects = F.array(F.struct(F.lit("active").alias("aspect"), F.col("active").cast("string").alias("value")), F.struct(F.lit("exchange").alias("aspect"), F.col("exchange").alias("value")))
+    each = instruments.select("instrument_id", F.explode(aspects).alias("a"))
+    return each.groupBy("a.aspect", "a.value").agg(F.count("*").alias("n"), F.count_if(F.startswith("instrument_id", F.lit("figi:"))).alias("with_figi"))
+
+
+def news_onset(periods: DataFrame, period: str, rate: str = "rate", articles: str = "n", reliable: float = 0.8, usable: float = 0.5, least: int = 50) -> DataFrame:
+    """The first period with enough articles and a reliable rate; where there is none, the first with a usable one; else no row.
+    Adds which level it was. One row a period takes part."""
+    p = periods.filter((F.col(articles) >= least) & (F.col(rate) >= usable))
+    level = F.when(F.col(rate) >= reliable, "reliable").otherwise("usable")
+    return p.withColumn("level", level).orderBy("level", period).limit(1)
+
+
+def column_drift(df: DataFrame, day: str) -> DataFrame:
+    """A row a day: its rows, and which columns it has that the first day lacks (added) or lacks that the first day has
+    (missing), as comma-joined names in order. A column is there if it has a value; one pass over all columns."""
+    names = sorted(c for c in df.columns if c != day)
+    present = F.array_compact(F.array(*[F.when(F.count(f"`{c}`") > 0, F.lit(c)) for c in names]))
+    d = df.groupBy(day).agg(F.count("*").alias("rows"), present.alias("_has"))
+    first = d.agg(F.min_by("_has", day).alias("_first"))
+    said = lambda a, b: F.array_join(F.array_except(a, b), ",")
+    return d.crossJoin(F.broadcast(first)).select(day, "rows", said("_has", "_first").alias("added"), said("_first", "_has").alias("missing"))
+
+
 def news_checks(news: DataFrame) -> DataFrame:
     """Rows, repeated (instrument, article) pairs, nulls, scores outside -1 to 1, and insights available before they are
     published."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.core import correlation, drawn, exact_percentiles, small, stored, with_top
+from eventide.functions.core import correlation, drawn, exact_percentiles, small, stored, wide_rank, with_top
+from eventide.functions.tdist import t_p
 
 
 def summary(returns: DataFrame, keys: list[str], x: str = "forward_return", day: str = "session_date") -> DataFrame:
@@ -94,6 +95,33 @@ def day_association(panel: DataFrame, features: list[str], target: str, day: str
     return s.withColumn("t_stat", F.try_divide(F.col("mean_rho") * F.sqrt("days"), F.col("sd"))).drop("sd")
 
 
+def row_association(panel: DataFrame, features: list[str], target: str, day: str = "session_date", least_rows: int = 30, least_days: int = 8) -> DataFrame:
+    """Rank correlation of each feature with the target over all rows that have both: feature, n, days, distinct, rho,
+    t_stat and p (n - 2 degrees of freedom). p is 1 with fewer rows or days than asked for, and where one side doesn't
+    vary; rows of a day aren't independent, so that days guard the test. Ranks are average ones over the whole table."""
+    long = panel.select(day, F.col(target).cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("f"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    long = stored(long.select(day, "y", "f.*").filter(finite("x") & finite("y")), "pairs")
+    ranked = wide_rank(wide_rank(long, ["feature"], "x", "rx"), ["feature"], "y", "ry")
+    s = ranked.groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct(day).alias("days"), F.countDistinct("x").alias("distinct"), correlation("rx", "ry").alias("rho"))
+    s = s.withColumn("t_stat", F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("rho") * F.col("rho"))))
+    tested = (F.col("n") >= least_rows) & (F.col("days") >= least_days) & F.col("rho").isNotNull()
+    p = F.when(~tested, 1.0).when(F.abs("rho") >= 1, 0.0).otherwise(t_p("t_stat", (F.col("n") - 2).cast("double")))
+    return s.withColumn("p", p)
+
+
+def mechanism_tests(panel: DataFrame, features: list[str], target: str, day: str = "session_date", least_rows: int = 30, least_panel: int = 200) -> DataFrame:
+    """row_association with a status: SIGNAL_ONLY, as an association is no pass, or NOT_EVALUATED (and no p) for a panel of
+    fewer than `least_panel` rows and for features that are constant or have fewer than `least_rows` rows. Every feature has
+    a row."""
+    a = row_association(panel, features, target, day, least_rows)
+    size = panel.agg(F.count("*").alias("_rows"))
+    every = panel.sparkSession.createDataFrame([(f,) for f in features], "feature string").crossJoin(F.broadcast(size)).join(a, "feature", "left")
+    known = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    ok = (F.col("_rows") >= least_panel) & (known("n") >= least_rows) & (known("distinct") > 1)
+    return every.select("feature", known("n").alias("n"), known("distinct").alias("distinct"), F.when(ok, F.col("rho")).alias("rho"), F.when(ok, F.col("p")).alias("p"), F.when(ok, "SIGNAL_ONLY").otherwise("NOT_EVALUATED").alias("status"))
+
+
 def quantile_bank(panel: DataFrame, features: list[str], parts: int = 10) -> DataFrame:
     """Inner quantile cuts of all features: (feature, no, cut)."""
     fs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])

@@ -572,7 +572,7 @@ def _(spark, d):
     even = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("i"), "s_suppkey").alias("instrument_id"))
     actions = even.crossJoin(F.broadcast(days.select(F.col("session_date").alias("effective_date"))))
     gaps = quality.missing_weekdays(days.withColumn("feed", F.lit(0)), ["feed"])
-    return quality.certified(days, quality.coverage_jumps(days), quality.overnight_jumps(daily_facts(bars), actions), quality.extremes(bars, 400.0, 4.0, 5.0, 1_000_000), table(spark, d, "supplier"), gaps)
+    return quality.certified(days, quality.coverage_jumps(days), quality.overnight_jumps(daily_facts(bars), actions), quality.extremes(bars, 400.0, 4.0, 5.0, None), table(spark, d, "supplier"), gaps)
 
 
 @register("a22_news_coverage", """select date_trunc('week', ts)::date as week, count(*)::bigint as rows, count(*) filter (event_type = 'signup')::bigint as positive, count(*) filter (event_type = 'view')::bigint as neutral, count(*) filter (event_type = 'error')::bigint as negative,

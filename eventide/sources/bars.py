@@ -30,6 +30,18 @@ def instrument_of(user: str = "user_id") -> Column:
     return F.concat(F.lit("i"), F.floor(F.col(user) / DESK).cast("long"))
 
 
+def utc_of_micros(micros: Column) -> Column:
+    """A naive UTC time from microseconds since 1970, whatever the session's zone."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
+def utc_of_text(said: Column) -> Column:
+    """A naive UTC time from text: times with an offset or Z are brought to UTC, naive ones are taken as UTC, what is no time
+    is null."""
+    aware = said.rlike(r"[T ]\d\d:.*(Z|[+-]\d\d:?\d\d)$")
+    return F.when(aware, utc_of_micros(F.unix_micros(F.try_to_timestamp(F.when(aware, said))))).otherwise(F.when(~aware, said).try_cast("timestamp_ntz"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,7 +119,7 @@ def read_bar_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.select(
         F.concat(F.lit("ticker:"), F.col("ticker")).alias("instrument_id"),
         "ticker",
-        F.to_timestamp_ntz(F.from_unixtime(F.floor(micros / 1_000_000))).alias("ts_utc"),
+        utc_of_micros(F.floor(micros / 1_000_000) * 1_000_000).alias("ts_utc"),
         *map(number, ("open", "high", "low", "close", "volume")),
         F.col("transactions").cast("long").alias("transactions"),
         F.lit("flatfile").alias("source"),
@@ -130,7 +142,7 @@ def read_aggregates_json(spark: SparkSession, path: str, ticker: str) -> DataFra
     raw = spark.read.schema(kinds).json(path).filter("t is not null")
     bars = raw.select(
         F.lit(f"ticker:{ticker}").alias("instrument_id"),
-        F.to_timestamp_ntz(F.from_unixtime(F.floor(F.col("t") / 1000))).alias("ts_utc"),
+        utc_of_micros(F.floor(F.col("t") / 1000) * 1_000_000).alias("ts_utc"),
         *[F.col(a).alias(b) for a, b in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"), ("vw", "vwap"), ("n", "transactions"))],
     )
     return latest(bars, ["instrument_id", "ts_utc"], ["volume", "close", "open", "high", "low"])
@@ -197,6 +209,6 @@ def flatten_news(articles: DataFrame) -> DataFrame:
     score = F.create_map(F.lit("positive"), F.lit(1), F.lit("neutral"), F.lit(0), F.lit("negative"), F.lit(-1))
     one = articles.select("article_id", "published_utc", "publisher", F.size("tickers").alias("article_ticker_count"), F.to_json("keywords").alias("keywords"), F.explode("insights").alias("i"))
     return one.select(
-        "article_id", F.col("i.ticker").alias("ticker"), F.to_timestamp_ntz("published_utc").alias("published_ts"), "publisher", "article_ticker_count", "keywords",
+        "article_id", F.col("i.ticker").alias("ticker"), utc_of_text(F.col("published_utc").cast("string")).alias("published_ts"), "publisher", "article_ticker_count", "keywords",
         F.col("i.sentiment").alias("sentiment"), score[F.lower("i.sentiment")].alias("sentiment_score"),
     ).filter("sentiment_score is not null and ticker is not null")

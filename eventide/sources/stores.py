@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.operators.joins import overlay_join
 from eventide.sources.bars import read_bar_csv, write_bars
 
 
@@ -32,12 +33,13 @@ def resolved(spark: SparkSession, root: str, name: str) -> tuple[str, DataFrame]
 
 
 def load_panel(spark: SparkSession, path: str, overlay: str | None, days: list[str], columns: list[str]) -> DataFrame:
-    """Some days and columns of a panel, with an overlay's columns joined on instrument, day and clock."""
+    """Some days and columns of a panel, with an overlay's columns joined on instrument, day and clock; repeated keys of an
+    overlay are an error."""
     keys = ["instrument_id", "trading_date", "minute_of_day"]
     panel = spark.read.parquet(path).filter(F.col("trading_date").isin(*days))
     if overlay:
         more = spark.read.parquet(overlay).filter(F.col("trading_date").isin(*days))
-        panel = panel.join(more.select(*keys, *[c for c in more.columns if c not in panel.columns]), keys, "left")
+        panel = overlay_join(panel, more.select(*keys, *[c for c in more.columns if c not in panel.columns]), keys)
     return panel.select(*columns)
 
 
@@ -127,6 +129,24 @@ def manifest_status(spark: SparkSession, path: str) -> DataFrame:
     return last.groupBy("status").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.try_divide(F.sum("bytes"), F.sum("seconds")).alias("bytes_per_second"))
 
 
+def ingest_progress(spark: SparkSession, path: str, expected: int) -> DataFrame:
+    """One row over landed manifests (JSON lines: file, status, conversion, bytes, rows, at), by the last line of each file:
+    files expected, downloaded, converted and failed, bytes, rows, files a second between the first and the last
+    download, and the seconds that the rest will take at that rate."""
+    m = spark.read.schema("file string, status string, conversion string, bytes long, rows long, at string").json(path)
+    last = m.groupBy("file").agg(F.max_by(F.struct("status", "conversion", "bytes", "rows", "at"), "at").alias("m")).select("m.*")
+    done, converted = F.col("status").isin("downloaded", "skipped_verified"), F.col("conversion") == "ok"
+    failed = (F.col("status") == "failed") | F.coalesce(F.col("conversion") == "failed", F.lit(False))
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0).cast("long"))
+    at = F.when(done, F.unix_micros(F.try_to_timestamp("at")))
+    s = last.agg(
+        F.lit(expected).cast("long").alias("expected"), F.count_if(done).alias("downloaded"), F.count_if(converted).alias("converted"), F.count_if(failed).alias("failed"),
+        total("bytes", done).alias("bytes"), total("rows", converted).alias("rows"), ((F.max(at) - F.min(at)) / 1e6).alias("_elapsed"),
+    )
+    s = s.withColumn("files_per_second", F.try_divide("downloaded", "_elapsed"))
+    return s.withColumn("seconds_left", F.try_divide(F.greatest(F.lit(0), F.col("expected") - F.col("downloaded")), F.col("files_per_second"))).drop("_elapsed")
+
+
 def spec_hash(spec: dict) -> str:
     """SHA-256 of a specification as JSON with sorted keys and no spaces."""
     return hashlib.sha256(json.dumps(spec, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()

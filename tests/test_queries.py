@@ -16,6 +16,7 @@ CHOSEN = [
     "j8_news_window", "t2_bootstrap", "g2_loo_market", "q1_by_date", "x_union_except", "e45_news_state",
     "e22_failed_opening_break", "e27_breakout_window", "e28_rank_states", "e30_shock_resolution", "e32_opening_dislocation", "t17_feature_stability", "t19_split_verdict", "t21_directional_gate",
     "o1_full_outcomes", "g10_enriched_grid", "e39_news_then_price", "k6_tested_edges", "m8_picked_penalty", "q9_verdict", "t17_fold_cuts", "t25_family_pairs", "w13_trigger_window",
+    "s1_mixed_schemas", "s6_landed_csv", "s14_flattened_news", "a25_ingest_progress", "t6_row_association", "k13_row_tests", "stream_finished_bars", "stream_carried_days", "a12_primary_bootstrap", "q12_column_drift",
 ]
 
 
