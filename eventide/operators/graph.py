@@ -175,6 +175,21 @@ def lineage(weeks: DataFrame, pairs: DataFrame, tests: DataFrame, graph: DataFra
     return out.select("as_of", "names", "usable", "clocks", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("structural", "tests", "survivors", "edges")], "median_abs_r")
 
 
+def overlay_days(overlay: DataFrame, value: str, least: int = 50, near: float = 1e-12) -> DataFrame:
+    """A row a day of what was joined to it: rows, rows with a graph, repeated keys, and for days with more than `least` rows
+    with a graph whether the gap to the leaders is but the negative own value for most rows (the leaders then say nothing)
+    and whether all leaders' shocks are one value. Counts only, so that no task holds a day."""
+    has = F.col("graph_available")
+    alias = F.abs(F.col("response_gap") + F.col(value)) < near
+    d = overlay.groupBy("trading_date").agg(
+        F.count("*").alias("rows"), F.count_if(has).alias("available"), (F.count("*") - F.countDistinct("instrument_id", "minute_of_day")).alias("repeated"),
+        F.count(F.when(has, F.col("response_gap") + F.col(value))).alias("_gaps"), F.count_if(has & alias).alias("_same"),
+        F.countDistinct(F.when(has, F.col("leader_shock"))).alias("_shocks"),
+    )
+    enough = F.col("available") > least
+    return d.select("trading_date", "rows", "available", "repeated", (enough & (2 * F.col("_same") > F.col("_gaps"))).alias("aliased"), (enough & (F.col("_shocks") <= 1)).alias("constant"))
+
+
 def overlay_checks(edges: DataFrame, hist: DataFrame) -> DataFrame:
     """Whether a graph is fit to be joined: edges, edges whose history reaches their own week, repeated edges, self-edges."""
     ends = hist.groupBy("as_of").agg(F.max("trading_date").alias("history_end"))

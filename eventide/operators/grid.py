@@ -34,10 +34,11 @@ def grid_of(causal: DataFrame) -> DataFrame:
 
 def with_loo_market(df: DataFrame, keys: list[str], r: str, out: str, weight: str = "weight") -> DataFrame:
     """Adds the weighted mean of r of all others in a cross-section. Weights are clipped to their 1st and 99th percentile;
-    rows without return or weight count for nothing."""
+    rows without return, or without a weight above 0, count for nothing."""
     w = Window.partitionBy(*keys)
     q = F.percentile(weight, F.array(F.lit(0.01), F.lit(0.99))).over(w)
-    df = df.withColumn("_q", q).withColumn("_w", F.when(F.col(weight).isNotNull() & F.col(r).isNotNull(), F.least(F.col("_q")[1], F.greatest(F.col("_q")[0], F.col(weight)))))
+    clipped = F.least(F.col("_q")[1], F.greatest(F.col("_q")[0], F.col(weight)))
+    df = df.withColumn("_q", q).withColumn("_w", F.when(F.col(weight).isNotNull() & F.col(r).isNotNull() & (clipped > 0), clipped))
     own, own_r = F.coalesce("_w", F.lit(0.0)), F.coalesce(F.col("_w") * F.col(r), F.lit(0.0))
     total, total_r = F.coalesce(F.sum("_w").over(w), F.lit(0.0)), F.coalesce(F.sum(F.col("_w") * F.col(r)).over(w), F.lit(0.0))
     others = F.count("_w").over(w) - F.when(F.col("_w").isNotNull(), 1).otherwise(0)

@@ -91,6 +91,20 @@ def by_coverage(scored: DataFrame, s: str, y: str, shares: tuple, ties: list[str
     return out
 
 
+def coverage_verdict(coverages: DataFrame, least: int, floor: float, slack: float) -> DataFrame:
+    """PASS or KILL of each row of by_coverage, with the first reason that applies: sample, sign, size. Where both the most
+    selective coverage and the widest pass, the selective one is killed (monotonicity) if its mean falls short of the
+    widest's by more than `slack`: the surest rows must do no worse. A few rows take part."""
+    reason = F.when(F.col("n") < least, "sample").when(F.col("mean") < 0, "sign").when(F.col("mean") < floor, "size")
+    c = stored(coverages.withColumn("reason", reason), "coverages")
+    ends = c.agg(F.min_by(F.struct("coverage", "reason"), "coverage").alias("_sure"), F.max_by(F.struct("reason", "mean"), "coverage").alias("_all"))
+    j = c.crossJoin(F.broadcast(ends))
+    both = F.col("_sure.reason").isNull() & F.col("_all.reason").isNull()
+    worse = both & (F.col("coverage") == F.col("_sure.coverage")) & (F.col("mean") < F.col("_all.mean") - slack)
+    reason = F.when(worse, "monotonicity").otherwise(F.col("reason"))
+    return j.select("coverage", "n", "mean", "win_rate", reason.alias("reason"), F.when(reason.isNull(), "PASS").otherwise("KILL").alias("decision"))
+
+
 def ridge_path(train: DataFrame, test: DataFrame, xs: list[str], y: str, penalties: tuple, ties: list[str]) -> DataFrame:
     """Error and decile spread of each penalty on rows of test. The penalties are few; all are scored in one job."""
     d = test.filter(F.col(y).isNotNull())

@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.functions.core import shared_dir, stored
-from eventide.operators import daybuild, graph, grid, jobs, quality
+from eventide.operators import daybuild, graph, grid, jobs, models, quality
 from eventide.operators import statistics as st
 from eventide.operators.features import carried, daily_facts
-from eventide.plans.base import BARS, DAILY, DESK, causal, register, session_bars, t_p_sql
+from eventide.plans.base import BARS, DAILY, DESK, ORACLES, QUERIES, causal, register, session_bars, t_p_sql
 from eventide.plans.job_queries import BATCH, _job_returns, _returns_sql
 from eventide.plans.panel_queries import _DRAW, _LONG, _PANEL_F, _PEERS, graph_of, panel
 from eventide.sources import bars as src
@@ -298,3 +298,21 @@ def _(spark, d):
 def _(spark, d):
     """As a12_primary_bootstrap, of the sizes of returns."""
     return jobs.primary_bootstrap(_job_returns(spark, d, BATCH), "3h", 100, absolute=True)
+
+
+# --- checks of what was joined and of what was modelled
+@register("k12_overlay_days", f"""with {_PEERS}, o as (select trading_date, count(*)::bigint as rows, count(*) filter (leader_count > 0)::bigint as available, (count(*) - count(distinct (instrument_id, minute_of_day)))::bigint as repeated,
+    count(leader_shock - r + r) filter (leader_count > 0) as gaps, count(*) filter (leader_count > 0 and abs(leader_shock - r + r) < 1e-12) as same, count(distinct leader_shock) filter (leader_count > 0) as shocks from pr group by 1)
+select trading_date, rows, available, repeated, available > 50 and 2 * same > gaps as aliased, available > 50 and shocks <= 1 as constant from o""")
+def _(spark, d):
+    """Whether the graph's features of a day say more than the day's own returns."""
+    g = stored(grid.grid_of(causal(spark, d)), "grid")
+    return graph.overlay_days(graph.peer_features(g, graph_of(spark, d, g)[3], "r"), "r")
+
+
+@register("m7_verdict", f"""with cc as ({ORACLES["m7_coverage_check"]}), rs as (select *, case when n < 100 then 'sample' when mean < 0 then 'sign' when mean < 0.001 then 'size' end as reason from cc),
+ed as (select min(coverage) as sure, arg_min(coalesce(reason, ''), coverage) as a, arg_max(coalesce(reason, ''), coverage) as b, arg_max(mean, coverage) as whole from rs),
+v as (select coverage, n, mean, win_rate, case when a = '' and b = '' and coverage = sure and mean < whole - 0.0002 then 'monotonicity' else reason end as reason from rs, ed)
+select *, case when reason is null then 'PASS' else 'KILL' end as decision from v""", "mean win_rate")
+def _(spark, d):
+    return models.coverage_verdict(QUERIES["m7_coverage_check"](spark, d), 100, 0.001, 0.0002)

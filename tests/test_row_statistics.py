@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.core import wide_rank
 from eventide.functions.tdist import t_p_values
-from eventide.operators import jobs, quality
+from eventide.operators import graph, grid, jobs, models, quality
 from eventide.operators import statistics as st
 from eventide.sources import bars as src
 from eventide.sources import stores
@@ -111,3 +111,29 @@ def test_progress_counts_the_last_line_of_a_file(spark, tmp_path):
     (tmp_path / "m.json").write_text("\n".join(lines))
     r = stores.ingest_progress(spark, str(tmp_path / "m.json"), 6).first()
     assert (r.expected, r.downloaded, r.converted, r.failed, r.bytes, r.rows, r.files_per_second, r.seconds_left) == (6, 2, 1, 1, 20, 5, 1.0, 4.0)
+
+
+def test_selective_coverage_must_do_no_worse(spark):
+    def judged(*means):
+        rows = [(c, n, m, 0.5) for c, n, m in zip((0.05, 0.25, 1.0), (200, 300, 400), means)]
+        df = spark.createDataFrame(rows, "coverage double, n long, mean double, win_rate double")
+        return [r.reason for r in models.coverage_verdict(df, 100, 0.001, 0.0002).orderBy("coverage").collect()]
+
+    assert judged(0.002, 0.001, 0.003) == ["monotonicity", None, None]
+    assert judged(0.0029, 0.0005, 0.003) == [None, "size", None]
+    assert judged(0.002, -0.1, -0.1) == [None, "sign", "sign"]
+
+
+def test_a_graph_that_says_nothing_is_seen(spark):
+    def day(gap, shock):
+        rows = [(dt.date(2024, 1, 2), f"i{i}", 600, 0.1 * i, gap(0.1 * i), shock(i), True) for i in range(60)]
+        return graph.overlay_days(spark.createDataFrame(rows, "trading_date date, instrument_id string, minute_of_day int, r double, response_gap double, leader_shock double, graph_available boolean"), "r").first()
+
+    assert day(lambda r: -r, lambda i: 0.0)[1:] == (60, 60, 0, True, True)
+    assert day(lambda r: 1.0 - r, lambda i: float(i))[1:] == (60, 60, 0, False, False)
+
+
+def test_weights_not_above_zero_count_for_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 1.0), ("c", 100.0, 0.0)], "k string, r double, weight double").withColumn("g", F.lit(1))
+    zero = df.withColumn("weight", F.when(F.col("k") == "b", 1.0).otherwise(0.0))
+    assert {r.k: r.m for r in grid.with_loo_market(zero, ["g"], "r", "m").collect()}["b"] is None
