@@ -100,3 +100,20 @@ def test_ridge_equals_numpy(spark):
     y = x @ np.array([1.0, -2.0, 0.5]) + 0.1 * rng.standard_normal(200)
     df = spark.createDataFrame(pd.DataFrame({"p": x[:, 0], "q": x[:, 1], "r": x[:, 2], "y": y}))
     assert models.ridge(df, ["p", "q", "r"], "y", 3.0) == pytest.approx(np.linalg.solve(x.T @ x + 3 * np.eye(3), x.T @ y))
+
+
+def test_corrections_scan_no_frame_to_the_end_of_its_group(spark):
+    from eventide.functions.core import with_bh, with_bh_wide
+
+    t = spark.range(2000).selectExpr("id", "'a' as g", "case when id % 7 = 6 then null when id % 2 = 0 then 0D else (id % 13) / 13D end as p")
+    found = [f(t, "p", ["g"], 0.1, ["id"]) for f in (with_bh, with_bh_wide)]
+    for df in found:
+        assert "currentrow$(), unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    ps = sorted((r.p, r.id) for r in t.collect() if r.p is not None)
+    least, want = 1.0, {}
+    for k in range(len(ps), 0, -1):
+        least = min(least, ps[k - 1][0] * len(ps) / k)
+        want[ps[k - 1][1]] = least
+    for df in found:
+        got = {r.id: r.q_value for r in df.collect()}
+        assert len(got) == 2000 and all(got[i] is None if i not in want else abs(got[i] - want[i]) < 1e-12 for i in got)
