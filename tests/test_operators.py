@@ -117,3 +117,37 @@ def test_corrections_scan_no_frame_to_the_end_of_its_group(spark):
     for df in found:
         got = {r.id: r.q_value for r in df.collect()}
         assert len(got) == 2000 and all(got[i] is None if i not in want else abs(got[i] - want[i]) < 1e-12 for i in got)
+
+
+def test_rounding_at_halves_is_that_of_the_sql(spark):
+    import duckdb
+
+    from eventide.plans.base import rounded
+
+    xs = [k / 640 - 1 for k in range(1, 4000, 2)]
+    got = [r.x for r in rounded(spark.createDataFrame([(x,) for x in xs], "x double")).collect()]
+    assert got == [duckdb.execute("select round(?::double, 6) + 0.0", [x]).fetchone()[0] for x in xs]
+
+
+def test_percentile_between_equal_values_is_that_value(spark):
+    from eventide.functions.core import exact_percentiles
+
+    ps, xs = (0.1, 0.2, 0.3, 0.7, 0.9), [k / 48 for k in range(1, 49)]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(xs) for _ in range(10 + i % 4)], "g int, x double")
+    got = {r.g: r.q for r in exact_percentiles(t, ["g"], "x", ps).collect()}
+    assert all(q == xs[g] for g in got for q in got[g]) and len(got) == 48
+
+
+def test_last_bits_are_no_leak_but_changes_are(spark):
+    from eventide.operators import leakage
+
+    bars = spark.sql("select 'a' as instrument_id, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 15 * cast(id as int)) as ts_utc, double(id) as close from range(8)")
+
+    def bits(b):  # what is missing later changes the last bits only, of a large value and of one that cancels to nearly 0
+        n = b.count()
+        return b.selectExpr("instrument_id", "ts_utc + interval 15 minute as decision_ts", f"0.1 * 3 + {n} * 1e-17 + 5.5e-9 as x", f"{n} * 1e-17 as y")
+
+    at = F.lit("2024-01-01 01:00:00").cast("timestamp_ntz")
+    assert leakage.leaks(bars, bits, ["instrument_id", "decision_ts"], at, 15).count() == 0
+    moved = lambda b: bits(b).withColumn("y", F.lit(b.count() * 1e-9))
+    assert leakage.leaks(bars, moved, ["instrument_id", "decision_ts"], at, 15).select("column").distinct().collect()[0][0] == "y"
