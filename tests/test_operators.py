@@ -151,3 +151,27 @@ def test_last_bits_are_no_leak_but_changes_are(spark):
     assert leakage.leaks(bars, bits, ["instrument_id", "decision_ts"], at, 15).count() == 0
     moved = lambda b: bits(b).withColumn("y", F.lit(b.count() * 1e-9))
     assert leakage.leaks(bars, moved, ["instrument_id", "decision_ts"], at, 15).select("column").distinct().collect()[0][0] == "y"
+
+
+def test_strongest_peers_of_blocks_are_those_of_all_pairs_and_ties_go_by_name(spark, monkeypatch):
+    from eventide.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    rng, rows = np.random.default_rng(4), []
+    series = [[(d, m, float(rng.normal())) for d in range(3) for m in range(0, 600, 15) if rng.random() < 0.8] for _ in range(5)]
+    for k in range(10):  # names k and k + 5 are copies
+        rows += [(dt.date(2024, 1, 8), f"n{k}", dt.date(2024, 1, 2 + d), m, x) for d, m, x in series[k % 5]]
+    hist = spark.createDataFrame(rows, "as_of date, instrument_id string, trading_date date, minute_of_day int, r double")
+    every = {}
+    for p in graph.pair_statistics(hist, "r", 40).collect():
+        every.setdefault(p.follower_id, []).append((-round(abs(p.corr), 12), p.leader_id, p.n, p.lag_n, round(p.lag_corr, 10)))
+    near = {}
+    for p in graph.structural_pairs(hist, "r", 40, peers=4)[0].collect():
+        near.setdefault(p.follower_id, []).append((-round(abs(p.corr), 12), p.leader_id, p.n, p.lag_n, round(p.lag_corr, 10)))
+    assert len(every) == 10 and all(len(v) == 9 for v in every.values())
+    assert {f: sorted(v) for f, v in near.items()} == {f: sorted(v)[:4] for f, v in every.items()}
+    x = rng.normal(size=(2, 4, 50))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    i, j = np.array([0, 3, 2]), np.array([1, 1, 0])
+    for one, all_pairs in zip(graph._of_pairs(x[0], x[1], i, j), graph._correlations(x[0], x[1])):
+        assert np.allclose(one, all_pairs[i, j])
