@@ -38,6 +38,8 @@ SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4096
 RATE, CLIP = 0.03, 10.0
 #: A task counts or scores so many tokens at once.
 CHUNK = 2_000_000
+#: Texts are numbered by runs of so many bytes.
+PIECE = 1 << 20
 #: Weights are averaged in so many parts.
 PARTS = 64
 
@@ -453,14 +455,23 @@ def _numbered(v: Vocabulary, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBat
     )
 
 
+def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch, in runs of about PIECE bytes of text: work on words takes many times the text's size."""
+    n = batch.num_rows
+    past = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+    starts = np.flatnonzero(np.diff(past, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], n]):
+        yield batch.slice(int(a), int(b - a))
+
+
 def numbered(rows: DataFrame, v: Vocabulary) -> DataFrame:
     """FACTS of rows(doc_id, text), with `shard_key` and a row number `_row`, in the shared folder."""
     sent = rows.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _numbered(sent.value, batch.column(0), batch.column(1))
+            for piece in pieces(batch, 1):
+                yield _numbered(sent.value, piece.column(0), piece.column(1))
 
     facts = rows.mapInArrow(run, FACTS).withColumn("shard_key", F.xxhash64("doc_id", "symbols"))
     return stored(facts.withColumn("_row", F.monotonically_increasing_id()), "symbols")

@@ -358,3 +358,16 @@ def test_one_common_level_does_not_shrink_the_head(spark, monkeypatch):
     counts = spark.createDataFrame([(f"w{i}", 5, 0) for i in range(1000)] + [("top", 900, 1)], "word string, c long, tail int")
     v = lm.vocabulary(counts)
     assert v.words[0].as_py() == "top" and 60 < len(v.words) < 140 and v.head == len(v.words)
+
+
+def test_pieces_of_a_batch_are_its_rows_in_runs_of_bounded_text():
+    import pyarrow as pa
+
+    from eventide.llm import op04_recurrent_lm as op4
+
+    texts = [None, "", "a" * 400_000, "b" * 700_000, "c" * 3_000_000, "", None, "d"] + ["e f " * 50_000] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    found = list(op4.pieces(batch, 1))
+    assert [x for p in found for x in p.column(0).to_pylist()] == list(range(len(texts))) and len(found) > 4
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()[:-1]) <= op4.PIECE + 3_000_000 for p in found)
+    assert not list(op4.pieces(batch.slice(0, 0), 1))
