@@ -175,3 +175,17 @@ def test_strongest_peers_of_blocks_are_those_of_all_pairs_and_ties_go_by_name(sp
     i, j = np.array([0, 3, 2]), np.array([1, 1, 0])
     for one, all_pairs in zip(graph._of_pairs(x[0], x[1], i, j), graph._correlations(x[0], x[1])):
         assert np.allclose(one, all_pairs[i, j])
+
+
+def test_pairs_of_blocks_are_handed_on_by_strips(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from eventide.operators import graph
+
+    monkeypatch.setattr(graph, "STRIP", 2)
+    rng = np.random.default_rng(5)
+    a, b = (pd.DataFrame({"instrument_id": [f"{p}{i}" for i in range(5)], "cells": [np.arange(600, 660, 15)] * 5, "xs": list(rng.standard_normal((5, 4)))}) for p in "ab")
+    strips = list(graph._block_pair((None, 0, 1), a, b))
+    assert [len(s) for s in strips] == [10, 10, 5] * 2
+    assert len(pd.concat(strips).drop_duplicates(["leader_id", "follower_id"])) == 50
