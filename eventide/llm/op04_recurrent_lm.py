@@ -36,8 +36,8 @@ ROUNDS = 3
 #: Tokens of a shard. Corpora of more than MAX_SHARDS such shards have MAX_SHARDS larger ones, which are streamed.
 SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4096
 RATE, CLIP = 0.03, 10.0
-#: A task counts or scores so many tokens at once.
-CHUNK = 2_000_000
+#: A task counts so many tokens at once, and scores so many: the longest text sets how many steps a run takes.
+CHUNK, SCORED = 2_000_000, 4_000_000
 #: Texts are numbered by runs of so many bytes.
 PIECE = 1 << 20
 #: Weights are averaged in so many parts.
@@ -86,8 +86,13 @@ class Vocabulary:
         self.word_prior.ravel()[: self.head] = np.log(head_counts[: self.head])
 
     def places(self, words: pa.Array) -> np.ndarray:
-        """Places of the words among the sent ones, -1 for others."""
-        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        """Places of the words among the sent ones, -1 for others. Looked up is each sent word among the few different ones
+        here: a table of all sent words would be built anew at each call."""
+        coded = words.dictionary_encode()
+        at = pc.fill_null(pc.index_in(self.words, value_set=coded.dictionary), -1).to_numpy()
+        out, sent = np.full(len(coded.dictionary), -1, np.int64), np.flatnonzero(at >= 0)
+        out[at[sent]] = sent
+        return out[coded.indices.to_numpy()]
 
     def symbols(self, places: np.ndarray, words: pa.Array) -> np.ndarray:
         """Head words by number, all others HEAD + class."""
@@ -151,36 +156,38 @@ def run_window(p: dict, x: np.ndarray, first: np.ndarray, before: np.ndarray, h:
     gates += p["g"]
     gates[:, :, : 2 * n] *= np.float32(0.5)  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
     w_zr, w_c = p["h"][:, : 2 * n] * np.float32(0.5), np.ascontiguousarray(p["h"][:, 2 * n :])
-    states, trace = np.empty((*x.shape, n), np.float32), []
-    begins = first.any(axis=1)
+    kind, kept = np.result_type(h, w_zr), len(x) if keep else 1
+    states, zrs, rhs, cs = (np.empty((steps, x.shape[1], k), kind) for steps, k in ((len(x), n), (kept, 2 * n), (kept, n), (kept, n)))
+    begins, start = first.any(axis=1), h
     for t in range(len(x)):
         if begins[t]:
             h = np.where(first[t][:, None], np.float32(0), h)
-        zr = h @ w_zr
+        zr, rh, c, own = zrs[t % kept], rhs[t % kept], cs[t % kept], states[t]
+        np.matmul(h, w_zr, out=zr)
         zr += gates[t, :, : 2 * n]
         np.tanh(zr, out=zr)
         zr += np.float32(1)
         zr *= np.float32(0.5)
         z, r = zr[:, :n], zr[:, n:]
-        rh = r * h
-        c = rh @ w_c
+        np.multiply(r, h, out=rh)
+        np.matmul(rh, w_c, out=c)
         c += gates[t, :, 2 * n :]
         np.tanh(c, out=c)
-        if keep:
-            trace.append((h, z, r, rh, c))
-        step = c - h
-        step *= z
-        step += h
-        states[t] = h = step
-    return states, h, trace
-
-
-def _choices(s: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray, slopes: bool):
-    """Log softmax of s @ weights + bias at the chosen columns, and with slopes the gradient of its negative. Logits are
-    bounded, as states are, so no maximum has to be taken off them."""
-    a = s @ weights
-    a += bias
-    rows = np.arange(len(s))
+        np.subtract(c, h, out=own)
+        own *= z
+        own += h
+        h = own
+    if not keep:
+        return states, h, None
+    h0 = np.concatenate([start[None], states[:-1]])
+    h0[first] = 0
+    return states, h, (h0, zrs[:, :, :n], zrs[:, :, n:], rhs, cs)
+
+
+def _choices(a: np.ndarray, chosen: np.ndarray, slopes: bool):
+    """Log softmax of the logits a at the chosen columns, and with slopes the gradient of its negative, in a's place. Logits
+    are bounded, as states are, so no maximum has to be taken off them."""
+    rows = np.arange(len(a))
     picked = a[rows, chosen]
     np.exp(a, out=a)
     total = a @ np.ones(a.shape[1], np.float32)
@@ -198,21 +205,28 @@ def outputs(p: dict, s: np.ndarray, y: np.ndarray, classes: int, grads: dict | N
     target = np.where(y < HEAD, y // CLASS_SIZE, classes + y - HEAD).astype(np.int16)
     order = np.argsort(target, kind="stable")  # a radix sort; equal classes then lie side by side
     s, y, target = s.take(order, axis=0), y.take(order), target.take(order)
-    out, g = _choices(s, p["c"], p["d"], target, grads is not None)
+    logits = s @ p["c"]
+    logits += p["d"]
+    out, g = _choices(logits, target, grads is not None)
     ds = None
     if grads is not None:
         grads["c"][:], grads["d"][:] = s.T @ g, g.sum(axis=0)
         ds = g @ p["c"].T
-    bounds = np.searchsorted(target, np.arange(classes + 1))
-    for k in range(classes):
-        a, b = bounds[k], bounds[k + 1]
-        if a == b:
-            continue
-        inner, g = _choices(s[a:b], p["w"][k], p["b"][k], y[a:b] - k * CLASS_SIZE, grads is not None)
-        out[a:b] += inner
+    bounds = np.searchsorted(target, np.arange(classes + 1)).tolist()
+    met, inside = [k for k in range(classes) if bounds[k] < bounds[k + 1]], bounds[classes]
+    if met:
+        # products are taken class by class, all else over all words of the head at once
+        logits = p["b"].take(target[:inside], axis=0).astype(s.dtype, copy=False)
+        for k in met:
+            logits[bounds[k] : bounds[k + 1]] += s[bounds[k] : bounds[k + 1]] @ p["w"][k]
+        inner, g = _choices(logits, y[:inside] - target[:inside] * CLASS_SIZE, grads is not None)
+        out[:inside] += inner
         if grads is not None:
-            grads["w"][k], grads["b"][k] = s[a:b].T @ g, g.sum(axis=0)
-            ds[a:b] += g @ p["w"][k].T
+            grads["b"][met] = np.add.reduceat(g, [bounds[k] for k in met], axis=0)
+            for k in met:
+                own = slice(bounds[k], bounds[k + 1])
+                np.matmul(s[own].T, g[own], out=grads["w"][k])
+                ds[own] += g[own] @ p["w"][k].T
     back = np.empty_like(out)
     back[order] = out
     if ds is not None:
@@ -230,7 +244,7 @@ def gradients(p: dict, before: np.ndarray, xs: np.ndarray, owner: np.ndarray, fs
     back = np.zeros_like(states)
     _, back[live] = outputs(p, states[live], xs[live], classes, grads)
     dg, dh = np.empty((*xs.shape, 3 * n), np.float32), np.zeros((width, n), np.float32)
-    h0, z, r, rh, c = (np.stack(part) for part in zip(*trace))
+    h0, z, r, rh, c = trace
     # what doesn't depend on later steps, for all steps at once
     by_c, by_z, by_r = z * (1 - c * c), (c - h0) * z * (1 - z), h0 * r * (1 - r)
     keep, to_rh, to_zr = 1 - z, np.ascontiguousarray(p["h"][:, 2 * n :].T), np.ascontiguousarray(p["h"][:, : 2 * n].T)
@@ -274,15 +288,17 @@ class Learner:
         for before, xs, owner, fs in windows_of(docs, lanes):
             grads, count, h = gradients(self.p, before, xs, owner, fs, h[: xs.shape[1]], classes)
             for k, g in grads.items():
+                # most symbols aren't met in a window: their rows stay as they are
+                met = np.flatnonzero(g.any(axis=1)) if k == "x" else slice(None)
+                g = g[met]
                 g /= np.float32(np.sqrt(max(1, count)))
                 norm = float(np.sqrt(np.vdot(g, g)))
                 if norm > CLIP:
                     g *= np.float32(CLIP / norm)
-                squares = self.squares[k]
-                squares += g * g
+                self.squares[k][met] += g * g
                 g *= np.float32(RATE)
-                g /= np.sqrt(squares)
-                self.p[k] -= g
+                g /= np.sqrt(self.squares[k][met])
+                self.p[k][met] -= g
 
 
 def likelihoods(p: dict, docs: list[np.ndarray], classes: int) -> np.ndarray:
@@ -505,7 +521,7 @@ def score(docs: DataFrame) -> DataFrame:
             kept.append(batch.select(batch.schema.names[:-1]))
             symbols += [np.frombuffer(x.as_py(), np.int16) for x in batch.column(batch.num_columns - 1)]
             size += sum(map(len, symbols[len(symbols) - batch.num_rows :]))
-            if size > CHUNK:
+            if size > SCORED:
                 yield out()
                 kept, symbols, size = [], [], 0
         if symbols:

@@ -371,3 +371,18 @@ def test_pieces_of_a_batch_are_its_rows_in_runs_of_bounded_text():
     assert [x for p in found for x in p.column(0).to_pylist()] == list(range(len(texts))) and len(found) > 4
     assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()[:-1]) <= op4.PIECE + 3_000_000 for p in found)
     assert not list(op4.pieces(batch.slice(0, 0), 1))
+
+
+def test_places_build_no_table_of_all_sent_words(monkeypatch):
+    from eventide.llm import op04_recurrent_lm as lm
+
+    v = lm.Vocabulary([f"w{i}" for i in range(5000)], list(range(5000, 0, -1)), 12_502_500, 5000, {})
+    real, sizes = lm.pc.index_in, []
+
+    def index_in(values, *, value_set):
+        sizes.append(len(value_set))
+        return real(values, value_set=value_set)
+
+    monkeypatch.setattr(lm.pc, "index_in", index_in)
+    assert v.places(lm.pa.array(["w7", "other", "w4999", "w7"])).tolist() == [7, -1, 4999, 7] and sizes == [3]
+    assert v.places(lm.pa.array([], lm.pa.string())).tolist() == []
