@@ -48,10 +48,13 @@ def job_table(spark, jobs: list[Job]) -> DataFrame:
 
 def job_events(features: DataFrame, jobs: list[Job], bar_minutes: int) -> DataFrame:
     """Events of all jobs in one pass: a row of features is tested against every job, hits are exploded, and the first of
-    each job, instrument and day stays. Rows multiply by hits, not by jobs."""
+    each job, instrument and day stays. Only sides are laid out, in compiled code (a lambda over them would be interpreted,
+    conditions included), and rows without a hit go no further."""
     hit = lambda j: F.when(F.expr(j.where), F.expr(j.side))
-    every = F.array(*[F.struct(F.lit(j.job_id).alias("job_id"), hit(j).alias("side"), F.lit(j.entry_next).alias("next")) for j in jobs])
-    rows = features.select("instrument_id", "session_date", "ts_utc", F.explode(F.filter(every, lambda e: e["side"].isNotNull())).alias("e")).select("instrument_id", "session_date", "ts_utc", "e.*")
+    rows = features.select("instrument_id", "session_date", "ts_utc", F.array(*map(hit, jobs)).alias("_sides"))
+    rows = rows.select("instrument_id", "session_date", "ts_utc", F.posexplode("_sides").alias("_j", "side")).filter("side is not null")
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("_j"))
+    rows = rows.select("instrument_id", "session_date", "ts_utc", of([j.job_id for j in jobs]).alias("job_id"), "side", of([j.entry_next for j in jobs]).alias("next"))
     rows = first_per(rows, ["job_id", "instrument_id", "session_date"], [F.col("ts_utc")])
     decided = F.col("ts_utc") + F.make_dt_interval(mins=F.lit(bar_minutes))
     event_id = F.concat_ws("-", "job_id", "instrument_id", F.date_format(decided, "yyyyMMddHHmm"))
@@ -62,7 +65,8 @@ def stage_summary(returns: DataFrame, primary: str) -> DataFrame:
     """returns(job_id, horizon, event_id, instrument_id, session_date, forward_return) -> a row a job and horizon: summary
     statistics, share of positive days, largest share of one name, and whether the horizon is the primary one."""
     keys = ["job_id", "horizon"]
-    r = returns.filter("forward_return is not null")
+    # read four times: the events behind it would be found anew each time
+    r = stored(returns.filter("forward_return is not null").select(*keys, "event_id", "instrument_id", "session_date", "forward_return"), "stage")
     names = r.groupBy(*keys, "instrument_id").count().groupBy(*keys).agg((F.max("count") / F.sum("count")).alias("top_name_share"))
     days = day_agreement(r, keys).select(*keys, "positive_days", "mean_without_best_day")
     return summary(r, keys).join(names, keys).join(days, keys).withColumn("is_primary", F.col("horizon") == primary)

@@ -189,3 +189,21 @@ def test_pairs_of_blocks_are_handed_on_by_strips(monkeypatch):
     strips = list(graph._block_pair((None, 0, 1), a, b))
     assert [len(s) for s in strips] == [10, 10, 5] * 2
     assert len(pd.concat(strips).drop_duplicates(["leader_id", "follower_id"])) == 50
+
+
+def test_stage_reads_its_returns_from_storage_and_jobs_are_tested_without_lambdas(spark):
+    from pyspark.sql import functions as F
+
+    from eventide.operators import jobs
+
+    rows = [("i1", "2024-01-08", f"2024-01-08 10:{m:02d}:00", float(m)) for m in (0, 15, 30)] + [("i2", "2024-01-08", "2024-01-08 10:00:00", None)]
+    bars = spark.createDataFrame(rows, "instrument_id string, session_date string, ts_utc string, x double").withColumn("session_date", F.to_date("session_date")).withColumn("ts_utc", F.col("ts_utc").cast("timestamp_ntz"))
+    table = [jobs.Job("a", "f", "x >= 15", "'LONG'"), jobs.Job("b", "f", "x >= 0", "case when x > 0 then 'SHORT' end", entry_next=False), jobs.Job("c", "f", "x > 99", "'LONG'")]
+    events = jobs.job_events(bars, table, 15)
+    said = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in said(events)
+    assert sorted((r.job_id, r.side, str(r.entry_ts)[11:16]) for r in events.collect()) == [("a", "LONG", "10:30"), ("b", "SHORT", "10:15")]
+    returns = events.select(F.concat(F.lit("marker-"), "job_id").alias("job_id"), F.lit("3h").alias("horizon"), "event_id", "instrument_id", "session_date", F.lit(0.5).alias("forward_return"))
+    stage = jobs.stage_summary(returns, "3h")
+    assert "marker-" not in said(stage)
+    assert {(r.job_id, r.n, r.mean) for r in stage.collect()} == {("marker-a", 1, 0.5), ("marker-b", 1, 0.5)}
