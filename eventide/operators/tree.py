@@ -1,16 +1,20 @@
 """Conditional-inference trees: features are tested before anything is cut, at every node of a level in one job, and all trees
 of a forest of day samples together.
 
-Days are the independent unit: each feature has one statistic a day, tested over days. The fold (which days a tree sees) is
-a key beside the node, so that a hundred trees take the jobs of one. The driver holds a row a fold, node, feature or cut,
-never rows of the panel."""
+Days are the independent unit: each feature has one statistic a day, tested over days. All folds (which days a tree sees) go
+through the jobs of one tree: a row says of each fold on which node it is, and is neither copied nor stored by fold. The
+driver holds a row a fold and day, node, feature or cut, never rows of the panel."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventide.functions.core import correlation, small, stored, with_bh
 from eventide.functions.tdist import t_p
@@ -120,21 +124,288 @@ def half_samples(days: DataFrame, day: str, folds: int, share: float = 0.5, seed
     return d.filter(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select("fold", "day")
 
 
+class Nodes:
+    """Which node of each fold a row is on. inside[day, fold]: whether the fold has the day; paths[fold]: of each node its steps
+    (feature, above, cut). Nodes of a fold have no row in common, so that one code a fold says all; 0 is none."""
+
+    def __init__(self, inside: np.ndarray, paths: list[list[list[tuple[int, bool, float]]]]):
+        self.inside, self.paths = inside, paths
+        self.most = max(map(len, paths), default=0)
+        self.kind = np.min_scalar_type(self.most)
+
+    def codes(self, d: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(d), len(self.paths)), self.kind)
+        for j, paths in enumerate(self.paths):
+            own = self.inside[d, j]
+            for c, path in enumerate(paths, 1):
+                on = own
+                for f, above, cut in path:
+                    on = on & ((x[:, f] > cut) if above else (x[:, f] <= cut))  # unknown values are on neither side
+                out[on, j] = c
+        return out
+
+
+def _matrix(x: pa.Array) -> np.ndarray:
+    """Arrays of doubles as rows of a matrix, null as NaN."""
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+
+def _bytes(a: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    a = np.ascontiguousarray(a)
+    width = a.shape[1] * a.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1) * width).astype(np.int32)), pa.py_buffer(a)])
+
+
+def _unbytes(b: pa.Array, kind: np.dtype) -> np.ndarray:
+    """Binary values of one length as rows of a matrix."""
+    _, offsets, data = b.buffers()
+    at = np.frombuffer(offsets, np.int32)[b.offset : b.offset + len(b) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind).reshape(len(b), -1)
+
+
+def _whole_values(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(day, feature, rows) of a stream sorted by day, feature and `by`: a piece has rows of one day and feature, and equal
+    values are never parted. Held back are only the rows of the last value."""
+    held: list[pa.RecordBatch] = []
+
+    def pieces() -> Iterator[tuple[int, int, pa.RecordBatch]]:
+        for b in pa.Table.from_batches(held).combine_chunks().to_batches():
+            d, f = b.column("d").to_numpy(), b.column("f").to_numpy()
+            at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (f[1:] != f[:-1])]))
+            for i, k in zip(at, [*at[1:], b.num_rows]):
+                yield int(d[i]), int(f[i]), b.slice(int(i), int(k - i))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(c).to_numpy() for c in ("d", "f", by)]
+        other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last or (held and any(k[0] != held[-1].column(c)[0].as_py() for k, c in zip(key, ("d", "f", by)))):
+            if last:
+                held.append(batch.slice(0, last))
+            yield from pieces()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from pieces()
+
+
+def _doubled_ranks(sorted_values: np.ndarray, before: int) -> np.ndarray:
+    """Twice the average ranks (from 1) of sorted values after `before` smaller ones."""
+    n = len(sorted_values)
+    at = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
+    end = np.append(at[1:], n)
+    return np.repeat(at + end + 1 + 2 * before, end - at)
+
+
+def rank_statistics(rows: DataFrame, nodes: Nodes, numbers: list[int]) -> DataFrame:
+    """rows(d, y, x) -> j, c, d, f, s: for each fold number, node code, feature number and day the rank correlation with the
+    target (ten rows at least).
+
+    A row travels once a feature, whatever the number of folds. Rows of a day and feature are sorted by the target and
+    ranked in all nodes at once, then sorted in place by the feature and ranked again, while the products are summed: no
+    task holds a day."""
+    sc = rows.sparkSession.sparkContext
+    sent = sc.broadcast(nodes)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, y, x = b.column("d").to_numpy(), b.column("y").to_numpy(), _matrix(b.column("x"))
+            codes = sent.value.codes(d, x)
+            on = codes.any(axis=1)
+            for f in numbers:
+                at = np.flatnonzero(on & ~np.isnan(x[:, f]))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(np.full(len(at), f, np.int32)), pa.array(x[at, f]), pa.array(y[at]), _bytes(codes[at])], names=["d", "f", "v", "y", "codes"])
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, group, before = sent.value, None, None
+        for d, f, b in _whole_values(batches, "y"):
+            if (d, f) != group:
+                group, before = (d, f), np.zeros((len(n.paths), n.most + 1), np.int64)
+            own, y = np.flatnonzero(n.inside[d]), b.column("y").to_numpy()
+            codes = _unbytes(b.column("codes"), n.kind)[:, own]
+            ranks = np.zeros(codes.shape, np.int64)
+            for k, j in enumerate(own):
+                for c in range(1, len(n.paths[j]) + 1):
+                    at = np.flatnonzero(codes[:, k] == c)
+                    if len(at):
+                        ranks[at, k] = _doubled_ranks(y[at], before[j, c])
+                        before[j, c] += len(at)
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("f"), b.column("v"), _bytes(codes), _bytes(ranks)], names=["d", "f", "v", "codes", "ranks"])
+
+    def correlated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, group = sent.value, None
+        # of each node the rows so far, its first ranks, and sums of what ranks are beyond these
+        seen, first, sums = (np.zeros((len(n.paths), n.most + 1, *k), t) for k, t in (((), np.int64), ((2,), float), ((5,), float)))
+
+        def out() -> pa.RecordBatch:
+            j, c = np.nonzero(seen >= RANK_ROWS)
+            m, (x, y, xx, yy, xy) = seen[j, c], sums[j, c].T
+            spread = np.maximum(xx - x * x / m, 0.0) * np.maximum(yy - y * y / m, 0.0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = np.where(spread > 0, (xy - x * y / m) / np.sqrt(spread), np.nan)
+            columns = [pa.array(k.astype(np.int32)) for k in (j, c, np.full(len(j), group[0]), np.full(len(j), group[1]))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(s)], names=["j", "c", "d", "f", "s"])
+
+        for d, f, b in _whole_values(batches, "v"):
+            if (d, f) != group:
+                if group:
+                    yield out()
+                group = d, f
+                for a in (seen, first, sums):
+                    a[:] = 0
+            own, v = np.flatnonzero(n.inside[d]), b.column("v").to_numpy()
+            codes, ranks = _unbytes(b.column("codes"), n.kind), _unbytes(b.column("ranks"), np.int64)
+            for k, j in enumerate(own):
+                for c in range(1, len(n.paths[j]) + 1):
+                    at = np.flatnonzero(codes[:, k] == c)
+                    if len(at):
+                        x, y = _doubled_ranks(v[at], seen[j, c]).astype(float), ranks[at, k].astype(float)
+                        if not seen[j, c]:
+                            first[j, c] = x[0], y[0]
+                        x, y = x - first[j, c, 0], y - first[j, c, 1]
+                        seen[j, c] += len(at)
+                        sums[j, c] += x.sum(), y.sum(), x @ x, y @ y, x @ y
+        if group:
+            yield out()
+
+    long = rows.select("d", "y", "x").mapInArrow(coded, "d int, f int, v double, y double, codes binary")
+    dealt = long.repartition(4 * sc.defaultParallelism, "d", "f").sortWithinPartitions("d", "f", "y")
+    both = dealt.mapInArrow(ranked, "d int, f int, v double, codes binary, ranks binary").sortWithinPartitions("d", "f", "v")
+    return both.mapInArrow(correlated, "j int, c int, d int, f int, s double").filter("not isnan(s)")
+
+
+def side_statistics(rows: DataFrame, nodes: Nodes, flags: list[int]) -> DataFrame:
+    """rows(d, y, x) -> j, c, d, f, s as in rank_statistics, for flags the difference of the target's means (twenty rows, five a
+    side). Tasks hand on sums by fold, node and day."""
+    sent = rows.sparkSession.sparkContext.broadcast(nodes)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sent.value
+        shape = (len(n.paths), len(flags), (n.most + 1) * len(n.inside))
+        sums = np.zeros((4, *shape))
+        for b in batches:
+            d, y, x = b.column("d").to_numpy(), b.column("y").to_numpy(), _matrix(b.column("x"))
+            codes = n.codes(d, x)
+            for j in range(len(n.paths)):
+                place = codes[:, j].astype(np.int64) * len(n.inside) + d
+                for k, f in enumerate(flags):
+                    for i, side in enumerate((1.0, 0.0)):
+                        at = x[:, f] == side
+                        sums[2 * i, j, k] += np.bincount(place[at], minlength=shape[2])
+                        sums[2 * i + 1, j, k] += np.bincount(place[at], weights=y[at], minlength=shape[2])
+        j, k, place = np.nonzero(sums[0] + sums[2])
+        of = lambda a, t: pa.array(a.astype(t))
+        some = sums[:, j, k, place]
+        yield pa.RecordBatch.from_arrays(
+            [of(j, np.int32), of(place // len(n.inside), np.int32), of(np.array(flags)[k], np.int32), of(place % len(n.inside), np.int32), of(some[0], np.int64), of(some[1], float), of(some[2], np.int64), of(some[3], float)],
+            names=["j", "c", "f", "d", "n1", "s1", "n0", "s0"],
+        )
+
+    parts = rows.select("d", "y", "x").mapInArrow(summed, "j int, c int, f int, d int, n1 long, s1 double, n0 long, s0 double")
+    g = parts.filter("c > 0").groupBy("j", "c", "f", "d").agg(*[F.sum(k).alias(k) for k in ("n1", "s1", "n0", "s0")])
+    g = g.filter((F.col("n1") + F.col("n0") >= SIDE_ROWS) & (F.least("n1", "n0") >= LEAST_SIDE))
+    return g.select("j", "c", "d", "f", (F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")).alias("s"))
+
+
+def split_sums(rows: DataFrame, nodes: Nodes, asked: list[tuple[int, int, int, list[float]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each (fold number, node code, feature, cuts) the rows of the node and the sum of their target between its cuts: below
+    the first (itself included), up to the second and so on. Rows without the feature are left out."""
+    sent = rows.sparkSession.sparkContext.broadcast((nodes, asked))
+    width = max(len(cuts) for *_, cuts in asked) + 1
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, asked = sent.value
+        count, total = np.zeros((len(asked), width), np.int64), np.zeros((len(asked), width))
+        for b in batches:
+            y, x = b.column("y").to_numpy(), _matrix(b.column("x"))
+            codes = n.codes(b.column("d").to_numpy(), x)
+            for i, (j, c, f, cuts) in enumerate(asked):
+                at = np.flatnonzero((codes[:, j] == c) & ~np.isnan(x[:, f]))
+                place = np.searchsorted(cuts, x[at, f], side="left")  # so many cuts are smaller
+                count[i] += np.bincount(place, minlength=width)
+                total[i] += np.bincount(place, weights=y[at], minlength=width)
+        i, k = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(count[i, k]), pa.array(total[i, k])], names=["i", "k", "n", "s"])
+
+    count, total = np.zeros((len(asked), width), np.int64), np.zeros((len(asked), width))
+    parts = rows.select("d", "y", "x").mapInArrow(summed, "i int, k int, n long, s double")
+    for r in parts.groupBy("i", "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
+        count[r.i, r.k], total[r.i, r.k] = r.n, r.s
+    return list(zip(count, total))
+
+
+#: Nodes whose membership fits a long.
+BITS = 62
+
+
+def name_days(rows: DataFrame, nodes: Nodes) -> dict[tuple[int, int], int]:
+    """(fold number, node code) -> how many pairs of name and day have a row on the node; rows(name, d, x)."""
+    every = [(j, c) for j, paths in enumerate(nodes.paths) for c in range(1, len(paths) + 1)]
+    if not every:
+        return {}
+    sent = rows.sparkSession.sparkContext.broadcast(nodes)
+    longs = [f"b{i}" for i in range(-(-len(every) // BITS))]
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = b.column("d").to_numpy()
+            codes = sent.value.codes(d, _matrix(b.column("x")))
+            out = np.zeros((len(longs), len(d)), np.int64)
+            for i, (j, c) in enumerate(every):
+                out[i // BITS] |= (codes[:, j] == c).astype(np.int64) << (i % BITS)
+            at = np.flatnonzero(out.any(axis=0))
+            yield pa.RecordBatch.from_arrays([b.column("name").take(pa.array(at)), pa.array(d[at]), *[pa.array(x[at]) for x in out]], names=["name", "d", *longs])
+
+    schema = T.StructType([T.StructField("name", rows.schema["name"].dataType), T.StructField("d", T.IntegerType()), *[T.StructField(b, T.LongType()) for b in longs]])
+    pairs = rows.select("name", "d", "x").mapInArrow(bits, schema).groupBy("name", "d").agg(*[F.bit_or(b).alias(b) for b in longs])
+    row = pairs.agg(*[F.sum(F.getbit(longs[i // BITS], F.lit(i % BITS)).cast("long")) for i in range(len(every))]).first()
+    return {k: n or 0 for k, n in zip(every, row)}
+
+
+def by_day_number(folds: DataFrame) -> DataFrame:
+    """folds(fold, day) with d, the day's place among all days of folds; in the shared folder."""
+    return stored(folds.select("fold", "day", (F.dense_rank().over(Window.orderBy("day")) - 1).cast("int").alias("d")), "folds")
+
+
 #: Values are dealt to so many bins before cuts are looked for.
-BINS = 200
+BINS = 1000
 
 
 def fold_cuts(rows: DataFrame, folds: DataFrame, numbers: list[int], parts: int = 10) -> DataFrame:
     """fold, f, cut: the inner quantiles, interpolated, of every feature over each fold's days.
 
     Values are counted by day, feature and bin; sums of these rows tell in which bin of a fold a quantile lies and at which
-    place of it. Only rows of such bins meet the folds and are ranked, so that rows never multiply by folds as a whole."""
-    long = rows.select("day", F.posexplode("x").alias("f", "v")).filter(F.col("v").isNotNull() & F.col("f").isin(numbers))
-    long = stored(long, "values")
-    edges = long.groupBy("f").agg(F.percentile_approx("v", F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), F.lit(10_000)).alias("edges"), F.approx_count_distinct("v").alias("distinct"))
-    edges = small(stored(edges.filter(F.col("distinct") > CUT_DISTINCT), "edges").select("f", F.array_distinct("edges").alias("edges")))
-    binned = stored(long.join(edges, "f").select("day", "f", "v", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bin")), "bins")
-    counts = binned.groupBy("day", "f", "bin").agg(F.count("*").alias("c")).join(small(folds), "day").groupBy("fold", "f", "bin").agg(F.sum("c").alias("c"))
+    place of it. Only different values in such bins, a few of a thousand, meet the folds and are ranked."""
+    if "d" not in folds.columns:
+        folds = by_day_number(folds)
+    long = rows.select(F.posexplode("x").alias("f", "v")).filter(F.col("v").isNotNull() & F.col("f").isin(numbers))
+    steps = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    found = long.groupBy("f").agg(F.percentile_approx("v", steps, F.lit(10_000)).alias("edges"), F.approx_count_distinct("v").alias("distinct"))
+    edges = {r.f: np.unique(r.edges) for r in found.filter(F.col("distinct") > CUT_DISTINCT).collect()}
+    numbered = rows.join(F.broadcast(folds.select("day", "d").distinct()), "day").select("d", "x")
+    sent = rows.sparkSession.sparkContext.broadcast((edges, None))
+
+    def binned(said) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            edges, near = said.value
+            for b in batches:
+                d, x = b.column("d").to_numpy(), _matrix(b.column("x"))
+                for f, e in edges.items():
+                    at = np.flatnonzero(~np.isnan(x[:, f]))
+                    k = np.searchsorted(e, x[at, f]).astype(np.int32)
+                    if near is not None:
+                        at, k = at[near[f][k]], k[near[f][k]]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(np.full(len(at), f, np.int32)), pa.array(k), pa.array(x[at, f])], names=["d", "f", "bin", "v"])
+
+        return run
+
+    schema = "d int, f int, bin int, v double"
+    counts = numbered.mapInArrow(binned(sent), schema).groupBy("d", "f", "bin").agg(F.count("*").alias("c")).join(F.broadcast(folds.select("fold", "d")), "d").groupBy("fold", "f", "bin").agg(F.sum("c").alias("c"))
     upto = Window.partitionBy("fold", "f").orderBy("bin")
     counts = counts.withColumn("before", F.sum("c").over(upto) - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy("fold", "f"))).filter(F.col("n") >= CUT_VALUES)
     # the places of the values below and above each quantile, with their weights
@@ -145,20 +416,44 @@ def fold_cuts(rows: DataFrame, folds: DataFrame, numbers: list[int], parts: int
         places += [F.struct(F.lit(i).alias("no"), (F.floor(at) + k).alias("place"), (part if k else 1 - part).alias("weight")) for k in (0, 1)]
     wanted = counts.select("fold", "f", "bin", "before", "c", F.inline(F.array(*places))).filter("weight > 0 and place >= before and place < before + c")
     wanted = stored(wanted.select("fold", "f", "bin", "no", (F.col("place") - F.col("before")).alias("place"), "weight"), "places")
-    near = binned.join(small(wanted.select("f", "bin").distinct()), ["f", "bin"], "left_semi").join(small(folds), "day").join(small(wanted.select("fold", "f", "bin").distinct()), ["fold", "f", "bin"], "left_semi")
-    ranked = near.select("fold", "f", "bin", "v", (F.row_number().over(Window.partitionBy("fold", "f", "bin").orderBy("v")) - 1).alias("place"))
-    return ranked.join(small(wanted), ["fold", "f", "bin", "place"]).groupBy("fold", "f", "no").agg(F.sum(F.col("weight") * F.col("v")).alias("cut")).select("fold", "f", "cut").distinct()
+    bins = wanted.select("f", "bin").distinct().collect()  # a row a feature and bin at most
+    near = {f: np.isin(np.arange(len(e) + 1), [r.bin for r in bins if r.f == f]) for f, e in edges.items()}
+    asked = rows.sparkSession.sparkContext.broadcast((edges, near))
+    # equal values are one row, so that a frequent one is no load
+    meets = numbered.mapInArrow(binned(asked), schema).groupBy("d", "f", "bin", "v").agg(F.count("*").alias("c")).join(F.broadcast(folds.select("fold", "d")), "d")
+    meets = meets.join(F.broadcast(wanted.select("fold", "f", "bin").distinct()), ["fold", "f", "bin"], "left_semi").groupBy("fold", "f", "bin", "v").agg(F.sum("c").alias("c"))
+    ranked = meets.withColumn("upto", F.sum("c").over(Window.partitionBy("fold", "f", "bin").orderBy("v")))
+    own = ranked.join(F.broadcast(wanted), ["fold", "f", "bin"]).filter("place >= upto - c and place < upto")
+    return own.groupBy("fold", "f", "no").agg(F.sum(F.col("weight") * F.col("v")).alias("cut")).select("fold", "f", "cut").distinct()
 
 
 @dataclass
 class _Node:
     path: list[tuple[str, str, float]]
+    steps: list[tuple[int, bool, float]]
     n: int
     name_days: int
     mean: float
     parent_n: int
 
 
+def _ints(spark: SparkSession, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
+    """A table of numbers that is part of the plan."""
+    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.int32()) for i, c in enumerate(names)}))
+
+
+def _best_cut(cuts: list[float], n: np.ndarray, s: np.ndarray, least: int, parent_share: float, parent: int) -> tuple[float, list[tuple[bool, int, float]]] | None:
+    """The cut with the largest difference of means (the smallest of equal ones), and of both its sides whether above, rows and
+    mean."""
+    found = []
+    for i, cut in enumerate(cuts):
+        a, b = int(n[i + 1 :].sum()), int(n[: i + 1].sum())
+        if min(a, b) >= max(5, 0.15 * least) and max(a, b) >= parent_share * max(1, parent):
+            above, below = s[i + 1 :].sum() / a, s[: i + 1].sum() / b
+            found.append((-round(abs(above - below), 12), cut, [(True, a, float(above)), (False, b, float(below))]))
+    return min(found)[1:] if found else None
+
+
 def forest(
     panel: DataFrame, folds: DataFrame, features: list[str], target: str, depth: int = 3, alpha: float = 0.05, least: int = 50, parent_share: float = 0.0, parts: int = 10, name: str = "instrument_id", day: str = "session_date",
 ) -> dict[int, list[Rule]]:
@@ -167,64 +462,75 @@ def forest(
     A node is split if it has `least` name-days and its best feature's q_value is at most alpha (ties: the earlier feature),
     at the cut of that feature (quantiles of the fold's days; true for binary ones) with the largest difference of means.
     Both sides need 0.15 * least rows and five, one of them parent_share of the rows of the node's parent. A tree that never
-    splits has no rules. Daily statistics of the root are shared by all folds; rows meet folds only where a root splits."""
+    splits has no rules. Daily statistics of the root are shared by all folds; a level reads the panel three times, for all
+    folds at once."""
     binary = binary_features(panel, features)
     flags = [i for i, f in enumerate(features) if f in binary]
     numbers = [i for i in range(len(features)) if i not in flags]
-    rows, folds = stored(panel_rows(panel, features, target, name=name, day=day), "panel"), stored(folds.select("fold", F.col("day")), "folds")
-    spark, keys = rows.sparkSession, ["fold", "node"]
-    bank = stored(fold_cuts(rows, folds, numbers, parts), "bank") if numbers else None
-    by_day = rows.groupBy("day").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.countDistinct("name").alias("k"))
-    roots = folds.join(small(by_day), "day").groupBy("fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("k")).collect()
-    nodes = {(r.fold, ""): _Node([], r.n, r.k, r.s / r.n, r.n) for r in roots}
-    leaves: dict[int, list[Rule]] = {r.fold: [] for r in roots}
-    current, split_at = None, set()
-    level = dict(nodes)
-    for _ in range(depth):
-        tried = [k for k, v in level.items() if v.name_days >= least]
+    spark, keys = panel.sparkSession, ["j", "c"]
+    whole, folds = stored(panel_rows(panel, features, target, name=name, day=day), "panel"), by_day_number(folds)
+    rows = whole.join(F.broadcast(folds.select("day", "d").distinct()), "day").select("name", "d", "y", "x")
+    by_day = {r.d: r for r in rows.groupBy("d").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.countDistinct("name").alias("k")).collect()}
+    days_of: dict[int, list[int]] = {}
+    for r in folds.select("fold", "d").collect():
+        if r.d in by_day:
+            days_of.setdefault(r.fold, []).append(r.d)
+    ids = sorted(days_of)
+    inside = np.zeros((max(by_day, default=0) + 1, len(ids)), bool)
+    level: dict[tuple[int, str], _Node] = {}
+    for j, fold in enumerate(ids):
+        inside[days_of[fold], j] = True
+        n, s, k = (sum(by_day[d][c] for d in sorted(days_of[fold])) for c in ("n", "s", "k"))
+        level[j, ""] = _Node([], [], n, k, s / n, n)
+    nodes, split_at, bank = dict(level), set(), None
+    for depth_now in range(depth):
+        tried = sorted(k for k, v in level.items() if v.name_days >= least)
         if not tried:
             break
-        some = spark.createDataFrame(tried, "fold int, node string")
-        daily = daily_statistics(rows, [], numbers, flags).join(small(folds), "day").withColumn("node", F.lit("")) if current is None else daily_statistics(current.join(F.broadcast(some), keys), keys, numbers, flags)
+        of_fold = [[node for i, node in tried if i == j] for j in range(len(ids))]
+        at = Nodes(inside, [[level[j, node].steps for node in own] for j, own in enumerate(of_fold)])
+        code = {(j, node): c for j, own in enumerate(of_fold) for c, node in enumerate(own, 1)}
+        # the root is the same in all folds but for their days
+        asked = at if depth_now else Nodes(np.ones((len(inside), 1), bool), [[[]]])
+        daily = [f(rows, asked, some) for f, some in ((rank_statistics, numbers), (side_statistics, flags)) if some]
+        daily = daily[0].unionByName(daily[1]) if len(daily) > 1 else daily[0]
+        if not depth_now:
+            own = _ints(spark, [(j, int(d)) for j, _ in tried for d in np.flatnonzero(inside[:, j])], "j", "d")
+            daily = daily.drop("j").join(F.broadcast(own), "d")
+        some = _ints(spark, [(j, code[j, node]) for j, node in tried], "j", "c")
         best = Window.partitionBy(*keys).orderBy("q_value", "f")
         tests = day_tests(daily, keys, some, len(features)).withColumn("_k", F.row_number().over(best)).filter((F.col("_k") == 1) & (F.col("q_value") <= alpha))
-        chosen = [(r.fold, r.node, r.f) for r in tests.select("fold", "node", "f").collect()]
-        if not chosen:
-            break
-        picks = F.broadcast(spark.createDataFrame(chosen, "fold int, node string, f int"))
-        base = rows.join(small(folds), "day").withColumn("node", F.lit("")) if current is None else current
-        own = stored(base.drop("f").join(picks, keys).withColumn("v", F.get("x", F.col("f"))).filter("v is not null"), "nodes")
-        offered = spark.createDataFrame([(k, n, f, 0.5) for k, n, f in chosen if f in flags], "fold int, node string, f int, cut double")
-        if bank is not None:
-            offered = offered.unionByName(picks.join(bank, ["fold", "f"]).select(*keys, "f", "cut"))
-        cuts = offered.groupBy(*keys).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
-        s = own.join(small(stored(cuts, "cuts")), keys).select(*keys, "y", "v", F.explode("cuts").alias("cut"))
-        left, right = F.when(F.col("v") > F.col("cut"), F.col("y")), F.when(F.col("v") <= F.col("cut"), F.col("y"))
-        s = s.groupBy(*keys, "cut").agg(F.count(left).alias("a"), F.count(right).alias("b"), F.abs(F.avg(left) - F.avg(right)).alias("score"))
-        s = s.filter(F.least("a", "b") >= max(5, 0.15 * least))
-        parents = F.broadcast(spark.createDataFrame([(k, n, max(1, level[k, n].parent_n)) for k, n, _ in chosen], "fold int, node string, parent long"))
-        s = s.join(parents, keys).filter(F.greatest("a", "b") >= parent_share * F.col("parent"))
-        top = s.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("score", 12).desc(), "cut"))).filter("_k = 1")
-        feature_of = {(k, n): f for k, n, f in chosen}
-        splits = {(r.fold, r.node): (feature_of[r.fold, r.node], r.cut) for r in top.select(*keys, "cut").collect()}
-        if not splits:
-            break
+        feature_of = {(r.j, of_fold[r.j][r.c - 1]): r.f for r in tests.select("j", "c", "f").collect()}
+        if bank is None and any(f in numbers for f in feature_of.values()):
+            bank = {}
+            for r in fold_cuts(whole, folds, numbers, parts).collect():
+                bank.setdefault((r.fold, r.f), set()).add(r.cut)
+        cuts = {k: [0.5] if f in flags else sorted(bank.get((ids[k[0]], f), [])) for k, f in feature_of.items()}
+        chosen = sorted(k for k in cuts if cuts[k])
+        splits = {}
+        if chosen:
+            for k, (n, s) in zip(chosen, split_sums(rows, at, [(k[0], code[k], feature_of[k], cuts[k]) for k in chosen])):
+                cut = _best_cut(cuts[k], n, s, least, parent_share, level[k].parent_n)
+                if cut:
+                    splits[k] = cut
         split_at |= set(splits)
-        at = F.broadcast(spark.createDataFrame([(k, n, c) for (k, n), (_, c) in splits.items()], "fold int, node string, cut double"))
-        side = F.concat("node", F.when(F.col("v") > F.col("cut"), "L").otherwise("R"))
-        current = stored(own.join(at, keys).withColumn("node", side).select(*keys, "name", "day", "y", "x"), "nodes")
-        counts = current.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.countDistinct(F.struct("name", "day")).alias("k")).collect()
         following = {}
-        for r in counts:
-            up = r.fold, r.node[:-1]
-            f, c = splits[up]
-            step = (features[f], "==", 1.0 if r.node[-1] == "L" else 0.0) if f in flags else (features[f], ">" if r.node[-1] == "L" else "<=", c)
-            following[r.fold, r.node] = _Node([*level[up].path, step], r.n, r.k, r.m, level[up].n)
+        for (j, node), (cut, sides) in splits.items():
+            up, f = level[j, node], feature_of[j, node]
+            for above, n, mean in sides:
+                step = (features[f], "==", 1.0 if above else 0.0) if f in flags else (features[f], ">" if above else "<=", cut)
+                following[j, node + ("L" if above else "R")] = _Node([*up.path, step], [*up.steps, (f, above, cut)], n, 0, mean, up.n)
+        # how many name-days a node has is asked only where it may be split
+        large = sorted(k for k, v in following.items() if v.n >= least) if depth_now + 1 < depth else []
+        paths = [[k for k in large if k[0] == j] for j in range(len(ids))]
+        for (j, c), k in name_days(rows, Nodes(inside, [[following[k].steps for k in own] for own in paths])).items():
+            following[paths[j][c - 1]].name_days = k
         nodes |= following
         level = following
-    for (fold, node), v in nodes.items():
-        if v.path and (fold, node) not in split_at:
-            leaves[fold].append(Rule(v.path, v.n, v.mean))
+    leaves: dict[int, list[Rule]] = {fold: [] for fold in ids}
+    for (j, node), v in nodes.items():
+        if v.path and (j, node) not in split_at:
+            leaves[ids[j]].append(Rule(v.path, v.n, v.mean))
     return {k: sorted(v, key=str) for k, v in leaves.items()}
 
 

@@ -246,6 +246,48 @@ def test_cuts_of_folds_equal_numpy(spark, monkeypatch):
             assert (k, 2) not in got  # three different values are too few
 
 
+def test_forest_keeps_no_rows_by_fold(spark, monkeypatch):
+    p = planted(spark, 2000, noise=0.3).cache()
+    kept, write = [], tree.stored
+    monkeypatch.setattr(tree, "stored", lambda df, name: kept.append((name, write(df, name))) or kept[-1][1])
+    folds = tree.half_samples(p.select("session_date"), "session_date", 40)
+    assert len(tree.forest(p, folds, ["a", "flag"], "y", 2, 0.05, 50)) == 40
+    rows = {name: df.count() for name, df in kept if name not in ("folds", "places")}
+    assert sum(rows.values()) <= 2 * 2000, rows  # forty trees on half of the rows were 40000 rows a level
+
+
+def test_ranks_within_nodes_equal_pandas(spark):
+    rng = np.random.default_rng(8)
+    n, days, folds = 1500, 3, 4
+    d = rng.integers(0, days, n)
+    x = np.column_stack([rng.normal(size=n), np.where(rng.random(n) < 0.6, 0.0, np.round(rng.normal(size=n), 1)), np.where(rng.random(n) < 0.2, np.nan, rng.random(n))])
+    y = np.where(rng.random(n) < 0.4, -0.0, np.round(rng.normal(size=n), 1))  # frequent values on both sides
+    table = spark.createDataFrame([(int(a), float(b), [None if np.isnan(v) else float(v) for v in c]) for a, b, c in zip(d, y, x)], "d int, y double, x array<double>")
+    inside = rng.random((days, folds)) < 0.7
+    inside[:, 0] = True
+    paths = [[[(0, above, 0.1 * j)], [(0, not above, 0.1 * j), (2, True, 0.3)]] for j, above in enumerate((True, False, True, True))]
+    nodes = tree.Nodes(inside, paths)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # equal values lie in many batches
+    try:
+        got = {(r.j, r.c, r.d, r.f): r.s for r in tree.rank_statistics(table.repartition(3), nodes, [0, 1, 2]).collect()}
+        pairs = tree.name_days(table.withColumn("name", (F.col("y") > 0).cast("string")), nodes)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, met = {}, {}
+    for j in range(folds):
+        for c, path in enumerate(paths[j], 1):
+            on = inside[d, j] & np.logical_and.reduce([(x[:, f] > cut) if above else (x[:, f] <= cut) for f, above, cut in path])
+            met[j, c] = len({(a, b > 0) for a, b in zip(d[on], y[on])})
+            for k in range(days):
+                for f in range(3):
+                    at = on & (d == k) & ~np.isnan(x[:, f])
+                    rho = pd.Series(x[at, f]).rank().corr(pd.Series(y[at]).rank()) if at.sum() >= 10 else np.nan
+                    if not np.isnan(rho):
+                        want[j, c, k, f] = rho
+    assert got == pytest.approx(want, abs=1e-12) and len(want) > 40
+    assert pairs == met
+
+
 def test_children_need_a_share_of_their_parents_parent(spark):
     p = planted(spark, 4000, noise=0.3).cache()
     found = tree.grow(p, ["a", "flag"], "y", depth=2, least=50)
