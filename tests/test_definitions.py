@@ -288,6 +288,13 @@ def test_ranks_within_nodes_equal_pandas(spark):
     assert pairs == met
 
 
+def test_days_of_a_study_come_from_ticks(spark, sf_dir):
+    from eventide.plans import base
+
+    days = lambda df: sorted(r.session_date for r in df.select("session_date").distinct().collect())
+    assert days(base.session_days(spark, sf_dir)) == days(base.session_bars(spark, sf_dir))
+
+
 def test_children_need_a_share_of_their_parents_parent(spark):
     p = planted(spark, 4000, noise=0.3).cache()
     found = tree.grow(p, ["a", "flag"], "y", depth=2, least=50)
