@@ -148,40 +148,50 @@ def windows_of(docs: list[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.
         yield before, x, doc, first
 
 
+def _by_gate(w: np.ndarray) -> np.ndarray:
+    """Weights of the three gates (update, reset, candidate), side by side in w, as three arrays one after another."""
+    return np.ascontiguousarray(w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2))
+
+
 def run_window(p: dict, x: np.ndarray, first: np.ndarray, before: np.ndarray, h: np.ndarray, keep: bool):
-    """States before each symbol of a window, and the state after it. before: the symbols one step earlier."""
+    """States before each symbol of a window, and the state after it. before: the symbols one step earlier. Each gate has an
+    array of its own, so that a step's work is on whole blocks."""
     n = HIDDEN
-    gates = p["x"].take(before, axis=0)
-    gates[first] = 0  # a document begins from nothing
-    gates += p["g"]
-    gates[:, :, : 2 * n] *= np.float32(0.5)  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
-    w_zr, w_c = p["h"][:, : 2 * n] * np.float32(0.5), np.ascontiguousarray(p["h"][:, 2 * n :])
-    kind, kept = np.result_type(h, w_zr), len(x) if keep else 1
-    states, zrs, rhs, cs = (np.empty((steps, x.shape[1], k), kind) for steps, k in ((len(x), n), (kept, 2 * n), (kept, n), (kept, n)))
-    begins, start = first.any(axis=1), h
-    for t in range(len(x)):
-        if begins[t]:
-            h = np.where(first[t][:, None], np.float32(0), h)
-        zr, rh, c, own = zrs[t % kept], rhs[t % kept], cs[t % kept], states[t]
-        np.matmul(h, w_zr, out=zr)
-        zr += gates[t, :, : 2 * n]
-        np.tanh(zr, out=zr)
-        zr += np.float32(1)
-        zr *= np.float32(0.5)
-        z, r = zr[:, :n], zr[:, n:]
-        np.multiply(r, h, out=rh)
-        np.matmul(rh, w_c, out=c)
-        c += gates[t, :, 2 * n :]
-        np.tanh(c, out=c)
-        np.subtract(c, h, out=own)
-        own *= z
-        own += h
-        h = own
+    fed = _by_gate(np.vstack([p["x"], np.zeros((1, 3 * n), p["x"].dtype)]) + p["g"])  # the last row: a document begins from nothing
+    w = _by_gate(p["h"])
+    # sigmoid(a) = 1 / (1 + exp(-a)), where exp may be infinite
+    np.negative(fed[:2], out=fed[:2])
+    np.negative(w[:2], out=w[:2])
+    w_zr, w_c = w[:2], w[2]
+    symbol = np.where(first, len(p["x"]), before)
+    gates = np.stack([own.take(symbol, axis=0) for own in fed], axis=1)
+    kind, kept, width = np.result_type(h, w), len(x) if keep else 1, x.shape[1]
+    states, zrs, rhs, cs = (np.empty((steps, *k, n), kind) for steps, k in ((len(x), (width,)), (kept, (2, width)), (kept, (width,)), (kept, (width,))))
+    begins, start, one = first.any(axis=1), h, np.float32(1)
+    with np.errstate(over="ignore"):
+        for t in range(len(x)):
+            if begins[t]:
+                h = np.where(first[t][:, None], np.float32(0), h)
+            zr, rh, c, own = zrs[t % kept], rhs[t % kept], cs[t % kept], states[t]
+            np.matmul(h, w_zr, out=zr)
+            zr += gates[t, :2]
+            np.exp(zr, out=zr)
+            zr += one
+            np.reciprocal(zr, out=zr)
+            z, r = zr
+            np.multiply(r, h, out=rh)
+            np.matmul(rh, w_c, out=c)
+            c += gates[t, 2]
+            np.tanh(c, out=c)
+            np.subtract(c, h, out=own)
+            own *= z
+            own += h
+            h = own
     if not keep:
         return states, h, None
     h0 = np.concatenate([start[None], states[:-1]])
     h0[first] = 0
-    return states, h, (h0, zrs[:, :, :n], zrs[:, :, n:], rhs, cs)
+    return states, h, (h0, zrs[:, 0], zrs[:, 1], rhs, cs)
 
 
 def _choices(a: np.ndarray, chosen: np.ndarray, slopes: bool):
@@ -243,35 +253,43 @@ def gradients(p: dict, before: np.ndarray, xs: np.ndarray, owner: np.ndarray, fs
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     back = np.zeros_like(states)
     _, back[live] = outputs(p, states[live], xs[live], classes, grads)
-    dg, dh = np.empty((*xs.shape, 3 * n), np.float32), np.zeros((width, n), np.float32)
+    # of each step the gradients by gate, and those of the state
+    dg, dh = np.empty((len(xs), 3, width, n), np.float32), np.zeros((width, n), np.float32)
     h0, z, r, rh, c = trace
     # what doesn't depend on later steps, for all steps at once
     by_c, by_z, by_r = z * (1 - c * c), (c - h0) * z * (1 - z), h0 * r * (1 - r)
-    keep, to_rh, to_zr = 1 - z, np.ascontiguousarray(p["h"][:, 2 * n :].T), np.ascontiguousarray(p["h"][:, : 2 * n].T)
-    begins = fs.any(axis=1)
+    keep, back_by = 1 - z, np.ascontiguousarray(_by_gate(p["h"]).transpose(0, 2, 1))
+    begins, drh, by_state = fs.any(axis=1), np.empty((width, n), dh.dtype), np.empty((2, width, n), dh.dtype)
+    to_zr, to_rh = np.ascontiguousarray(back_by[:2]), back_by[2]
     for t in range(len(xs) - 1, -1, -1):
         dh += back[t]
-        own = dg[t]
-        np.multiply(dh, by_c[t], out=own[:, 2 * n :])
-        drh = own[:, 2 * n :] @ to_rh
-        np.multiply(dh, by_z[t], out=own[:, :n])
-        np.multiply(drh, by_r[t], out=own[:, n : 2 * n])
+        dz, dr, dc = dg[t]
+        np.multiply(dh, by_c[t], out=dc)
+        np.matmul(dc, to_rh, out=drh)
+        np.multiply(dh, by_z[t], out=dz)
+        np.multiply(drh, by_r[t], out=dr)
         dh *= keep[t]
         drh *= r[t]
         dh += drh
-        dh += own[:, : 2 * n] @ to_zr
+        np.matmul(dg[t, :2], to_zr, out=by_state)
+        dh += by_state[0]
+        dh += by_state[1]
         if begins[t]:
             dh[fs[t]] = 0
-    by_row = dg.reshape(-1, 3 * n)
-    grads["h"][:, 2 * n :] = rh.reshape(-1, n).T @ by_row[:, 2 * n :]
-    grads["h"][:, : 2 * n] = h0.reshape(-1, n).T @ by_row[:, : 2 * n]
-    grads["g"] = by_row.sum(axis=0)
-    fed = before[~fs].astype(np.int16)
-    if len(fed):  # places that fill up have no gradient and may be counted in
-        order = np.argsort(fed, kind="stable")
-        fed = fed[order]
-        at = np.flatnonzero(np.concatenate([[True], fed[1:] != fed[:-1]]))
-        grads["x"][fed[at]] = np.add.reduceat(dg[~fs].take(order, axis=0), at, axis=0)
+    by_gate = [np.ascontiguousarray(dg[:, k]).reshape(-1, n) for k in range(3)]
+    fed = np.flatnonzero(~fs)  # places that fill up have no gradient and may be counted in
+    symbol = before.ravel()[fed].astype(np.int16)
+    order = np.argsort(symbol, kind="stable")
+    fed, symbol = fed[order], symbol[order]
+    at, rows = np.flatnonzero(np.diff(symbol, prepend=-1)), np.empty((len(fed), 3 * n), np.float32)
+    ones = np.ones(by_gate[0].shape[0], np.float32)
+    for k, (own, seen) in enumerate(zip(by_gate, (h0, h0, rh))):
+        part = slice(k * n, (k + 1) * n)
+        grads["h"][:, part] = seen.reshape(-1, n).T @ own
+        grads["g"][part] = ones @ own
+        rows[:, part] = own.take(fed, axis=0)
+    if len(fed):
+        grads["x"][symbol[at]] = np.add.reduceat(rows, at, axis=0)
     return grads, int(live.sum()), h
 
 

@@ -289,6 +289,26 @@ def some_vocabulary():
     return lm.Vocabulary([f"w{i}" for i in range(40)], [50 - i for i in range(40)], 2000, 60, {0: (30, 10), 5: (9, 3)})
 
 
+def test_gates_are_whole_blocks_and_may_be_shut():
+    rng = np.random.default_rng(4)
+    n = lm.HIDDEN
+    p = {"x": rng.normal(size=(lm.HEAD + lm.TAIL_CLASSES, 3 * n)).astype(np.float32) * 1e4, "h": rng.normal(size=(n, 3 * n)).astype(np.float32), "g": np.zeros(3 * n, np.float32)}
+    before, first = rng.integers(0, lm.HEAD, (5, 6)), np.zeros((5, 6), bool)
+    first[0] = first[3, 2] = True
+    with np.errstate(all="raise", under="ignore"):
+        states, h, (_, z, r, _, _) = lm.run_window(p, before, first, before, np.zeros((6, n), np.float32), True)
+    assert all(a[t].flags.c_contiguous for a in (z, r) for t in range(5))
+    want = np.zeros((6, n))
+    for t in range(5):
+        want[first[t]] = 0
+        a = np.where(first[t][:, None], 0.0, p["x"][before[t]]).astype(float)
+        gate = 1 / (1 + np.exp(-np.clip(a[:, : 2 * n] + want @ p["h"][:, : 2 * n], -700, 700)))
+        c = np.tanh(a[:, 2 * n :] + (gate[:, n:] * want) @ p["h"][:, 2 * n :])
+        want = want + gate[:, :n] * (c - want)
+        assert states[t] == pytest.approx(want, abs=1e-4)
+    assert h == pytest.approx(want, abs=1e-4)
+
+
 def test_language_model_is_a_distribution_and_gradients_are_right():
     v = some_vocabulary()
     p = {k: x.astype(np.float64) for k, x in lm.start_weights(v).items()}
